@@ -275,7 +275,7 @@ def delete_by_key(spark, folder):
 @entry(
     "job_status_fold",
     """WITH log AS (SELECT l_orderkey AS job_id, l_partkey * 100 + l_linenumber * 10 + 1 AS seq, 'processing' AS status, NULL AS result, NULL AS error FROM lineitem
- UNION ALL SELECT l_orderkey, l_partkey * 100 + l_linenumber * 10 + 2, CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'completed' END,
+ UNION ALL SELECT l_orderkey, l_partkey * 100 + l_linenumber * 10 + CASE l_returnflag WHEN 'R' THEN 3 ELSE 2 END, CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'completed' END,
  CASE l_returnflag WHEN 'R' THEN NULL ELSE concat('part ', cast(l_partkey AS varchar)) END, CASE l_returnflag WHEN 'R' THEN 'returned' END FROM lineitem WHERE l_linestatus='F')
 SELECT job_id, status, result, error, cast(seq AS bigint) AS seq FROM (SELECT job_id, max(seq) AS seq, arg_max(struct_pack(s:=status, r:=result, e:=error), seq) AS x FROM log GROUP BY job_id)
  t, LATERAL (SELECT x.s AS status, x.r AS result, x.e AS error)""",
@@ -301,7 +301,7 @@ def status_log(spark, folder):
     )
     ended = lines.filter("l_linestatus = 'F'").select(
         F.col("l_orderkey").alias("job_id"),
-        (number + 2).alias("seq"),
+        (number + F.when(returned, 3).otherwise(2)).alias("seq"),
         F.when(returned, "failed").otherwise("completed").alias("status"),
         F.when(~returned, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias(
             "result"

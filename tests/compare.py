@@ -6,13 +6,12 @@
 from __future__ import annotations
 
 import argparse
-import glob
-import hashlib
 import math
 import os
 import sys
 import time
 import traceback
+from collections import Counter
 
 import duckdb
 
@@ -74,9 +73,12 @@ def compare(df, con, sql: str) -> str:
         return "types " + "; ".join(types)
     a, b = rows_of(got_columns, got), rows_of(want_columns, want)
     if a != b:
-        different = [(x, y) for x, y in zip(a, b) if x != y]
-        shown = "\n".join(f"   spark {x[:600]}\n   sql   {y[:600]}" for x, y in different[:3])
-        return f"{len(different)} of {len(a)} rows differ\n{shown}"
+        ours = sorted((Counter(a) - Counter(b)).elements())
+        theirs = sorted((Counter(b) - Counter(a)).elements())
+        shown = "\n".join(
+            f"   spark {x[:600]}\n   sql   {y[:600]}" for x, y in zip(ours[:3], theirs[:3])
+        )
+        return f"{len(ours)} of {len(a)} rows differ\n{shown}"
     return ""
 
 
