@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brightwater.functions.text import trimmed, words
+from brightwater.functions.text import let, trimmed, words
 
-_SENTENCE = r"[^.!?]+[.!?]+"
+# The places where a run of terminators ends and other text begins.
+_SENTENCE_END = r"(?<=[.!?])(?=[^.!?])"
 _NO_CHUNKS = "cast(array() as array<string>)"
 
 
@@ -28,9 +29,14 @@ def chunk_fixed(text: Column, size: int = 512, overlap: int = 64) -> Column:
 
 
 def _sentences(text: Column) -> Column:
-    """Terminated sentences; text after the last terminator is dropped unless there is none."""
-    found = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(text))
+    """Terminated sentences; text after the last terminator is dropped unless there is none.
+
+    Splitting at the sentence ends is linear in the text; searching for whole sentences would
+    rescan a long unterminated tail from each of its characters.
+    """
+    pieces = F.split(text, _SENTENCE_END)
+    whole = F.filter(pieces, lambda p: p.rlike(r"^[^.!?]") & p.rlike(r"[.!?]$"))
+    return let(whole, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(text)))
 
 
 def _start() -> Column:
@@ -147,13 +153,16 @@ def chunk_paragraph_simple(text: Column, longer_than: int = 50) -> Column:
 
 def chunk_words(text: Column, n_words: int = 500) -> Column:
     """Groups of ``n_words`` white-space separated words."""
-    all_words = words(text)
-    last = F.ceil(F.size(all_words) / F.lit(float(n_words))).cast("int") - 1
-    groups = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.array_join(F.slice(all_words, i * n_words + 1, F.lit(n_words)), " "),
-    )
-    return F.when(F.size(all_words) > 0, groups).otherwise(F.expr(_NO_CHUNKS))
+
+    def group(found: Column) -> Column:
+        last = F.ceil(F.size(found) / F.lit(float(n_words))).cast("int") - 1
+        groups = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice(found, i * n_words + 1, F.lit(n_words)), " "),
+        )
+        return F.when(F.size(found) > 0, groups).otherwise(F.expr(_NO_CHUNKS))
+
+    return let(words(text), group)
 
 
 STRATEGIES = {

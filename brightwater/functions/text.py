@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that the matched systems treat as white space.
-SPACES = (
-    r"[ \t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# The characters that the matched systems treat as white space, besides the blank.
+_OTHER_SPACES = "\t\n\x0b\f\r" + "".join(
+    map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def space_split(text: Column) -> Column:
+    """Split at every single white-space character; runs give empty strings."""
+    return F.split(F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES)), " ")
+
+
 def words(text: Column) -> Column:
     """Array of the non-empty white-space separated words."""
-    return F.filter(F.split(text, f"{SPACES}+"), lambda w: w != "")
+    return F.array_remove(space_split(text), "")
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(text, F.lit(" " + _OTHER_SPACES))
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return ~F.coalesce(text.rlike(f"(?s)[^{SPACES[1:-1]}]"), F.lit(False))
+    return F.coalesce(trimmed(text), F.lit("")) == ""
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
