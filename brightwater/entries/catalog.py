@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from brightwater.entries import chunks, ops_tables, request_log  # noqa: F401
+from brightwater.entries import chunks, ops_tables, request_log, retrieval  # noqa: F401

@@ -1,11 +1,17 @@
-"""Session settings shared by tests and the benchmark."""
+"""Session settings shared by tests, the benchmark and the registered queries."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 ROCKSDB_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = "*", app: str = "brightwater", **conf: str) -> SparkSession:
     """A session for one machine; a cluster supplies its own."""
@@ -27,7 +33,18 @@ def local_session(cores: int | str = "*", app: str = "brightwater", **conf: str)
     return spark
 
 
-def use_utc(spark: SparkSession) -> None:
-    """All timestamps are read and compared in UTC."""
+def prepare(spark: SparkSession) -> None:
+    """Read and compare timestamps in UTC, and give every executor this package."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="brightwater-package-"), "brightwater"),
+            "zip",
+            root_dir=os.path.dirname(package),
+            base_dir=os.path.basename(package),
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)

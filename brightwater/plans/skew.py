@@ -15,13 +15,27 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """True if counting shows at most ``max_rows`` rows; reads no more than that."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a frame for broadcast only if counting shows at most ``max_rows`` rows.
+    """Mark a frame for broadcast only if it ``fits``.
 
     A larger frame is returned unmarked and is joined by a shuffle, where adaptive execution
     splits hot partitions.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a freshly read table that has fewer pieces than there are cores.
+
+    Large tables come in many pieces and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def running_sums(

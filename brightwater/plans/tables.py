@@ -7,12 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwater.plans.session import use_utc
+from brightwater.plans.session import prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
-    use_utc(spark)
+    prepare(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
