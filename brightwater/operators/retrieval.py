@@ -18,11 +18,21 @@ B = 0.75
 RRF_K = 60
 
 
-def permission_filter(chunks: DataFrame, users: DataFrame) -> DataFrame:
-    """Each user's permitted rows: one row per (user_id, chunk)."""
+def _marked(df: DataFrame, bounded: bool) -> DataFrame:
+    return F.broadcast(df) if bounded else df
+
+
+def permission_filter(
+    chunks: DataFrame, users: DataFrame, bounded: bool | None = None
+) -> DataFrame:
+    """Each user's permitted rows: one row per (user_id, chunk).
+
+    ``bounded`` says that the users are known to be few enough to broadcast; by default they are
+    counted.
+    """
     opened = chunks.withColumn("user_id", F.explode(F.array_distinct("permissions")))
     asked = users.select("user_id").distinct()
-    return opened.join(F.broadcast(asked) if fits(asked) else asked, "user_id")
+    return opened.join(_marked(asked, fits(asked) if bounded is None else bounded), "user_id")
 
 
 def permitted_to(chunks: DataFrame, user_id: str) -> DataFrame:
@@ -62,63 +72,67 @@ def _lengths(chunks: DataFrame, keep_empty: bool = False) -> DataFrame:
 
 
 def corpus_stats(
-    chunks: DataFrame, users: DataFrame, keep_empty: bool = False
+    chunks: DataFrame, users: DataFrame, keep_empty: bool = False, bounded: bool | None = None
 ) -> DataFrame:
     """Per user: number of permitted chunks and their average length in tokens."""
     return (
-        permission_filter(_lengths(chunks, keep_empty), users)
+        permission_filter(_lengths(chunks, keep_empty), users, bounded)
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("_total"))
         .select("user_id", "n_docs", (F.col("_total") / F.col("n_docs")).alias("avg_dl"))
     )
 
 
-def postings(chunks: DataFrame, terms: DataFrame, keep_empty: bool = False) -> DataFrame:
+def postings(
+    chunks: DataFrame, terms: DataFrame, keep_empty: bool = False, bounded: bool | None = None
+) -> DataFrame:
     """Rows (id, permissions, dl, term, tf) for the queried terms only.
 
     Unqueried tokens are dropped where they are read. The rest is shuffled once, by chunk, and
     every later grouping by chunk stays in that partitioning.
     """
     asked = terms.select("term").distinct()
+    # An outer explode keeps the optimizer from tokenizing again to filter out empty arrays.
     tokens = chunks.select(
         "id", "permissions", _tokens(F.col("chunk_text"), keep_empty).alias("_tokens")
-    ).select("id", "permissions", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    matched = tokens.join(F.broadcast(asked) if fits(asked) else asked, "term")
+    ).select(
+        "id", "permissions", F.size("_tokens").alias("dl"), F.explode_outer("_tokens").alias("term")
+    )
     return (
-        matched.repartition("id")
-        .groupBy("id", "term")
-        .agg(
-            F.first("permissions").alias("permissions"),
-            F.first("dl").alias("dl"),
-            F.count(F.lit(1)).alias("tf"),
-        )
+        tokens.join(_marked(asked, fits(asked) if bounded is None else bounded), "term")
+        .repartition("id")
+        .groupBy("id", "permissions", "dl", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def doc_freq(
-    chunks: DataFrame, queries: DataFrame, df_mode: str = "token"
+    chunks: DataFrame,
+    queries: DataFrame,
+    df_mode: str = "token",
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Per user and queried term the number of permitted chunks that have the term.
 
     ``token`` counts chunks with the exact token. ``substring`` counts chunks whose text contains
     the term anywhere; each chunk is then tested against the array of all queried terms.
     """
+    terms = query_terms(queries, keep_empty=df_mode == "substring")
+    if bounded is None:
+        bounded = fits(terms)
     if df_mode == "token":
-        terms = query_terms(queries)
-        found = postings(chunks, terms).select("id", "permissions", "term")
+        found = postings(chunks, terms, bounded=bounded)
     elif df_mode == "substring":
-        terms = query_terms(queries, keep_empty=True)
         listed = terms.agg(F.collect_set("term")).scalar()
         lowered = F.lower(F.col("chunk_text"))
         hits = F.filter(listed, lambda t: F.contains(lowered, t))
-        found = chunks.select("id", "permissions", F.explode(hits).alias("term"))
+        found = chunks.select("id", "permissions", F.explode_outer(hits).alias("term"))
     else:
         raise ValueError("df_mode is 'token' or 'substring'")
     wanted = terms.select("user_id", "term").distinct()
     opened = found.withColumn("user_id", F.explode(F.array_distinct("permissions")))
-    bounded = F.broadcast(wanted) if fits(wanted) else wanted
     return (
-        opened.join(bounded, ["user_id", "term"])
+        opened.join(_marked(wanted, bounded), ["user_id", "term"])
         .groupBy("user_id", "term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -138,12 +152,14 @@ def bm25_score(
     """
     keep_empty = df_mode == "substring"
     terms = query_terms(queries, keep_empty)
-    stats = corpus_stats(chunks, queries, keep_empty)
-    frequencies = doc_freq(chunks, queries, df_mode)
+    # One count bounds every small side: users, distinct terms and term weights are no more rows.
+    bounded = fits(terms)
+    stats = corpus_stats(chunks, queries, keep_empty, bounded)
+    frequencies = doc_freq(chunks, queries, df_mode, bounded)
     n, df = F.col("n_docs"), F.coalesce("df", F.lit(0))
     weights = (
-        terms.join(frequencies, ["user_id", "term"], "left")
-        .join(stats, "user_id")
+        terms.join(_marked(frequencies, bounded), ["user_id", "term"], "left")
+        .join(_marked(stats, bounded), "user_id")
         .select(
             "query_id",
             "user_id",
@@ -152,13 +168,11 @@ def bm25_score(
             (F.col("qtf") * F.ln((n - df + 0.5) / (df + 0.5) + 1)).alias("weight"),
         )
     )
-    # As many rows as there are query terms, which were counted before.
-    weights = F.broadcast(weights) if fits(terms) else weights
     tf = F.col("tf")
     saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * (F.col("dl") / F.col("avg_dl"))))
     return (
-        postings(chunks, terms, keep_empty)
-        .join(weights, "term")
+        postings(chunks, terms, keep_empty, bounded)
+        .join(_marked(weights, bounded), "term")
         .filter(F.array_contains("permissions", F.col("user_id")))
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(F.col("weight") * saturated), DIGITS).alias("score"))
@@ -173,10 +187,10 @@ def match_all_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     terms = query_terms(queries).filter(~F.col("term").isin(STOP_WORDS))
     needed = Window.partitionBy("query_id")
     counted = terms.withColumn("needed", F.count(F.lit(1)).over(needed))
-    counted = F.broadcast(counted) if fits(terms) else counted
+    bounded = fits(terms)
     return (
-        postings(chunks, terms)
-        .join(counted, "term")
+        postings(chunks, terms, bounded=bounded)
+        .join(_marked(counted, bounded), "term")
         .filter(F.array_contains("permissions", F.col("user_id")))
         .groupBy("query_id", "id")
         .agg(F.count(F.lit(1)).alias("have"), F.first("needed").alias("needed"))
@@ -253,7 +267,7 @@ def rrf_topk(lists: Sequence[DataFrame], top_k: int = 5, k: int = RRF_K) -> Data
 def rehydrate_chunks(found: DataFrame, chunks: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach the chunk columns to found ids; ids without a chunk are dropped."""
     wide = chunks.drop("embedding")
-    return wide.join(F.broadcast(found) if fits(found, max_rows) else found, "id")
+    return wide.join(_marked(found, fits(found, max_rows)), "id")
 
 
 def hybrid_retrieve(
@@ -280,5 +294,5 @@ def hybrid_retrieve(
         top_k,
     ).select("query_id", "id", "rank", "rrf_score")
     # At most top_k rows per query.
-    found = F.broadcast(found) if fits(queries, BROADCAST_ROWS // top_k) else found
-    return chunks.select("id", "doc_name", "chunk_text").join(found, "id")
+    few = fits(queries, BROADCAST_ROWS // top_k)
+    return chunks.select("id", "doc_name", "chunk_text").join(_marked(found, few), "id")

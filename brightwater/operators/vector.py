@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightwater.functions.vectors import hash_vectors
-from brightwater.plans.skew import fits
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 50_000
@@ -184,8 +183,9 @@ def _search(
     """Rows (query_id, id, similarity, rank) for frames with columns named as in ``_scan``."""
     spark = chunks.sparkSession
     result = _result_type(queries, chunks)
-    if fits(queries, query_block):
-        shared = spark.sparkContext.broadcast(_block_of(queries.toArrow(), extra))
+    first = queries.limit(query_block + 1).toArrow()
+    if first.num_rows <= query_block:
+        shared = spark.sparkContext.broadcast(_block_of(first, extra))
         schema = _arrow_type(result)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,15 +173,17 @@ def text_queries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def label_queries(spark: SparkSession, folder: str, dims: int = 64) -> DataFrame:
+def label_queries(spark: SparkSession, folder: str) -> DataFrame:
     """One query vector per label: the mean of the label's vectors, over the whole table."""
-    vectors = table(spark, folder, "embeddings")
-    means = vectors.groupBy("label").agg(
-        *[F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dims)]
+    values = table(spark, folder, "embeddings").select(
+        "label", F.posexplode("embedding").alias("at", "value")
     )
-    return means.select(
-        F.col("label").alias("query_id"),
-        F.array(*[F.round(f"m{i}", 9) for i in range(dims)]).alias("embedding"),
+    means = values.groupBy("label", "at").agg(
+        F.round(F.avg(F.col("value").cast("double")), 9).alias("mean")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("at", "mean")))
+    return means.groupBy(F.col("label").alias("query_id")).agg(
+        F.transform(ordered, lambda m: m["mean"]).alias("embedding")
     )
 
 
