@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from brightwater.entries import chunks, ops_tables, request_log, retrieval  # noqa: F401
+from brightwater.entries import (  # noqa: F401
+    chunks,
+    guard_jobs,
+    ops_tables,
+    request_log,
+    retrieval,
+)

@@ -16,9 +16,14 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def plain_spaces(text: Column) -> Column:
+    """The text with every white-space character replaced by a blank."""
+    return F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES))
+
+
 def space_split(text: Column) -> Column:
     """Split at every single white-space character; runs give empty strings."""
-    return F.split(F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES)), " ")
+    return F.split(plain_spaces(text), " ")
 
 
 def words(text: Column) -> Column:
