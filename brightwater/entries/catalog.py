@@ -2,6 +2,7 @@
 
 from brightwater.entries import (  # noqa: F401
     chunks,
+    churn,
     guard_jobs,
     ops_tables,
     request_log,

@@ -32,7 +32,8 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a freshly read table that has fewer pieces than there are cores.
 
-    Large tables come in many pieces and are left as they are.
+    Large tables come in many pieces and are left as they are. Only for plain scans: asking a frame
+    with joins or groupings for its pieces would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
