@@ -116,17 +116,21 @@ def churn_features_train(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     return df.select(*keep, *[F.coalesce(features[f], F.lit(0.0)).alias(f) for f in FEATURES])
 
 
-def scoring_features(log_monthly_bug: bool = True) -> dict[str, Column]:
-    """The serving features as columns over a raw record.
+def scoring_features(records: DataFrame, log_monthly_bug: bool = True) -> dict[str, Column]:
+    """The serving features as columns over raw records.
 
     They differ from training: the price score uses a fixed highest charge and is clamped, unknown
     contract and internet levels have risk 0 and unknown payment 0.3, a total of 0 means one month,
     and ``log_monthly`` is never filled in, which ``log_monthly_bug=False`` repairs.
     """
 
+    kinds = dict(records.dtypes)
+
     def number(name: str) -> Column:
-        value = F.col(name).try_cast("double")
-        return F.when(value.isNull() | F.isnan(value), F.lit(0.0)).otherwise(value)
+        value = F.col(name)
+        if kinds[name] in ("string", "double", "float"):
+            value = F.nanvl(value.try_cast("double"), F.lit(0.0))
+        return F.coalesce(value.cast("double"), F.lit(0.0))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -150,5 +154,5 @@ def scoring_features(log_monthly_bug: bool = True) -> dict[str, Column]:
 def churn_features_score(
     df: DataFrame, keep: tuple[str, ...] = (), log_monthly_bug: bool = True
 ) -> DataFrame:
-    features = scoring_features(log_monthly_bug)
+    features = scoring_features(df, log_monthly_bug)
     return df.select(*keep, *[features[f].alias(f) for f in FEATURES])

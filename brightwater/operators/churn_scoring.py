@@ -9,30 +9,57 @@ from brightwater.functions import fixed_values as fixed
 from brightwater.functions.numbers import percent, round_up_half
 from brightwater.functions.text import let
 from brightwater.operators.churn_features import FEATURES, scoring_features
+from brightwater.plans.scratch import written
 
 
-def _contributions(log_monthly_bug: bool) -> list[Column]:
+_MODEL = {
+    name: (weight, mean, std if std > 0 else 1.0)
+    for name, weight, mean, std in zip(
+        FEATURES, fixed.CHURN_WEIGHTS, fixed.CHURN_MEANS, fixed.CHURN_STDS
+    )
+}
+
+
+def _contributions(records: DataFrame, log_monthly_bug: bool) -> list[Column]:
     """Weight times standardized value, per feature in model order."""
-    features = scoring_features(log_monthly_bug)
+    features = scoring_features(records, log_monthly_bug)
     return [
-        F.lit(weight) * (features[name] - F.lit(mean)) / F.lit(std if std > 0 else 1.0)
-        for name, weight, mean, std in zip(
-            FEATURES, fixed.CHURN_WEIGHTS, fixed.CHURN_MEANS, fixed.CHURN_STDS
-        )
+        F.lit(weight) * (features[name] - F.lit(mean)) / F.lit(std)
+        for name, (weight, mean, std) in _MODEL.items()
     ]
 
 
-def churn_probability(log_monthly_bug: bool = True) -> Column:
+def _field_score(field: str) -> Column:
+    """The summed contribution of a field's one-hot features, looked up by its level."""
+
+    def part(level: str, value: float) -> float:
+        weight, mean, std = _MODEL[f"{field}_{level}"]
+        return weight * (value - mean) / std
+
+    levels = fixed.CHURN_LEVELS[field]
+    absent = sum(part(level, 0.0) for level in levels)
+    score = F.lit(absent)
+    for level in levels:
+        present = absent - part(level, 0.0) + part(level, 1.0)
+        score = F.when(F.col(field) == level, F.lit(present)).otherwise(score)
+    return score
+
+
+def churn_probability(records: DataFrame, log_monthly_bug: bool = True) -> Column:
+    features = scoring_features(records, log_monthly_bug)
     z = F.lit(fixed.CHURN_INTERCEPT)
-    for part in _contributions(log_monthly_bug):
-        z = z + part
+    for name in fixed.CHURN_NUMERIC:
+        weight, mean, std = _MODEL[name]
+        z = z + F.lit(weight) * (features[name] - F.lit(mean)) / F.lit(std)
+    for field in fixed.CHURN_LEVELS:
+        z = z + _field_score(field)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def score_churn(records: DataFrame, log_monthly_bug: bool = True) -> DataFrame:
     """Add ``probability``, ``label`` and ``confidence`` (the probability to 4 decimals)."""
     p = F.col("probability")
-    return records.withColumn("probability", churn_probability(log_monthly_bug)).withColumns(
+    return records.withColumn("probability", churn_probability(records, log_monthly_bug)).withColumns(
         {
             "label": F.when(p >= fixed.CHURN_THRESHOLD, "Churn").otherwise("No Churn"),
             "confidence": round_up_half(p, 4),
@@ -71,7 +98,7 @@ def explain_churn(records: DataFrame, log_monthly_bug: bool = True) -> DataFrame
     parts = F.array(
         *[
             F.struct(F.lit(name).alias("feature"), part.alias("value"))
-            for name, part in zip(FEATURES, _contributions(log_monthly_bug))
+            for name, part in zip(FEATURES, _contributions(records, log_monthly_bug))
         ]
     )
     return records.withColumn("explanation", top_contributions(parts))
@@ -266,12 +293,12 @@ def insights(
 ) -> DataFrame:
     """Plain-language statements about stored predictions; none from fewer than ``at_least``.
 
-    The predictions (label, confidence, explanation, created_at) are read once into counts per
-    label and top feature; everything else is computed from those few rows. Of equally frequent
+    The predictions (label, confidence, explanation, created_at) are read once into a small table of
+    counts per label and top feature; everything else is computed from that. Of equally frequent
     labels or features the one seen first is named.
     """
     seen = F.unix_micros("created_at")
-    counts = predictions.groupBy(
+    per_label = predictions.groupBy(
         "label", F.try_element_at("explanation", F.lit(1))["feature"].alias("feature")
     ).agg(
         F.count(F.lit(1)).alias("n"),
@@ -280,6 +307,7 @@ def insights(
         F.count_if(_is(churn, strict) & (F.col("confidence") >= 0.75)).alias("sure"),
         F.min(seen).alias("first"),
     )
+    counts = written(per_label, "insight-counts")
 
     def most(column: str) -> Column:
         ranked = (

@@ -67,9 +67,33 @@ def requests_in_window(
     )
 
 
+def _marked_buckets(cells: DataFrame, limit: int) -> DataFrame:
+    """One row per user and non-empty bucket: is it busy, in a chain, in which run, before which run.
+
+    A user has at most one row per window length of time here, however many requests that were.
+    """
+    buckets = cells.groupBy(*_USER, "bucket").agg(F.sum("n").alias("bucket_n"))
+    order = Window.partitionBy(*_USER).orderBy("bucket")
+    follows = F.coalesce(F.lag("bucket").over(order) == F.col("bucket") - 1, F.lit(False))
+    precedes = F.coalesce(F.lead("bucket").over(order) == F.col("bucket") + 1, F.lit(False))
+    before = F.when(follows, F.lag("bucket_n").over(order)).otherwise(F.lit(0))
+    busy = buckets.withColumn("busy", F.col("bucket_n") + before > limit)
+    chained = busy.withColumn(
+        "in_chain", F.col("busy") | (follows & F.lag("busy").over(order))
+    ).withColumn("_chained", F.sum(F.col("in_chain").cast("int")).over(order))
+    runs = chained.withColumn(
+        "run", F.when(F.col("in_chain"), F.col("bucket") - F.col("_chained"))
+    )
+    opens = ~F.col("in_chain") & precedes & F.lead("in_chain").over(order)
+    return runs.withColumn("context_of", F.when(opens, F.lead("run").over(order))).select(
+        *_USER, "bucket", "busy", "in_chain", "run", "context_of"
+    )
+
+
 def _decide_runs(cells: DataFrame, limit: int, window_ms: int) -> DataFrame:
     """Decisions for cells of busy runs, each run streamed in time order."""
-    schema = "project string, user_id string, ts_ms long, before long, accepted long, oldest long"
+    columns = ["project", "user_id", "ts_ms", "n", "before", "accepted", "oldest"]
+    schema = "project string, user_id string, ts_ms long, n long, before long, accepted long, oldest long"
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, window = None, AcceptedWindow(limit, window_ms)
@@ -80,12 +104,10 @@ def _decide_runs(cells: DataFrame, limit: int, window_ms: int) -> DataFrame:
             ):
                 if (project, user, run) != current:
                     current, window = (project, user, run), AcceptedWindow(limit, window_ms)
-                before, accepted, oldest = window.offer(int(now), int(n), bool(known))
+                decision = window.offer(int(now), int(n), bool(known))
                 if not known:
-                    out.append((project, user, now, before, accepted, oldest))
-            yield pd.DataFrame(
-                out, columns=["project", "user_id", "ts_ms", "before", "accepted", "oldest"]
-            )
+                    out.append((project, user, now, n, *decision))
+            yield pd.DataFrame(out, columns=columns)
 
     ordered = cells.repartition(*_USER, "run").sortWithinPartitions(*_USER, "run", "ts_ms")
     return ordered.mapInPandas(decide, schema)
@@ -100,7 +122,12 @@ def _decide_quiet(cells: DataFrame, window_ms: int) -> DataFrame:
         sliced.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .filter("_own AND NOT in_chain")
         .select(
-            *_USER, "ts_ms", "before", F.col("n").alias("accepted"), F.lit(None).cast("long").alias("oldest")
+            *_USER,
+            "ts_ms",
+            "n",
+            "before",
+            F.col("n").alias("accepted"),
+            F.lit(None).cast("long").alias("oldest"),
         )
     )
 
@@ -115,43 +142,18 @@ def rate_limit_batch(
     ``requests`` has id, project, user_id (both strings) and ts_ms. Requests of one user are taken
     in the order of (ts_ms, id).
     """
-    bucket = F.floor(F.col("ts_ms") / F.lit(window_ms))
-    cells = requests.groupBy(*_USER, "ts_ms").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("bucket", bucket)
-
-    # One row per user and non-empty bucket.
-    buckets = cells.groupBy(*_USER, "bucket").agg(F.sum("n").alias("n"))
-
-    def previous(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(
-            *_USER, (F.col("bucket") + 1).alias("bucket"), *[F.col(c).alias(f"last_{c}") for c in columns]
-        )
-
-    key = [*_USER, "bucket"]
-    busy = buckets.join(previous(buckets, "n"), key, "left").select(
-        *key, (F.col("n") + F.coalesce("last_n", F.lit(0)) > limit).alias("busy")
-    )
-    chained = busy.join(previous(busy, "busy"), key, "left").select(
-        *key, (F.col("busy") | F.coalesce("last_busy", F.lit(False))).alias("in_chain")
-    )
-    # Consecutive chained buckets form a run.
-    position = F.row_number().over(Window.partitionBy(*_USER).orderBy("bucket"))
-    runs = chained.filter("in_chain").withColumn("run", F.col("bucket") - position)
-    before_runs = runs.groupBy(*_USER, "run").agg((F.min("bucket") - 1).alias("bucket"))
-
-    marked = cells.join(chained, key)
-    chain_cells = cells.join(runs.select(*key, "run"), key).withColumn("known", F.lit(False))
-    context = cells.join(before_runs, key).withColumn("known", F.lit(True))
-    columns = [*_USER, "run", "ts_ms", "n", "known"]
-    busy_decisions = _decide_runs(
-        chain_cells.select(*columns).unionByName(context.select(*columns)), limit, window_ms
-    )
-    # A quiet cell sees only its own bucket and the one before, and both are quiet.
-    quiet_decisions = _decide_quiet(
-        cells.join(busy.filter("NOT busy").select(*key), key).join(chained, key), window_ms
+    cells = requests.groupBy(
+        *_USER, F.floor(F.col("ts_ms") / F.lit(window_ms)).alias("bucket"), "ts_ms"
+    ).agg(F.count(F.lit(1)).alias("n"))
+    marked = cells.join(_marked_buckets(cells, limit), [*_USER, "bucket"])
+
+    run = F.coalesce("run", "context_of")
+    chained = marked.filter(run.isNotNull()).select(
+        *_USER, run.alias("run"), "ts_ms", "n", (~F.col("in_chain")).alias("known")
     )
-    decisions = busy_decisions.unionByName(quiet_decisions).join(
-        marked.select(*_USER, "ts_ms", "n"), [*_USER, "ts_ms"]
+    # A cell outside the chains sees only its own bucket and the one before, and both are quiet.
+    decisions = _decide_runs(chained, limit, window_ms).unionByName(
+        _decide_quiet(marked.filter("NOT busy"), window_ms)
     )
 
     decided = requests.join(decisions, [*_USER, "ts_ms"])
@@ -165,8 +167,7 @@ def rate_limit_batch(
         .filter(F.col("place") <= limit)
         .select("id", "place")
     )
-    together = shared.join(first, "id", "left")
-    placed = alone.unionByName(together)
+    placed = alone.unionByName(shared.join(first, "id", "left"))
     allowed = F.coalesce(F.col("place") <= F.col("accepted"), F.lit(False))
     wait = F.ceil((F.col("oldest") + F.lit(window_ms) - F.col("ts_ms")) / F.lit(1000.0))
     full = -(-window_ms // 1000)
