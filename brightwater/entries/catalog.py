@@ -7,4 +7,5 @@ from brightwater.entries import (  # noqa: F401
     ops_tables,
     request_log,
     retrieval,
+    stores_streams,
 )

@@ -115,8 +115,8 @@ def tool_authorize(spark, folder):
     return guard.tool_authorize(calls).select("event_id", "message", "authorized")
 
 
-def limited_requests(spark, folder):
-    return tables.request_logs(spark, folder).select(
+def limited_requests(spark, folder, read=tables.table):
+    return tables.request_logs(spark, folder, read).select(
         "id", "project", "user_id", F.unix_millis("created_at").alias("ts_ms")
     )
 
@@ -214,8 +214,8 @@ def security_events(spark, folder):
 RESET_MS = 2 * 3_600_000
 
 
-def call_outcomes(spark, folder):
-    return tables.request_logs(spark, folder).select(
+def call_outcomes(spark, folder, read=tables.table):
+    return tables.request_logs(spark, folder, read).select(
         F.col("project").alias("name"),
         F.unix_millis("created_at").alias("ts_ms"),
         F.col("id").alias("seq"),
@@ -254,10 +254,10 @@ _JOB_OPENINGS = [
 ]
 
 
-def text_jobs(spark, folder):
+def text_jobs(spark, folder, read=tables.table):
     kind = _pick("doc_id", _KINDS)
     text = F.concat(_pick("n_chars", _JOB_OPENINGS), "text")
-    return tables.table(spark, folder, "documents").select(
+    return read(spark, folder, "documents").select(
         F.col("doc_id").alias("job_id"),
         F.when(kind != "", kind).alias("pipeline_type"),
         F.when(F.col("lang") != "es", F.repeat(text, F.lit(4))).alias("input_text"),

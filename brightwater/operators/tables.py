@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _one_per_key(df: DataFrame, keys: Sequence[str], pick) -> DataFrame:
+def one_per_key(df: DataFrame, keys: Sequence[str], pick) -> DataFrame:
+    """One row per key, chosen by an aggregate over the struct of the other columns."""
     rest = [c for c in df.columns if c not in keys]
     return (
         df.groupBy(*keys)
@@ -29,7 +30,7 @@ def upsert_latest(
 
     ``order`` is a unique column of ``updates`` that need not be in the table.
     """
-    newest = _one_per_key(updates, keys, lambda row: F.max_by(row, F.col(order)))
+    newest = one_per_key(updates, keys, lambda row: F.max_by(row, F.col(order)))
     kept = base.join(newest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(newest.select(*base.columns))
 
@@ -38,7 +39,7 @@ def insert_ignore(
     base: DataFrame, rows: DataFrame, keys: Sequence[str], order: str
 ) -> DataFrame:
     """Insert rows whose key is new; of several new rows with one key the first is kept."""
-    first = _one_per_key(rows, keys, lambda row: F.min_by(row, F.col(order)))
+    first = one_per_key(rows, keys, lambda row: F.min_by(row, F.col(order)))
     return base.unionByName(
         first.join(base.select(*keys), list(keys), "left_anti").select(*base.columns)
     )

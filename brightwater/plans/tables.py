@@ -16,10 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def request_logs(spark: SparkSession, folder: str) -> DataFrame:
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables as a stream of its files."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def request_logs(spark: SparkSession, folder: str, read=table) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     pick = F.col("event_id") % 4
-    return table(spark, folder, "events").select(
+    return read(spark, folder, "events").select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string")).alias("project"),
         F.col("event_type").alias("endpoint"),
@@ -148,9 +154,9 @@ def prompt_saves(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def interactions(spark: SparkSession, folder: str) -> DataFrame:
+def interactions(spark: SparkSession, folder: str, read=table) -> DataFrame:
     return (
-        table(spark, folder, "conversations")
+        read(spark, folder, "conversations")
         .filter("role = 'user'")
         .select(
             F.concat(F.lit("u"), (F.col("conv_id") % 40).cast("string")).alias("user_id"),
