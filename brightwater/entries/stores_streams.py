@@ -247,7 +247,9 @@ FROM slots GROUP BY project, window_start""",
 def request_stats_stream(spark, folder):
     logs = tables.request_logs(spark, folder, tables.stream)
     updates = collected(
-        streams.request_stats_stream(logs, accuracy=1_000_000), "request-stats", mode="update"
+        streams.request_stats_stream(logs, late="60 days", accuracy=1_000_000),
+        "request-stats",
+        mode="update",
     )
     return (
         streams.latest_windows(updates)
@@ -290,7 +292,9 @@ def job_expiry_stream(spark, folder):
         .filter("l_linestatus = 'F'")
         .select(F.col("l_orderkey").alias("job_id"), F.col("l_shipdate").alias("created_at"))
     )
-    return collected(streams.job_expiry_stream(finished), "job-expiry").select("job_id")
+    # Remembering jobs for longer than the table spans gives each job once.
+    remembered = streams.job_expiry_stream(finished, hours=24 * 365 * 20)
+    return collected(remembered, "job-expiry").select("job_id")
 
 
 @entry(

@@ -17,9 +17,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables as a stream of its files."""
+    """One of the given tables as a stream of its files.
+
+    The path is written as a pattern, because a streamed path without one must be a folder.
+    """
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).parquet(os.path.join(folder, f"{name}.parquet"))
+    return (
+        spark.readStream.schema(schema)
+        .option("maxBytesPerTrigger", "4g")
+        .parquet(os.path.join(folder, f"{name}.parque[t]"))
+    )
 
 
 def request_logs(spark: SparkSession, folder: str, read=table) -> DataFrame:
