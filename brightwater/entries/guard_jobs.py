@@ -9,6 +9,7 @@ from brightwater.entries.views_sql import with_views
 from brightwater.functions import fixed_values as fixed
 from brightwater.operators import breaker, guard, jobs, limiter
 from brightwater.plans import tables
+from brightwater.plans.skew import spread
 
 DAY_MS = 86_400_000
 
@@ -29,9 +30,8 @@ def _case(expression: str, values: list[str]) -> str:
 def guarded(spark, folder):
     at = F.col("n_chars") % len(_OPENINGS)
     opening = F.element_at(F.array(*[F.lit(o) for o in _OPENINGS]), (at + 1).cast("int"))
-    return tables.table(spark, folder, "documents").select(
-        "doc_id", F.concat(opening, "text").alias("input")
-    )
+    docs = spread(tables.table(spark, folder, "documents"), "doc_id")
+    return docs.select("doc_id", F.concat(opening, "text").alias("input"))
 
 
 _GUARDED = f"""guarded AS (SELECT doc_id, concat({_case(f"n_chars % {len(_OPENINGS)}", _OPENINGS)}, text) AS input FROM documents)"""
@@ -257,7 +257,9 @@ _JOB_OPENINGS = [
 def text_jobs(spark, folder, read=tables.table):
     kind = _pick("doc_id", _KINDS)
     text = F.concat(_pick("n_chars", _JOB_OPENINGS), "text")
-    return read(spark, folder, "documents").select(
+    docs = read(spark, folder, "documents")
+    docs = docs if docs.isStreaming else spread(docs, "doc_id")
+    return docs.select(
         F.col("doc_id").alias("job_id"),
         F.when(kind != "", kind).alias("pipeline_type"),
         F.when(F.col("lang") != "es", F.repeat(text, F.lit(4))).alias("input_text"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -16,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from brightwater.operators.churn_features import FEATURES
 from brightwater.operators.churn_metrics import binary_metrics, walk_forward_folds
@@ -153,30 +155,45 @@ class Stack:
         return scored.drop("features", *self.bases)
 
 
+def side_by_side(spark, run, jobs: Sequence, parallelism: int) -> list:
+    """Results of independent Spark jobs, several at a time."""
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), jobs)
+
+
 def fit_stack(
     assembled: DataFrame,
     key: str,
     settings: TreeSettings = TreeSettings(),
     folds: int = 5,
     C: float = 0.0058,
+    parallelism: int = 4,
 ) -> Stack:
     """Stacked ensemble: a balanced logistic model on out-of-fold base probabilities."""
     data = written(
         assembled.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")), "stack"
     )
     bases = base_models(settings)
+
+    def fit(job: tuple[int | None, str]):
+        fold, name = job
+        return bases[name].fit(data if fold is None else data.filter(F.col("fold") != fold))
+
+    # Every base model, without each fold and on all rows.
+    jobs = [(fold, name) for fold in [*range(folds), None] for name in bases]
+    models = dict(zip(jobs, side_by_side(data.sparkSession, fit, jobs, parallelism)))
     out_of_fold = None
     for fold in range(folds):
-        rest, held = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
-        for name, estimator in bases.items():
-            held = positive_probability(held, estimator.fit(rest), name)
+        held = data.filter(F.col("fold") == fold)
+        for name in bases:
+            held = positive_probability(held, models[fold, name], name)
         part = held.select(key, "label", "weight", *bases)
         out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
     stacked = written(
         out_of_fold.withColumn("features", array_to_vector(F.array(*bases))), "out-of-fold"
     )
     return Stack(
-        bases={name: estimator.fit(data) for name, estimator in bases.items()},
+        bases={name: models[None, name] for name in bases},
         meta=_logistic(stacked.count(), C).fit(stacked),
     )
 

@@ -106,6 +106,26 @@ def postings(
     )
 
 
+def _containing(chunks: DataFrame, terms: DataFrame, per_block: int = 10_000) -> DataFrame:
+    """Rows (id, permissions, term) for every queried term that a chunk's text contains.
+
+    The terms are dealt into arrays of about ``per_block``; a chunk meets each array once.
+    """
+    asked = terms.select("term").distinct()
+    blocks = max(1, -(-asked.count() // per_block))
+    listed = asked.groupBy(
+        F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block")
+    ).agg(F.collect_set("term").alias("listed"))
+    lowered = chunks.select(
+        "id",
+        "permissions",
+        F.lower("chunk_text").alias("lowered"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+    )
+    hits = F.filter("listed", lambda t: F.contains(F.col("lowered"), t))
+    return lowered.join(listed, "block").select("id", "permissions", F.explode_outer(hits).alias("term"))
+
+
 def doc_freq(
     chunks: DataFrame,
     queries: DataFrame,
@@ -123,10 +143,7 @@ def doc_freq(
     if df_mode == "token":
         found = postings(chunks, terms, bounded=bounded)
     elif df_mode == "substring":
-        listed = terms.agg(F.collect_set("term")).scalar()
-        lowered = F.lower(F.col("chunk_text"))
-        hits = F.filter(listed, lambda t: F.contains(lowered, t))
-        found = chunks.select("id", "permissions", F.explode_outer(hits).alias("term"))
+        found = _containing(chunks, terms)
     else:
         raise ValueError("df_mode is 'token' or 'substring'")
     wanted = terms.select("user_id", "term").distinct()

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -260,9 +260,17 @@ def vector_topk(
     return _search(q, c, k, encode, query_block=query_block)
 
 
+def _with_unit_features(df: DataFrame) -> DataFrame:
+    raw = df.withColumn("_raw", array_to_vector(F.col("embedding").cast("array<double>")))
+    return Normalizer(inputCol="_raw", outputCol="_features").transform(raw).drop("_raw")
+
+
 def inverted_lists(chunks: DataFrame, lists: int = 100, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Assign every vector to the nearest of ``lists`` centroids; also return the centroids."""
-    vectors = chunks.withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
+    """Assign every vector to the nearest of ``lists`` centroids; also return the centroids.
+
+    Vectors are scaled to length one first, as they are when they are compared.
+    """
+    vectors = _with_unit_features(chunks)
     model = KMeans(k=lists, seed=seed, featuresCol="_features", predictionCol="list").fit(vectors)
     return model.transform(vectors).drop("_features"), np.array(model.clusterCenters())
 
@@ -303,8 +311,7 @@ def lsh_topk(
     A full bucket costs comparisons with the queries that fall into it and nothing else; stored
     vectors are never compared with each other.
     """
-    as_vector = array_to_vector(F.col("embedding").cast("array<double>"))
-    featured = chunks.withColumn("_features", as_vector)
+    featured = _with_unit_features(chunks)
     model = BucketedRandomProjectionLSH(
         inputCol="_features",
         outputCol="_hashes",
@@ -317,7 +324,7 @@ def lsh_topk(
         buckets = F.transform("_hashes", lambda h: vector_to_array(h)[0].cast("bigint"))
         return model.transform(df).withColumn("hashes", buckets).drop("_features", "_hashes")
 
-    q = hashed(queries.withColumn("_features", as_vector)).select(
+    q = hashed(_with_unit_features(queries)).select(
         "query_id",
         F.col("embedding").alias("vector"),
         "hashes",

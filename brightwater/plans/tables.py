@@ -24,7 +24,7 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = table(spark, folder, name).schema
     return (
         spark.readStream.schema(schema)
-        .option("maxBytesPerTrigger", "4g")
+        .option("maxBytesPerTrigger", str(4 * 1024**3))
         .parquet(os.path.join(folder, f"{name}.parque[t]"))
     )
 
