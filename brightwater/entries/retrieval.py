@@ -116,6 +116,27 @@ def vector_topk(spark, folder):
     return nearest(spark, folder).withColumn("similarity", F.round("similarity", 6))
 
 
+@entry(
+    "query_chunk_cross",
+    with_views(
+        "label_queries",
+        f"""WITH compared AS (SELECT l.query_id, vec_id AS id, l.embedding AS q, cast(e.embedding AS double[]) AS c FROM embeddings e JOIN label_queries l ON e.label % 3 = l.query_id % 3)
+SELECT query_id, id, round(similarity, 6) AS similarity, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS int) AS rank FROM
+ (SELECT query_id, id, round({_COS}, 9) AS similarity FROM compared) QUALIFY rank <= {TOP}""",
+    ),
+)
+def query_chunk_cross(spark, folder):
+    """Every query against every vector that its user may read."""
+
+    def team(column):
+        return (F.col(column) % 3).cast("string")
+
+    queries = tables.label_queries(spark, folder).withColumn("user_id", team("query_id"))
+    stored = stored_vectors(spark, folder).withColumn("permissions", F.array(team("label")))
+    found = vector.vector_topk(queries, stored, TOP, access=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @entry("ivf_topk")
 def ivf_topk(spark, folder):
     listed, centroids = vector.inverted_lists(stored_vectors(spark, folder), lists=20)
@@ -297,6 +318,31 @@ def rank_by_similarity(spark, folder):
     ).withColumn("similarity", F.round("similarity", 6))
 
 
+_WORD_CHUNKS = """parts AS (SELECT doc_id, cast(g AS int) AS chunk_index, array_to_string(w[cast(g*500+1 AS bigint):cast(g*500+500 AS bigint)], ' ') AS chunk_text FROM
+ (SELECT doc_id, w, unnest(range(0, cast(ceil(len(w)/500.0) AS bigint))) AS g FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM documents))),
+named AS (SELECT concat(doc_id, '-', chunk_index) AS id, * FROM parts),
+asked AS (SELECT doc_id, substr(text, 1, 120) AS question FROM documents)"""
+
+
+@entry(
+    "top_chunks_in_doc",
+    f"""WITH {_WORD_CHUNKS}, {_EMBED.format(name="ce", dims=384, key="id", text="chunk_text", source="named")},
+{_EMBED.format(name="qe", dims=384, key="doc_id", text="question", source="asked")},
+compared AS (SELECT n.doc_id, n.chunk_index, sum(coalesce(qe.s, 0) * ce.s) AS dot FROM named n JOIN ce ON ce.key = n.id LEFT JOIN qe ON qe.key = n.doc_id AND qe.d = ce.d GROUP BY 1, 2)
+SELECT doc_id AS query_id, chunk_index, cast(row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / (qn.n * cn.n), 9) DESC, chunk_index) AS int) AS rank, round(dot / (qn.n * cn.n), 6) AS similarity
+FROM compared JOIN qe_norm qn ON qn.key = doc_id JOIN ce_norm cn ON cn.key = concat(doc_id, '-', chunk_index) QUALIFY rank <= 3""",
+)
+def top_chunks_in_doc(spark, folder):
+    docs = spread(tables.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    questions = docs.select(
+        F.col("doc_id").alias("query_id"), "doc_id", F.substring("text", 1, 120).alias("question")
+    )
+    found = retrieval.top_chunks_in_doc(questions, docs)
+    return found.select(
+        "query_id", "chunk_index", "rank", F.round("similarity", 6).alias("similarity")
+    )
+
+
 _FUSED = """fused AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS rrf_score, min(rank) FILTER (WHERE place = 0) AS r0, min(rank) FILTER (WHERE place = 1) AS r1 FROM
  (SELECT query_id, id, rank, 0 AS place FROM nearby UNION ALL SELECT query_id, id, rank, 1 FROM keyword) GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, r0 ASC NULLS LAST, r1 ASC NULLS LAST, id) AS rank FROM fused QUALIFY rank <= 5)"""
@@ -369,7 +415,7 @@ def hybrid_retrieve(spark, folder):
 def rehydrate_chunks(spark, folder):
     parts = chunks(spark, folder)
     found = retrieval.rank_by_keyword(tables.text_queries(spark, folder), parts)
-    return retrieval.rehydrate_chunks(found, parts).select(
+    return retrieval.rehydrate_chunks(found, parts, bounded=True).select(
         "query_id", "id", "rank", "doc_id", "chunk_index", "chunk_text"
     )
 
@@ -428,7 +474,7 @@ FROM keyword k JOIN chunks ON chunks.id = k.id WHERE rank <= 3 GROUP BY query_id
 def evaluation_context(spark, folder):
     parts = chunks(spark, folder)
     found = retrieval.rank_by_keyword(tables.text_queries(spark, folder), parts)
-    return prompts.evaluation_context(retrieval.rehydrate_chunks(found, parts))
+    return prompts.evaluation_context(retrieval.rehydrate_chunks(found, parts, bounded=True))
 
 
 @entry(

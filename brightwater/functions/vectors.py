@@ -50,3 +50,14 @@ def hash_embed(text: Column, dims: int = 768) -> Column:
         return pd.Series(list(hash_vectors(texts.tolist(), dims)))
 
     return embed(text)
+
+
+def hash_similarity(a: Column, b: Column, dims: int = 768) -> Column:
+    """Cosine of the hash embeddings of two texts, without keeping the vectors."""
+
+    @F.pandas_udf("double")
+    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+        products = hash_vectors(left.tolist(), dims) * hash_vectors(right.tolist(), dims)
+        return pd.Series(products.sum(axis=1))
+
+    return similarity(a, b)

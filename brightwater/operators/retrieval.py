@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from brightwater.functions.fixed_values import STOP_WORDS
 from brightwater.functions.text import space_split, words
-from brightwater.functions.vectors import hash_embed
+from brightwater.functions.vectors import hash_embed, hash_similarity
+from brightwater.operators.chunks import chunk_documents
 from brightwater.operators.vector import DIGITS, hash_encoder, vector_topk
 from brightwater.plans.skew import BROADCAST_ROWS, fits
 
@@ -247,6 +248,27 @@ def rank_by_similarity(
     )
 
 
+def top_chunks_in_doc(
+    questions: DataFrame, transcripts: DataFrame, k: int = 3, n_words: int = 500, dims: int = 384
+) -> DataFrame:
+    """The ``k`` word chunks of a question's own transcript that are most similar to it.
+
+    ``questions`` has query_id, doc_id and question; ``transcripts`` doc_id and text. A question is
+    compared with the chunks of its document only.
+    """
+    chunks = chunk_documents(transcripts.select("doc_id", "text"), "words", n_words=n_words)
+    scored = (
+        chunks.join(questions.select("query_id", "doc_id", "question"), "doc_id")
+        .withColumn(
+            "similarity",
+            F.round(hash_similarity(F.col("question"), F.col("chunk_text"), dims), DIGITS),
+        )
+        .drop("question")
+    )
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_index")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def rrf_merge(lists: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     """Fuse ranked lists (query_id, id, rank) into the sum of 1 / (k + rank) per query and id.
 
@@ -281,10 +303,13 @@ def rrf_topk(lists: Sequence[DataFrame], top_k: int = 5, k: int = RRF_K) -> Data
     )
 
 
-def rehydrate_chunks(found: DataFrame, chunks: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Attach the chunk columns to found ids; ids without a chunk are dropped."""
-    wide = chunks.drop("embedding")
-    return wide.join(_marked(found, fits(found, max_rows)), "id")
+def rehydrate_chunks(found: DataFrame, chunks: DataFrame, bounded: bool = False) -> DataFrame:
+    """Attach the chunk columns to found ids; ids without a chunk are dropped.
+
+    With ``bounded`` the caller knows that few rows were found, and they are broadcast so that the
+    chunks are not shuffled; otherwise the join is left to adaptive execution.
+    """
+    return chunks.drop("embedding").join(_marked(found, bounded), "id")
 
 
 def hybrid_retrieve(
@@ -312,4 +337,4 @@ def hybrid_retrieve(
     ).select("query_id", "id", "rank", "rrf_score")
     # At most top_k rows per query.
     few = fits(queries, BROADCAST_ROWS // top_k)
-    return chunks.select("id", "doc_name", "chunk_text").join(_marked(found, few), "id")
+    return rehydrate_chunks(found, chunks.select("id", "doc_name", "chunk_text"), few)

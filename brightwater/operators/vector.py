@@ -194,7 +194,10 @@ def _search(
             arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-        found = chunks.mapInArrow(search, result)
+        # Every task returns its own best rows, so a few long tasks per core return fewer of them
+        # than one task per file split; nothing is shuffled for this.
+        tasks = max(1, 4 * spark.sparkContext.defaultParallelism)
+        found = chunks.coalesce(tasks).mapInArrow(search, result)
     else:
         found = _search_in_groups(queries, chunks, k, encode, extra, query_block, result)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")

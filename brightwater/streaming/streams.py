@@ -260,14 +260,54 @@ def job_stream(jobs: DataFrame, today, path: str, name: str = "job-stream") -> D
     return one_per_key(done, ["job_id"], lambda row: F.max_by(row, F.col("batch"))).drop("batch")
 
 
+class _Remembered(StatefulProcessor):
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        since = T.StructType([T.StructField("ms", T.LongType())])
+        self.since = handle.getValueState("since", since)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        since = self.since.get()[0] if self.since.exists() else None
+        known, out = since, []
+        for now in sorted(ms for batch in rows for ms in batch["created_ms"].tolist()):
+            if since is None or now - since > self.keep_ms:
+                since = now
+                out.append((key[0], now))
+        if since != known:
+            self.since.update((since,))
+            self.handle.registerTimer(since + self.keep_ms + 1)
+        yield pd.DataFrame(out, columns=["job_id", "created_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.since.exists():
+            if self.since.get()[0] + self.keep_ms < expiredTimerInfo.getExpiryTimeInMs():
+                self.since.clear()
+        yield pd.DataFrame({"job_id": [], "created_ms": []})
+
+    def close(self) -> None:
+        pass
+
+
 def job_expiry_stream(finished: DataFrame, hours: int = fixed.JOB_RETENTION_HOURS) -> DataFrame:
-    """Finished jobs (job_id, created_at, ...), each remembered for ``hours`` of event time.
+    """Finished jobs (job_id, created_at), each remembered for ``hours`` of event time.
 
-    A job that shows up again while it is remembered is not emitted again.
+    A job that shows up again while it is remembered is not emitted again; after that it is new,
+    and its state is removed when the watermark passes.
     """
-    timed = finished.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return timed.withWatermark("created_at", f"{hours} hours").dropDuplicatesWithinWatermark(
-        ["job_id"]
+    keyed_state(finished.sparkSession)
+    timed = finished.select(
+        F.col("job_id").cast("long").alias("job_id"),
+        F.col("created_at").cast("timestamp").alias("created_at"),
+        F.unix_millis(F.col("created_at").cast("timestamp")).alias("created_ms"),
+    ).withWatermark("created_at", f"{hours} hours")
+    return timed.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_Remembered(hours * 3_600_000),
+        outputStructType="job_id long, created_ms long",
+        outputMode="Append",
+        timeMode="EventTime",
     )
 
 
