@@ -141,11 +141,11 @@ def service_rows(spark, folder):
         F.col("l_shipdate").cast("timestamp").alias("created_at"),
     )
     return {
-        "copilot": priced.filter("project = 'svc-0'"),
-        "planner": runs,
-        "automation": jobs,
-        "decision": predictions,
-        "multimodal": priced.filter("project = 'svc-4'"),
+        "chat": priced.filter("project = 'svc-0'"),
+        "agents": runs,
+        "jobs": jobs,
+        "churn": predictions,
+        "video": priced.filter("project = 'svc-4'"),
     }
 
 
@@ -162,25 +162,25 @@ def _printable(df):
 
 
 _UNION_SQL = (
-    """WITH copilot AS (SELECT cast(id AS varchar) AS "queryId", created_at AS t, cast(latency_ms AS bigint) AS "latencyMs", status='success' AS success,
+    """WITH chat AS (SELECT cast(id AS varchar) AS "queryId", created_at AS t, cast(latency_ms AS bigint) AS "latencyMs", status='success' AS success,
  'llama-3.3-70b-versatile' AS "modelId", cast(tokens_in AS bigint) AS "tokensIn", cast(tokens_out AS bigint) AS "tokensOut", round(cost_usd, 9) AS "costUsd",
- NULL::varchar AS "pipelineType", NULL::varchar AS status, NULL::varchar AS label, NULL::double AS confidence, 'copilot' AS service, id AS k FROM priced_logs WHERE project='svc-0'),
-planner AS (SELECT cast(event_id AS varchar) AS "queryId", ts AS t, cast(floor(value) AS bigint) AS "latencyMs", event_type <> 'error' AS success,
+ NULL::varchar AS "pipelineType", NULL::varchar AS status, NULL::varchar AS label, NULL::double AS confidence, 'chat' AS service, id AS k FROM priced_logs WHERE project='svc-0'),
+agents AS (SELECT cast(event_id AS varchar) AS "queryId", ts AS t, cast(floor(value) AS bigint) AS "latencyMs", event_type <> 'error' AS success,
  CASE WHEN event_type='click' THEN 'mixtral-8x7b-32768' ELSE 'llama-3.3-70b-versatile' END AS "modelId", 0::bigint AS "tokensIn", 0::bigint AS "tokensOut", 0.0::double AS "costUsd",
- NULL::varchar AS "pipelineType", NULL::varchar AS status, NULL::varchar AS label, NULL::double AS confidence, 'planner' AS service, event_id AS k FROM events),
-automation AS (SELECT cast(o_orderkey AS varchar) AS "queryId", o_orderdate AS t, 0::bigint AS "latencyMs", o_orderstatus='F' AS success,
+ NULL::varchar AS "pipelineType", NULL::varchar AS status, NULL::varchar AS label, NULL::double AS confidence, 'agents' AS service, event_id AS k FROM events),
+jobs AS (SELECT cast(o_orderkey AS varchar) AS "queryId", o_orderdate AS t, 0::bigint AS "latencyMs", o_orderstatus='F' AS success,
  'llama-3.3-70b-versatile' AS "modelId", 0::bigint AS "tokensIn", 0::bigint AS "tokensOut", 0.0::double AS "costUsd",
  'invoice_extraction' AS "pipelineType", CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'pending' ELSE 'failed' END AS status, NULL::varchar AS label, NULL::double AS confidence,
- 'automation' AS service, o_orderkey AS k FROM orders),
-decision AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS "queryId", l_shipdate AS t, 0::bigint AS "latencyMs", true AS success,
+ 'jobs' AS service, o_orderkey AS k FROM orders),
+churn AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS "queryId", l_shipdate AS t, 0::bigint AS "latencyMs", true AS success,
  'stacked-ensemble-xgb-lgbm-rf' AS "modelId", 0::bigint AS "tokensIn", 0::bigint AS "tokensOut", 0.0::double AS "costUsd",
  NULL::varchar AS "pipelineType", NULL::varchar AS status, CASE WHEN l_returnflag='R' THEN 'Churn' ELSE 'No Churn' END AS label, l_discount AS confidence,
- 'decision' AS service, concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS k FROM lineitem),
-multimodal AS (SELECT cast(id AS varchar) AS "queryId", created_at AS t, cast(latency_ms AS bigint) AS "latencyMs", status='success' AS success,
+ 'churn' AS service, concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS k FROM lineitem),
+video AS (SELECT cast(id AS varchar) AS "queryId", created_at AS t, cast(latency_ms AS bigint) AS "latencyMs", status='success' AS success,
  'llama-3.3-70b-versatile' AS "modelId", 0::bigint AS "tokensIn", 0::bigint AS "tokensOut", 0.0::double AS "costUsd",
- NULL::varchar AS "pipelineType", NULL::varchar AS status, NULL::varchar AS label, NULL::double AS confidence, 'multimodal' AS service, id AS k FROM priced_logs WHERE project='svc-4'),
-everything AS (SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM copilot UNION ALL BY NAME SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM planner UNION ALL BY NAME SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM automation
- UNION ALL BY NAME SELECT * FROM decision UNION ALL BY NAME SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM multimodal)
+ NULL::varchar AS "pipelineType", NULL::varchar AS status, NULL::varchar AS label, NULL::double AS confidence, 'video' AS service, id AS k FROM priced_logs WHERE project='svc-4'),
+everything AS (SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM chat UNION ALL BY NAME SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM agents UNION ALL BY NAME SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM jobs
+ UNION ALL BY NAME SELECT * FROM churn UNION ALL BY NAME SELECT * REPLACE (lpad(cast(k AS varchar), 30, '0') AS k) FROM video)
 """
 )
 _LIST = ", ".join(f'"{f}"' if f != "timestamp" else 'epoch_us(t)//1000 AS "timestamp"' for f in _FIELDS)

@@ -9,7 +9,9 @@ from brightwater.functions import fixed_values as fixed
 from brightwater.functions.numbers import round_up_half
 from brightwater.plans.skew import numbered, running_sums
 
-SCORE_SLICES = 4096
+# A slice of scores or hashes is the most that one task sorts; there are about a million of them.
+SCORE_SLICES = 1 << 20
+HASH_DIGITS = 5
 
 
 def survival_table(churners: DataFrame) -> DataFrame:
@@ -189,7 +191,7 @@ def stratified_split(
         "_hash", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     )
     placed = numbered(
-        hashed, [label], [F.col("_hash"), F.col(key)], [F.substring("_hash", 1, 3)], "_place"
+        hashed, [label], [F.col("_hash"), F.col(key)], [F.substring("_hash", 1, HASH_DIGITS)], "_place"
     )
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     joined = placed.join(sizes, placed[label].eqNullSafe(sizes["_label"]))
@@ -204,7 +206,7 @@ def stratified_split(
 
 
 def walk_forward_folds(
-    df: DataFrame, order: str, key: str, n_folds: int = 6, key_slice: int = 1_000_000
+    df: DataFrame, order: str, key: str, n_folds: int = 6, key_slice: int = 100_000_000
 ) -> DataFrame:
     """Add ``position`` (from 0 by ``order``, then ``key``), ``test_fold`` and ``train_from``.
 

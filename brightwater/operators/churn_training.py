@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from brightwater.operators.churn_features import FEATURES
-from brightwater.operators.churn_metrics import binary_metrics, walk_forward_folds
+from brightwater.operators.churn_metrics import HASH_DIGITS, binary_metrics, walk_forward_folds
 from brightwater.plans.scratch import written
 from brightwater.plans.skew import numbered
 
@@ -202,7 +202,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5) -> Dat
     """Add ``fold``: rows of each label dealt out evenly in hash order."""
     hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit("fold"))))
     placed = numbered(
-        hashed, [label], [F.col("_hash"), F.col(key)], [F.substring("_hash", 1, 3)], "_place"
+        hashed, [label], [F.col("_hash"), F.col(key)], [F.substring("_hash", 1, HASH_DIGITS)], "_place"
     )
     return placed.withColumn("fold", (F.col("_place") % folds).cast("int")).drop("_hash", "_place")
 

@@ -107,9 +107,9 @@ def select_model(df: DataFrame, complexity: str = "complexity", budget: str = "b
 def telemetry_project(df: DataFrame, service: str) -> DataFrame:
     """One service's rows as common telemetry records.
 
-    ``copilot`` and ``multimodal`` read request logs, ``planner`` agent runs, ``automation`` jobs
-    and ``decision`` predictions. Values a service does not track are constants; ``automation``
-    and ``decision`` add two columns of their own.
+    ``chat`` and ``video`` read request logs, ``agents`` agent runs, ``jobs`` jobs
+    and ``churn`` predictions. Values a service does not track are constants; ``jobs``
+    and ``churn`` add two columns of their own.
     """
     zero = F.lit(0).cast("bigint")
 
@@ -117,25 +117,25 @@ def telemetry_project(df: DataFrame, service: str) -> DataFrame:
         return F.coalesce(F.col(name).cast(kind), default)
 
     success = {
-        "copilot": lambda: F.col("status") == "success",
-        "multimodal": lambda: F.col("status") == "success",
-        "planner": lambda: F.col("success"),
-        "automation": lambda: F.col("status") == "completed",
-        "decision": lambda: F.lit(True),
+        "chat": lambda: F.col("status") == "success",
+        "video": lambda: F.col("status") == "success",
+        "agents": lambda: F.col("success"),
+        "jobs": lambda: F.col("status") == "completed",
+        "churn": lambda: F.lit(True),
     }[service]()
-    timed = service in ("copilot", "multimodal", "planner")
+    timed = service in ("chat", "video", "agents")
     model = F.lit(fixed.DEFAULT_TELEMETRY_MODEL)
-    if service == "planner":
+    if service == "agents":
         model = F.coalesce(F.col("model_used"), model)
-    elif service == "decision":
+    elif service == "churn":
         model = F.lit(fixed.CHURN_TELEMETRY_MODEL)
-    counted = service == "copilot"
+    counted = service == "chat"
     extras = {
-        "automation": [F.col("pipeline_type").alias("pipelineType"), F.col("status")],
-        "decision": [F.col("label"), F.col("confidence")],
+        "jobs": [F.col("pipeline_type").alias("pipelineType"), F.col("status")],
+        "churn": [F.col("label"), F.col("confidence")],
     }.get(service, [])
     return df.select(
-        F.col("job_id" if service == "automation" else "id").cast("string").alias("queryId"),
+        F.col("job_id" if service == "jobs" else "id").cast("string").alias("queryId"),
         F.col("created_at").alias("timestamp"),
         (column("latency_ms", "bigint", zero) if timed else zero).alias("latencyMs"),
         success.alias("success"),
@@ -151,7 +151,7 @@ def telemetry_union(sources: dict[str, DataFrame], n: int = 50) -> DataFrame:
     """The newest ``n`` records of every service in one schema."""
     union = None
     for service, df in sources.items():
-        key = "job_id" if service == "automation" else "id"
+        key = "job_id" if service == "jobs" else "id"
         part = telemetry_project(recent_rows(df, n, "created_at", key), service).withColumn(
             "service", F.lit(service)
         )

@@ -156,28 +156,48 @@ def doc_freq(
     )
 
 
+def _for_each(users: DataFrame, counted: DataFrame, bounded: bool, *on: str) -> DataFrame:
+    """The counts of the common reader as rows of each user."""
+    common = counted.withColumnRenamed("user_id", "_common")
+    named = users.withColumn("_common", F.lit("*"))
+    return named.join(_marked(common, bounded), ["_common", *on]).drop("_common")
+
+
 def bm25_score(
     queries: DataFrame,
     chunks: DataFrame,
     k1: float = K1,
     b: float = B,
     df_mode: str = "token",
+    stats: str = "permitted",
 ) -> DataFrame:
     """Rows (query_id, id, score) for permitted chunks that share a term with the query.
 
     Corpus size, average length and document frequencies are those of the chunks that the asking
-    user may read. A term that occurs twice in a query counts twice.
+    user may read, or with ``stats="global"`` those of all chunks. A term that occurs twice in a
+    query counts twice.
     """
+    if stats not in ("permitted", "global"):
+        raise ValueError("stats is 'permitted' or 'global'")
     keep_empty = df_mode == "substring"
     terms = query_terms(queries, keep_empty)
     # One count bounds every small side: users, distinct terms and term weights are no more rows.
     bounded = fits(terms)
-    stats = corpus_stats(chunks, queries, keep_empty, bounded)
-    frequencies = doc_freq(chunks, queries, df_mode, bounded)
+    counted, askers = chunks, queries
+    if stats == "global":
+        # Everybody reads everything while the corpus is counted.
+        counted = chunks.withColumn("permissions", F.array(F.lit("*")))
+        askers = queries.withColumn("user_id", F.lit("*"))
+    corpus = corpus_stats(counted, askers, keep_empty, bounded)
+    frequencies = doc_freq(counted, askers, df_mode, bounded)
+    if stats == "global":
+        users = terms.select("user_id").distinct()
+        corpus = _for_each(users, corpus, bounded)
+        frequencies = _for_each(terms.select("user_id", "term").distinct(), frequencies, bounded, "term")
     n, df = F.col("n_docs"), F.coalesce("df", F.lit(0))
     weights = (
         terms.join(_marked(frequencies, bounded), ["user_id", "term"], "left")
-        .join(_marked(stats, bounded), "user_id")
+        .join(_marked(corpus, bounded), "user_id")
         .select(
             "query_id",
             "user_id",

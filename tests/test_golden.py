@@ -1,6 +1,7 @@
 """Known inputs and results of the matched services."""
 
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,14 @@ def test_bm25(spark):
         assert got == {"d1": 0.793108, "d2": 0.203449}
     assert [r.id for r in retrieval.match_all_terms(queries, chunks).collect()] == ["d1"]
 
+    def idf(df):
+        return math.log((3 - df + 0.5) / (df + 0.5) + 1)
+
+    weight = 2.5 / (1 + 1.5 * (0.25 + 0.75 * 8 / (21 / 3)))
+    got = {r.id: r.score for r in retrieval.bm25_score(queries, chunks, stats="global").collect()}
+    assert set(got) == {"d1", "d2"}
+    assert got["d1"] == pytest.approx((idf(2) + idf(3)) * weight, abs=1e-8)
+
 
 def test_rrf(spark):
     def ranked(ids):
