@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import brightwater
 from brightwater.plans.scratch import scratch_path
 from brightwater.plans.session import ROCKSDB_STORE
 
 
 def keyed_state(spark: SparkSession) -> None:
-    """Arbitrary keyed state needs the RocksDB store."""
+    """Arbitrary keyed state needs the RocksDB store, and processors that travel as code.
+
+    Spark first starts a stateful processor in a helper process on the driver, which does not see
+    the files that were added for the executors.
+    """
+    cloudpickle.register_pickle_by_value(brightwater)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STORE)
 
 
