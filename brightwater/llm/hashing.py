@@ -106,39 +106,46 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return range_hash(prefix_sums(data), start, end), rows
 
 
-def shingles(words: np.ndarray, rows: np.ndarray, n: int, count: int) -> list[np.ndarray]:
-    """For each of count rows the sorted distinct hashes of its n-word shingles.
+def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-word shingles in order, and the row of each.
 
     A text of fewer words (but at least one) has one shingle of all of them.
     """
     weights = constants(n, 23)
-    ends = np.searchsorted(rows, np.arange(count + 1), side="left")
     if len(words) >= n:
         total = words[: len(words) - n + 1] * weights[0]
         for k in range(1, n):
             total = total + words[k : len(words) - n + 1 + k] * weights[k]
-        total = mix(total)
+        inside = rows[: len(total)] == rows[n - 1 :]
+        total, owner = mix(total[inside]), rows[: len(inside)][inside]
     else:
-        total = np.zeros(0, dtype=np.uint64)
-    out = []
-    for row in range(count):
-        a, b = int(ends[row]), int(ends[row + 1])
-        if b - a >= n:
-            found = np.sort(total[a : b - n + 1])
-            keep = np.ones(len(found), dtype=bool)
-            np.not_equal(found[1:], found[:-1], out=keep[1:])
-            out.append(found[keep])
-        elif b > a:
-            whole = mix((words[a:b] * weights[: b - a]).sum(dtype=np.uint64, keepdims=True))
-            out.append(whole)
-        else:
-            out.append(np.zeros(0, dtype=np.uint64))
-    return out
+        total, owner = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=rows.dtype)
+    named, first, counts = np.unique(rows, return_index=True, return_counts=True)
+    few = counts < n
+    if few.any():
+        extra = [
+            (words[a : a + c] * weights[:c]).sum(dtype=np.uint64)
+            for a, c in zip(first[few].tolist(), counts[few].tolist())
+        ]
+        total = np.concatenate((total, mix(np.array(extra, dtype=np.uint64))))
+        owner = np.concatenate((owner, named[few]))
+        order = np.argsort(owner, kind="stable")
+        total, owner = total[order], owner[order]
+    return total, owner
+
+
+def distinct(found: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    found = np.sort(found)
+    keep = np.ones(len(found), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=keep[1:])
+    return found[keep]
 
 
 def text_shingles(texts: pa.Array, n: int = 5):
     """Yield (row, sorted distinct shingle hashes) for every text of an Arrow array."""
     for first, last in text_blocks(texts):
-        words, rows = word_hashes(texts.slice(first, last - first))
-        for k, found in enumerate(shingles(words, rows, n, last - first)):
-            yield first + k, found
+        total, owner = shingle_hashes(*word_hashes(texts.slice(first, last - first)), n)
+        ends = np.searchsorted(owner, np.arange(last - first + 1), side="left").tolist()
+        for k in range(last - first):
+            yield first + k, distinct(total[ends[k] : ends[k + 1]])
