@@ -1,4 +1,4 @@
 """Importing this module registers every query of this folder."""
 
-from brightwater.llm import contamination, repeats, similar  # noqa: F401
+from brightwater.llm import contamination, languages, repeats, similar  # noqa: F401
 from brightwater.llm.frames import QUERIES, SQL  # noqa: F401
