@@ -1,4 +1,13 @@
 """Importing this module registers every query of this folder."""
 
-from brightwater.llm import contamination, languages, repeats, similar  # noqa: F401
+from brightwater.llm import (  # noqa: F401
+    contamination,
+    languages,
+    packing,
+    repeats,
+    shards,
+    similar,
+    urls,
+    warc,
+)
 from brightwater.llm.frames import QUERIES, SQL  # noqa: F401
