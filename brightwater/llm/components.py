@@ -1,4 +1,4 @@
-"""Connected components of a large graph by label propagation with pointer jumping."""
+"""Connected components of a large graph by contraction."""
 
 from __future__ import annotations
 
@@ -11,30 +11,37 @@ from brightwater.plans.scratch import written
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
-    Labels stay in tables: every round writes one, which also cuts the lineage. A round takes the
-    smallest label among the neighbours and then the label of that label, so rounds grow with the
-    logarithm of a component's diameter. Null ends are ignored; no edges give an empty result.
+    In a round every node is renamed to its smallest neighbour, if that is smaller. Edges inside a
+    new name disappear and equal ones become one, so each round works on a smaller graph, until no edge is
+    left. Every round is written, which also cuts the lineage. Null ends are ignored; no edges
+    give an empty result.
     """
-    pairs = edges.select(F.col(left).alias("node"), F.col(right).alias("near")).dropna()
-    both = written(
-        pairs.union(pairs.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), "edges"
-    )
-    labels = written(
-        both.groupBy("node").agg(F.least(F.first("node"), F.min("near")).alias("root")), "labels"
-    )
+    ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna()
+    smaller, larger = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    links = written(ends.select(smaller, larger).distinct(), "edges")
+    labels = None
     while True:
-        around = (
-            both.join(labels.select(F.col("node").alias("near"), "root"), "near")
-            .groupBy("node")
-            .agg(F.min("root").alias("around"))
+        both = links.union(links.select("b", "a"))
+        names = written(
+            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
+                "node", F.least("node", "near").alias("name")
+            ),
+            "names",
         )
-        better = labels.join(around, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "around").alias("next")
+        if labels is None:
+            labels = names.withColumnRenamed("name", "root")
+        else:
+            renamed = names.withColumnRenamed("node", "root")
+            labels = written(
+                labels.join(renamed, "root", "left").select("node", F.coalesce("name", "root").alias("root")), "labels"
+            )
+        links = written(
+            links.join(names.select(F.col("node").alias("a"), F.col("name").alias("p")), "a")
+            .join(names.select(F.col("node").alias("b"), F.col("name").alias("q")), "b")
+            .where("p != q")
+            .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+            .distinct(),
+            "edges",
         )
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("beyond"))
-        stepped = written(
-            better.join(jump, "next").select("node", "old", F.least("next", "beyond").alias("root")), "labels"
-        )
-        labels = stepped.select("node", "root")
-        if stepped.where("root < old").isEmpty():
+        if links.isEmpty():
             return labels
