@@ -1,9 +1,11 @@
 """Importing this module registers every query of this folder."""
 
 from brightwater.llm import (  # noqa: F401
+    articles,
     contamination,
     languages,
     packing,
+    quality,
     repeats,
     shards,
     similar,
