@@ -1,10 +1,93 @@
-"""A training-corpus pipeline over documents."""
+"""A training-corpus pipeline over documents.
+
+Stages run in order; each works on all rows that the one before kept, is written as Parquet and read again. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brightwater.llm.contamination import contained_items
+from brightwater.llm.frames import ROW, identified, ready, table
+from brightwater.llm.languages import accepted, train
+from brightwater.llm.packing import digest, pack
+from brightwater.llm.repeats import remove_repeats
+from brightwater.llm.similar import similar_texts
+from brightwater.plans.scratch import written
+
+
+def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; those without letters or with a narrow margin go.
+
+    Languages are learned from the labelled texts of the stage's own input. Null texts go.
+    """
+    ready(spark)
+    return accepted(docs, train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Documents without words are in no group and stay. Of rows that repeat a doc_id, the first by text stays if
+    they are near duplicates of each other; rows with a null doc_id come last.
+    """
+    numbered = _with_row(docs, "doc_id")
+    found = similar_texts(numbered, key=ROW).where(F.col("class_id") != F.col(ROW)).select(ROW)
+    return numbered.join(written(found, "copies"), ROW, "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 100 bytes and more that an earlier document or place has.
+
+    Characters are cut whole. Texts change and n_chars with them; no document goes, and null texts stay null.
+    """
+    numbered = _with_row(docs, "doc_id")
+    kept = remove_repeats(numbered, key=ROW, whole_characters=True)
+    changed = kept.where("size(spans) > 0").select(ROW, F.col("kept").cast("string").alias("__kept"))
+    joined = numbered.join(written(changed, "changed"), ROW, "left")
+    replaced = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in docs.columns:
+        count = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))
+        replaced["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(replaced).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    numbered = _with_row(docs, "doc_id")
+    found = contained_items(numbered, table(spark, sf_dir, "benchmark"), key=ROW).select(ROW).distinct()
+    return numbered.join(written(found, "contaminated"), ROW, "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in sequences of 2048 tokens, piece by piece."""
+    return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def _with_row(docs: DataFrame, key: str) -> DataFrame:
+    """All columns of docs and a unique row key along ``key``; see frames.identified."""
+    columns = {name: F.col(f"`{name}`") for name in docs.columns}
+    return identified(docs, key, **columns).rows.select(ROW, *docs.columns)
+
+
+STAGES = [
+    ("language identification", language_identification),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: No SQL can state compression sizes or tokenization; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise ValueError("the pipeline has no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
