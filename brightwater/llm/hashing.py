@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Blocks of texts are processed up to this many bytes at a time; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 _tables: dict[str, np.ndarray] = {}
 
