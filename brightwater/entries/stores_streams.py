@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brightwater.entries import SQL, churn, entry, guard_jobs, ops_tables, retrieval
 from brightwater.entries.views_sql import with_views
 from brightwater.operators import evaluation
+from brightwater.operators.request_log import request_cost
 from brightwater.plans import tables
 from brightwater.plans.scratch import scratch_path
 from brightwater.sources import readers, sinks
@@ -181,11 +182,12 @@ def append_record_json(spark, folder):
     f"WITH {ops_tables._JOBS_SQL} SELECT job_id, status, epoch_us(created_at)//1000 AS created_ms FROM jobs",
 )
 def enqueue_jobs(spark, folder):
+    """The jobs are queued and taken in two turns."""
     jobs = ops_tables.job_rows(spark, folder)
-    queue = sinks.enqueue_jobs(jobs, scratch_path(spark, "queue"))
-    taken = streams.dequeue(
-        streams.read_queue(spark, queue, jobs.schema, 1), scratch_path(spark, "taken")
-    )
+    queue, store = scratch_path(spark, "queue"), scratch_path(spark, "taken")
+    for number in (0, 1):
+        sinks.enqueue_jobs(jobs.filter(F.col("job_id") % 2 == number), queue)
+        taken = streams.dequeue(streams.read_queue(spark, queue, jobs.schema, 1), store)
     return taken.select("job_id", "status", F.unix_millis("created_at").alias("created_ms"))
 
 
@@ -237,25 +239,22 @@ def memory_stream(spark, folder):
 @entry(
     "request_stats_stream",
     with_views(
-        "request_logs",
-        """WITH slots AS (SELECT *, unnest(generate_series(date_trunc('hour', created_at) - INTERVAL 23 HOUR, date_trunc('hour', created_at), INTERVAL 1 HOUR)) AS window_start FROM request_logs)
-SELECT project, epoch_us(window_start)//1000 AS window_start_ms, count(*) AS total_requests, cast(sum(latency_ms) AS bigint) AS total_latency_ms,
- quantile_disc(latency_ms, 0.95) AS p95_latency_ms, cast(sum(tokens_in + tokens_out) AS bigint) AS total_tokens, cast(count(*) FILTER (WHERE status = 'error') AS bigint) AS error_count
-FROM slots GROUP BY project, window_start""",
+        "priced_logs",
+        """WITH slots AS (SELECT *, unnest(generate_series(date_trunc('hour', created_at) - INTERVAL 23 HOUR, date_trunc('hour', created_at), INTERVAL 1 HOUR)) AS window_start FROM priced_logs),
+stats AS (SELECT project, window_start, count(*) AS n, 0.95::double * (count(*) - 1) AS place, list_sort(list(latency_ms)) AS l, sum(latency_ms) AS latency, sum(tokens_in + tokens_out) AS tokens,
+ sum(cast(cast(cost_usd AS varchar) AS decimal(10,6))) AS cost, count(*) FILTER (WHERE status = 'error') AS errors FROM slots GROUP BY project, window_start)
+SELECT project, epoch_us(window_start)//1000 AS window_start_ms, n AS total_requests, cast((2*latency + n) // (2*n) AS bigint) AS avg_latency_ms,
+ cast(round_even(CASE WHEN floor(place) = ceil(place) THEN l[cast(place AS bigint) + 1]
+  ELSE (ceil(place) - place) * l[cast(floor(place) AS bigint) + 1] + (place - floor(place)) * l[cast(ceil(place) AS bigint) + 1] END, 0) AS bigint) AS p95_latency_ms,
+ cast(tokens AS bigint) AS total_tokens, cast(cost AS double) AS total_cost_usd, errors AS error_count, cast((20000*errors + n) // (2*n) AS bigint) / 100.0 AS error_rate_pct FROM stats""",
     ),
 )
 def request_stats_stream(spark, folder):
-    logs = tables.request_logs(spark, folder, tables.stream)
-    updates = collected(
-        streams.request_stats_stream(logs, late="60 days", accuracy=1_000_000),
-        "request-stats",
-        mode="update",
-    )
-    return (
-        streams.latest_windows(updates)
-        .withColumn("window_start_ms", F.unix_millis("window_start"))
-        .drop("window_start", "window_end")
-    )
+    # One file holds the whole log in no order; no row of it is late.
+    logs = request_cost(tables.request_logs(spark, folder, tables.stream))
+    updates = collected(streams.request_stats_stream(logs, late="60 days"), "request-stats", mode="update")
+    windows = streams.latest_windows(updates)
+    return windows.withColumn("window_start_ms", F.unix_millis("window_start")).drop("window_start")
 
 
 @entry(
@@ -271,8 +270,12 @@ SELECT job_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS sta
  CASE WHEN error IS NULL AND pipeline_type = 'support_ticket_categorization' THEN {guard_jobs._TICKET.replace('{t}', 't')} END AS ticket FROM checked""",
 )
 def job_stream(spark, folder):
-    jobs = guard_jobs.text_jobs(spark, folder, tables.stream)
-    done = streams.job_stream(jobs, F.lit("2024-06-30"), scratch_path(spark, "jobs-done"))
+    """The jobs arrive in two queues, one run each, into one store; some of them in both."""
+    jobs = guard_jobs.text_jobs(spark, folder, tables.stream).withColumn("queued_at", F.col("job_id"))
+    path, turn = scratch_path(spark, "jobs-done"), F.pmod("job_id", F.lit(3))
+    for number in (0, 1):
+        queue = jobs.filter(turn != number)
+        done = streams.job_stream(queue, F.lit("2024-06-30"), path, f"queue-{number}", "queued_at")
     return done.select(
         "job_id",
         "status",
@@ -284,17 +287,19 @@ def job_stream(spark, folder):
 
 @entry(
     "job_expiry_stream",
-    "SELECT DISTINCT l_orderkey AS job_id FROM lineitem WHERE l_linestatus = 'F'",
+    """WITH RECURSIVE finished AS (SELECT l_orderkey AS job_id, epoch_ms(cast(l_shipdate AS timestamp)) AS ms FROM lineitem WHERE l_linestatus = 'F'),
+kept AS (SELECT job_id, min(ms) AS ms FROM finished GROUP BY job_id
+ UNION ALL SELECT k.job_id, (SELECT min(f.ms) FROM finished f WHERE f.job_id = k.job_id AND f.ms - k.ms > 24 * 3600000) AS ms FROM kept k WHERE k.ms IS NOT NULL)
+SELECT job_id, ms AS created_ms FROM kept WHERE ms IS NOT NULL""",
 )
 def job_expiry_stream(spark, folder):
+    """Jobs finished more than 24 hours after they were last remembered are given again."""
     finished = (
         tables.stream(spark, folder, "lineitem")
         .filter("l_linestatus = 'F'")
         .select(F.col("l_orderkey").alias("job_id"), F.col("l_shipdate").alias("created_at"))
     )
-    # Remembering jobs for longer than the table spans gives each job once.
-    remembered = streams.job_expiry_stream(finished, hours=24 * 365 * 20)
-    return collected(remembered, "job-expiry").select("job_id")
+    return collected(streams.job_expiry_stream(finished), "job-expiry").drop("batch")
 
 
 @entry(
@@ -303,7 +308,13 @@ def job_expiry_stream(spark, folder):
 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1""",
 )
 def session_store_stream(spark, folder):
+    """Odd turns arrive in a first run, even ones in a second."""
     sessions = tables.stream(spark, folder, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("text").alias("transcript"), F.col("turn").alias("seq")
     )
-    return streams.session_store_stream(sessions, scratch_path(spark, "sessions"))
+    path = scratch_path(spark, "sessions")
+    for number in (1, 0):
+        stored = streams.session_store_stream(
+            sessions.filter(F.col("seq") % 2 == number), path, name=f"turns-{number}"
+        )
+    return stored

@@ -46,25 +46,19 @@ def recent_window_filter(
     return kept if project is None else kept.filter(F.col("project") == project)
 
 
-def request_stats(
-    logs: DataFrame, as_of: Column, hours: int = 24, project: str | None = None
-) -> DataFrame:
-    """Per project: request count, latency average and 95th percentile, tokens, cost, errors.
-
-    Rows are first counted per project and latency, so a project with most of the rows reaches
-    the percentile as one row per distinct millisecond value.
-    """
-    by_latency = (
-        recent_window_filter(logs, as_of, hours, project)
-        .groupBy("project", "latency_ms")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"),
-            F.sum(F.col("cost_usd").cast("decimal(10,6)")).alias("cost"),
-            F.count_if(F.col("status") == "error").alias("errors"),
-        )
+def latency_counts(logs: DataFrame, *keys) -> DataFrame:
+    """Priced logs counted per key and distinct latency: exact, and small where the log is large."""
+    return logs.groupBy(*keys, "latency_ms").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"),
+        F.sum(F.col("cost_usd").cast("decimal(10,6)")).alias("cost"),
+        F.count_if(F.col("status") == "error").alias("errors"),
     )
-    totals = by_latency.groupBy("project").agg(
+
+
+def latency_summary(counted: DataFrame, *keys: str) -> DataFrame:
+    """The statistics of ``request_stats`` per key, from ``latency_counts``."""
+    totals = counted.groupBy(*keys).agg(
         F.sum("n").alias("total_requests"),
         F.sum(F.col("latency_ms") * F.col("n")).alias("latency"),
         F.percentile("latency_ms", F.lit(0.95), F.col("n")).alias("p95"),
@@ -73,7 +67,7 @@ def request_stats(
         F.sum("errors").alias("error_count"),
     )
     return totals.select(
-        "project",
+        *keys,
         "total_requests",
         whole_average(F.col("latency"), F.col("total_requests")).alias("avg_latency_ms"),
         F.rint("p95").cast("bigint").alias("p95_latency_ms"),
@@ -84,6 +78,18 @@ def request_stats(
     )
 
 
+def request_stats(
+    logs: DataFrame, as_of: Column, hours: int = 24, project: str | None = None
+) -> DataFrame:
+    """Per project: request count, latency average and 95th percentile, tokens, cost, errors.
+
+    Rows are first counted per project and latency, so a project with most of the rows reaches
+    the percentile as one row per distinct millisecond value.
+    """
+    recent = recent_window_filter(logs, as_of, hours, project)
+    return latency_summary(latency_counts(recent, "project"), "project")
+
+
 def recent_rows(df: DataFrame, n: int, newest: str, key: str) -> DataFrame:
     """The newest ``n`` rows of a table, ties broken by key."""
     return df.orderBy(F.col(newest).desc(), F.col(key).desc()).limit(n)

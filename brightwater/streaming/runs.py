@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -25,9 +26,8 @@ def keyed_state(spark: SparkSession) -> None:
 def run_available(
     stream: DataFrame,
     write_batch: Callable[[DataFrame, int], None],
-    name: str,
+    checkpoint: str,
     mode: str = "append",
-    checkpoint: str | None = None,
 ) -> None:
     """Process all available input in micro-batches and wait for the end.
 
@@ -37,25 +37,37 @@ def run_available(
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, f"{name}-state"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
 
 
-def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Writes every micro-batch to its own folder, replacing an earlier attempt."""
+def batch_writer(path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """Writes every micro-batch to a folder of its run and number, replacing an earlier attempt."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     return write
 
 
+def store_checkpoint(path: str, name: str, checkpoint: str | None = None) -> tuple[str, str]:
+    """Where a stream into a store keeps its progress, and the name of its run in the store.
+
+    Without a checkpoint of the caller it is kept beside the rows, per stream ``name``: a later run under
+    that name goes on after the input that was taken. Numbers of batches are unique in a checkpoint, so
+    the run is named after it, and no run replaces the rows of another.
+    """
+    place = checkpoint or f"{path}/_checkpoints/{name}"
+    return place, f"{name}-{hashlib.sha256(place.encode()).hexdigest()[:16]}"
+
+
 def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream to its end into a table and read it; ``batch`` is the micro-batch number."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    run_available(stream, batch_writer(path), name, mode)
-    return spark.read.parquet(path)
+    checkpoint, run = store_checkpoint(path, name)
+    run_available(stream, batch_writer(path, run), checkpoint, mode)
+    return spark.read.parquet(path).drop("run")

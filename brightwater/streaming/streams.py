@@ -19,8 +19,9 @@ from brightwater.functions import fixed_values as fixed
 from brightwater.operators.breaker import changes, step
 from brightwater.operators.jobs import route_jobs, validate_jobs
 from brightwater.operators.limiter import AcceptedWindow
+from brightwater.operators.request_log import latency_counts, latency_summary
 from brightwater.operators.tables import one_per_key
-from brightwater.streaming.runs import batch_writer, keyed_state, run_available
+from brightwater.streaming.runs import batch_writer, keyed_state, run_available, store_checkpoint
 
 
 def read_queue(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -32,16 +33,36 @@ def read_queue(spark: SparkSession, path: str, schema, files_per_trigger: int =
     )
 
 
-def dequeue(queue: DataFrame, path: str, name: str = "dequeue") -> DataFrame:
-    """Take all queued jobs; within a micro-batch the oldest are written first."""
+def dequeue(
+    queue: DataFrame, path: str, name: str = "dequeue", checkpoint: str | None = None
+) -> DataFrame:
+    """Take all queued jobs that earlier calls have not taken; all jobs taken so far are returned.
+
+    Within a micro-batch the oldest are written first. Several queues may feed one store under names
+    (or checkpoints) of their own.
+    """
+    place, run = store_checkpoint(path, name, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch_writer(path)(batch.sortWithinPartitions("created_at", "job_id"), number)
+        batch_writer(path, run)(batch.sortWithinPartitions("created_at", "job_id"), number)
 
-    run_available(queue, write, name)
+    run_available(queue, write, place)
     return queue.sparkSession.read.parquet(path)
 
 
+def _latest(stored: DataFrame, key: str, order: str) -> DataFrame:
+    """The newest row per key by its own time; rows of one time are ordered by their content."""
+    rest = [c for c in stored.columns if c not in ("run", "batch")]
+    newest = F.struct(F.col(order), F.xxhash64(*[F.to_json(F.struct(c)) for c in rest]))
+    return one_per_key(stored.select(*rest), [key], lambda row: F.max_by(row, newest))
+
+
+def compacted(stored: DataFrame, path: str) -> DataFrame:
+    """Write a folded store to a new folder, from which later runs can go on, and read it."""
+    stored.write.mode("errorifexists").parquet(f"{path}/run=compacted/batch=0")
+    return stored.sparkSession.read.parquet(path).drop("run", "batch")
+
+
 def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="stable")
 
@@ -192,54 +213,45 @@ def latest_memory(updates: DataFrame) -> DataFrame:
     )
 
 
-def request_stats_stream(
-    logs: DataFrame,
-    window: str = "24 hours",
-    slide: str = "1 hour",
-    late: str = "1 hour",
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """Request statistics per project and sliding window; the percentile is approximate.
+def request_stats_stream(logs: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Priced logs counted per hour, project and distinct latency; ``latest_windows`` reads windows from it.
 
-    Rows that come later than ``late`` behind the newest are dropped, with the state they would
-    have changed.
+    State is one row per hour and count. Rows that come later than ``late`` behind the newest are dropped
+    if their hour has been closed by then.
     """
     timed = logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return (
-        timed.withWatermark("created_at", late)
-        .groupBy(F.window("created_at", window, slide).alias("window"), "project")
-        .agg(
-            F.count(F.lit(1)).alias("total_requests"),
-            F.sum("latency_ms").alias("total_latency_ms"),
-            F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95_latency_ms"),
-            F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens"),
-            F.count_if(F.col("status") == "error").alias("error_count"),
-        )
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "project",
-            "total_requests",
-            "total_latency_ms",
-            "p95_latency_ms",
-            "total_tokens",
-            "error_count",
-        )
-    )
+    hour = F.window("created_at", "1 hour").alias("hour")
+    counted = latency_counts(timed.withWatermark("created_at", late), hour, "project")
+    return counted.withColumn("hour", F.col("hour.start"))
 
 
-def latest_windows(updates: DataFrame) -> DataFrame:
-    """The final row per window and project of a collected ``request_stats_stream``."""
-    key = ["window_start", "window_end", "project"]
-    return one_per_key(updates, key, lambda row: F.max_by(row, F.col("batch"))).drop("batch")
+def latest_windows(updates: DataFrame, hours: int = 24) -> DataFrame:
+    """The statistics of ``request_stats`` per project and every window of ``hours`` that starts on an hour.
 
+    ``updates`` are the collected rows of ``request_stats_stream``, of which the last per count holds.
+    """
+    key = ["hour", "project", "latency_ms"]
+    final = one_per_key(updates, key, lambda row: F.max_by(row, F.col("batch"))).drop("batch")
+    first = F.col("hour") - F.expr(f"INTERVAL {hours - 1} HOURS")
+    starts = F.explode(F.sequence(first, F.col("hour"), F.expr("INTERVAL 1 HOUR")))
+    return latency_summary(final.withColumn("window_start", starts), "window_start", "project")
+
+
+def job_stream(
+    jobs: DataFrame,
+    today,
+    path: str,
+    name: str = "job-stream",
+    order: str = "created_at",
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Validate, route and extract queued jobs; one row per job in the store with its status.
 
-def job_stream(jobs: DataFrame, today, path: str, name: str = "job-stream") -> DataFrame:
-    """Validate, route and extract queued jobs; one row per job with its status.
-
-    Invalid jobs fail with their validation error. A job that is queued again replaces its row,
-    and a retried micro-batch rewrites its own folder.
+    Invalid jobs fail with their validation error. A job that is queued again replaces its row if it is newer
+    by ``order``, whichever run or micro-batch brought it; a retried micro-batch rewrites its own folder.
+    A later run goes on after the input that was taken under this name (or checkpoint).
     """
+    place, run = store_checkpoint(path, name, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
         checked = validate_jobs(batch).withColumnRenamed("error", "invalid")
@@ -253,11 +265,10 @@ def job_stream(jobs: DataFrame, today, path: str, name: str = "job-stream") -> D
                 },
             }
         )
-        batch_writer(path)(routed.drop("invalid", "input_text", "input_json"), number)
+        batch_writer(path, run)(routed.drop("invalid", "input_text", "input_json"), number)
 
-    run_available(jobs, write, name)
-    done = jobs.sparkSession.read.parquet(path)
-    return one_per_key(done, ["job_id"], lambda row: F.max_by(row, F.col("batch"))).drop("batch")
+    run_available(jobs, write, place)
+    return _latest(jobs.sparkSession.read.parquet(path), "job_id", order)
 
 
 class _Remembered(StatefulProcessor):
@@ -312,18 +323,21 @@ def job_expiry_stream(finished: DataFrame, hours: int = fixed.JOB_RETENTION_HOUR
 
 
 def session_store_stream(
-    sessions: DataFrame, path: str, order: str = "seq", name: str = "sessions"
+    sessions: DataFrame,
+    path: str,
+    order: str = "seq",
+    name: str = "sessions",
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Upsert sessions by session_id: the newest row of each, by ``order``.
 
     Every micro-batch appends its newest row per session; the table is folded when it is read, so
-    no batch rewrites the store.
+    no batch rewrites the store. Later runs add to it (see ``job_stream``).
     """
+    place, run = store_checkpoint(path, name, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = one_per_key(batch, ["session_id"], lambda row: F.max_by(row, F.col(order)))
-        batch_writer(path)(newest, number)
+        batch_writer(path, run)(_latest(batch, "session_id", order), number)
 
-    run_available(sessions, write, name)
-    stored = sessions.sparkSession.read.parquet(path).drop("batch")
-    return one_per_key(stored, ["session_id"], lambda row: F.max_by(row, F.col(order)))
+    run_available(sessions, write, place)
+    return _latest(sessions.sparkSession.read.parquet(path), "session_id", order)

@@ -80,12 +80,59 @@ def test_retried_batch_replaces_itself(spark):
     from brightwater.streaming.runs import batch_writer
 
     path = scratch_path(spark, "retried")
-    write = batch_writer(path)
+    write = batch_writer(path, "run")
     write(spark.range(3), 0)
     write(spark.range(3), 0)
     assert spark.read.parquet(path).count() == 3
 
 
+def queue_of(spark, rows, schema, *name):
+    path = scratch_path(spark, "-".join(name or ("queue",)))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    return path, lambda: streams.read_queue(spark, path, spark.createDataFrame([], schema).schema, 1)
+
+
+def test_two_queues_and_the_same_queue_twice(spark):
+    schema = "session_id string, transcript string, seq long"
+    _, first = queue_of(spark, [("a", "one", 1), ("b", "two", 2)], schema)
+    _, second = queue_of(spark, [("a", "late", 0), ("b", "new", 3), ("c", "x", 1)], schema)
+    path = scratch_path(spark, "sessions-two")
+    streams.session_store_stream(first(), path, name="first")
+    want = [("a", "one", 1), ("b", "new", 3), ("c", "x", 1)]
+    for _ in range(2):
+        got = streams.session_store_stream(second(), path, name="second")
+        assert sorted(map(tuple, got.collect())) == want
+    again = streams.session_store_stream(first(), path, checkpoint=scratch_path(spark, "own"))
+    assert sorted(map(tuple, again.collect())) == want
+    assert sorted(map(tuple, streams.compacted(again, scratch_path(spark, "compact")).collect())) == want
+
+
+def test_jobs_are_taken_once(spark):
+    schema = "job_id long, created_at timestamp"
+    path, queue = queue_of(spark, [], schema)
+    store = scratch_path(spark, "taken-twice")
+    for start in (0, 5):
+        spark.range(start, start + 5).selectExpr("id job_id", "current_timestamp() created_at").write.mode("append").parquet(path)
+        for _ in range(2):
+            taken = streams.dequeue(queue(), store)
+    assert sorted(r.job_id for r in taken.collect()) == list(range(10))
+
+
+def test_newest_job_wins_in_any_order(spark):
+    schema = "job_id long, pipeline_type string, input_text string, input_json string, created_at long"
+    kind = "support_ticket_categorization"
+    old, new = (1, "translation", "refund", None, 1), (1, kind, "refund please", None, 2)
+    for rows in ([old, new], [new, old]):
+        path = scratch_path(spark, "jobs-order")
+        for number, row in enumerate(rows):
+            _, queue = queue_of(spark, [row], schema)
+            done = streams.job_stream(queue(), F.lit("2024-06-30"), path, f"queue-{number}")
+        assert [(r.job_id, r.status, r.created_at) for r in done.collect()] == [(1, "completed", 2)]
+    _, both = queue_of(spark, [new, old], schema)
+    done = streams.job_stream(both(), F.lit("2024-06-30"), scratch_path(spark, "jobs-tie"))
+    assert [r.status for r in done.collect()] == ["completed"]
+
+
 @pytest.mark.parametrize("late, kept", [("1 hour", 2), ("10 days", 3)])
 def test_late_rows(spark, late, kept):
     rows = [("2024-01-05 00:10:00",), ("2024-01-05 01:20:00",), ("2024-01-07 00:00:00",), ("2024-01-01 00:00:00",)]
@@ -94,6 +141,7 @@ def test_late_rows(spark, late, kept):
         F.lit(5).alias("latency_ms"),
         F.lit(1).alias("tokens_in"),
         F.lit(1).alias("tokens_out"),
+        F.lit(0.5).alias("cost_usd"),
         F.lit("success").alias("status"),
         F.col("created_at").cast("timestamp").alias("created_at"),
     )
@@ -102,9 +150,7 @@ def test_late_rows(spark, late, kept):
         logs.filter(F.col("created_at") == F.lit(rows[i][0]).cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
         time.sleep(0.05)
     stream = streams.read_queue(spark, path, logs.schema, files_per_trigger=1)
-    updates = collected(
-        streams.request_stats_stream(stream, window="1 day", slide="1 day", late=late), "late-out", mode="update"
-    )
-    final = streams.latest_windows(updates)
-    assert final.count() == kept
-    assert max(r.total_requests for r in final.collect()) == 2
+    updates = collected(streams.request_stats_stream(stream, late=late), "late-out", mode="update")
+    days = streams.latest_windows(updates).filter("hour(window_start) = 0 AND date_format(window_start, 'dd') IN ('01', '05', '07')")
+    assert days.count() == kept
+    assert {(r.total_requests, r.total_cost_usd, r.error_rate_pct) for r in days.collect()} == {(2, 1.0, 0.0), (1, 0.5, 0.0)}
