@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from brightwater.entries import entry
@@ -11,7 +14,9 @@ from brightwater.functions.vectors import hash_embed as embed
 from brightwater.operators import evaluation, prompts, retrieval, vector
 from brightwater.operators.chunks import chunk_documents
 from brightwater.plans import tables
+from brightwater.plans.scratch import scratch_path
 from brightwater.plans.skew import spread
+from brightwater.sources import sinks
 
 SMALL_DIMS = 64
 TOP = 10
@@ -137,17 +142,83 @@ def query_chunk_cross(spark, folder):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@entry("ivf_topk")
+# Lists around the label means, and buckets along given directions, can be stated in SQL.
+_UNIT = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
+PROBES, TABLES, BUCKET = 2, 4, 0.1
+
+
+def label_lists(spark, folder):
+    """Stored vectors with their list, and the label means in order as the lists' centroids."""
+    means = tables.label_queries(spark, folder).orderBy("query_id").collect()
+    centroids = np.array([row.embedding for row in means])
+    path = scratch_path(spark, "lists")
+    vector.assign_lists(stored_vectors(spark, folder), centroids).write.partitionBy("list").parquet(path)
+    return spark.read.parquet(path), centroids
+
+
+_IVF = f"""centroids AS (SELECT embedding AS c, cast(row_number() OVER (ORDER BY query_id) - 1 AS int) AS list FROM label_queries),
+vectors AS (SELECT vec_id AS id, cast(embedding AS double[]) AS v FROM embeddings),
+asked AS (SELECT query_id, embedding AS v FROM label_queries),
+listed AS (SELECT id, v, list FROM vectors, centroids QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_dot_product(c, c) - 2 * list_dot_product({_UNIT.format(v="v")}, c), 9), list) = 1),
+probed AS (SELECT query_id, v AS q, list FROM asked, centroids QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(c, c) - 2 * list_dot_product({_UNIT.format(v="v")}, c), 9), list) <= {PROBES}),
+nearby AS (SELECT query_id, id, similarity, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS int) AS rank FROM
+ (SELECT query_id, id, round({_COS}, 9) AS similarity FROM (SELECT query_id, id, q, v AS c FROM listed JOIN probed USING (list))) QUALIFY rank <= {TOP})"""
+
+
+@entry(
+    "ivf_topk",
+    with_views(
+        "label_queries", f"WITH {_IVF} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM nearby"
+    ),
+)
 def ivf_topk(spark, folder):
-    listed, centroids = vector.inverted_lists(stored_vectors(spark, folder), lists=20)
+    listed, centroids = label_lists(spark, folder)
     queries = tables.label_queries(spark, folder)
-    return vector.ivf_topk(queries, listed, centroids, TOP, probes=5)
+    found = vector.ivf_topk(queries, listed, centroids, TOP, probes=PROBES)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@entry(
+    "ivf_recall",
+    with_views(
+        "label_queries",
+        f"WITH {_NEAREST}, {_IVF} SELECT n.query_id, count(b.id) / count(*) AS recall FROM nearest n LEFT JOIN nearby b ON b.query_id = n.query_id AND b.id = n.id GROUP BY n.query_id",
+    ),
+)
+def ivf_recall(spark, folder):
+    """The share of the exact neighbours that the probed lists have, per query."""
+    listed, centroids = label_lists(spark, folder)
+    queries = tables.label_queries(spark, folder)
+    found = vector.ivf_topk(queries, listed, centroids, TOP, probes=PROBES).select("query_id", "id")
+    exact = nearest(spark, folder).select("query_id", "id")
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return hits.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
 
+def planes(dims: int) -> np.ndarray:
+    return np.array([[math.sin((t + 1) * (d + 1)) for d in range(dims)] for t in range(TABLES)])
 
-@entry("lsh_topk")
+
+_BUCKET = f"list_transform(range(1, {TABLES + 1}), lambda t: floor(round(list_dot_product({_UNIT.format(v='v')}, list_transform(range(1, len(v) + 1), lambda d: sin(t * d))), 9) / {BUCKET}))"
+
+
+@entry(
+    "lsh_topk",
+    with_views(
+        "label_queries",
+        f"""WITH stored AS (SELECT id, v, unnest(range(1, {TABLES + 1})) AS t, unnest({_BUCKET}) AS bucket FROM (SELECT vec_id AS id, cast(embedding AS double[]) AS v FROM embeddings)),
+asked AS (SELECT query_id, v, unnest(range(1, {TABLES + 1})) AS t, unnest({_BUCKET}) AS bucket FROM (SELECT query_id, embedding AS v FROM label_queries)),
+pairs AS (SELECT DISTINCT query_id, id, a.v AS q, s.v AS c FROM asked a JOIN stored s USING (t, bucket))
+SELECT query_id, id, round(similarity, 6) AS similarity, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS int) AS rank FROM
+ (SELECT query_id, id, round({_COS}, 9) AS similarity FROM pairs) QUALIFY rank <= {TOP}""",
+    ),
+)
 def lsh_topk(spark, folder):
     queries = tables.label_queries(spark, folder)
-    return vector.lsh_topk(queries, stored_vectors(spark, folder), TOP)
+    stored = stored_vectors(spark, folder)
+    dims = stored.select(F.size("embedding").alias("n")).first().n
+    found = vector.lsh_topk(queries, stored, TOP, bucket_length=BUCKET, planes=planes(dims))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 def same_label(spark, folder):
@@ -248,6 +319,40 @@ def doc_freq(spark, folder):
     return retrieval.doc_freq(chunks(spark, folder), tables.text_queries(spark, folder))
 
 
+_SUBSTRING = """qt AS (SELECT query_id, user_id, unnest(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')) AS term FROM text_queries),
+readable AS (SELECT unnest(permissions) AS user_id, lower(chunk_text) AS t FROM chunks)"""
+
+
+@entry(
+    "doc_freq_substring",
+    with_views(
+        "chunks text_queries",
+        f"""WITH {_SUBSTRING}, wanted AS (SELECT DISTINCT user_id, term FROM qt)
+SELECT w.user_id, w.term, count(*) AS df FROM wanted w JOIN readable r ON r.user_id = w.user_id AND contains(r.t, w.term) GROUP BY 1, 2""",
+    ),
+)
+def doc_freq_substring(spark, folder):
+    return retrieval.doc_freq(chunks(spark, folder), tables.text_queries(spark, folder), "substring")
+
+
+@entry(
+    "bm25_score_global",
+    with_views(
+        "chunks text_queries",
+        "WITH "
+        + _BM25.replace("stats AS (SELECT user_id, count(*) AS n, sum(dl) / count(*) AS avg_dl FROM readable WHERE user_id IN (SELECT user_id FROM text_queries) GROUP BY user_id)",
+                        "stats AS (SELECT user_id, n, avg_dl FROM (SELECT DISTINCT user_id FROM text_queries), (SELECT count(*) AS n, sum(dl) / count(*) AS avg_dl FROM lengths))")
+        .replace("df AS (SELECT o.user_id, o.term, count(*) AS df FROM opened o JOIN (SELECT DISTINCT user_id, term FROM qt) w ON w.user_id = o.user_id AND w.term = o.term GROUP BY 1, 2)",
+                 "df AS (SELECT user_id, term, df FROM (SELECT DISTINCT user_id, term FROM qt) JOIN (SELECT term, count(*) AS df FROM tf GROUP BY term) USING (term))")
+        + " SELECT query_id, id, round(score, 6) AS score FROM scored",
+    ),
+)
+def bm25_score_global(spark, folder):
+    return retrieval.bm25_score(
+        tables.text_queries(spark, folder), chunks(spark, folder), stats="global"
+    ).withColumn("score", F.round("score", 6))
+
+
 @entry(
     "bm25_score",
     with_views(
@@ -273,6 +378,24 @@ def rank_by_keyword(spark, folder):
     ).withColumn("score", F.round("score", 6))
 
 
+_ALL = """full_keyword AS (SELECT query_id, id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, id) AS rank FROM
+ (SELECT query_id, id FROM text_queries q JOIN (SELECT id, unnest(permissions) AS user_id FROM chunks) c ON c.user_id = q.user_id) LEFT JOIN scored USING (query_id, id))"""
+
+
+@entry(
+    "rank_by_keyword_all",
+    with_views(
+        "chunks text_queries",
+        f"WITH {_BM25}, {_ALL} SELECT query_id, id, round(score, 6) AS score, cast(rank AS int) AS rank FROM full_keyword",
+    ),
+)
+def rank_by_keyword_all(spark, folder):
+    """Every permitted chunk, those without a shared term at score 0."""
+    return retrieval.rank_by_keyword(
+        tables.text_queries(spark, folder), chunks(spark, folder), candidates=None, unmatched=True
+    ).withColumn("score", F.round("score", 6))
+
+
 _STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + ")"
 
 
@@ -384,6 +507,28 @@ def rrf_topk(spark, folder):
     )
 
 
+@entry(
+    "rrf_topk_all",
+    with_views(
+        "chunks text_queries",
+        f"""WITH {_BM25}, {_ARM.replace("QUALIFY rank <= 10", "")}, {_ALL}, {_FUSED.replace("FROM keyword)", "FROM full_keyword)")}
+SELECT query_id, id, round(rrf_score, 9) AS rrf_score, cast(rank AS int) AS rank FROM top""",
+    ),
+)
+def rrf_topk_all(spark, folder):
+    """Fusion of full rankings."""
+    queries, parts = tables.text_queries(spark, folder), chunks(spark, folder)
+    lists = [
+        retrieval.rank_by_similarity(queries, parts, candidates=None),
+        retrieval.rank_by_keyword(queries, parts, candidates=None, unmatched=True),
+    ]
+    return (
+        retrieval.rrf_topk(lists)
+        .select("query_id", "id", "rrf_score", "rank")
+        .withColumn("rrf_score", F.round("rrf_score", 9))
+    )
+
+
 _HYBRID = f"""WITH {_BM25}, {_ARM}, {_FUSED}"""
 
 
@@ -405,6 +550,23 @@ def hybrid_retrieve(spark, folder):
     return hybrid(spark, folder).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
+@entry(
+    "hybrid_retrieve_stored",
+    with_views(
+        "chunks text_queries",
+        f"""{_HYBRID} SELECT query_id, cast(rank AS int) AS rank, top.id, round(rrf_score, 9) AS rrf_score, doc_name, chunk_text
+FROM top JOIN chunks ON chunks.id = top.id""",
+    ),
+)
+def hybrid_retrieve_stored(spark, folder):
+    """Hybrid search over chunks written with their vectors."""
+    parts = chunks(spark, folder)
+    embedding = embed(F.col("chunk_text"), 768)
+    path = sinks.write_chunks(parts.withColumn("embedding", embedding), scratch_path(spark, "chunks"))
+    found = retrieval.hybrid_retrieve(tables.text_queries(spark, folder), spark.read.parquet(path))
+    return found.withColumn("rrf_score", F.round("rrf_score", 9))
+
+
 @entry(
     "rehydrate_chunks",
     with_views(
@@ -415,7 +577,7 @@ def hybrid_retrieve(spark, folder):
 def rehydrate_chunks(spark, folder):
     parts = chunks(spark, folder)
     found = retrieval.rank_by_keyword(tables.text_queries(spark, folder), parts)
-    return retrieval.rehydrate_chunks(found, parts, bounded=True).select(
+    return retrieval.rehydrate_chunks(found, parts).select(
         "query_id", "id", "rank", "doc_id", "chunk_index", "chunk_text"
     )
 
@@ -474,7 +636,7 @@ FROM keyword k JOIN chunks ON chunks.id = k.id WHERE rank <= 3 GROUP BY query_id
 def evaluation_context(spark, folder):
     parts = chunks(spark, folder)
     found = retrieval.rank_by_keyword(tables.text_queries(spark, folder), parts)
-    return prompts.evaluation_context(retrieval.rehydrate_chunks(found, parts, bounded=True))
+    return prompts.evaluation_context(retrieval.rehydrate_chunks(found, parts))
 
 
 @entry(

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwater.functions.fixed_values import STOP_WORDS
 from brightwater.functions.text import space_split, words
-from brightwater.functions.vectors import hash_embed, hash_similarity
+from brightwater.functions.vectors import cosine_similarity, hash_similarity
 from brightwater.operators.chunks import chunk_documents
-from brightwater.operators.vector import DIGITS, hash_encoder, vector_topk
+from brightwater.operators.vector import DIGITS, Encoder, hash_encoder, vector_topk
+from brightwater.plans.scratch import written
 from brightwater.plans.skew import BROADCAST_ROWS, fits
 
 K1 = 1.5
@@ -72,12 +75,21 @@ def _lengths(chunks: DataFrame, keep_empty: bool = False) -> DataFrame:
     )
 
 
+def _headers(index: DataFrame) -> DataFrame:
+    return index.filter("term is null").select("id", "permissions", "dl")
+
+
 def corpus_stats(
-    chunks: DataFrame, users: DataFrame, keep_empty: bool = False, bounded: bool | None = None
+    chunks: DataFrame,
+    users: DataFrame,
+    keep_empty: bool = False,
+    bounded: bool | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Per user: number of permitted chunks and their average length in tokens."""
+    lengths = _lengths(chunks, keep_empty) if index is None else _headers(index)
     return (
-        permission_filter(_lengths(chunks, keep_empty), users, bounded)
+        permission_filter(lengths, users, bounded)
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("_total"))
         .select("user_id", "n_docs", (F.col("_total") / F.col("n_docs")).alias("avg_dl"))
@@ -87,44 +99,70 @@ def corpus_stats(
 def postings(
     chunks: DataFrame, terms: DataFrame, keep_empty: bool = False, bounded: bool | None = None
 ) -> DataFrame:
-    """Rows (id, permissions, dl, term, tf) for the queried terms only.
+    """Rows (id, permissions, dl, term, tf) for the queried terms, and one per chunk with a null term.
 
-    Unqueried tokens are dropped where they are read. The rest is shuffled once, by chunk, and
-    every later grouping by chunk stays in that partitioning.
+    The texts are cut into tokens once; unqueried tokens are dropped where they are read and the rest is
+    counted per chunk.
     """
     asked = terms.select("term").distinct()
-    # An outer explode keeps the optimizer from tokenizing again to filter out empty arrays.
+    if bounded is None:
+        bounded = fits(asked)
     tokens = chunks.select(
         "id", "permissions", _tokens(F.col("chunk_text"), keep_empty).alias("_tokens")
-    ).select(
-        "id", "permissions", F.size("_tokens").alias("dl"), F.explode_outer("_tokens").alias("term")
-    )
-    return (
-        tokens.join(_marked(asked, fits(asked) if bounded is None else bounded), "term")
-        .repartition("id")
-        .groupBy("id", "permissions", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    ).select("id", "permissions", F.size("_tokens").alias("dl"), "_tokens")
+    if bounded:
+        # The null token of every chunk meets the null term.
+        none = F.array(F.lit(None).cast("string"))
+        opened = tokens.withColumn("term", F.explode(F.concat("_tokens", none))).drop("_tokens")
+        wanted = asked.union(asked.limit(0).groupBy().agg(F.lit(None).cast("string").alias("term")))
+        wanted = F.broadcast(wanted.withColumnRenamed("term", "_term"))
+        found = opened.join(wanted, F.col("term").eqNullSafe(F.col("_term"))).drop("_term")
+    else:
+        opened = tokens.withColumn("term", F.explode_outer("_tokens")).drop("_tokens")
+        found = opened.join(asked, "term").unionByName(
+            _lengths(chunks, keep_empty).withColumn("term", F.lit(None).cast("string"))
+        )
+    return found.groupBy("id", "permissions", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
+def keyword_index(chunks: DataFrame, queries: DataFrame, df_mode: str = "token") -> DataFrame:
+    """The ``postings`` of the queries' terms as a written table.
 
-def _containing(chunks: DataFrame, terms: DataFrame, per_block: int = 10_000) -> DataFrame:
+    Statistics, frequencies and scores all read it, in one call or in several with these queries.
+    """
+    keep_empty = df_mode == "substring"
+    return written(postings(chunks, query_terms(queries, keep_empty), keep_empty), "postings")
+
+
+def _containing(
+    chunks: DataFrame, terms: DataFrame, per_block: int = 10_000, bounded: bool | None = None
+) -> DataFrame:
     """Rows (id, permissions, term) for every queried term that a chunk's text contains.
 
-    The terms are dealt into arrays of about ``per_block``; a chunk meets each array once.
+    The terms are dealt into arrays of about ``per_block``; a chunk meets each array once. Arrays too
+    large to broadcast are copied to as many join keys as there are partitions.
     """
     asked = terms.select("term").distinct()
+    if bounded is None:
+        bounded = fits(asked)
     blocks = max(1, -(-asked.count() // per_block))
-    listed = asked.groupBy(
-        F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block")
-    ).agg(F.collect_set("term").alias("listed"))
+    salts = 1 if bounded else int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = (
+        asked.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block"))
+        .agg(F.collect_set("term").alias("listed"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
     lowered = chunks.select(
         "id",
         "permissions",
         F.lower("chunk_text").alias("lowered"),
+        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
     hits = F.filter("listed", lambda t: F.contains(F.col("lowered"), t))
-    return lowered.join(listed, "block").select("id", "permissions", F.explode_outer(hits).alias("term"))
+    return lowered.join(_marked(listed, bounded), ["block", "salt"]).select(
+        "id", "permissions", F.explode_outer(hits).alias("term")
+    )
 
 
 def doc_freq(
@@ -132,6 +170,7 @@ def doc_freq(
     queries: DataFrame,
     df_mode: str = "token",
     bounded: bool | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Per user and queried term the number of permitted chunks that have the term.
 
@@ -142,13 +181,15 @@ def doc_freq(
     if bounded is None:
         bounded = fits(terms)
     if df_mode == "token":
-        found = postings(chunks, terms, bounded=bounded)
+        found = postings(chunks, terms, bounded=bounded) if index is None else index
     elif df_mode == "substring":
-        found = _containing(chunks, terms)
+        found = _containing(chunks, terms, bounded=bounded)
     else:
         raise ValueError("df_mode is 'token' or 'substring'")
     wanted = terms.select("user_id", "term").distinct()
-    opened = found.withColumn("user_id", F.explode(F.array_distinct("permissions")))
+    opened = found.filter("term is not null").withColumn(
+        "user_id", F.explode(F.array_distinct("permissions"))
+    )
     return (
         opened.join(_marked(wanted, bounded), ["user_id", "term"])
         .groupBy("user_id", "term")
@@ -170,9 +211,13 @@ def bm25_score(
     b: float = B,
     df_mode: str = "token",
     stats: str = "permitted",
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (query_id, id, score) for permitted chunks that share a term with the query.
 
+    ``index`` is the ``keyword_index`` of the chunks for these queries; it is made if not given, in the
+    one pass over the texts that the token mode needs.
+
     Corpus size, average length and document frequencies are those of the chunks that the asking
     user may read, or with ``stats="global"`` those of all chunks. A term that occurs twice in a
     query counts twice.
@@ -183,13 +228,16 @@ def bm25_score(
     terms = query_terms(queries, keep_empty)
     # One count bounds every small side: users, distinct terms and term weights are no more rows.
     bounded = fits(terms)
-    counted, askers = chunks, queries
+    if index is None:
+        index = keyword_index(chunks, queries, df_mode)
+    counted, listed, askers = chunks, index, queries
     if stats == "global":
         # Everybody reads everything while the corpus is counted.
-        counted = chunks.withColumn("permissions", F.array(F.lit("*")))
+        everybody = F.array(F.lit("*"))
+        counted, listed = (df.withColumn("permissions", everybody) for df in (chunks, index))
         askers = queries.withColumn("user_id", F.lit("*"))
-    corpus = corpus_stats(counted, askers, keep_empty, bounded)
-    frequencies = doc_freq(counted, askers, df_mode, bounded)
+    corpus = corpus_stats(counted, askers, keep_empty, bounded, listed)
+    frequencies = doc_freq(counted, askers, df_mode, bounded, listed)
     if stats == "global":
         users = terms.select("user_id").distinct()
         corpus = _for_each(users, corpus, bounded)
@@ -209,7 +257,7 @@ def bm25_score(
     tf = F.col("tf")
     saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * (F.col("dl") / F.col("avg_dl"))))
     return (
-        postings(chunks, terms, keep_empty, bounded)
+        index.filter("term is not null")
         .join(_marked(weights, bounded), "term")
         .filter(F.array_contains("permissions", F.col("user_id")))
         .groupBy("query_id", "id")
@@ -217,7 +265,9 @@ def bm25_score(
     )
 
 
-def match_all_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def match_all_terms(
+    queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None
+) -> DataFrame:
     """Pairs (query_id, id) where a permitted chunk has every query term that is no stop word.
 
     A query of stop words only matches nothing.
@@ -227,7 +277,8 @@ def match_all_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     counted = terms.withColumn("needed", F.count(F.lit(1)).over(needed))
     bounded = fits(terms)
     return (
-        postings(chunks, terms, bounded=bounded)
+        (postings(chunks, terms, bounded=bounded) if index is None else index)
+        .filter("term is not null")
         .join(_marked(counted, bounded), "term")
         .filter(F.array_contains("permissions", F.col("user_id")))
         .groupBy("query_id", "id")
@@ -237,42 +288,87 @@ def match_all_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def _best(scored: DataFrame, score: str, candidates: int) -> DataFrame:
+def _best(scored: DataFrame, score: str, candidates: int | None) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= candidates)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if candidates is None else ranked.filter(F.col("rank") <= candidates)
 
 
 def rank_by_keyword(
-    queries: DataFrame, chunks: DataFrame, candidates: int = 10, match_all: bool = False, **bm25
+    queries: DataFrame,
+    chunks: DataFrame,
+    candidates: int | None = 10,
+    match_all: bool = False,
+    unmatched: bool = False,
+    index: DataFrame | None = None,
+    **bm25,
 ) -> DataFrame:
-    """The best ``candidates`` chunks per query by BM25; with ``match_all`` only full matches."""
-    scored = bm25_score(queries, chunks, **bm25)
+    """The best ``candidates`` chunks per query by BM25, all of them if that is None.
+
+    With ``match_all`` only chunks that have every term are ranked; with ``unmatched`` also permitted
+    chunks that share no term, at score 0.
+    """
+    if match_all and unmatched:
+        raise ValueError("match_all leaves no unmatched chunks")
+    if index is None:
+        index = keyword_index(chunks, queries, bm25.get("df_mode", "token"))
+    scored = bm25_score(queries, chunks, index=index, **bm25)
     if match_all:
-        scored = scored.join(match_all_terms(queries, chunks), ["query_id", "id"], "left_semi")
+        scored = scored.join(match_all_terms(queries, chunks, index), ["query_id", "id"], "left_semi")
+    if unmatched:
+        askers = queries.select("query_id", "user_id")
+        readable = permission_filter(_headers(index), askers).join(
+            _marked(askers, fits(askers)), "user_id"
+        )
+        scored = (
+            readable.select("query_id", "id")
+            .join(scored, ["query_id", "id"], "left")
+            .fillna(0.0, ["score"])
+        )
     return _best(scored, "score", candidates)
 
 
+def embedded(texts: Column, embed_fn: Encoder) -> Column:
+    """Vectors of a text column by a caller's function from texts to a matrix."""
+
+    @F.pandas_udf("array<double>")
+    def embed(values: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(embed_fn(values.tolist()), dtype=np.float64)))
+
+    return embed(texts)
+
+
 def rank_by_similarity(
-    queries: DataFrame, chunks: DataFrame, candidates: int = 10, dims: int = 768
+    queries: DataFrame,
+    chunks: DataFrame,
+    candidates: int | None = 10,
+    dims: int = 768,
+    embed_fn: Encoder | None = None,
 ) -> DataFrame:
-    """The best ``candidates`` permitted chunks per query by cosine similarity.
+    """The best ``candidates`` permitted chunks per query by cosine similarity, all if that is None.
 
-    Stored embeddings are used where the chunks have them; otherwise the text is hash-embedded
-    inside the scan, so the vectors never leave the task.
+    Stored embeddings are used where the chunks have them; otherwise the text is embedded inside the
+    scan, by ``embed_fn`` (texts to matrix) or else the hash embedding, so the vectors never leave the task.
     """
+    encode = embed_fn or hash_encoder(dims)
     stored = "embedding" in chunks.columns
     if "embedding" not in queries.columns:
-        queries = queries.withColumn("embedding", hash_embed(F.col("text"), dims))
-    return vector_topk(
-        queries, chunks, candidates, access=True, encode=None if stored else hash_encoder(dims)
-    )
+        queries = queries.withColumn("embedding", embedded(F.col("text"), encode))
+    return vector_topk(queries, chunks, candidates, access=True, encode=None if stored else encode)
 
 
 def top_chunks_in_doc(
-    questions: DataFrame, transcripts: DataFrame, k: int = 3, n_words: int = 500, dims: int = 384
+    questions: DataFrame,
+    transcripts: DataFrame,
+    k: int = 3,
+    n_words: int = 500,
+    dims: int = 384,
+    embed_fn: Encoder | None = None,
 ) -> DataFrame:
     """The ``k`` word chunks of a question's own transcript that are most similar to it.
 
+    Texts are compared by ``embed_fn`` (texts to matrix) or else the hash embedding.
+
     ``questions`` has query_id, doc_id and question; ``transcripts`` doc_id and text. A question is
     compared with the chunks of its document only.
     """
@@ -281,7 +377,7 @@ def top_chunks_in_doc(
         chunks.join(questions.select("query_id", "doc_id", "question"), "doc_id")
         .withColumn(
             "similarity",
-            F.round(hash_similarity(F.col("question"), F.col("chunk_text"), dims), DIGITS),
+            F.round(_similarity(F.col("question"), F.col("chunk_text"), dims, embed_fn), DIGITS),
         )
         .drop("question")
     )
@@ -289,6 +385,12 @@ def top_chunks_in_doc(
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _similarity(a: Column, b: Column, dims: int, embed_fn: Encoder | None) -> Column:
+    if embed_fn is None:
+        return hash_similarity(a, b, dims)
+    return cosine_similarity(embedded(a, embed_fn), embedded(b, embed_fn))
+
+
 def rrf_merge(lists: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     """Fuse ranked lists (query_id, id, rank) into the sum of 1 / (k + rank) per query and id.
 
@@ -323,13 +425,15 @@ def rrf_topk(lists: Sequence[DataFrame], top_k: int = 5, k: int = RRF_K) -> Data
     )
 
 
-def rehydrate_chunks(found: DataFrame, chunks: DataFrame, bounded: bool = False) -> DataFrame:
+def rehydrate_chunks(
+    found: DataFrame, chunks: DataFrame, bounded: bool | None = None
+) -> DataFrame:
     """Attach the chunk columns to found ids; ids without a chunk are dropped.
 
-    With ``bounded`` the caller knows that few rows were found, and they are broadcast so that the
-    chunks are not shuffled; otherwise the join is left to adaptive execution.
+    With ``bounded`` the caller has counted that few rows were found, and they are broadcast so that the
+    chunks are not shuffled; by default adaptive execution decides by their measured size.
     """
-    return chunks.drop("embedding").join(_marked(found, bounded), "id")
+    return chunks.drop("embedding").join(_marked(found, bool(bounded)), "id")
 
 
 def hybrid_retrieve(
@@ -340,18 +444,21 @@ def hybrid_retrieve(
     match_all: bool = False,
     dims: int = 768,
     metadata: dict[str, object] | None = None,
+    embed_fn: Encoder | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``top_k`` permitted chunks per query, fused from similarity and keyword ranks.
 
     ``queries`` has query_id, text and user_id; ``chunks`` id, doc_name, chunk_text, permissions
-    and optionally embedding. Each arm contributes ``2 * top_k`` candidates unless given.
+    and optionally embedding. Each arm contributes ``2 * top_k`` candidates unless given. ``embed_fn`` and
+    ``index`` are those of ``rank_by_similarity`` and ``keyword_index`` (of the chunks that ``metadata`` keeps).
     """
     n = 2 * top_k if candidates is None else candidates
     chunks = metadata_filter(chunks, metadata)
     found = rrf_topk(
         [
-            rank_by_similarity(queries, chunks, n, dims),
-            rank_by_keyword(queries, chunks, n, match_all),
+            rank_by_similarity(queries, chunks, n, dims, embed_fn),
+            rank_by_keyword(queries, chunks, n, match_all, index=index),
         ],
         top_k,
     ).select("query_id", "id", "rank", "rrf_score")

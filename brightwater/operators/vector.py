@@ -3,6 +3,8 @@
 The queries are a block of bounded size that every task holds as a matrix. A task multiplies each
 Arrow batch of stored vectors with it and keeps only its best ``k`` per query, so no pair of query
 and vector ever leaves a task unless it is among them, and the stored vectors are not shuffled.
+The approximate searches compare a vector only with the queries that probe its list or share one of its
+buckets; vectors that no query can meet are dropped by a filter on the stored columns.
 More queries than one block holds are dealt into blocks that meet the stored vectors in bounded
 groups instead.
 """
@@ -14,9 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,8 @@ from brightwater.functions.vectors import hash_vectors
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 50_000
+# Values that a filter on readers, lists or buckets may name; more are left to the tasks.
+FILTER_VALUES = 1000
 
 # Similarities are rounded before they are ranked, so that ranks do not depend on the order in
 # which products are summed; ids decide among equals.
@@ -42,32 +47,71 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
-def _matrix(column: pa.Array, encode: Encoder | None) -> np.ndarray:
+def _matrix(column: pa.Array, encode: Encoder | None, dims: int | None = None) -> np.ndarray:
+    """Unit vectors, one per row; raises if a vector has another length than ``dims`` or the first."""
     if encode is not None:
         return _unit(np.asarray(encode(column.to_pylist()), dtype=np.float64))
     if len(column) == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, dims or 0))
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    wanted = lengths[0] if dims is None else dims
+    if not (lengths == wanted).all():
+        raise ValueError(f"vectors must have {wanted:.0f} values, found {set(lengths.tolist()) - {wanted}}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return _unit(flat.reshape(len(column), -1))
 
 
 @dataclass
 class _Block:
-    """A block of queries: ids, unit vectors, and optionally readers, probed lists and hashes."""
+    """A block of queries: ids, unit vectors, and optionally readers, probed lists and buckets."""
 
     ids: list
     matrix: np.ndarray
     users: list | None = None
     lists: np.ndarray | None = None
-    hashes: np.ndarray | None = None
+    buckets: np.ndarray | None = None
     by_user: dict = field(default_factory=dict)
+    by_list: dict = field(default_factory=dict)
+    by_bucket: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        owners = self.users if self.users is not None else [None] * len(self.ids)
-        groups: dict = {}
-        for row, user in enumerate(owners):
-            groups.setdefault(user, []).append(row)
-        self.by_user = {user: np.array(rows) for user, rows in groups.items()}
+        self.by_user = _rows_by(self.users or [])
+
+    def probe(self, lists: np.ndarray) -> None:
+        """Each query meets the vectors of its lists only."""
+        self.lists = lists
+        self.by_list = _rows_by(lists)
+
+    def share(self, buckets: np.ndarray) -> None:
+        """Each query meets the vectors that have one of its buckets only."""
+        self.buckets = buckets
+        self.by_bucket = _rows_by(buckets)
+
+
+def _rows_by(values) -> dict:
+    """Value (or each of several values) to the rows that have it."""
+    groups: dict = {}
+    for row, value in enumerate(values):
+        for v in np.unique(value).tolist() if isinstance(value, np.ndarray) else [value]:
+            groups.setdefault(v, []).append(row)
+    return {value: np.array(rows) for value, rows in groups.items()}
+
+
+def _stored_by(column: pa.Array, wanted) -> dict:
+    """For each wanted value the rows of a list column that hold it, each row once."""
+    values = pa.array(list(wanted), type=column.type.value_type)
+    found = pc.index_in(column.flatten(), value_set=values)
+    hit = np.asarray(pc.is_valid(found))
+    owner = np.asarray(pc.list_parent_indices(column))[hit]
+    which = found.drop_null().to_numpy()
+    keep = np.ones(len(owner), dtype=bool)
+    order = np.lexsort((owner, which))
+    owner, which = owner[order], which[order]
+    keep[1:] = (owner[1:] != owner[:-1]) | (which[1:] != which[:-1])
+    owner, which = owner[keep], which[keep]
+    starts = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else []
+    names = list(wanted)
+    return {names[which[a]]: owner[a:b] for a, b in zip(starts, [*starts[1:], len(which)])}
 
 
 class _Best:
@@ -95,39 +139,73 @@ class _Best:
             self.floor[query] = merged[-1][0]
 
 
+def _meetings(batch: pa.RecordBatch, block: _Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which queries (rows of the block) meet which stored vectors (rows of the batch)."""
+    every = np.arange(len(block.ids))
+    if block.lists is not None:
+        stored = _rows_by(batch.column("list").to_pylist())
+        met = [(block.by_list[v], rows) for v, rows in stored.items() if v in block.by_list]
+    elif block.buckets is not None:
+        stored = _stored_by(batch.column("buckets"), block.by_bucket)
+        partners: dict = {}
+        for bucket, rows in stored.items():
+            for query in block.by_bucket[bucket].tolist():
+                partners.setdefault(query, []).append(rows)
+        met = [(np.array([q]), np.unique(np.concatenate(rows))) for q, rows in partners.items()]
+    else:
+        met = [(every, np.arange(batch.num_rows))]
+    if block.users is None:
+        yield from met
+        return
+    readable = _stored_by(batch.column("permissions"), [u for u in block.by_user if u is not None])
+    for queries, rows in met:
+        for user, seen in readable.items():
+            mine = np.intersect1d(block.by_user[user], queries, assume_unique=True)
+            both = seen if len(rows) == batch.num_rows else np.intersect1d(seen, rows, assume_unique=True)
+            if len(mine) and len(both):
+                yield mine, both
+
+
+def _compared(batch: pa.RecordBatch, block: _Block, encode):
+    """Ids of the batch, and (queries, rows, similarities) of what meets."""
+    ids = np.array(batch.column("id").to_pylist(), dtype=object)
+    vectors = _matrix(batch.column("vector"), encode, block.matrix.shape[1] if len(block.ids) else None)
+    return ids, (
+        (queries, rows, np.round(block.matrix[queries] @ vectors[rows].T, DIGITS))
+        for queries, rows in _meetings(batch, block)
+    )
+
+
 def _scan(batches: Iterator[pa.RecordBatch], block: _Block, k: int, encode) -> _Best:
     best = _Best(len(block.ids), k)
     for batch in batches:
-        if batch.num_rows == 0:
+        if batch.num_rows == 0 or not block.ids:
             continue
-        ids = np.array(batch.column("id").to_pylist(), dtype=object)
-        vectors = _matrix(batch.column("vector"), encode)
-        readers = batch.column("permissions").to_pylist() if block.users is not None else None
-        stored_list = batch.column("list").to_numpy() if block.lists is not None else None
-        stored_hash = (
-            np.array(batch.column("hashes").to_pylist()) if block.hashes is not None else None
-        )
-        for user, rows in block.by_user.items():
-            if readers is None:
-                seen = np.arange(len(ids))
-            else:
-                seen = np.array([i for i, r in enumerate(readers) if r and user in r], dtype=int)
-            if len(seen) == 0:
-                continue
-            sims = np.round(block.matrix[rows] @ vectors[seen].T, DIGITS)
-            for at, query in enumerate(rows):
-                near = None
-                if stored_list is not None:
-                    near = np.isin(stored_list[seen], block.lists[query])
-                elif stored_hash is not None:
-                    near = (stored_hash[seen] == block.hashes[query]).any(axis=1)
-                if near is None:
-                    best.add(query, sims[at], ids[seen])
-                elif near.any():
-                    best.add(query, sims[at][near], ids[seen][near])
+        ids, compared = _compared(batch, block, encode)
+        for queries, rows, sims in compared:
+            for at, query in enumerate(queries.tolist()):
+                best.add(query, sims[at], ids[rows])
     return best
 
 
+def _found(batches, block: _Block, k: int | None, encode, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The best rows of a task, or with ``k`` None all of them, batch by batch."""
+
+    def rows(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    if k is not None:
+        yield rows(_rows(_scan(batches, block, k, encode), block))
+        return
+    for batch in batches:
+        if batch.num_rows == 0 or not block.ids:
+            continue
+        ids, compared = _compared(batch, block, encode)
+        for queries, stored, sims in compared:
+            for at, query in enumerate(queries.tolist()):
+                yield rows(([block.ids[query]] * len(stored), ids[stored].tolist(), sims[at].tolist()))
+
+
 def _rows(best: _Best, block: _Block) -> tuple[list, list, list]:
     queries, ids, sims = [], [], []
     for query, (found_sims, found_ids) in enumerate(best.found):
@@ -165,46 +243,78 @@ def _block_of(rows: pa.Table | pa.RecordBatch, extra: Callable[[_Block], None] |
         matrix=_matrix(combined("vector"), None),
         users=combined("user_id").to_pylist() if "user_id" in names else None,
     )
-    if "hashes" in names:
-        block.hashes = np.array(combined("hashes").to_pylist())
     if extra is not None:
         extra(block)
     return block
 
 
+def _reachable(chunks: DataFrame, block: _Block) -> DataFrame:
+    """Stored rows that some query may meet, as a filter that a partitioned table prunes by."""
+    if block.users is not None and len(block.by_user) <= FILTER_VALUES:
+        users = F.array(*[F.lit(u) for u in block.by_user]).cast("array<string>")
+        chunks = chunks.filter(F.arrays_overlap("permissions", users))
+    if block.lists is not None and len(block.by_list) <= FILTER_VALUES:
+        chunks = chunks.filter(F.col("list").isin(sorted(block.by_list)))
+    if block.buckets is not None and len(block.by_bucket) <= FILTER_VALUES:
+        buckets = F.array(*[F.lit(b) for b in sorted(block.by_bucket)]).cast("array<bigint>")
+        chunks = chunks.filter(F.arrays_overlap("buckets", buckets))
+    return chunks
+
+
 def _search(
     queries: DataFrame,
     chunks: DataFrame,
-    k: int,
+    k: int | None,
     encode: Encoder | None,
     extra: Callable[[_Block], None] | None = None,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Rows (query_id, id, similarity, rank) for frames with columns named as in ``_scan``."""
+    """Rows (query_id, id, similarity, rank) for frames with columns named as in ``_scan``.
+
+    Rows without a vector are left out. All rows are ranked if ``k`` is None.
+    """
     spark = chunks.sparkSession
     result = _result_type(queries, chunks)
+    queries, chunks = (df.filter("vector is not null") for df in (queries, chunks))
     first = queries.limit(query_block + 1).toArrow()
     if first.num_rows <= query_block:
-        shared = spark.sparkContext.broadcast(_block_of(first, extra))
+        own = _block_of(first, extra)
+        shared = spark.sparkContext.broadcast(own)
         schema = _arrow_type(result)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            columns = _rows(_scan(batches, block, k, encode), block)
-            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-        # Every task returns its own best rows, so a few long tasks per core return fewer of them
-        # than one task per file split; nothing is shuffled for this.
-        tasks = max(1, 4 * spark.sparkContext.defaultParallelism)
-        found = chunks.coalesce(tasks).mapInArrow(search, result)
+            yield from _found(batches, shared.value, k, encode, schema)
+
+        found = _reachable(chunks, own).mapInArrow(search, result)
     else:
-        found = _search_in_groups(queries, chunks, k, encode, extra, query_block, result)
+        found = _search_in_groups(queries, _encoded(chunks, encode), k, extra, query_block, result)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def _encoded(chunks: DataFrame, encode: Encoder | None) -> DataFrame:
+    """Texts as vectors, so that they are embedded once however many blocks they meet."""
+    if encode is None:
+        return chunks
+    place = chunks.columns.index("vector")
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = np.asarray(encode(batch.column(place).to_pylist()), dtype=np.float64)
+            column = pa.array(list(vectors), type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [column if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names
+            )
 
+    fields = [
+        T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == "vector" else f.dataType)
+        for f in chunks.schema.fields
+    ]
+    return chunks.mapInArrow(embed, T.StructType(fields))
 
-def _search_in_groups(queries, chunks, k, encode, extra, query_block, result) -> DataFrame:
+
+def _search_in_groups(queries, chunks, k, extra, query_block, result) -> DataFrame:
     """Every block of queries meets every block of vectors in a group of bounded size."""
     query_blocks = -(-queries.count() * 2 // query_block)
     vector_blocks = max(1, -(-chunks.count() // VECTOR_BLOCK))
@@ -222,11 +332,8 @@ def _search_in_groups(queries, chunks, k, encode, extra, query_block, result) ->
     def meet(some_queries: pa.Table, some_chunks: pa.Table) -> pa.Table:
         if some_queries.num_rows == 0 or some_chunks.num_rows == 0:
             return schema.empty_table()
-        block = _block_of(some_queries, extra)
-        columns = _rows(_scan(iter(some_chunks.to_batches()), block, k, encode), block)
-        return pa.Table.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-        )
+        batches = some_chunks.combine_chunks().to_batches()
+        return pa.Table.from_batches(_found(iter(batches), _block_of(some_queries, extra), k, None, schema), schema)
 
     return (
         left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(meet, result)
@@ -248,12 +355,12 @@ def _inputs(queries, chunks, vector, access, more=()):
 def vector_topk(
     queries: DataFrame,
     chunks: DataFrame,
-    k: int = 5,
+    k: int | None = 5,
     access: bool = False,
     encode: Encoder | None = None,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """The ``k`` stored vectors most similar to each query, by cosine.
+    """The ``k`` stored vectors most similar to each query, by cosine; all of them with ``k`` None.
 
     ``queries`` has query_id and embedding, ``chunks`` id and embedding. With ``access`` a query's
     user_id must be among the chunk's permissions. With ``encode`` the chunks carry ``chunk_text``
@@ -269,74 +376,116 @@ def _with_unit_features(df: DataFrame) -> DataFrame:
 
 
 def inverted_lists(chunks: DataFrame, lists: int = 100, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Assign every vector to the nearest of ``lists`` centroids; also return the centroids.
+    """Assign every vector to the nearest of ``lists`` trained centroids; also return the centroids.
 
     Vectors are scaled to length one first, as they are when they are compared.
     """
-    vectors = _with_unit_features(chunks)
+    vectors = _with_unit_features(chunks.filter("embedding is not null"))
     model = KMeans(k=lists, seed=seed, featuresCol="_features", predictionCol="list").fit(vectors)
-    return model.transform(vectors).drop("_features"), np.array(model.clusterCenters())
+    centroids = np.array(model.clusterCenters())
+    return assign_lists(chunks, centroids), centroids
+
+
+def _nearest_lists(matrix: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` centroids nearest to each unit vector, ties by number."""
+    distance = (centroids**2).sum(axis=1)[None, :] - 2 * (matrix @ centroids.T)
+    return np.argsort(np.round(distance, DIGITS), axis=1, kind="stable")[:, :n]
+
+
+def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """Add ``list``, the number of the centroid nearest to the scaled vector; rows without a vector go.
+
+    Stored partitioned by ``list``, a search reads the files of the probed lists only.
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+    stored = chunks.filter("embedding is not null")
+    place = stored.columns.index("embedding")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(batch.column(place), None, shared.value.shape[1])
+            near = _nearest_lists(vectors, shared.value, 1)[:, 0] if len(vectors) else []
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(near, pa.int32())], names=[*batch.schema.names, "list"]
+            )
+
+    return stored.mapInArrow(assign, T.StructType([*stored.schema.fields, T.StructField("list", T.IntegerType())]))
 
 
 def ivf_topk(
     queries: DataFrame,
     listed: DataFrame,
     centroids: np.ndarray,
-    k: int = 5,
+    k: int | None = 5,
     probes: int = 10,
     access: bool = False,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Approximate neighbours: only the ``probes`` lists nearest to a query are compared.
+    """Approximate neighbours: a query is compared with the vectors of its ``probes`` nearest lists only.
 
-    ``listed`` comes from ``inverted_lists``; when it is stored partitioned by ``list``, the
-    filter on the probed lists prunes the files that are read.
+    ``listed`` comes from ``assign_lists`` with the same centroids.
     """
+    centroids = np.asarray(centroids, dtype=np.float64)
 
     def nearest(block: _Block) -> None:
-        distance = ((block.matrix[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
-        block.lists = np.argsort(distance, axis=1)[:, :probes]
+        block.probe(_nearest_lists(block.matrix, centroids, probes))
 
     q, c = _inputs(queries, listed, "embedding", access, more=["list"])
-    return _search(q, c, k, None, nearest, query_block=max(1, QUERY_BLOCK // 16))
+    return _search(q, c, k, None, nearest, query_block)
+
+
+def random_planes(dims: int, tables: int, seed: int = 42) -> np.ndarray:
+    """Directions of the hash tables, one row each."""
+    return np.random.default_rng(seed).standard_normal((tables, dims))
+
+
+def _buckets(matrix: np.ndarray, planes: np.ndarray, bucket_length: float) -> np.ndarray:
+    """The bucket of each unit vector in every table, numbered so that tables do not mix."""
+    spots = np.floor(np.round(matrix @ planes.T, DIGITS) / bucket_length).astype(np.int64)
+    return spots * len(planes) + np.arange(len(planes))
+
+
+def hashed_buckets(chunks: DataFrame, planes: np.ndarray, bucket_length: float = 0.5) -> DataFrame:
+    """Add ``buckets``, one per hash table, to stored vectors; rows without a vector go."""
+    shared = chunks.sparkSession.sparkContext.broadcast(np.asarray(planes, dtype=np.float64))
+    stored = chunks.filter("embedding is not null")
+    place = stored.columns.index("embedding")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(batch.column(place), None, shared.value.shape[1])
+            found = pa.array(list(_buckets(vectors, shared.value, bucket_length)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "buckets"])
+
+    field = T.StructField("buckets", T.ArrayType(T.LongType()))
+    return stored.mapInArrow(add, T.StructType([*stored.schema.fields, field]))
 
 
 def lsh_topk(
     queries: DataFrame,
     chunks: DataFrame,
-    k: int = 5,
+    k: int | None = 5,
     bucket_length: float = 0.5,
     tables: int = 8,
     seed: int = 42,
     access: bool = False,
+    planes: np.ndarray | None = None,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Approximate neighbours: vectors that share a bucket with the query in some hash table.
 
-    A full bucket costs comparisons with the queries that fall into it and nothing else; stored
-    vectors are never compared with each other.
+    A vector is compared with the queries in its buckets and nothing else. ``planes`` gives the directions of
+    the tables; otherwise ``tables`` random ones are drawn. Chunks that already have ``buckets`` (see
+    ``hashed_buckets``) are not hashed again.
     """
-    featured = _with_unit_features(chunks)
-    model = BucketedRandomProjectionLSH(
-        inputCol="_features",
-        outputCol="_hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables,
-        seed=seed,
-    ).fit(featured)
-
-    def hashed(df: DataFrame) -> DataFrame:
-        buckets = F.transform("_hashes", lambda h: vector_to_array(h)[0].cast("bigint"))
-        return model.transform(df).withColumn("hashes", buckets).drop("_features", "_hashes")
-
-    q = hashed(_with_unit_features(queries)).select(
-        "query_id",
-        F.col("embedding").alias("vector"),
-        "hashes",
-        *(["user_id"] if access else []),
-    )
-    c = hashed(featured).select(
-        "id",
-        F.col("embedding").alias("vector"),
-        "hashes",
-        *(["permissions"] if access else []),
-    )
-    return _search(q, c, k, None)
+    if planes is None:
+        sized = queries.filter("embedding is not null").select(F.size("embedding").alias("n")).first()
+        planes = random_planes(sized.n if sized else 1, tables, seed)
+    planes = np.asarray(planes, dtype=np.float64)
+
+    def share(block: _Block) -> None:
+        block.share(_buckets(block.matrix, planes, bucket_length) if block.ids else np.zeros((0, len(planes))))
+
+    hashed = chunks if "buckets" in chunks.columns else hashed_buckets(chunks, planes, bucket_length)
+    q, c = _inputs(queries, hashed, "embedding", access, more=["buckets"])
+    return _search(q, c, k, None, share, query_block)

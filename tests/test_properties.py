@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightwater.functions import chunking
-from brightwater.operators import breaker, limiter, vector
+from brightwater.operators import breaker, limiter, retrieval, vector
 from brightwater.operators.chunks import chunk_documents
 from brightwater.operators.churn_metrics import binary_metrics, optimise_threshold, walk_forward_folds
+from brightwater.plans.scratch import scratch_path
 from brightwater.plans.skew import numbered
 
 
@@ -152,11 +153,64 @@ def test_approximate_search(spark, vectors):
         (vector.ivf_topk(q, listed, centroids, 5, probes=12, access=True), 1.0),
         (vector.ivf_topk(q, listed, centroids, 5, probes=3, access=True), 0.8),
         (vector.lsh_topk(q, c, 5, bucket_length=0.5, tables=10, access=True), 0.6),
+        (vector.ivf_topk(q, listed, centroids, 5, probes=3, access=True, query_block=5), 0.8),
+        (vector.lsh_topk(q, c, 5, bucket_length=0.5, tables=10, access=True, query_block=5), 0.6),
     ]:
         got = {(r.query_id, r.id, r["rank"]) for r in found.collect()}
         assert len({g[:2] for g in got} & {w[:2] for w in want}) >= least * len(want)
 
 
+def test_lists_prune_and_full_probes_are_exact(spark, vectors):
+    q, c = frames(spark, vectors)
+    listed, centroids = vector.inverted_lists(c, lists=12)
+    path = scratch_path(spark, "listed")
+    listed.write.partitionBy("list").parquet(path)
+    stored = spark.read.parquet(path)
+    few = vector.ivf_topk(q.limit(1), stored, centroids, 5, probes=2)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list#" in plan and " IN (" in plan.split("PartitionFilters")[1][:60]
+    exact = vector.vector_topk(q, c, 5)
+    every = vector.ivf_topk(q, stored, centroids, 5, probes=12)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_null_and_ragged_vectors(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    c = spark.createDataFrame([("a", [1.0, 1.0]), ("b", None), ("c", [0.0, 2.0])], "id string, embedding array<double>")
+    assert [r.id for r in vector.vector_topk(q, c, 5).orderBy("rank").collect()] == ["a", "c"]
+    bad = c.union(spark.createDataFrame([("d", [1.0])], c.schema))
+    with pytest.raises(Exception, match="vectors must have 2"):
+        vector.vector_topk(q, bad, 5).collect()
+
+
+def test_all_candidates(spark, vectors):
+    q, c = frames(spark, vectors)
+    every = vector.vector_topk(q, c, None, access=True)
+    queries, stored = vectors
+    assert every.count() == sum(u in p for _, u in queries.values() for _, p in stored.values())
+    assert every.filter("rank <= 5").count() == vector.vector_topk(q, c, 5, access=True).count()
+
+
+def letters(texts):
+    """A custom encoder: letter counts."""
+    return np.array([[(t or "").count(x) for x in "abc"] for t in texts], dtype=float)
+
+
+def test_custom_encoder(spark):
+    chunks = spark.createDataFrame(
+        [(i, "n", t, ["u"]) for i, t in enumerate(["aaa", "abab", "ccc", "bbb a"])],
+        "id int, doc_name string, chunk_text string, permissions array<string>",
+    )
+    queries = spark.createDataFrame([(1, "aab", "u")], "query_id int, text string, user_id string")
+    ranked = retrieval.rank_by_similarity(queries, chunks, 4, embed_fn=letters).orderBy("rank").collect()
+    assert [r.id for r in ranked] == [1, 0, 3, 2]
+    assert retrieval.hybrid_retrieve(queries, chunks, 2, embed_fn=letters).count() == 2
+    asked = spark.createDataFrame([(1, 7, "ccc")], "query_id int, doc_id int, question string")
+    text = spark.createDataFrame([(7, "aaa bbb ccc abc")], "doc_id int, text string")
+    found = retrieval.top_chunks_in_doc(asked, text, 1, n_words=1, embed_fn=letters).collect()
+    assert [r.chunk_text for r in found] == ["ccc"]
+
+
 def sentence_chunks(text, size, overlap):
     import re
 
