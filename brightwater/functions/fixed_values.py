@@ -1,7 +1,8 @@
 """Everything in this module must equal the matched services' constants.
 
 Prices, patterns, roles, message texts, model parameters and lookup tables are stated here as
-plain data; no logic lives in this module.
+plain data; no logic lives in this module. Where the services write a word boundary before or after ASCII
+letters, the patterns say ``(?<!\\w)`` and ``(?!\\w)``, which mean the same in the JVM's dialect.
 """
 
 # Price per million tokens: model -> (input, output).
@@ -59,9 +60,6 @@ JOB_RETENTION_HOURS = 24
 
 VENDOR_PATTERN = r"(?i)vendor[:\s]+([A-Za-z0-9 &.,'-]+)"
 AMOUNT_PATTERN = r"(?i)(?:total|amount)[:\s$€£]*([0-9]+(?:\.[0-9]{1,2})?)"
-AMOUNT_WITH_COMMAS_PATTERN = (
-    r"(?i)(?:total|amount)[:\s$€£]*([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]{1,2})?)"
-)
 DATE_PATTERN = r"(?<!\w)(\d{4}-\d{2}-\d{2})(?!\w)"
 
 # Keywords that state the urgency of an e-mail.
@@ -114,17 +112,6 @@ EMAIL_BODY_AFTER = (
 NOT_FOUND_REPLY = "NOT_FOUND"
 NOT_FOUND_ANSWER = "The answer is not available in the video."
 
-# English stop words that a keyword match ignores.
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself "
-    "she her hers herself it its itself they them their theirs themselves what which who whom "
-    "this that these those am is are was were be been being have has had having do does did doing "
-    "a an the and but if or because as until while of at by for with about against between into "
-    "through during before after above below to from up down in out on off over under again "
-    "further then once here there when where why how all any both each few more most other some "
-    "such no nor not only own same so than too very s t can will just don should now"
-).split()
-
 # Telemetry constants.
 DEFAULT_TELEMETRY_MODEL = "llama-3.3-70b-versatile"
 CHURN_TELEMETRY_MODEL = "stacked-ensemble-xgb-lgbm-rf"
@@ -249,3 +236,22 @@ KEEP_NEW = (
 )
 KEEP_VALUE = "Good value customer - candidate for upsell to a higher-tier plan."
 KEEP_DEFAULT = "Customer appears stable - continue standard engagement."
+
+# Churn features: risk levels, for training (other levels 0.5) and for serving.
+TRAINING_RISK = {
+    "Contract": {"Month-to-month": 1.0, "One year": 0.5, "Two year": 0.0},
+    "InternetService": {"Fiber optic": 1.0, "DSL": 0.5, "No": 0.0},
+    "PaymentMethod": {
+        "Electronic check": 1.0,
+        "Mailed check": 0.7,
+        "Bank transfer (automatic)": 0.3,
+        "Credit card (automatic)": 0.3,
+    },
+}
+TRAINING_RISK_OTHER = 0.5
+SERVING_RISK = {
+    "Contract": {"Month-to-month": 1.0, "One year": 0.5},
+    "InternetService": {"Fiber optic": 1.0, "DSL": 0.5},
+    "PaymentMethod": {"Electronic check": 1.0, "Mailed check": 0.7},
+}
+SERVING_RISK_OTHER = {"Contract": 0.0, "InternetService": 0.0, "PaymentMethod": 0.3}

@@ -83,6 +83,13 @@ def _risk(value: Column, levels: dict[str, float], otherwise: float) -> Column:
     return risk
 
 
+RISKS = {
+    "contract_risk": "Contract",
+    "internet_risk": "InternetService",
+    "payment_risk": "PaymentMethod",
+}
+
+
 def churn_features_train(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The training features, plus the ``keep`` columns.
 
@@ -96,22 +103,10 @@ def churn_features_train(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
         "SeniorCitizen": F.col("SeniorCitizen").cast("double"),
         "log_monthly": F.log1p(monthly),
         "value_score": 1.0 - monthly / highest,
-        "contract_risk": _risk(
-            F.col("Contract"), {"Month-to-month": 1.0, "One year": 0.5, "Two year": 0.0}, 0.5
-        ),
-        "internet_risk": _risk(
-            F.col("InternetService"), {"Fiber optic": 1.0, "DSL": 0.5, "No": 0.0}, 0.5
-        ),
-        "payment_risk": _risk(
-            F.col("PaymentMethod"),
-            {
-                "Electronic check": 1.0,
-                "Mailed check": 0.7,
-                "Bank transfer (automatic)": 0.3,
-                "Credit card (automatic)": 0.3,
-            },
-            0.5,
-        ),
+        **{
+            name: _risk(F.col(column), fixed.TRAINING_RISK[column], fixed.TRAINING_RISK_OTHER)
+            for name, column in RISKS.items()
+        },
     }
     return df.select(*keep, *[F.coalesce(features[f], F.lit(0.0)).alias(f) for f in FEATURES])
 
@@ -143,11 +138,10 @@ def scoring_features(records: DataFrame, log_monthly_bug: bool = True) -> dict[s
         "SeniorCitizen": number("SeniorCitizen"),
         "log_monthly": F.lit(0.0) if log_monthly_bug else F.log1p(monthly),
         "value_score": 1.0 - share,
-        "contract_risk": _risk(text("Contract"), {"Month-to-month": 1.0, "One year": 0.5}, 0.0),
-        "internet_risk": _risk(text("InternetService"), {"Fiber optic": 1.0, "DSL": 0.5}, 0.0),
-        "payment_risk": _risk(
-            text("PaymentMethod"), {"Electronic check": 1.0, "Mailed check": 0.7}, 0.3
-        ),
+        **{
+            name: _risk(text(column), fixed.SERVING_RISK[column], fixed.SERVING_RISK_OTHER[column])
+            for name, column in RISKS.items()
+        },
     }
 
 

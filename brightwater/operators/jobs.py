@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from brightwater.functions import fixed_values as fixed
 from brightwater.functions.text import first_match, is_blank, plain_spaces, trimmed
 
+# Amounts that may have thousands separators.
+AMOUNT_WITH_COMMAS_PATTERN = (
+    r"(?i)(?:total|amount)[:\s$€£]*([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]{1,2})?)"
+)
+
 
 def _body_bytes() -> Column:
     """Bytes of the job as JSON; ``input_json`` is JSON text already."""
@@ -59,7 +64,7 @@ def invoice_fields(text: Column, today: Column, fix_thousands: bool = False) ->
     """
     plain = plain_spaces(text)
     if fix_thousands:
-        digits = F.replace(first_match(plain, fixed.AMOUNT_WITH_COMMAS_PATTERN), F.lit(","), F.lit(""))
+        digits = F.replace(first_match(plain, AMOUNT_WITH_COMMAS_PATTERN), F.lit(","), F.lit(""))
     else:
         digits = first_match(plain, fixed.AMOUNT_PATTERN)
     amount = F.coalesce(digits.cast("double"), F.lit(0.0))

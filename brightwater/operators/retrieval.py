@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightwater.functions.fixed_values import STOP_WORDS
-from brightwater.functions.text import space_split, words
+from brightwater.functions.text import STOP_WORDS, space_split, words
 from brightwater.functions.vectors import cosine_similarity, hash_similarity
 from brightwater.operators.chunks import chunk_documents
 from brightwater.operators.vector import DIGITS, Encoder, hash_encoder, vector_topk

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brightwater.functions.text import is_blank
 
+# What the matched service stores of a document.
 STORED_CHARS = 10_000
 
 TELCO_SCHEMA = (
@@ -37,12 +38,13 @@ def ingest_documents(raw: DataFrame) -> DataFrame:
     return raw.withColumn("reason", reason)
 
 
-def document_rows(checked: DataFrame) -> DataFrame:
-    """The stored form of accepted documents: the first 10 000 characters."""
+def document_rows(checked: DataFrame, stored_chars: int | None = STORED_CHARS) -> DataFrame:
+    """The stored form of accepted documents: the first ``stored_chars`` characters, or the whole text if None."""
+    content = F.col("text") if stored_chars is None else F.substring("text", 1, stored_chars)
     return checked.filter(F.col("reason").isNull()).select(
         F.substring(F.sha2("name", 256), 1, 32).alias("id"),
         "name",
-        F.substring("text", 1, STORED_CHARS).alias("content"),
+        content.alias("content"),
         "permissions",
     )
 
