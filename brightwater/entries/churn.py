@@ -360,7 +360,7 @@ def scores(spark, folder):
     scored = scoring.score_churn(records(spark, folder)).select(
         KEY, F.col("churn").alias("y"), F.col("confidence").alias("p")
     )
-    return metrics.stratified_split(scored, KEY, "y")
+    return metrics.stratified_split(written(scored, "scores"), KEY, "y")
 
 
 _SPLIT = f"""{_SCORED}, hashed AS (SELECT customer_id, churn AS y, confidence AS p, row_number() OVER (PARTITION BY churn ORDER BY md5(concat(cast(customer_id AS varchar), ':42')), customer_id) AS r, count(*) OVER (PARTITION BY churn) AS n FROM scored),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightwater.functions import fixed_values as fixed
 from brightwater.functions.numbers import round_up_half
+from brightwater.plans.scratch import written
 from brightwater.plans.skew import numbered, running_sums
 
 # A slice of scores or hashes is the most that one task sorts; there are about a million of them.
@@ -68,6 +69,8 @@ def binary_metrics(
     per_score = scored.groupBy(group.alias("split"), p.alias("p")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
+    # The running counts read the counts twice; the scored rows are read once.
+    per_score = written(per_score, "score-counts")
     above = running_sums(
         per_score,
         ["split"],

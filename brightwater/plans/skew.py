@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightwater.plans.scratch import written
+
 BROADCAST_ROWS = 100_000
 
 
@@ -60,8 +62,14 @@ def running_sums(
     totals = sliced.groupBy(*keys, *cut).agg(
         *[F.sum(v).alias(f"_total{i}") for i, v in enumerate(values)]
     )
+    # Without a key the slices are themselves dealt to ordered parts, whose totals are few.
+    parts: list[str] = []
+    if not keys:
+        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = totals.repartitionByRange(count, *cut).withColumn("_part", F.spark_partition_id())
+        totals, parts = written(dealt, "slices"), ["_part"]
     earlier = (
-        Window.partitionBy(*keys).orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, *parts).orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys + cut)],
@@ -69,7 +77,27 @@ def running_sums(
             F.coalesce(F.sum(f"_total{i}").over(earlier), F.lit(0)).alias(f"_offset{i}")
             for i in range(len(names))
         ],
+        *parts,
     )
+    if parts:
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sums_of = totals.groupBy("_part").agg(
+            *[F.sum(f"_total{i}").alias(f"_whole{i}") for i in range(len(names))]
+        )
+        shifts = sums_of.select(
+            "_part",
+            *[
+                F.coalesce(F.sum(f"_whole{i}").over(before), F.lit(0)).alias(f"_shift{i}")
+                for i in range(len(names))
+            ],
+        )
+        offsets = offsets.join(shifts, "_part").select(
+            *[f"_k{i}" for i in range(len(cut))],
+            *[
+                (F.col(f"_offset{i}") + F.col(f"_shift{i}")).alias(f"_offset{i}")
+                for i in range(len(names))
+            ],
+        )
     within = Window.partitionBy(*keys, *cut).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -60,3 +60,14 @@ def test_rows_of_many_queries_equal_those_of_few(spark):
     few = vector.vector_topk(queries, stored, 5)
     many = vector.vector_topk(queries, stored, 5, query_block=3)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_metrics_read_the_scores_once(spark):
+    text = driver.queries()["binary_metrics"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") <= 4
+
+
+def test_positions_without_a_key_have_no_single_window(spark):
+    found = driver.queries()["walk_forward_folds"](spark, FOLDER)
+    windows = [line for line in plan(found).split("\n") if " Window [" in line]
+    assert any("_part" in line for line in windows)
