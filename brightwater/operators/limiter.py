@@ -11,6 +11,9 @@ observations keep the exact answer distributed:
 * Only runs of other buckets need the decisions in sequence. A run starts after a quiet bucket,
   whose accepted requests are known, so runs are independent of each other and each is streamed in
   time order with at most ``limit`` entries of state.
+* A long run is cut into time slices. All slices first start from an empty window; then every slice
+  whose predecessor ends with another window than it started from is run again from that one, until
+  none is left. Windows soon meet whatever they started from, unless traffic keeps them apart.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwater.functions import fixed_values as fixed
+from brightwater.plans.scratch import written
 from brightwater.plans.skew import with_time_slices
 
 _USER = ["project", "user_id"]
@@ -90,27 +94,76 @@ def _marked_buckets(cells: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _decide_runs(cells: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """Decisions for cells of busy runs, each run streamed in time order."""
+_SLICE = [*_USER, "run", "slot"]
+_WINDOW = "array<struct<ms: long, accepted: long>>"
+
+
+def _replayed(cells: DataFrame, limit: int, window_ms: int, decisions: bool) -> DataFrame:
+    """Run slices in time order from their ``entry`` windows: their decisions, or their exit windows."""
     columns = ["project", "user_id", "ts_ms", "n", "before", "accepted", "oldest"]
     schema = "project string, user_id string, ts_ms long, n long, before long, accepted long, oldest long"
+    exits = f"project string, user_id string, run long, slot long, exit {_WINDOW}"
+
+    def ended(key, window) -> pd.DataFrame:
+        held = [{"ms": ms, "accepted": count} for ms, count in window.entries]
+        return pd.DataFrame([(*key, held)], columns=[*_SLICE, "exit"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, window = None, AcceptedWindow(limit, window_ms)
         for batch in batches:
             out = []
-            for project, user, run, now, n, known in zip(
-                batch.project, batch.user_id, batch.run, batch.ts_ms, batch.n, batch.known
+            entries = batch.entry if "entry" in batch else [None] * len(batch)
+            for project, user, run, slot, now, n, known, entry in zip(
+                batch.project, batch.user_id, batch.run, batch.slot, batch.ts_ms, batch.n, batch.known, entries
             ):
-                if (project, user, run) != current:
-                    current, window = (project, user, run), AcceptedWindow(limit, window_ms)
+                if (project, user, run, slot) != current:
+                    if current is not None and not decisions:
+                        yield ended(current, window)
+                    current = (project, user, run, slot)
+                    held = [(e["ms"], e["accepted"]) for e in entry] if entry is not None else ()
+                    window = AcceptedWindow(limit, window_ms, held)
                 decision = window.offer(int(now), int(n), bool(known))
                 if not known:
                     out.append((project, user, now, n, *decision))
-            yield pd.DataFrame(out, columns=columns)
-
-    ordered = cells.repartition(*_USER, "run").sortWithinPartitions(*_USER, "run", "ts_ms")
-    return ordered.mapInPandas(decide, schema)
+            if decisions:
+                yield pd.DataFrame(out, columns=columns)
+        if current is not None and not decisions:
+            yield ended(current, window)
+
+    ordered = cells.repartition(*_SLICE).sortWithinPartitions(*_SLICE, "ts_ms")
+    return ordered.mapInPandas(decide, schema if decisions else exits)
+
+
+def _decide_runs(cells: DataFrame, limit: int, window_ms: int, slice_ms: int) -> DataFrame:
+    """Decisions for cells of busy runs, each slice of a run streamed in time order."""
+    cells = cells.withColumn("slot", F.floor(F.col("ts_ms") / F.lit(slice_ms)))
+    long_runs = (
+        cells.groupBy(*_USER, "run")
+        .agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+        .filter("first < last")
+    )
+    if long_runs.isEmpty():
+        return _replayed(cells, limit, window_ms, True)
+    cells = written(cells, "busy-cells")
+    exits = written(_replayed(cells, limit, window_ms, False), "exits")
+    entries = exits.select(*_SLICE, F.array().cast(_WINDOW).alias("entry"))
+    order = Window.partitionBy(*_USER, "run").orderBy("slot")
+    while True:
+        # What the slice before ends with is what this one starts from.
+        handed = exits.withColumn("given", F.lag("exit").over(order)).select(*_SLICE, "given")
+        wanted = entries.join(handed, _SLICE).withColumn(
+            "given", F.coalesce("given", F.array().cast(_WINDOW))
+        )
+        wanted = wanted.withColumn("again", ~F.col("given").eqNullSafe(F.col("entry")))
+        step = written(wanted, "entries")
+        entries = step.select(*_SLICE, F.col("given").alias("entry"))
+        again = step.filter("again").select(*_SLICE, F.col("given").alias("entry"))
+        if again.isEmpty():
+            return _replayed(cells.join(entries, _SLICE), limit, window_ms, True)
+        rerun = _replayed(cells.join(again, _SLICE), limit, window_ms, False)
+        exits = written(
+            exits.join(again.select(*_SLICE), _SLICE, "left_anti").unionByName(rerun), "exits"
+        )
 
 
 def _decide_quiet(cells: DataFrame, window_ms: int) -> DataFrame:
@@ -136,15 +189,18 @@ def rate_limit_batch(
     requests: DataFrame,
     limit: int = fixed.REQUESTS_PER_WINDOW,
     window_ms: int = fixed.RATE_WINDOW_MS,
+    slice_ms: int | None = None,
 ) -> DataFrame:
     """Add ``allowed``, ``remaining`` and ``reset_in`` (seconds) to each request.
 
     ``requests`` has id, project, user_id (both strings) and ts_ms. Requests of one user are taken
-    in the order of (ts_ms, id).
+    in the order of (ts_ms, id). ``slice_ms`` is the longest piece of a busy run that one task streams
+    (by default 60 windows); the result does not depend on it.
     """
     cells = requests.groupBy(
         *_USER, F.floor(F.col("ts_ms") / F.lit(window_ms)).alias("bucket"), "ts_ms"
     ).agg(F.count(F.lit(1)).alias("n"))
+    cells = written(cells, "cells")
     marked = cells.join(_marked_buckets(cells, limit), [*_USER, "bucket"])
 
     run = F.coalesce("run", "context_of")
@@ -152,7 +208,7 @@ def rate_limit_batch(
         *_USER, run.alias("run"), "ts_ms", "n", (~F.col("in_chain")).alias("known")
     )
     # A cell outside the chains sees only its own bucket and the one before, and both are quiet.
-    decisions = _decide_runs(chained, limit, window_ms).unionByName(
+    decisions = _decide_runs(chained, limit, window_ms, max(slice_ms or 60 * window_ms, window_ms)).unionByName(
         _decide_quiet(marked.filter("NOT busy"), window_ms)
     )
 

@@ -123,6 +123,21 @@ def vectors():
     return queries, stored
 
 
+@pytest.mark.parametrize("slice_ms", [1000, 4000])
+def test_limiter_slices_of_one_busy_user(spark, slice_ms):
+    """Long runs cut into slices, with traffic that keeps windows apart and traffic that lets them meet."""
+    pick = random.Random(7)
+    rows, now = [], 0
+    for i in range(3000):
+        now += pick.choice([0, 20, 40, 130] if (i // 500) % 2 else [250])
+        rows.append((i, "p", pick.choice(["a", "a", "a", "b"]), now))
+    frame = spark.createDataFrame(rows, "id long, project string, user_id string, ts_ms long").repartition(3)
+    got = limiter.rate_limit_batch(frame, 4, 1000, slice_ms)
+    assert {r.id: (r.allowed, r.remaining, r.reset_in) for r in got.collect()} == limited(rows, 4, 1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "slot" in plan
+
+
 def frames(spark, vectors):
     queries, stored = vectors
     q = spark.createDataFrame(
