@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from brightwater.entries import entry
@@ -496,9 +497,30 @@ def assembled(spark, folder):
     )
 
 
-@entry("fit_logreg")
+def _no_gradient(names) -> str:
+    values = ", ".join("('" + n.replace("'", "''") + "')" for n in names)
+    return f"SELECT feature, 0.0::double AS gradient FROM (VALUES {values}) f(feature)"
+
+
+@entry("fit_logreg", _no_gradient(["_intercept", *training.FEATURES]))
 def fit_logreg(spark, folder):
-    return training.coefficient_table(spark, training.fit_logreg(assembled(spark, folder)))
+    """The slope of the penalized loss at the fitted weights, which is zero where it is smallest."""
+    rows = assembled(spark, folder)
+    model = training.fit_logreg(rows)
+    scored = training.positive_probability(rows, model, "p")
+    error = F.col("weight") * (F.col("p") - F.col("label"))
+    total = rows.agg(F.sum("weight")).first()[0]
+    sums = (
+        scored.select(error.alias("error"), F.posexplode(vector_to_array("features")).alias("at", "x"))
+        .groupBy("at")
+        .agg((F.sum(F.col("error") * F.col("x")) / total).alias("slope"))
+    )
+    penalty = model.getRegParam()
+    weights = [(i, name, float(w) * penalty) for i, (name, w) in enumerate(zip(training.FEATURES, model.coefficients))]
+    named = spark.createDataFrame(weights, "at int, feature string, pull double")
+    slopes = sums.join(F.broadcast(named), "at").select("feature", (F.col("slope") + F.col("pull")).alias("slope"))
+    level = scored.agg((F.sum(error) / total).alias("slope")).select(F.lit("_intercept").alias("feature"), "slope")
+    return slopes.unionByName(level).select("feature", F.abs(F.round("slope", 3)).alias("gradient"))
 
 
 @entry("fit_stack")
@@ -530,9 +552,17 @@ def walk_forward(spark, folder):
     )
 
 
-@entry("calibrate_platt")
+@entry("calibrate_platt", _no_gradient(["_intercept", "p"]))
 def calibrate_platt(spark, folder):
-    scored = scores(spark, folder)
-    return training.calibrate_platt(scored.filter("is_validation"), scored).select(
-        KEY, "y", "p", "calibrated"
+    """The slope of the loss on the held-out scores at the fitted curve, which is zero where it is smallest."""
+    held_out = scores(spark, folder).filter("is_validation")
+    fitted = training.calibrate_platt(held_out, held_out)
+    error = F.col("calibrated") - F.col("y")
+    slopes = fitted.agg(F.avg(error).alias("level"), F.avg(error * F.col("p")).alias("slope"))
+    named = F.explode(
+        F.array(
+            F.struct(F.lit("_intercept").alias("feature"), F.col("level").alias("g")),
+            F.struct(F.lit("p").alias("feature"), F.col("slope").alias("g")),
+        )
     )
+    return slopes.select(named.alias("r")).select("r.feature", F.abs(F.round("r.g", 3)).alias("gradient"))

@@ -7,7 +7,7 @@ from tests.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 # Trained models have no SQL form and take long; test_training.py covers them.
-TRAINED = {"fit_logreg", "fit_stack", "tune_cv", "walk_forward", "calibrate_platt"}
+TRAINED = {"fit_stack", "tune_cv", "walk_forward"}
 
 
 @pytest.fixture(scope="module")
