@@ -12,12 +12,15 @@ Only positions are sorted; ids move once, to meet the places of their document.
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,36 +34,73 @@ END_ID = 1
 DIMENSIONS = 3
 #: Bits of the grid per dimension; the curve position has DIMENSIONS times as many.
 BITS = 16
-#: Distinct words whose ids a worker remembers.
-REMEMBERED_WORDS = 400_000
+#: Distinct words, and as many pieces of words, whose ids a worker remembers.
+REMEMBERED = 500_000
+#: Texts are tokenized in blocks of this many bytes, or one longer text.
+TOKEN_BLOCK = 4 << 20
 #: Ids of a piece that are copied at once into a result batch.
 BATCH_IDS = 1 << 20
 
 
 class WordIds:
-    """Token ids of whole texts, encoding each distinct word once.
+    """Token ids of whole texts, encoding each distinct piece of a word once.
 
     White space never becomes part of a token of the vocabularies this is used with, so a text's ids are
-    those of its space- and newline-separated words in order.
+    those of its space- and newline-separated words in order. If the tokenizer lower-cases and splits by a
+    pattern, plain words (Latin letters, digits, signs) are cut into the pieces that it encodes by themselves.
+    Words and pieces seen lately are remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, np.ndarray] = {}
-
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        missing = [w for w in words if w not in self._known]
-        if len(self._known) + len(missing) > REMEMBERED_WORDS:
-            self._known = {}
-            missing = words
-        for a in range(0, len(missing), 4096):
-            block = missing[a : a + 4096]
-            for word, found in zip(block, self._tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                self._known[word] = np.array(found.ids, dtype=np.uint32)
-        return [self._known[w] for w in words]
+        self._split = _piece_pattern(path)
+        self._most = REMEMBERED if remembered is None else remembered
+        self._pieces: dict[str, bytes] = {}
+        self._words = pa.array([], pa.string())
+        self._sizes, self._flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _coded(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(texts), 4096):
+            found = self._tokenizer.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)
+            out += [array("I", f.ids).tobytes() for f in found]
+        return out
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        plain, split = _PLAIN.fullmatch, self._split
+        parts = [
+            split.findall(w.lower()) if split is not None and plain(w) and "<|" not in w else [w] for w in words
+        ]
+        if len(self._pieces) > self._most:
+            self._pieces = {}
+        known = self._pieces
+        new = list({piece for found in parts for piece in found if piece not in known})
+        known.update(zip(new, self._coded(new)))
+        return [known[found[0]] if len(found) == 1 else b"".join([known[x] for x in found]) for found in parts]
+
+    def _rows_of(self, words: pa.Array) -> np.ndarray:
+        """Where the given distinct words stand among the remembered ones, which they join."""
+        rows = pc.index_in(words, value_set=self._words)
+        missing = pc.is_null(rows)
+        new = words.filter(missing)
+        if not len(new):
+            return rows.to_numpy()
+        coded = self._encoded(new.to_pylist())
+        sizes = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
+        if len(self._words) + len(new) > self._most:  # keep what these words need
+            old = rows.drop_null().to_numpy()
+            self._flat = self._flat[_ranges((np.cumsum(self._sizes) - self._sizes)[old], self._sizes[old])]
+            self._words, self._sizes = self._words.take(pa.array(old)), self._sizes[old]
+            rows = pc.index_in(words, value_set=self._words)
+        place = np.array(pc.fill_null(rows, -1).to_numpy(zero_copy_only=False))
+        place[np.asarray(missing)] = np.arange(len(new)) + len(self._words)
+        self._words = pa.concat_arrays([self._words, new])
+        self._sizes = np.concatenate((self._sizes, sizes))
+        self._flat = np.concatenate((self._flat, np.frombuffer(b"".join(coded), dtype=np.uint32)))
+        return place
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and where each text begins (one more entry for the end)."""
@@ -68,15 +108,35 @@ class WordIds:
         words = pc.split_pattern(spaced, " ")
         ends = np.asarray(words.offsets) - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        pieces = self._encoded(coded.dictionary.to_pylist())
-        sizes = np.fromiter((len(p) for p in pieces), np.int64, len(pieces))
-        flat = np.concatenate([*pieces, np.zeros(0, np.uint32)])
-        begins = np.cumsum(sizes) - sizes
-        number = coded.indices.to_numpy()
-        counts = sizes[number]
-        done = np.concatenate(([0], np.cumsum(counts)))
-        at = np.repeat(begins[number] - done[:-1], counts) + np.arange(done[-1])
-        return flat[at], done[ends]
+        rows = self._rows_of(coded.dictionary)[coded.indices.to_numpy()]
+        sizes = self._sizes[rows]
+        begins = (np.cumsum(self._sizes) - self._sizes)[rows]
+        done = np.concatenate(([0], np.cumsum(sizes)))
+        return self._flat[_ranges(begins, sizes)], done[ends]
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begins[i], begins[i] + 1, ... (sizes[i] of them), for one i after the other."""
+    done = np.cumsum(sizes) - sizes
+    return np.repeat(begins - done, sizes) + np.arange(sizes.sum())
+
+
+#: Words of which lower-casing and the split pattern are the same here and in the tokenizer.
+_PLAIN = regex.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u017f]*")
+
+
+def _piece_pattern(path: str):
+    """The split pattern of a tokenizer that lower-cases and splits by one removed pattern; else None."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    steps = (told.get("normalizer") or {}).get("normalizers", [])
+    cut = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if steps != [{"type": "NFC"}, spaces, {"type": "Lowercase"}] or (
+        cut.get("type"), cut.get("behavior"), cut.get("invert")
+    ) != ("Split", "Removed", True):
+        return None
+    return regex.compile(cut["pattern"]["Regex"])
 
 
 _held: dict[str, WordIds] = {}
@@ -88,27 +148,41 @@ def _word_ids(path: str) -> WordIds:
     return _held[path]
 
 
-def _directions(ids: np.ndarray) -> np.ndarray:
-    """The projected coordinates, in [-1, 1], of each token's hashed one-hot vector."""
-    out = np.empty((len(ids), DIMENSIONS))
-    for k in range(DIMENSIONS):
-        table = constants(1 << 16, 101 + k).view(np.int64) / float(1 << 63)
-        out[:, k] = table[(ids * np.uint32(2654435761)) >> np.uint32(16)]
+def _vectors(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The mean of the projected hashed vectors of each text's tokens, dimension by dimension in [-1, 1]."""
+    counts = np.maximum(np.diff(ends), 1)
+    with np.errstate(over="ignore"):
+        spots = (ids * np.uint32(2654435761)) >> np.uint32(16)
+        out = []
+        for k in range(DIMENSIONS):
+            direction = constants(1 << 16, 101 + k).view(np.int64) / float(1 << 63)
+            sums = np.zeros(len(ids) + 1)
+            np.cumsum(direction[spots], out=sums[1:])
+            out.append((sums[ends[1:]] - sums[ends[:-1]]) / counts)
     return out
 
 
+def _gathered(batches):
+    """Rows and texts of as many batches as make up a block."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= TOKEN_BLOCK:
+            yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+
+
 def _tokens(path: str, end_id: int | None):
     def run(batches):
         coder = _word_ids(path)
-        for batch in batches:
-            rows, texts = batch.column(0), batch.column(1)
-            for a, b in text_blocks(texts):
+        for rows, texts in _gathered(batches):
+            for a, b in text_blocks(texts, TOKEN_BLOCK):
                 ids, ends = coder.texts(texts.slice(a, b - a))
                 counts = np.diff(ends)
-                with np.errstate(over="ignore"):
-                    sums = np.zeros((len(ids) + 1, DIMENSIONS))
-                    np.cumsum(_directions(ids), axis=0, out=sums[1:])
-                vectors = (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(counts, 1)[:, None]
+                vectors = _vectors(ids, ends)
                 tail = [] if end_id is None else [end_id]
                 own = [
                     np.append(ids[p:q], tail).astype("<u4") for p, q in zip(ends[:-1].tolist(), ends[1:].tolist())
@@ -118,7 +192,7 @@ def _tokens(path: str, end_id: int | None):
                     {
                         ROW: rows.slice(a, b - a),
                         "n": pa.array(counts + len(tail), pa.int64()),
-                        **{f"x{k}": pa.array(vectors[:, k]) for k in range(DIMENSIONS)},
+                        **{f"x{k}": pa.array(vectors[k]) for k in range(DIMENSIONS)},
                         "ids": pa.array([x.tobytes() for x in small], pa.binary()),
                     }
                 )

@@ -1,5 +1,6 @@
 """Packing: an exact round trip of ids, full sequences, and the curve."""
 
+import random
 import zlib
 
 import numpy as np
@@ -70,6 +71,20 @@ def test_word_ids_are_the_tokenizers(tokenizer):
         assert ids[ends[k] : ends[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("remembered", [None, 50])
+def test_random_words_are_encoded_like_whole_texts(tokenizer, remembered):
+    pick = random.Random(4)
+    signs = "aAzZéÉßÀŒœŠİΣσςıſªº²¼½«»¿…—'’`!#$%&*+-./:;<=>?@[]^_|~0123456789\u0301\u00ad\u00a0\t日本😀"
+    coder = WordIds(PATH, remembered=remembered)
+    texts = ["".join(pick.choices(signs + " " * 12 + "\n'st", k=pick.randint(0, 80))) for _ in range(3000)]
+    texts += ["I'll DON'T it's WE'RE x's'", "<|startoftext|>a <|x b|> A<|endoftext|>B"]
+    for a in range(0, len(texts), 700):
+        block = texts[a : a + 700]
+        ids, ends = coder.texts(pa.array(block))
+        for k, text in enumerate(block):
+            assert ids[ends[k] : ends[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("dimensions,bits", [(2, 4), (3, 3)])
 def test_hilbert_steps_to_neighbours(dimensions, bits):
     side = 2**bits
