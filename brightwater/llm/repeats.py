@@ -462,7 +462,7 @@ def remove_repeats(
     spark = docs.sparkSession
     source = identified(docs, key, text=F.col(text))
     texts = source.rows
-    buckets = max(64, partitions(spark))
+    buckets = max(16, partitions(spark))
     hot_bits = max(1, math.ceil(math.log2(buckets)))
     codes = (
         texts.select(ROW, "text")
