@@ -81,44 +81,138 @@ class _Limiter(StatefulProcessor):
         project, user = key
         held = [(e[0], e[1]) for e in self.accepted.get()] if self.accepted.exists() else []
         window = AcceptedWindow(self.limit, self.window_ms, held)
-        full = -(-self.window_ms // 1000)
-        out = []
         batch = _in_order(rows, "ts_ms", "id")
-        for row_id, now in zip(batch["id"].tolist(), batch["ts_ms"].tolist()):
-            before, accepted, oldest = window.offer(now, 1)
-            if accepted:
-                out.append((row_id, project, user, now, True, self.limit - before - 1, full))
-            else:
-                wait = -(-(oldest + self.window_ms - now) // 1000)
-                out.append((row_id, project, user, now, False, 0, wait))
+        out = [
+            (project, user, *_limited(window, row_id, now))
+            for row_id, now in zip(batch["id"].tolist(), batch["ts_ms"].tolist())
+        ]
         self.accepted.put(list(window.entries))
-        yield pd.DataFrame(
-            out,
-            columns=["id", "project", "user_id", "ts_ms", "allowed", "remaining", "reset_in"],
-        )
+        yield pd.DataFrame(out, columns=["project", "user_id", *_LIMITED])[_LIMITER_COLUMNS]
+
+    def close(self) -> None:
+        pass
+
+
+class _Slices(StatefulProcessor):
+    """Holds rows in time slices until the watermark has passed a slice, then decides it in time order.
+
+    A task sorts one slice of one key at a time, however much of the key a micro-batch brings.
+    """
+
+    #: Columns that order rows, the time in milliseconds first, and what else a decision needs.
+    columns: tuple[str, ...] = ()
+    kinds: tuple[T.DataType, ...] = ()
+
+    def __init__(self, slice_ms: int):
+        self.slice_ms = slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        row = T.StructType([T.StructField(n, k) for n, k in zip(self.columns, self.kinds)])
+        rows = T.StructType([T.StructField("rows", T.ArrayType(row))])
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("slot", T.LongType())]), rows)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for slot, part in batch.groupby(batch["ts_ms"] // self.slice_ms):
+                at = (int(slot),)
+                held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
+                new = [tuple(r) for r in part[list(self.columns)].itertuples(index=False, name=None)]
+                self.waiting.updateValue(at, ([*map(tuple, held), *new],))
+                self.handle.registerTimer((int(slot) + 1) * self.slice_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        slots = sorted(s[0] for s in self.waiting.keys())
+        for slot in [s for s in slots if (s + 1) * self.slice_ms <= passed]:
+            rows = sorted(tuple(r) for r in self.waiting.getValue((slot,))[0])
+            self.waiting.removeKey((slot,))
+            yield self.decide(key, rows)
+        if not any((s + 1) * self.slice_ms > passed for s in slots):
+            self.idle(passed)
+
+    def decide(self, key, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def idle(self, now: int) -> None:
+        """Called when nothing waits any more."""
 
     def close(self) -> None:
         pass
 
 
+class _SlicedLimiter(_Slices):
+    columns, kinds = ("ts_ms", "id"), (T.LongType(), T.LongType())
+
+    def __init__(self, limit: int, window_ms: int, slice_ms: int):
+        super().__init__(slice_ms)
+        self.limit, self.window_ms = limit, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        entry = T.StructType([T.StructField("ms", T.LongType()), T.StructField("accepted", T.LongType())])
+        self.accepted = handle.getListState("accepted", entry)
+
+    def _window(self) -> AcceptedWindow:
+        held = [(e[0], e[1]) for e in self.accepted.get()] if self.accepted.exists() else []
+        return AcceptedWindow(self.limit, self.window_ms, held)
+
+    def decide(self, key, rows: list[tuple]) -> pd.DataFrame:
+        window = self._window()
+        out = [(*key, *_limited(window, row_id, now)) for now, row_id in rows]
+        self.accepted.put(list(window.entries))
+        return pd.DataFrame(out, columns=["project", "user_id", *_LIMITED])[_LIMITER_COLUMNS]
+
+    def idle(self, now: int) -> None:
+        """Forget a user whose window is empty; until then look again when it will be."""
+        entries = self._window().entries
+        if entries and entries[-1][0] + self.window_ms > now:
+            self.handle.registerTimer(entries[-1][0] + self.window_ms)
+        else:
+            self.accepted.clear()
+
+
+_LIMITED = ["id", "ts_ms", "allowed", "remaining", "reset_in"]
+_LIMITER_COLUMNS = ["id", "project", "user_id", "ts_ms", "allowed", "remaining", "reset_in"]
+
+
+def _limited(window: AcceptedWindow, row_id: int, now: int) -> tuple:
+    before, accepted, oldest = window.offer(now, 1)
+    if accepted:
+        return row_id, now, True, window.limit - before - 1, -(-window.window_ms // 1000)
+    return row_id, now, False, 0, -(-(oldest + window.window_ms - now) // 1000)
+
+
+def _event_timed(df: DataFrame, late: str) -> DataFrame:
+    """Rows with their event time under a watermark."""
+    return df.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", late)
+
+
 def rate_limit_stream(
     requests: DataFrame,
     limit: int = fixed.REQUESTS_PER_WINDOW,
     window_ms: int = fixed.RATE_WINDOW_MS,
+    late: str | None = None,
 ) -> DataFrame:
     """``rate_limit_batch`` on a stream (id, project, user_id, ts_ms), whose id is a long.
 
-    Input must arrive in time order across micro-batches; within one it is sorted.
+    With ``late`` rows may come in any order up to that far behind the newest: they wait in slices of a window
+    until the watermark has passed, a user is forgotten when the window is empty, and later rows are
+    dropped. Without it rows are decided at once, must arrive in time order across micro-batches (within one
+    they are sorted), and users are kept.
     """
     keyed_state(requests.sparkSession)
-    return requests.groupBy("project", "user_id").transformWithStateInPandas(
-        statefulProcessor=_Limiter(limit, window_ms),
+    timed = late is not None
+    source = _event_timed(requests, late) if timed else requests
+    return source.groupBy("project", "user_id").transformWithStateInPandas(
+        statefulProcessor=_SlicedLimiter(limit, window_ms, window_ms) if timed else _Limiter(limit, window_ms),
         outputStructType=(
             "id long, project string, user_id string, ts_ms long, allowed boolean, "
             "remaining long, reset_in long"
         ),
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime" if timed else "None",
     )
 
 
@@ -147,19 +241,53 @@ class _Breaker(StatefulProcessor):
         pass
 
 
+class _SlicedBreaker(_Slices):
+    columns, kinds = ("ts_ms", "seq", "success"), (T.LongType(), T.LongType(), T.BooleanType())
+
+    def __init__(self, threshold: int, reset_ms: int, consecutive: bool, slice_ms: int):
+        super().__init__(slice_ms)
+        self.rules = (threshold, reset_ms, consecutive)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        fields = [T.StructField(n, T.LongType()) for n in ("failures", "opened")]
+        self.current = handle.getValueState("state", T.StructType(fields))
+
+    def decide(self, key, rows: list[tuple]) -> pd.DataFrame:
+        state = tuple(self.current.get()) if self.current.exists() else (0, -1)
+        out = []
+        for now, seq, success in rows:
+            after = step(state, now, success, *self.rules)
+            out.extend(changes(key[0], now, seq, state, after))
+            state = after
+        self.current.update(state)
+        return pd.DataFrame(out, columns=["name", "ts_ms", "seq", "before", "after"])
+
+
 def breaker_stream(
     events: DataFrame,
     threshold: int = fixed.BREAKER_FAILURES,
     reset_ms: int = fixed.BREAKER_RESET_MS,
     consecutive: bool = False,
+    late: str | None = None,
 ) -> DataFrame:
-    """``breaker_batch`` on a stream (name, ts_ms, seq, success)."""
+    """``breaker_batch`` on a stream (name, ts_ms, seq, success).
+
+    ``late`` is that of ``rate_limit_stream``: rows wait in slices of ``reset_ms`` until the watermark has
+    passed; without it they must arrive in time order across micro-batches.
+    """
     keyed_state(events.sparkSession)
-    return events.groupBy("name").transformWithStateInPandas(
-        statefulProcessor=_Breaker(threshold, reset_ms, consecutive),
+    timed = late is not None
+    processor = (
+        _SlicedBreaker(threshold, reset_ms, consecutive, reset_ms)
+        if timed
+        else _Breaker(threshold, reset_ms, consecutive)
+    )
+    return (_event_timed(events, late) if timed else events).groupBy("name").transformWithStateInPandas(
+        statefulProcessor=processor,
         outputStructType="name string, ts_ms long, seq long, before string, after string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime" if timed else "None",
     )
 
 

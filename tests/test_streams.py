@@ -11,7 +11,7 @@ from brightwater.operators.tables import last_n_interactions
 from brightwater.plans import tables
 from brightwater.plans.scratch import scratch_path
 from brightwater.streaming import streams
-from brightwater.streaming.runs import collected
+from brightwater.streaming.runs import batch_writer, collected, run_available
 
 FOLDER = "/root/testdata/sf0.001"
 PARTS = 4
@@ -49,6 +49,57 @@ def test_breaker_stream(spark):
     same(got.drop("batch"), breaker.breaker_batch(events, 3, guard_jobs.RESET_MS, slice_ms=guard_jobs.DAY_MS))
 
 
+def out_of_order(spark, df, name, flush, by="ts_ms"):
+    """The rows in files that overlap in time, then one far later row that lets the watermark pass all."""
+    path = scratch_path(spark, name)
+    rows = df.toPandas().sort_values(by).reset_index(drop=True)
+    rows = rows.iloc[[i for k in range(PARTS) for i in range(k, len(rows), PARTS)]]
+    for part in range(PARTS):
+        piece = rows.iloc[part * len(rows) // PARTS : (part + 1) * len(rows) // PARTS]
+        spark.createDataFrame(piece, df.schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    spark.createDataFrame([flush], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return streams.read_queue(spark, path, df.schema, files_per_trigger=1)
+
+
+def test_limiter_stream_out_of_order(spark):
+    """Rows in any order within the lateness are decided as in time order."""
+    requests = guard_jobs.limited_requests(spark, FOLDER).withColumn("user_id", F.col("user_id").substr(1, 1))
+    last = requests.agg(F.max("ts_ms")).first()[0]
+    flush = (-1, "flush", "flush", last + 1000 * guard_jobs.DAY_MS)
+    wide = requests.select("id", "project", "user_id", "ts_ms")
+    stream = out_of_order(spark, wide, "requests-mixed", flush)
+    got = collected(streams.rate_limit_stream(stream, 3, guard_jobs.DAY_MS, late="400 days"), "limited-mixed")
+    same(got.drop("batch").filter("id >= 0"), limiter.rate_limit_batch(wide, 3, guard_jobs.DAY_MS))
+
+
+def test_breaker_stream_out_of_order(spark):
+    events = guard_jobs.call_outcomes(spark, FOLDER).select("name", "ts_ms", "seq", "success")
+    last = events.agg(F.max("ts_ms")).first()[0]
+    flush = ("flush", last + 1000 * guard_jobs.DAY_MS, -1, True)
+    stream = out_of_order(spark, events, "calls-mixed", flush)
+    got = collected(streams.breaker_stream(stream, 3, guard_jobs.RESET_MS, late="400 days"), "broken-mixed")
+    want = breaker.breaker_batch(events, 3, guard_jobs.RESET_MS, slice_ms=guard_jobs.DAY_MS)
+    same(got.drop("batch").filter("name <> 'flush'"), want)
+
+
+def test_users_are_forgotten(spark):
+    """After the watermark has passed a user's window, the state store holds nothing of the user."""
+    path = scratch_path(spark, "requests-few")
+    schema = "id long, project string, user_id string, ts_ms long"
+    for i, rows in enumerate([[(1, "p", "a", 1000), (2, "p", "a", 1500)], [(3, "p", "b", 90_000)], [(4, "p", "c", 900_000)], [(5, "p", "c", 9_000_000)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    stream = streams.read_queue(spark, path, spark.createDataFrame([], schema).schema, 1)
+    store, checkpoint = scratch_path(spark, "few"), scratch_path(spark, "few-state")
+    decided = streams.rate_limit_stream(stream, 1, 2000, late="1 second")
+    run_available(decided, batch_writer(store, "run"), checkpoint)
+    got = {r.id: (r.allowed, r.reset_in) for r in spark.read.parquet(store).collect()}
+    assert got == {1: (True, 2), 2: (False, 2), 3: (True, 2), 4: (True, 2)}
+    held = spark.read.format("statestore").option("stateVarName", "accepted").load(checkpoint)
+    assert {r.key.user_id for r in held.select("key").collect()} <= {"c"}
+
+
 def test_memory_stream(spark):
     turns = tables.interactions(spark, FOLDER)
     stream = in_parts(spark, turns, ["seq"], "turns")
@@ -77,8 +128,6 @@ def test_expired_jobs_are_forgotten(spark):
 
 
 def test_retried_batch_replaces_itself(spark):
-    from brightwater.streaming.runs import batch_writer
-
     path = scratch_path(spark, "retried")
     write = batch_writer(path, "run")
     write(spark.range(3), 0)
