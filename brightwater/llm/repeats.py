@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from brightwater.llm.frames import (
     ROW,
     byte_list,
-    group_starts,
     identified,
     partitions,
     registered,
@@ -42,7 +41,7 @@ from brightwater.plans.scratch import written
 
 LENGTH = 100
 #: Text whose phrases are combined before they leave a map task.
-COMBINE_BYTES = 16 << 20
+COMBINE_BYTES = 8 << 20
 #: A trigger with more different phrases than this in one combined block is spread.
 SPREAD_PHRASES = 64
 #: Phrases in one unsalted group of suffixes.
