@@ -31,6 +31,9 @@ from brightwater.plans.skew import with_time_slices
 
 _USER = ["project", "user_id"]
 
+# Distinct milliseconds of a busy run that one task streams; longer runs are sliced.
+RUN_CELLS = 100_000
+
 
 class AcceptedWindow:
     """Accepted requests of one user inside the window, oldest first."""
@@ -134,16 +137,17 @@ def _replayed(cells: DataFrame, limit: int, window_ms: int, decisions: bool) ->
     return ordered.mapInPandas(decide, schema if decisions else exits)
 
 
-def _decide_runs(cells: DataFrame, limit: int, window_ms: int, slice_ms: int) -> DataFrame:
-    """Decisions for cells of busy runs, each slice of a run streamed in time order."""
-    cells = cells.withColumn("slot", F.floor(F.col("ts_ms") / F.lit(slice_ms)))
+def _decide_runs(
+    cells: DataFrame, limit: int, window_ms: int, slice_ms: int, run_cells: int
+) -> DataFrame:
+    """Decisions for cells of busy runs, each run or slice of a long run streamed in time order."""
     long_runs = (
-        cells.groupBy(*_USER, "run")
-        .agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
-        .filter("first < last")
+        cells.groupBy(*_USER, "run").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > run_cells)
     )
     if long_runs.isEmpty():
-        return _replayed(cells, limit, window_ms, True)
+        return _replayed(cells.withColumn("slot", F.lit(0).cast("long")), limit, window_ms, True)
+    slot = F.when(F.col("size").isNotNull(), F.floor(F.col("ts_ms") / F.lit(slice_ms))).otherwise(F.lit(0))
+    cells = cells.join(long_runs, [*_USER, "run"], "left").withColumn("slot", slot.cast("long")).drop("size")
     cells = written(cells, "busy-cells")
     exits = written(_replayed(cells, limit, window_ms, False), "exits")
     entries = exits.select(*_SLICE, F.array().cast(_WINDOW).alias("entry"))
@@ -190,12 +194,13 @@ def rate_limit_batch(
     limit: int = fixed.REQUESTS_PER_WINDOW,
     window_ms: int = fixed.RATE_WINDOW_MS,
     slice_ms: int | None = None,
+    run_cells: int = RUN_CELLS,
 ) -> DataFrame:
     """Add ``allowed``, ``remaining`` and ``reset_in`` (seconds) to each request.
 
     ``requests`` has id, project, user_id (both strings) and ts_ms. Requests of one user are taken
-    in the order of (ts_ms, id). ``slice_ms`` is the longest piece of a busy run that one task streams
-    (by default 60 windows); the result does not depend on it.
+    in the order of (ts_ms, id). A busy run of more than ``run_cells`` distinct milliseconds is cut into slices
+    of ``slice_ms`` (by default 60 windows); the result depends on neither.
     """
     cells = requests.groupBy(
         *_USER, F.floor(F.col("ts_ms") / F.lit(window_ms)).alias("bucket"), "ts_ms"
@@ -208,7 +213,7 @@ def rate_limit_batch(
         *_USER, run.alias("run"), "ts_ms", "n", (~F.col("in_chain")).alias("known")
     )
     # A cell outside the chains sees only its own bucket and the one before, and both are quiet.
-    decisions = _decide_runs(chained, limit, window_ms, max(slice_ms or 60 * window_ms, window_ms)).unionByName(
+    decisions = _decide_runs(chained, limit, window_ms, max(slice_ms or 60 * window_ms, window_ms), run_cells).unionByName(
         _decide_quiet(marked.filter("NOT busy"), window_ms)
     )
 

@@ -132,7 +132,7 @@ def test_limiter_slices_of_one_busy_user(spark, slice_ms):
         now += pick.choice([0, 20, 40, 130] if (i // 500) % 2 else [250])
         rows.append((i, "p", pick.choice(["a", "a", "a", "b"]), now))
     frame = spark.createDataFrame(rows, "id long, project string, user_id string, ts_ms long").repartition(3)
-    got = limiter.rate_limit_batch(frame, 4, 1000, slice_ms)
+    got = limiter.rate_limit_batch(frame, 4, 1000, slice_ms, run_cells=10)
     assert {r.id: (r.allowed, r.remaining, r.reset_in) for r in got.collect()} == limited(rows, 4, 1000)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "slot" in plan
