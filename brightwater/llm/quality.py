@@ -1,10 +1,10 @@
 """Quality rules with risk-controlled thresholds.
 
-A document is measured by a few text statistics. For each statistic and stratum (language) a cutoff is
-selected on labelled documents. One part of them proposes cutoffs, from lenient to strict; the held-out rest
+A document is measured by a few text statistics. For each stratum (language) one cutoff per statistic is
+selected on labelled documents. One part of them proposes sets of cutoffs, from lenient to strict; the held-out rest
 tests them in this order: the exact binomial test must reject "at least the allowed share of good documents
-lies above the cutoff". The first failure ends the sequence, and the last cutoff before it is selected. The level is
-divided by the number of sequences (Bonferroni over strata and statistics; a fixed sequence needs no further
+lies above any cutoff of the set". The first failure ends the sequence, and the last set before it is selected. The
+level is divided by the number of sequences (Bonferroni over strata; a fixed sequence needs no further
 correction), so with the wanted confidence no stratum loses more good documents than allowed. A document is
 kept if no selected cutoff rejects it.
 
@@ -14,6 +14,9 @@ counts per stratum.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,9 @@ LIMIT = 0.05
 ERROR = 0.05
 #: Cutoffs tried per statistic, lenient first: shares of the proposing good documents above them.
 TAILS = (0.0, 0.0005, 0.001, 0.002)
+#: Still more lenient cutoffs, tried before those: multiples of the largest value of the proposing good documents, because
+#: the largest of a few is often exceeded.
+STRETCHES = (2.0, 1.5, 1.25, 1.1)
 #: One in so many labelled documents proposes cutoffs, the others test them.
 FOLDS = 4
 LEAST_WORDS = 50
@@ -134,40 +140,38 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), F.exp(largest) * F.when(k > 0, terms).otherwise(1.0)))
 
 
-def _long(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per statistic."""
-    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), value.alias("value")) for name, value in statistics().items()])
-    return df.select(*keep, F.explode(pairs).alias("s")).select(*keep, "s.rule", "s.value")
-
-
 def thresholds(
     good: DataFrame, limit: float = LIMIT, error: float = ERROR, tails: tuple[float, ...] = TAILS
 ) -> DataFrame:
     """(stratum, rule, cutoff) proven on ``good``: measured good documents with a stratum and a fold.
 
-    Fold 0 proposes, the others test. The limit is divided among the rules, as a document may be rejected
-    by any of them. Rules without a proven cutoff in a stratum have no row.
+    Fold 0 proposes, the others test. The cutoffs of a stratum are tested together against the whole limit, as a
+    document may be rejected by any of them. A stratum without proven cutoffs has no row.
     """
-    per_rule = limit / len(statistics())
-    values = written(_long(good, "stratum", "fold"), "statistics")
-    proposed = (
-        values.where("fold = 0")
-        .groupBy("stratum", "rule")
-        .agg(F.percentile("value", F.array(*[F.lit(1 - t) for t in tails])).alias("cutoffs"))
+    rules = list(statistics())
+    values = written(
+        good.select("stratum", "fold", *[value.alias(name) for name, value in statistics().items()]), "statistics"
     )
-    proposed = written(proposed, "proposed")
-    sequences = max(proposed.count(), 1)
+    shares = F.array(*[F.lit(1 - t) for t in tails])
+    lenient = lambda name: F.array(*[F.max(name) * s for s in STRETCHES])
+    lists = [F.concat(lenient(name), F.percentile(name, shares)).alias(name) for name in rules]
+    proposed = values.where("fold = 0").groupBy("stratum").agg(*lists).withColumn("sets", F.arrays_zip(*rules))
+    proposed = written(proposed.select("stratum", F.posexplode("sets").alias("step", "cutoffs")), "proposed")
+    sequences = max(proposed.where("step = 0").count(), 1)
+    rejected = functools.reduce(operator.or_, [F.col(name) > F.col("cutoffs")[name] for name in rules])
     tested = (
         values.where("fold > 0")
-        .join(proposed.select("stratum", "rule", F.explode(F.array_distinct("cutoffs")).alias("cutoff")), ["stratum", "rule"])
-        .groupBy("stratum", "rule", "cutoff")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cutoff")).alias("k"))
-        .withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), per_rule))
+        .join(proposed, "stratum")
+        .groupBy("stratum", "step", "cutoffs")
+        .agg(F.count("*").alias("n"), F.count_if(rejected).alias("k"))
+        .withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), limit))
     )
-    lenient_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
+    lenient_first = Window.partitionBy("stratum").orderBy("step")
     passes = (F.col("p_value") <= error / sequences).cast("int")
     stepped = tested.withColumn("passed", F.min(passes).over(lenient_first))
-    return stepped.where("passed = 1").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    chosen = stepped.where("passed = 1").groupBy("stratum").agg(F.max_by("cutoffs", "step").alias("cutoffs"))
+    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col("cutoffs")[name].alias("cutoff")) for name in rules])
+    return chosen.select("stratum", F.explode(pairs).alias("c")).select("stratum", "c.rule", "c.cutoff")
 
 
 def judge(

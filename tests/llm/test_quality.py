@@ -93,6 +93,23 @@ def test_selected_cutoffs_keep_the_guarantee(spark):
     assert few.where("not kept").count() == 0
 
 
+def test_some_hundred_labels_prove_cutoffs(spark):
+    """Four strata with 300 good labels each: too few for a test per statistic, enough for one of all together."""
+    pick = random.Random(5)
+    rows, labels = [], []
+    for i in range(1600):
+        good = i % 4 > 0
+        words = [f"w{pick.randrange(10**6)}{'' if good else '$$'}" for _ in range(60)]
+        rows.append((i, " ".join(words), "abcd"[i // 4 % 4]))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = {r.doc_id: r for r in judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert not any(found[i].kept for i, good in labels if not good)
+    for stratum in "abcd":
+        lost = sum(not found[i].kept for i, good in labels if good and rows[i][2] == stratum)
+        assert lost <= quality.LIMIT * 300
+
+
 def test_no_labels_no_cutoffs(spark):
     empty = spark.createDataFrame(
         [], "stratum string, fold int, n_words long, n_symbols long, n_repeat_words long, n_dup_lines long, __n_lines long, __n_marks long"
