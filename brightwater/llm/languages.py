@@ -13,10 +13,12 @@ import re
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwater.llm.frames import ready, registered, table
+from brightwater.plans.scratch import written
+from brightwater.plans.skew import small
 
 #: Bounds of the fitting sample: texts per language, and characters taken from the middle of each.
 SAMPLE_TEXTS = 400
@@ -53,35 +55,39 @@ def train(
 ) -> dict[str, list[bytes]]:
     """Dictionaries per language, the large one first, from a bounded sample of the labelled texts.
 
-    The sample is about ``texts`` texts per language, chosen by a hash of their key, and of each at most
-    ``chars`` characters around its middle. Rows without a label or without text are left out; no
-    rows give no languages. The sample is the only thing that reaches the driver.
+    The sample is the ``texts`` texts per language with the smallest hashes of key and text, and of each at most
+    ``chars`` characters around its middle. Rows equal in both count once. Rows without a label or without text are
+    left out; no rows give no languages. The sample is the only thing that reaches the driver.
     """
     rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
     rows = rows.where("lang is not null and text is not null and trim(text) <> ''")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    share = F.lit(2.0 * texts) / F.col("size")
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.withColumn("draw", F.xxhash64("key", "text"))
+    # the last draw of each language is found on hashes alone; the window keeps the first ones before its shuffle
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    first = rows.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= texts)
+    last = written(first.groupBy("lang").agg(F.max("draw").alias("last")), "draws")
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2) + 1).cast("int")
     picked = (
-        rows.join(F.broadcast(counts.orderBy(F.desc("size")).limit(1000)), "lang")
-        .where(draw < share)
-        .select("lang", draw.alias("draw"), "key", F.substring(F.col("text"), middle, F.lit(chars)).alias("text"))
+        rows.join(small(last), "lang")
+        .where("draw <= last")
+        .select("lang", "draw", F.substring(F.col("text"), middle, F.lit(chars)).alias("text"))
+        .groupBy("lang", "draw")
+        .agg(F.min("text").alias("text"))
     )
-    held: dict[str, list[tuple[float, str, str]]] = {}
+    held: dict[str, list[tuple[int, str]]] = {}
     for row in picked.toLocalIterator():
-        held.setdefault(row.lang, []).append((row.draw, row.key or "", row.text))
+        held.setdefault(row.lang, []).append((row.draw, row.text))
     out = {}
     for lang in sorted(held):
-        sample = " ".join(plain(t) for _, _, t in sorted(held[lang])[:texts]).encode()
+        sample = " ".join(plain(t) for _, t in sorted(held[lang])).encode()
         large = sample[:DICTIONARY_BYTES]
         # the small ones hold other text where the sample is large enough
         rest = sample[DICTIONARY_BYTES:]
         rest = rest if len(rest) >= SMALL_BYTES * SMALL_DICTIONARIES else sample
         size = min(SMALL_BYTES, len(rest) // SMALL_DICTIONARIES)
-        small = [rest[a * size : (a + 1) * size] for a in range(SMALL_DICTIONARIES)]
+        shorter = [rest[a * size : (a + 1) * size] for a in range(SMALL_DICTIONARIES)]
         if len(large) >= 8:
-            out[lang] = [large, *(x for x in small if len(x) >= 8)]
+            out[lang] = [large, *(x for x in shorter if len(x) >= 8)]
     return out
 
 

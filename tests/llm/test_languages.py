@@ -63,3 +63,22 @@ def test_training_rows(spark):
         F.col("id").alias("doc_id"), F.lit("wort und satz " * 200).alias("text"), F.lit("de").alias("lang")
     )
     assert sum(map(len, train(many)["de"])) < 200_000
+
+
+def test_null_and_repeated_keys_are_drawn_by_row(spark):
+    """A third of the rows under no key, and a third under one key, neither fill the sample nor escape its bound."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(-1)).otherwise(F.col("id"))
+    mark = F.element_at(F.array(F.lit("null"), F.lit("same"), F.lit("own")), (F.col("id") % 3 + 1).cast("int"))
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(6000).select(key.alias("doc_id"), F.concat_ws(" ", mark, letters).alias("text"), F.lit("en").alias("lang"))
+    words = train(docs, texts=300)["en"][0].decode().split()
+    assert len(words) == 600
+    assert all(50 <= words.count(kind) <= 150 for kind in ("null", "same", "own"))
+    copies = docs.select("doc_id", F.lit("one text").alias("text"), "lang").where("doc_id is null")
+    assert train(copies.union(docs.limit(0)), texts=300)["en"][0] == b"one text"
+
+
+def test_every_language_is_learned(spark):
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(1100).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of "), letters).alias("text"), letters.alias("lang"))
+    assert len(train(docs)) == 1100
