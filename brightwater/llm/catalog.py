@@ -2,9 +2,12 @@
 
 from brightwater.llm import (  # noqa: F401
     articles,
+    bytepairs,
+    collocations,
     contamination,
     languages,
     packing,
+    periodic,
     quality,
     repeats,
     shards,
