@@ -32,6 +32,8 @@ TOP = 2000
 HOT = 2000
 #: Texts whose windows are counted together before they leave a map task.
 BLOCK = 8 << 20
+#: Parts of a bucket, which a task takes one after the other.
+SPLITS = 8
 #: Stands for no group.
 UNKNOWN = "und"
 
@@ -71,7 +73,7 @@ def _sorted_groups(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndar
     room = 1
     for values, size in zip(columns, sizes):
         if packed and room * size < 1 << 62:
-            packed[-1] = packed[-1] * size + values
+            packed[-1] = packed[-1].astype(np.int64) * size + values
             room *= size
         else:
             packed.append(values)
@@ -212,11 +214,14 @@ def _longest_windows(longest: int, buckets: int, hot: list[tuple]):
         mixed = range_hash(prefix_sums(named), begins[:-1], begins[1:] - 1)[block.group]
         for k, lead in enumerate(block.columns):
             mixed = np.where(depth > k, mix(mixed ^ hashes[lead]), mixed)
-        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        used, at = np.unique(bucket[order], return_index=True)
-        for number, a, b in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(order)]):
-            pick = order[a:b]
+        part = (mixed % np.uint64(buckets * SPLITS)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(buckets * SPLITS + 1)).reshape(-1)
+        for number in range(buckets):
+            split = cuts[number * SPLITS : (number + 1) * SPLITS + 1] - cuts[number * SPLITS]
+            pick = order[cuts[number * SPLITS] : cuts[(number + 1) * SPLITS]]
+            if not len(pick):
+                continue
             leads = np.stack([c[pick] for c in block.columns])
             words, small = np.unique(leads, return_inverse=True)
             small = small.reshape(leads.shape)
@@ -228,11 +233,12 @@ def _longest_windows(longest: int, buckets: int, hot: list[tuple]):
             columns["g"] = pa.array(block.group[pick], pa.int32())
             columns["depth"] = pa.array(depth[pick], pa.int8())
             columns["n"] = pa.array(counts[pick], pa.int32())
+            windows = pa.record_batch(columns)
             yield (
                 number,
                 _ipc(pa.record_batch({"word": block.words.take(pa.array(words - 1))})),
                 _ipc(pa.record_batch({"name": block.groups})),
-                _ipc(pa.record_batch(columns)),
+                [_ipc(windows.slice(a, b - a)) for a, b in zip(split.tolist(), split[1:].tolist())],
             )
 
     def run(batches):
@@ -244,7 +250,7 @@ def _longest_windows(longest: int, buckets: int, hot: list[tuple]):
                 held, size = [], 0
                 for entry in dealt(block):
                     held.append(entry)
-                    size += sum(len(x) for x in entry[1:])
+                    size += len(entry[1]) + len(entry[2]) + sum(map(len, entry[3]))
                     if size > 4 << 20:
                         yield _entries(held, names)
                         held, size = [], 0
@@ -255,7 +261,7 @@ def _longest_windows(longest: int, buckets: int, hot: list[tuple]):
 
 
 def _entries(held: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
     columns = [pa.array(list(values), kind) for values, kind in zip(zip(*held), kinds)]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -271,19 +277,25 @@ def _merged_numbers(arrays: list[pa.Array]) -> tuple[list[np.ndarray], pa.Array]
 def _without_rare_endings(longest: int, least: int):
     """Windows of a bucket, cut behind their longest beginning that is frequent or not known here."""
 
-    def bucket(blobs: list[tuple]) -> pa.RecordBatch:
+    def bucket(blobs: list[tuple]):
         words, word_names = _merged_numbers([_from_ipc(b[0])["word"].combine_chunks() for b in blobs])
         names, group_names = _merged_numbers([_from_ipc(b[1])["name"].combine_chunks() for b in blobs])
-        windows = [_from_ipc(b[2]) for b in blobs]
-        of_words = [np.append(0, w + 1) for w in words]
+        words = [np.append(0, w + 1).astype(np.int32) for w in words]
+        word_names = pa.concat_arrays([pa.array([b""], pa.binary()), word_names]).cast(pa.string())
+        for split in range(SPLITS):
+            windows = [_from_ipc(b[2][split]) for b in blobs]
+            if any(w.num_rows for w in windows):
+                yield part(words, word_names, names, group_names, windows)
+
+    def part(of_words, word_names, names, group_names, windows) -> pa.RecordBatch:
         group = np.concatenate([n[w["g"].to_numpy()] for n, w in zip(names, windows)])
         columns = [
             np.concatenate([of[w[f"w{k + 1}"].to_numpy()] for of, w in zip(of_words, windows)])
             for k in range(longest)
         ]
-        depth = np.concatenate([w["depth"].to_numpy() for w in windows]).astype(np.int64)
+        depth = np.concatenate([w["depth"].to_numpy() for w in windows])
         n = np.concatenate([w["n"].to_numpy() for w in windows]).astype(np.int64)
-        size = len(word_names) + 1
+        size = len(word_names)
         order, starts = _sorted_groups([group, *columns], [len(group_names), *[size] * longest])
         n = np.add.reduceat(n[order], starts)
         first = order[starts]
@@ -304,24 +316,24 @@ def _without_rare_endings(longest: int, least: int):
         order, starts = _sorted_groups([length, head], [longest + 1, rows + 1])
         total = np.add.reduceat(n[order], starts)
         first = order[starts]
-        text = pa.concat_arrays([pa.array([b""], pa.binary()), word_names]).cast(pa.string())
         out = [group_names.take(pa.array(group[first]))]
         for k, lead in enumerate(columns):
-            out.append(text.take(pa.array(np.where(length[first] > k, lead[first], 0))))
+            out.append(word_names.take(pa.array(np.where(length[first] > k, lead[first], 0))))
         out.append(pa.array(total, pa.int64()))
         return pa.RecordBatch.from_arrays(out, names=["name", *[f"w{k + 1}" for k in range(longest)], "n"])
 
     def run(batches):
         number, held = None, []
         for batch in batches:
-            for entry in zip(*[c.to_pylist() for c in batch.columns]):
+            for row in range(batch.num_rows):
+                entry = [c[row].as_py() for c in batch.columns]
                 if entry[0] != number and held:
-                    yield bucket(held)
+                    yield from bucket(held)
                     held = []
                 number = entry[0]
                 held.append(entry[1:])
         if held:
-            yield bucket(held)
+            yield from bucket(held)
 
     return run
 
@@ -344,7 +356,7 @@ def phrase_counts(
     typed = ", ".join(f"{w} string" for w in leads)
     windows = (
         source.mapInArrow(
-            _longest_windows(longest, buckets, hot), "bucket long, words binary, names binary, windows binary"
+            _longest_windows(longest, buckets, hot), "bucket long, words binary, names binary, windows array<binary>"
         )
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
