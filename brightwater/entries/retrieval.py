@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from brightwater.functions.vectors import hash_embed as embed
 from brightwater.operators import evaluation, prompts, retrieval, vector
 from brightwater.operators.chunks import chunk_documents
 from brightwater.plans import tables
-from brightwater.plans.scratch import scratch_path
+from brightwater.plans.scratch import scratch_path, written
 from brightwater.plans.skew import spread
 from brightwater.sources import sinks
 
@@ -142,9 +140,10 @@ def query_chunk_cross(spark, folder):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-# Lists around the label means, and buckets along given directions, can be stated in SQL.
+# Lists around the label means, and keys along given directions, can be stated in SQL.
 _UNIT = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
-PROBES, TABLES, BUCKET = 2, 4, 0.1
+PROBES = 2
+HASHES = vector.TABLES
 
 
 def label_lists(spark, folder):
@@ -195,30 +194,77 @@ def ivf_recall(spark, folder):
     return hits.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
-def planes(dims: int) -> np.ndarray:
-    return np.array([[math.sin((t + 1) * (d + 1)) for d in range(dims)] for t in range(TABLES)])
+def directions(dims: int) -> np.ndarray:
+    """Planes of the hash tables that SQL can state too."""
+    spots = np.arange(1, HASHES * vector.BITS + 1)[:, None] * np.arange(1, dims + 1)[None, :]
+    return np.sin(spots.astype(np.float64)).reshape(HASHES, vector.BITS, dims)
+
+
+_ALONG = f"list_transform(range(1, {HASHES * vector.BITS + 1}), lambda c: round(list_dot_product({_UNIT.format(v='v')}, list_transform(range(1, len(v) + 1), lambda d: sin(c * d))), 9))"
+_SPOTS = f"unnest(range(0, {HASHES * vector.BITS})) // {vector.BITS} AS t, unnest(range(0, {HASHES * vector.BITS})) % {vector.BITS} AS j, unnest({_ALONG}) AS x"
+_HASHED = f"""stored AS (SELECT vec_id AS id, cast(embedding AS double[]) AS v FROM embeddings),
+stored_along AS (SELECT id, {_SPOTS} FROM stored),
+stored_keys AS (SELECT id, t, sum(CASE WHEN x >= 0 THEN 1 << cast(j AS int) ELSE 0 END) AS key FROM stored_along GROUP BY id, t),
+asked AS (SELECT query_id, embedding AS v FROM label_queries),
+asked_along AS (SELECT query_id, {_SPOTS} FROM asked),
+asked_keys AS (SELECT query_id, t, sum(CASE WHEN x >= 0 THEN 1 << cast(j AS int) ELSE 0 END) AS key FROM asked_along GROUP BY query_id, t),
+crossed AS (SELECT query_id, t, 0 AS n, 0 AS a, 0 AS b, 0 AS flips, 0.0 AS far FROM asked_keys
+ UNION ALL SELECT query_id, t, 1, j, 0, 1 << cast(j AS int), round(x * x, 9) FROM asked_along
+ UNION ALL SELECT p.query_id, p.t, 2, p.j, q.j, (1 << cast(p.j AS int)) + (1 << cast(q.j AS int)), round(p.x * p.x + q.x * q.x, 9)
+  FROM asked_along p JOIN asked_along q ON p.query_id = q.query_id AND p.t = q.t AND p.j < q.j),
+nearest_keys AS (SELECT query_id, t, flips FROM crossed QUALIFY row_number() OVER (PARTITION BY query_id, t ORDER BY far, n, a, b) <= {vector.PROBES}),
+probed AS (SELECT query_id, t, xor(cast(key AS bigint), cast(flips AS bigint)) AS key FROM nearest_keys JOIN asked_keys USING (query_id, t)),
+met AS (SELECT DISTINCT query_id, id FROM probed p JOIN stored_keys s ON s.t = p.t AND s.key = p.key),
+nearby AS (SELECT query_id, id, similarity, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS int) AS rank FROM
+ (SELECT query_id, id, round({_COS}, 9) AS similarity FROM (SELECT query_id, id, a.v AS q, s.v AS c FROM met JOIN asked a USING (query_id) JOIN stored s USING (id))) QUALIFY rank <= {TOP})"""
+
+_LSH = with_views(
+    "label_queries", f"WITH {_HASHED} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM nearby"
+)
+
+
+def hash_directions(spark, folder) -> np.ndarray:
+    return directions(stored_vectors(spark, folder).select(F.size("embedding").alias("n")).first().n)
+
+
+@entry("lsh_topk", _LSH)
+def lsh_topk(spark, folder):
+    queries = tables.label_queries(spark, folder)
+    found = vector.lsh_topk(
+        queries, stored_vectors(spark, folder), TOP, directions=hash_directions(spark, folder)
+    )
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
-_BUCKET = f"list_transform(range(1, {TABLES + 1}), lambda t: floor(round(list_dot_product({_UNIT.format(v='v')}, list_transform(range(1, len(v) + 1), lambda d: sin(t * d))), 9) / {BUCKET}))"
+@entry("lsh_topk_stored", _LSH)
+def lsh_topk_stored(spark, folder):
+    """The same search over hash tables stored by key."""
+    queries, planes = tables.label_queries(spark, folder), hash_directions(spark, folder)
+    stored = vector.write_hash_tables(stored_vectors(spark, folder), planes, scratch_path(spark, "hash-tables"))
+    found = vector.lsh_topk(queries, stored, TOP, directions=planes)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @entry(
-    "lsh_topk",
+    "lsh_recall",
     with_views(
         "label_queries",
-        f"""WITH stored AS (SELECT id, v, unnest(range(1, {TABLES + 1})) AS t, unnest({_BUCKET}) AS bucket FROM (SELECT vec_id AS id, cast(embedding AS double[]) AS v FROM embeddings)),
-asked AS (SELECT query_id, v, unnest(range(1, {TABLES + 1})) AS t, unnest({_BUCKET}) AS bucket FROM (SELECT query_id, embedding AS v FROM label_queries)),
-pairs AS (SELECT DISTINCT query_id, id, a.v AS q, s.v AS c FROM asked a JOIN stored s USING (t, bucket))
-SELECT query_id, id, round(similarity, 6) AS similarity, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS int) AS rank FROM
- (SELECT query_id, id, round({_COS}, 9) AS similarity FROM pairs) QUALIFY rank <= {TOP}""",
+        f"""WITH {_NEAREST}, {_HASHED},
+shares AS (SELECT query_id, count(*) / (SELECT count(*) FROM stored) AS met FROM met GROUP BY query_id)
+SELECT n.query_id, count(b.id) / count(*) AS recall, round(any_value(shares.met), 6) AS met FROM nearest n
+ LEFT JOIN nearby b ON b.query_id = n.query_id AND b.id = n.id LEFT JOIN shares ON shares.query_id = n.query_id GROUP BY n.query_id""",
     ),
 )
-def lsh_topk(spark, folder):
-    queries = tables.label_queries(spark, folder)
-    stored = stored_vectors(spark, folder)
-    dims = stored.select(F.size("embedding").alias("n")).first().n
-    found = vector.lsh_topk(queries, stored, TOP, bucket_length=BUCKET, planes=planes(dims))
-    return found.withColumn("similarity", F.round("similarity", 6))
+def lsh_recall(spark, folder):
+    """The share of the exact neighbours that the probed keys have, and of all vectors that they met, per query."""
+    queries, planes = tables.label_queries(spark, folder), hash_directions(spark, folder)
+    stored = written(vector.hashed_buckets(stored_vectors(spark, folder), planes), "hashed")
+    found = vector.lsh_topk(queries, stored, TOP, directions=planes).select("query_id", "id")
+    exact = nearest(spark, folder).select("query_id", "id")
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    recall = hits.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    met = vector.lsh_met(queries, stored, planes).withColumn("met", F.round(F.col("met") / stored.count(), 6))
+    return recall.join(met, "query_id", "left")
 
 
 def same_label(spark, folder):

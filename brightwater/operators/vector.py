@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,11 @@ VECTOR_BLOCK = 50_000
 # Values that a filter on readers, lists or buckets may name; more are left to the tasks.
 FILTER_VALUES = 1000
 
+#: Hash tables, directions joined into a key, and keys probed in a table.
+TABLES, BITS, PROBES = 20, 10, 32
+#: First bits of a key that decide its folder in stored hash tables.
+PART_BITS = 3
+
 # Similarities are rounded before they are ranked, so that ranks do not depend on the order in
 # which products are summed; ids decide among equals.
 DIGITS = 9
@@ -73,14 +79,17 @@ class _Block:
     by_user: dict = field(default_factory=dict)
     by_list: dict = field(default_factory=dict)
     by_bucket: dict = field(default_factory=dict)
+    parts: list | None = None
 
     def __post_init__(self):
         self.by_user = _rows_by(self.users or [])
 
-    def probe(self, lists: np.ndarray) -> None:
-        """Each query meets the vectors of its lists only."""
+    def probe(self, lists: np.ndarray, part_shift: int | None = None) -> None:
+        """Each query meets the vectors of its lists only; lists may be stored in parts of 2 ** part_shift."""
         self.lists = lists
         self.by_list = _rows_by(lists)
+        if part_shift is not None:
+            self.parts = sorted({v >> part_shift for v in self.by_list})
 
     def share(self, buckets: np.ndarray) -> None:
         """Each query meets the vectors that have one of its buckets only."""
@@ -115,10 +124,10 @@ def _stored_by(column: pa.Array, wanted) -> dict:
 
 
 class _Best:
-    """The best ``k`` (similarity, id) per query seen so far."""
+    """The best ``k`` (similarity, id) per query seen so far; with ``repeats`` a row may come several times."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
+    def __init__(self, queries: int, k: int, repeats: bool = False):
+        self.k, self.repeats = k, repeats
         self.found = [([], []) for _ in range(queries)]
         self.floor = np.full(queries, -np.inf)
 
@@ -133,7 +142,10 @@ class _Best:
         merged = sorted(
             zip([*old_sims, *sims[keep].tolist()], [*old_ids, *ids[keep].tolist()]),
             key=lambda pair: (-pair[0], pair[1]),
-        )[: self.k]
+        )
+        if self.repeats:  # equal neighbours are the same vector, met again
+            merged = [m for n, m in enumerate(merged) if not n or m != merged[n - 1]]
+        merged = merged[: self.k]
         self.found[query] = ([s for s, _ in merged], [i for _, i in merged])
         if len(merged) == self.k:
             self.floor[query] = merged[-1][0]
@@ -176,8 +188,8 @@ def _compared(batch: pa.RecordBatch, block: _Block, encode):
     )
 
 
-def _scan(batches: Iterator[pa.RecordBatch], block: _Block, k: int, encode) -> _Best:
-    best = _Best(len(block.ids), k)
+def _scan(batches: Iterator[pa.RecordBatch], block: _Block, k: int, encode, repeats: bool) -> _Best:
+    best = _Best(len(block.ids), k, repeats)
     for batch in batches:
         if batch.num_rows == 0 or not block.ids:
             continue
@@ -188,14 +200,16 @@ def _scan(batches: Iterator[pa.RecordBatch], block: _Block, k: int, encode) -> _
     return best
 
 
-def _found(batches, block: _Block, k: int | None, encode, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _found(
+    batches, block: _Block, k: int | None, encode, schema: pa.Schema, repeats: bool = False
+) -> Iterator[pa.RecordBatch]:
     """The best rows of a task, or with ``k`` None all of them, batch by batch."""
 
     def rows(columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     if k is not None:
-        yield rows(_rows(_scan(batches, block, k, encode), block))
+        yield rows(_rows(_scan(batches, block, k, encode, repeats), block))
         return
     for batch in batches:
         if batch.num_rows == 0 or not block.ids:
@@ -253,6 +267,8 @@ def _reachable(chunks: DataFrame, block: _Block) -> DataFrame:
     if block.users is not None and len(block.by_user) <= FILTER_VALUES:
         users = F.array(*[F.lit(u) for u in block.by_user]).cast("array<string>")
         chunks = chunks.filter(F.arrays_overlap("permissions", users))
+    if block.parts is not None and len(block.parts) <= FILTER_VALUES:
+        chunks = chunks.filter(F.col("part").isin(block.parts))
     if block.lists is not None and len(block.by_list) <= FILTER_VALUES:
         chunks = chunks.filter(F.col("list").isin(sorted(block.by_list)))
     if block.buckets is not None and len(block.by_bucket) <= FILTER_VALUES:
@@ -268,10 +284,12 @@ def _search(
     encode: Encoder | None,
     extra: Callable[[_Block], None] | None = None,
     query_block: int = QUERY_BLOCK,
+    repeats: bool = False,
 ) -> DataFrame:
     """Rows (query_id, id, similarity, rank) for frames with columns named as in ``_scan``.
 
-    Rows without a vector are left out. All rows are ranked if ``k`` is None.
+    Rows without a vector are left out. All rows are ranked if ``k`` is None. With ``repeats`` a vector may be
+    stored several times and counts once.
     """
     spark = chunks.sparkSession
     result = _result_type(queries, chunks)
@@ -283,11 +301,13 @@ def _search(
         schema = _arrow_type(result)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _found(batches, shared.value, k, encode, schema)
+            yield from _found(batches, shared.value, k, encode, schema, repeats)
 
         found = _reachable(chunks, own).mapInArrow(search, result)
     else:
-        found = _search_in_groups(queries, _encoded(chunks, encode), k, extra, query_block, result)
+        found = _search_in_groups(queries, _encoded(chunks, encode), k, extra, query_block, result, repeats)
+    if repeats:
+        found = found.dropDuplicates(["query_id", "id"])
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
@@ -314,7 +334,7 @@ def _encoded(chunks: DataFrame, encode: Encoder | None) -> DataFrame:
     return chunks.mapInArrow(embed, T.StructType(fields))
 
 
-def _search_in_groups(queries, chunks, k, extra, query_block, result) -> DataFrame:
+def _search_in_groups(queries, chunks, k, extra, query_block, result, repeats) -> DataFrame:
     """Every block of queries meets every block of vectors in a group of bounded size."""
     query_blocks = -(-queries.count() * 2 // query_block)
     vector_blocks = max(1, -(-chunks.count() // VECTOR_BLOCK))
@@ -333,7 +353,7 @@ def _search_in_groups(queries, chunks, k, extra, query_block, result) -> DataFra
         if some_queries.num_rows == 0 or some_chunks.num_rows == 0:
             return schema.empty_table()
         batches = some_chunks.combine_chunks().to_batches()
-        return pa.Table.from_batches(_found(iter(batches), _block_of(some_queries, extra), k, None, schema), schema)
+        return pa.Table.from_batches(_found(iter(batches), _block_of(some_queries, extra), k, None, schema, repeats), schema)
 
     return (
         left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(meet, result)
@@ -434,58 +454,142 @@ def ivf_topk(
     return _search(q, c, k, None, nearest, query_block)
 
 
-def random_planes(dims: int, tables: int, seed: int = 42) -> np.ndarray:
-    """Directions of the hash tables, one row each."""
-    return np.random.default_rng(seed).standard_normal((tables, dims))
+def hash_directions(dims: int, tables: int = TABLES, bits: int = BITS, seed: int = 42) -> np.ndarray:
+    """Random directions of the hash tables: (tables, bits, dims)."""
+    return np.random.default_rng(seed).standard_normal((tables, bits, dims))
+
+
+def _projections(matrix: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """How far each unit vector lies along every direction: (vectors, tables, bits)."""
+    tables, bits, dims = directions.shape
+    return np.round(matrix @ directions.reshape(tables * bits, dims).T, DIGITS).reshape(-1, tables, bits)
 
 
-def _buckets(matrix: np.ndarray, planes: np.ndarray, bucket_length: float) -> np.ndarray:
-    """The bucket of each unit vector in every table, numbered so that tables do not mix."""
-    spots = np.floor(np.round(matrix @ planes.T, DIGITS) / bucket_length).astype(np.int64)
-    return spots * len(planes) + np.arange(len(planes))
+def _keys(along: np.ndarray) -> np.ndarray:
+    """The key of each vector in every table: one bit a direction, and tables do not mix."""
+    _, tables, bits = along.shape
+    return ((along >= 0) @ (1 << np.arange(bits))) + (np.arange(tables) << bits)
 
 
-def hashed_buckets(chunks: DataFrame, planes: np.ndarray, bucket_length: float = 0.5) -> DataFrame:
-    """Add ``buckets``, one per hash table, to stored vectors; rows without a vector go."""
-    shared = chunks.sparkSession.sparkContext.broadcast(np.asarray(planes, dtype=np.float64))
+def _probed_keys(along: np.ndarray, probes: int) -> np.ndarray:
+    """The keys a query probes: in each table its own and the nearest ones, ``probes`` together.
+
+    A key is as far as the planes that must be crossed to get there, by the sum of squared distances; up to
+    two are crossed. Equal distances are taken in the order of the crossed directions, fewer first.
+    """
+    _, tables, bits = along.shape
+    crossed = [(), *((a,) for a in range(bits)), *combinations(range(bits), 2)]
+    crosses = np.zeros((len(crossed), bits))
+    for row, which in enumerate(crossed):
+        crosses[row, list(which)] = 1
+    flips = (crosses @ (1 << np.arange(bits))).astype(np.int64)
+    far = np.round((along**2) @ crosses.T, DIGITS)
+    near = np.argsort(far, axis=2, kind="stable")[:, :, :probes]
+    return (_keys(along)[:, :, None] ^ flips[near]).reshape(len(along), -1)
+
+
+def _with_keys(chunks: DataFrame, directions: np.ndarray, name: str) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(np.asarray(directions, dtype=np.float64))
     stored = chunks.filter("embedding is not null")
     place = stored.columns.index("embedding")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _matrix(batch.column(place), None, shared.value.shape[1])
-            found = pa.array(list(_buckets(vectors, shared.value, bucket_length)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "buckets"])
+            vectors = _matrix(batch.column(place), None, shared.value.shape[2])
+            keys = _keys(_projections(vectors, shared.value)) if len(vectors) else []
+            found = pa.array(list(keys), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    field = T.StructField("buckets", T.ArrayType(T.LongType()))
+    field = T.StructField(name, T.ArrayType(T.LongType()))
     return stored.mapInArrow(add, T.StructType([*stored.schema.fields, field]))
 
 
+def hashed_buckets(chunks: DataFrame, directions: np.ndarray) -> DataFrame:
+    """Add ``buckets``, the key of each hash table, to stored vectors; rows without a vector go."""
+    return _with_keys(chunks, directions, "buckets")
+
+
+def write_hash_tables(chunks: DataFrame, directions: np.ndarray, path: str) -> DataFrame:
+    """Store every vector once per hash table, under its key ``list``; rows without a vector go.
+
+    Files are partitioned by ``part``, the table and the first bits of the key, and sorted by key: a search for few
+    queries reads the parts that its probed keys are in. The copies are the price of not reading the others.
+    """
+    opened = _with_keys(chunks, directions, "_keys").withColumn("list", F.explode("_keys")).drop("_keys")
+    split = opened.withColumn("part", _part(F.col("list"), directions.shape[1]))
+    split.repartition("part").sortWithinPartitions("part", "list").write.partitionBy("part").parquet(path)
+    return chunks.sparkSession.read.schema(split.schema).parquet(path)
+
+
+def _part(key: Column, bits: int) -> Column:
+    return F.shiftright(key, max(bits - PART_BITS, 0)).cast("int")
+
+
 def lsh_topk(
     queries: DataFrame,
     chunks: DataFrame,
     k: int | None = 5,
-    bucket_length: float = 0.5,
-    tables: int = 8,
+    tables: int = TABLES,
+    bits: int = BITS,
+    probes: int = PROBES,
     seed: int = 42,
     access: bool = False,
-    planes: np.ndarray | None = None,
+    directions: np.ndarray | None = None,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Approximate neighbours: vectors that share a bucket with the query in some hash table.
+    """Approximate neighbours: vectors with a key that the query probes in some hash table.
 
-    A vector is compared with the queries in its buckets and nothing else. ``planes`` gives the directions of
-    the tables; otherwise ``tables`` random ones are drawn. Chunks that already have ``buckets`` (see
-    ``hashed_buckets``) are not hashed again.
+    A key joins the sides of ``bits`` random planes; in each of ``tables`` tables a query probes the ``probes`` nearest
+    keys. ``directions`` gives the planes, otherwise random ones are drawn. A vector is compared with the
+    queries that probe one of its keys and nothing else. Chunks from ``hashed_buckets`` or ``write_hash_tables``
+    (with the same directions) are not hashed again; of the latter only the probed parts are read.
     """
-    if planes is None:
+    if directions is None:
         sized = queries.filter("embedding is not null").select(F.size("embedding").alias("n")).first()
-        planes = random_planes(sized.n if sized else 1, tables, seed)
-    planes = np.asarray(planes, dtype=np.float64)
+        directions = hash_directions(sized.n if sized else 1, tables, bits, seed)
+    directions = np.asarray(directions, dtype=np.float64)
+
+    def probed(block: _Block) -> np.ndarray:
+        if not block.ids:
+            return np.zeros((0, 1), dtype=np.int64)
+        return _probed_keys(_projections(block.matrix, directions), probes)
+
+    if "list" in chunks.columns:  # copies by key: a vector may be met in several tables
+        q, c = _inputs(queries, chunks, "embedding", access, more=["list", "part"])
+        shift = max(directions.shape[1] - PART_BITS, 0)
+        return _search(q, c, k, None, lambda b: b.probe(probed(b), shift), query_block, True)
+    hashed = chunks if "buckets" in chunks.columns else hashed_buckets(chunks, directions)
+    q, c = _inputs(queries, hashed, "embedding", access, more=["buckets"])
+    return _search(q, c, k, None, lambda b: b.share(probed(b)), query_block)
 
-    def share(block: _Block) -> None:
-        block.share(_buckets(block.matrix, planes, bucket_length) if block.ids else np.zeros((0, len(planes))))
 
-    hashed = chunks if "buckets" in chunks.columns else hashed_buckets(chunks, planes, bucket_length)
-    q, c = _inputs(queries, hashed, "embedding", access, more=["buckets"])
-    return _search(q, c, k, None, share, query_block)
+def lsh_met(queries: DataFrame, chunks: DataFrame, directions: np.ndarray, probes: int = PROBES) -> DataFrame:
+    """Rows (query_id, met): how many stored vectors a query is compared with by ``lsh_topk``.
+
+    For measuring a choice of tables: at most ``QUERY_BLOCK`` queries.
+    """
+    asked = queries.filter("embedding is not null").select("query_id", F.col("embedding").alias("vector"))
+    rows = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if rows.num_rows > QUERY_BLOCK:
+        raise ValueError(f"at most {QUERY_BLOCK} queries")
+    directions = np.asarray(directions, dtype=np.float64)
+
+    def probed(block: _Block) -> None:
+        if block.ids:
+            block.share(_probed_keys(_projections(block.matrix, directions), probes))
+
+    shared = chunks.sparkSession.sparkContext.broadcast(_block_of(rows, probed))
+    result = T.StructType([queries.schema["query_id"], T.StructField("n", T.LongType())])
+    schema = _arrow_type(result)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        met = np.zeros(len(block.ids), dtype=np.int64)
+        for batch in batches:
+            for some, stored in _meetings(batch, block) if block.ids and batch.num_rows else []:
+                met[some] += len(stored)
+        yield pa.RecordBatch.from_arrays([pa.array(block.ids, schema.field(0).type), pa.array(met)], schema=schema)
+
+    hashed = chunks if "buckets" in chunks.columns else hashed_buckets(chunks, directions)
+    counted = hashed.select("buckets").mapInArrow(count, result)
+    return counted.groupBy("query_id").agg(F.sum("n").alias("met"))

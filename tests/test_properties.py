@@ -167,9 +167,9 @@ def test_approximate_search(spark, vectors):
     for found, least in [
         (vector.ivf_topk(q, listed, centroids, 5, probes=12, access=True), 1.0),
         (vector.ivf_topk(q, listed, centroids, 5, probes=3, access=True), 0.8),
-        (vector.lsh_topk(q, c, 5, bucket_length=0.5, tables=10, access=True), 0.6),
+        (vector.lsh_topk(q, c, 5, access=True), 0.9),
         (vector.ivf_topk(q, listed, centroids, 5, probes=3, access=True, query_block=5), 0.8),
-        (vector.lsh_topk(q, c, 5, bucket_length=0.5, tables=10, access=True, query_block=5), 0.6),
+        (vector.lsh_topk(q, c, 5, access=True, query_block=5), 0.9),
     ]:
         got = {(r.query_id, r.id, r["rank"]) for r in found.collect()}
         assert len({g[:2] for g in got} & {w[:2] for w in want}) >= least * len(want)
@@ -189,6 +189,44 @@ def test_lists_prune_and_full_probes_are_exact(spark, vectors):
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
 
 
+def test_probed_keys(vectors):
+    """Nearest keys first, by brute force over all keys at most two planes away."""
+    queries, _ = vectors
+    matrix = np.array([v / np.linalg.norm(v) for v, _ in queries.values()])
+    planes = vector.hash_directions(matrix.shape[1], tables=3, bits=6)
+    along = vector._projections(matrix, planes)
+    got = vector._probed_keys(along, 10).reshape(len(matrix), 3, 10)
+    for i in range(len(matrix)):
+        for t in range(3):
+            own = sum(1 << j for j in range(6) if along[i, t, j] >= 0)
+            ways = []
+            for key in range(64):
+                crossed = [j for j in range(6) if (key ^ own) >> j & 1]
+                if len(crossed) <= 2:
+                    ways.append((round(sum(along[i, t, j] ** 2 for j in crossed), 9), len(crossed), crossed, key))
+            assert got[i, t].tolist() == [key + (t << 6) for *_, key in sorted(ways)[:10]]
+
+
+def test_stored_hash_tables(spark, vectors):
+    """Tables stored by key give what the scan gives; one query reads some of their parts."""
+    q, c = frames(spark, vectors)
+    dims = len(next(iter(vectors[0].values()))[0])
+    planes = vector.hash_directions(dims, tables=6, bits=6)
+    stored = vector.write_hash_tables(c, planes, scratch_path(spark, "tables"))
+    assert stored.count() == 6 * c.count()
+    for block in (100, 5):
+        scan = vector.lsh_topk(q, c, 5, probes=4, directions=planes, access=True, query_block=block)
+        found = vector.lsh_topk(q, stored, 5, probes=4, directions=planes, access=True, query_block=block)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scan.collect()))
+    few = vector.lsh_topk(q.limit(1), stored, 5, probes=2, directions=planes)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    named = plan.split("PartitionFilters: [part#")[1].split("(")[1].split(")")[0]
+    assert len(named.split(",")) < 6 * 8
+    met = {r.query_id: r.met for r in vector.lsh_met(q, c, planes, 4).collect()}
+    every = vector.lsh_topk(q, c, None, probes=4, directions=planes).groupBy("query_id").count().collect()
+    assert met == {r.query_id: r["count"] for r in every}
+
+
 def test_null_and_ragged_vectors(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
     c = spark.createDataFrame([("a", [1.0, 1.0]), ("b", None), ("c", [0.0, 2.0])], "id string, embedding array<double>")
