@@ -9,7 +9,7 @@ from brightwater.entries import entry
 from brightwater.entries.views_sql import with_views
 from brightwater.functions.vectors import cosine_similarity as cosine
 from brightwater.functions.vectors import hash_embed as embed
-from brightwater.operators import evaluation, prompts, retrieval, vector
+from brightwater.operators import evaluation, keyword_store, prompts, retrieval, vector
 from brightwater.operators.chunks import chunk_documents
 from brightwater.plans import tables
 from brightwater.plans.scratch import scratch_path, written
@@ -25,6 +25,17 @@ def chunks(spark, folder):
     return chunk_documents(spread(docs, "doc_id"))
 
 
+_stores: dict[tuple[str, str], keyword_store.KeywordStore] = {}
+
+
+def stored_keywords(spark, folder):
+    """The inverted index of all chunks, built by the session's first query that needs it."""
+    named = (spark.sparkContext.applicationId, folder)
+    if named not in _stores:
+        _stores[named] = keyword_store.write_store(chunks(spark, folder), scratch_path(spark, "keywords"))
+    return _stores[named]
+
+
 def stored_vectors(spark, folder):
     return tables.table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), "embedding", "label"
@@ -411,19 +422,51 @@ def bm25_score(spark, folder):
     ).withColumn("score", F.round("score", 6))
 
 
-@entry(
-    "rank_by_keyword",
-    with_views(
-        "chunks text_queries",
-        f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, cast(rank AS int) AS rank FROM keyword",
-    ),
+_KEYWORD = with_views(
+    "chunks text_queries",
+    f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, cast(rank AS int) AS rank FROM keyword",
 )
+
+
+@entry("rank_by_keyword", _KEYWORD)
 def rank_by_keyword(spark, folder):
+    """From the stored index; ``rank_by_keyword_scan`` reads the texts."""
+    return stored_keywords(spark, folder).rank(tables.text_queries(spark, folder)).withColumn("score", F.round("score", 6))
+
+
+@entry("rank_by_keyword_scan", _KEYWORD)
+def rank_by_keyword_scan(spark, folder):
     return retrieval.rank_by_keyword(
         tables.text_queries(spark, folder), chunks(spark, folder)
     ).withColumn("score", F.round("score", 6))
 
 
+@entry("rank_by_keyword_appended", _KEYWORD)
+def rank_by_keyword_appended(spark, folder):
+    """An index of half of the documents to which the others are appended, searched with block bounds."""
+    parts = chunks(spark, folder)
+    first = keyword_store.write_store(parts.where("doc_id % 2 = 0"), scratch_path(spark, "keywords"))
+    first.append(parts.where("doc_id % 2 <> 0"))
+    found = keyword_store.open_store(spark, first.path).rank(tables.text_queries(spark, folder), direct=0)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@entry(
+    "corpus_stats_stored",
+    with_views("chunks text_queries", f"WITH {_BM25} SELECT user_id, n AS n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
+)
+def corpus_stats_stored(spark, folder):
+    asked = tables.text_queries(spark, folder).select("user_id").distinct()
+    found = stored_keywords(spark, folder).sizes().join(asked, "user_id")
+    return found.withColumn("avg_dl", F.round("avg_dl", 6))
+
+
+@entry("doc_freq_stored", with_views("chunks text_queries", f"WITH {_BM25} SELECT user_id, term, df FROM df"))
+def doc_freq_stored(spark, folder):
+    asked = retrieval.query_terms(tables.text_queries(spark, folder)).select("user_id", "term").distinct()
+    return stored_keywords(spark, folder).frequencies(asked).join(asked, ["user_id", "term"])
+
+
 _ALL = """full_keyword AS (SELECT query_id, id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, id) AS rank FROM
  (SELECT query_id, id FROM text_queries q JOIN (SELECT id, unnest(permissions) AS user_id FROM chunks) c ON c.user_id = q.user_id) LEFT JOIN scored USING (query_id, id))"""
 
@@ -593,6 +636,20 @@ FROM top JOIN chunks ON chunks.id = top.id""",
     ),
 )
 def hybrid_retrieve(spark, folder):
+    """Keyword arm and texts from the stored index."""
+    found = stored_keywords(spark, folder).hybrid(tables.text_queries(spark, folder))
+    return found.withColumn("rrf_score", F.round("rrf_score", 9))
+
+
+@entry(
+    "hybrid_retrieve_scan",
+    with_views(
+        "chunks text_queries",
+        f"""{_HYBRID} SELECT query_id, cast(rank AS int) AS rank, top.id, round(rrf_score, 9) AS rrf_score, doc_name, chunk_text
+FROM top JOIN chunks ON chunks.id = top.id""",
+    ),
+)
+def hybrid_retrieve_scan(spark, folder):
     return hybrid(spark, folder).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
