@@ -116,9 +116,9 @@ def contained_items(
 ) -> DataFrame:
     """(key, item_key, n_item_shingles, n_shared, containment) for every item contained in a document.
 
-    Words are runs of letters and digits, lower-cased (hashing.word_hashes). Containment is the share of
+    Words are runs of letters, digits, marks and underscores, lower-cased (hashing.word_hashes). Containment is the share of
     the item's distinct shingles that the document has. An item of fewer than ``words`` words is one
-    shingle of all of them and is found in documents of just these words.
+    shingle of all of them and is found in documents of just these words, not inside longer ones.
 
     Null and empty texts and items without words match nothing. Rows with null or repeated keys are
     records of their own and are reported under those keys. Other columns are not read. An empty table on
@@ -146,9 +146,9 @@ def contained_items(
 
 CONTAINED_SQL = r"""
 WITH d AS (
-    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z_]|[^\x00-\x7F])+') AS w FROM documents
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z_]|[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]|[^\x00-\x7F\P{M}])+') AS w FROM documents
 ), i AS (
-    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z_]|[^\x00-\x7F])+') AS w FROM benchmark
+    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z_]|[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]|[^\x00-\x7F\P{M}])+') AS w FROM benchmark
 ), ds AS (
     SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k+4], ' '))) AS s
     FROM d WHERE len(w) > 0

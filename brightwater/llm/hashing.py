@@ -16,6 +16,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Blocks of texts are processed up to this many bytes at a time; a longer text is a block of its own.
 BLOCK_BYTES = 512 << 10
 
+#: Characters beyond ASCII that separate words, like the ASCII ones that are no word bytes.
+_OTHER = r"[^\x00-\x7F\p{L}\p{N}\p{M}]+"
+
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -92,10 +95,11 @@ def _word_bytes() -> np.ndarray:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and the row of each.
 
-    Words are runs of ASCII letters, digits, underscores and any other non-ASCII characters, after
-    lower-casing. A null text has none.
+    Words are runs of letters, digits, marks (Unicode L, N and M) and underscores, after lower-casing. A null
+    text has none.
     """
-    lowered = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.binary()).to_pylist()
+    lowered = pc.utf8_lower(pc.fill_null(texts, ""))
+    lowered = pc.replace_substring_regex(lowered, pattern=_OTHER, replacement=" ").cast(pa.binary()).to_pylist()
     data, begins = joined(lowered)
     inside = _word_bytes()[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1

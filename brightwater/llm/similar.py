@@ -294,7 +294,7 @@ def similar_texts(
     One row per text: (key, class_id, set_id, n_links, n_linked_sets, n_shingles). ``set_id`` is the
     smallest key with the same shingle set, ``class_id`` the smallest key of the connected component of
     links, ``n_links`` counts the other texts linked to this one (copies included), ``n_linked_sets`` the
-    different sets among them. Words are runs of letters and digits, lower-cased (hashing.word_hashes);
+    different sets among them. Words are runs of letters, digits, marks and underscores, lower-cased (hashing.word_hashes);
     a text of fewer than ``words`` words has one shingle. Links are verified exactly; a pair at the
     threshold is found with probability ``recall`` at least, closer pairs with more.
 

@@ -72,3 +72,31 @@ def test_empty_tables(spark):
     assert contained_items(docs, items.limit(0)).collect() == []
     assert contained_items(docs.limit(0), items).collect() == []
     assert len(contained_items(docs, items).collect()) == 1
+
+
+def test_marks_beyond_ascii_separate_words(spark):
+    words = [f"w{i}" for i in range(20)]
+    quoted = [f"\u201c{w}\u201d" if i in (4, 11) else w for i, w in enumerate(words)]
+    docs = [(1, "so " + " ".join(quoted)), (2, "\u00a0".join(words)), (3, "\u3001".join(words) + "\u3002"), (4, "\u2014".join(words))]
+    got = contained_items(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame([(5, " ".join(words))], "item_id long, text string"),
+    )
+    assert sorted((r.doc_id, r.n_shared) for r in got.collect()) == [(k, 16) for k in (1, 2, 3, 4)]
+
+
+def test_sql_splits_words_alike(tmp_path, spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text = "w1 w2 \u201cw3\u201d w4\u2014w5 caf\u00e9 cafe\u0301 \u6f22\u5b57\u3002w6 \u0663 w_7"
+    plain = "w1 w2 w3 w4 w5 caf\u00e9 cafe\u0301 \u6f22\u5b57 w6 \u0663 w_7"
+    for name, key, rows in (("documents", "doc_id", [text, plain, "x " + plain]), ("benchmark", "item_id", [plain, text])):
+        pq.write_table(pa.table({key: list(range(len(rows))), "text": rows}), tmp_path / f"{name}.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    found = benchmark_decontamination(spark, str(tmp_path))
+    assert compare(found, con, CONTAINED_SQL) == "" and found.count() == 6

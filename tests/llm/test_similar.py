@@ -15,11 +15,11 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def word_sets(texts, n=5):
-    import re
+    import regex as re
 
     out = []
     for t in texts:
-        words = re.findall(r"(?:[0-9a-z_]|[^\x00-\x7f])+", (t or "").lower())
+        words = re.findall(r"[\p{L}\p{N}\p{M}_]+", (t or "").lower())
         out.append({tuple(words[k : k + n]) for k in range(len(words) - n + 1)} or ({tuple(words)} if words else set()))
     return out
 
@@ -119,3 +119,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, 7), (7, 3), (50, 51), (51, 50), (60, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 10 for i in range(10, 41)}, 3: 3, 7: 3, 100: 3, 50: 50, 51: 50, 60: 60}
+
+
+MARKS = ["{}", "\u201c{}\u201d", "{}\u2014", "{}\u00a0", "\u00ab{}\u00bb", "{}\u2026", "{}\u3002"]
+
+
+def test_marks_beyond_ascii_separate_words(spark):
+    """Typographic quotes, dashes, no-break spaces and CJK punctuation are no letters."""
+    words = [f"w{i}" for i in range(40)] + ["caf\u00e9", "cafe\u0301", "\u6f22\u5b57", "\u0663"]
+    rows = [(k, " ".join(mark.format(w) if i % 3 == 0 else w for i, w in enumerate(words))) for k, mark in enumerate(MARKS)]
+    rows.append((99, "".join(f"{w}\u00a0" for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar_texts(docs).collect()
+    assert {(r.class_id, r.n_links) for r in found} == {(0, len(rows) - 1)}
+    assert brute(rows) == {r.doc_id: (r.class_id, r.n_links) for r in found}
