@@ -7,7 +7,7 @@ the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightwater.llm.contamination import contained_items
@@ -34,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are in no group and stay. Of rows that repeat a doc_id, the first by text stays if
     they are near duplicates of each other; rows with a null doc_id come last.
     """
-    numbered = _with_row(docs, "doc_id")
-    found = similar_texts(numbered, key=ROW).where(F.col("class_id") != F.col(ROW)).select(ROW)
-    return numbered.join(written(found, "copies"), ROW, "left_anti").select(*docs.columns)
+    whole = _Whole(docs)
+    found = similar_texts(whole.rows, key=ROW, text=whole.name["text"])
+    return whole.without(found.where(F.col("class_id") != F.col(ROW)).select(ROW), "copies")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,22 +44,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Characters are cut whole. Texts change and n_chars with them; no document goes, and null texts stay null.
     """
-    numbered = _with_row(docs, "doc_id")
-    kept = remove_repeats(numbered, key=ROW, whole_characters=True)
-    changed = kept.where("size(spans) > 0").select(ROW, F.col("kept").cast("string").alias("__kept"))
-    joined = numbered.join(written(changed, "changed"), ROW, "left")
-    replaced = {"text": F.coalesce("__kept", "text")}
+    whole = _Whole(docs)
+    kept = remove_repeats(whole.rows, key=ROW, text=whole.name["text"], whole_characters=True)
+    changed = kept.where("size(spans) > 0").select(ROW, F.col("kept").cast("string").alias("kept"))
+    joined = whole.rows.join(written(changed, "changed"), ROW, "left")
+    values = {"text": F.coalesce("kept", whole.name["text"])}
     if "n_chars" in docs.columns:
-        count = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))
-        replaced["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(replaced).select(*docs.columns)
+        count = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col(whole.name["n_chars"]))
+        values["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
+    return whole.named(joined, values)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    numbered = _with_row(docs, "doc_id")
-    found = contained_items(numbered, table(spark, sf_dir, "benchmark"), key=ROW).select(ROW).distinct()
-    return numbered.join(written(found, "contaminated"), ROW, "left_anti").select(*docs.columns)
+    whole = _Whole(docs)
+    found = contained_items(whole.rows, table(spark, sf_dir, "benchmark"), key=ROW, text=whole.name["text"])
+    return whole.without(found.select(ROW).distinct(), "contaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +67,26 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-def _with_row(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of docs and a unique row key along ``key``; see frames.identified."""
-    columns = {name: F.col(f"`{name}`") for name in docs.columns}
-    return identified(docs, key, **columns).rows.select(ROW, *docs.columns)
+class _Whole:
+    """Whole rows under a unique key along doc_id (frames.identified), their columns under numbered names.
+
+    Whatever the columns are called, they cannot clash with those that a stage adds.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.name = {column: f"c{n}" for n, column in enumerate(docs.columns)}
+        renamed = docs.toDF(*self.name.values())
+        kept = {name: F.col(name) for name in renamed.columns}
+        self.rows = identified(renamed, self.name["doc_id"], **kept).rows.select(ROW, *kept)
+
+    def named(self, rows: DataFrame, values: dict[str, Column] | None = None) -> DataFrame:
+        """The columns under their own names, some with new values."""
+        return rows.select(*[(values or {}).get(c, F.col(self.name[c])).alias(c) for c in self.columns])
+
+    def without(self, gone: DataFrame, name: str) -> DataFrame:
+        """The rows whose keys are not in ``gone``, which is written first."""
+        return self.named(self.rows.join(written(gone, name), ROW, "left_anti"))
 
 
 STAGES = [
