@@ -115,3 +115,23 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "4", "5"]
     assert pipeline.repeated_passages(spark, docs, FOLDER).where("text is null").count() == 1
     assert sorted(r.doc_id for r in pipeline.language_identification(spark, docs, FOLDER).where("doc_id is not null").collect()) == [3, 3, 5]
+
+
+CLASHES = ["key", "df", "__row", "__key", "kept", "c0", "c1", "rows", "columns", "row", "span", "code", "class_id"]
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_clashing_columns(spark, repeat):
+    """Every stage keeps columns that are called like its own, also where rows must be numbered."""
+    own = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    docs = own.union(own.limit(5).withColumn("doc_id", F.lit(None).cast("long"))) if repeat else own
+    wide = docs.select(*docs.columns, *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for _, stage in pipeline.STAGES[:-1]:
+        result, plain = stage(spark, wide, FOLDER), stage(spark, docs, FOLDER)
+        assert result.columns == wide.columns and result.dtypes == wide.dtypes
+        rows = result.collect()
+        assert sorted((repr(r.doc_id), r.text, r.n_chars) for r in rows) == sorted(
+            (repr(r.doc_id), r.text, r.n_chars) for r in plain.collect()
+        )
+        assert all(r[c] == (None if r.doc_id is None else f"{c}-{r.doc_id}") for r in rows for c in CLASHES)
+    assert len(pipeline.packing(spark, wide, FOLDER).collect()) >= docs.count()
