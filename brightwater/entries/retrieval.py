@@ -9,7 +9,7 @@ from brightwater.entries import entry
 from brightwater.entries.views_sql import with_views
 from brightwater.functions.vectors import cosine_similarity as cosine
 from brightwater.functions.vectors import hash_embed as embed
-from brightwater.operators import evaluation, keyword_store, prompts, retrieval, vector
+from brightwater.operators import evaluation, keyword_store, prompts, retrieval, vector, vector_store
 from brightwater.operators.chunks import chunk_documents
 from brightwater.plans import tables
 from brightwater.plans.scratch import scratch_path, written
@@ -205,6 +205,56 @@ def ivf_recall(spark, folder):
     return hits.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
+#: Lists probed of the 100 trained ones: the given vectors hardly cluster, so that neighbours are in many lists.
+TRAINED_PROBES = 45
+
+
+def _recall(spark, folder, found):
+    exact = nearest(spark, folder).select("query_id", "id")
+    hits = exact.join(found.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return hits.agg((F.count("hit") / F.count(F.lit(1))).alias("recall")).first().recall
+
+
+@entry("ivf_trained_topk")
+def ivf_trained_topk(spark, folder):
+    """The nearest vectors by 100 trained lists with short codes and exact re-ranking."""
+    store = vector_store.create_store(stored_vectors(spark, folder), scratch_path(spark, "vectors"))
+    found = store.search(tables.label_queries(spark, folder), TOP, probes=TRAINED_PROBES)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@entry(
+    "ivf_trained_recall",
+    "SELECT count(DISTINCT label) AS queries, true AS reached FROM embeddings WHERE label IS NOT NULL",
+)
+def ivf_trained_recall(spark, folder):
+    """Whether the trained lists find nine tenths of the exact neighbours or more."""
+    found = ivf_trained_topk(spark, folder)
+    queries = tables.label_queries(spark, folder).agg(F.count(F.lit(1)).alias("queries"))
+    return queries.withColumn("reached", F.lit(_recall(spark, folder, found) >= 0.9))
+
+
+@entry(
+    "ivf_trained_appended",
+    "SELECT count(*) AS vectors, true AS reached, true AS bounded FROM embeddings",
+)
+def ivf_trained_appended(spark, folder):
+    """Lists trained on half of the vectors, the others appended, lists that grew too long split."""
+    parts = stored_vectors(spark, folder)
+    store = vector_store.create_store(parts.where("id % 2 = 0"), scratch_path(spark, "vectors"))
+    store.append(parts.where("id % 2 <> 0"))
+    grown = vector_store.open_vectors(spark, store.path)
+    most = max(20, 2 * grown.rows.count() // vector_store.LISTS)
+    longest = max(grown.sizes().values())
+    split = grown.split(most)
+    found = split.search(tables.label_queries(spark, folder), TOP, probes=2 * TRAINED_PROBES)
+    reached = _recall(spark, folder, found) >= 0.9
+    bounded = max(split.sizes().values()) <= max(most, longest - 1)
+    return split.rows.agg(F.count(F.lit(1)).alias("vectors")).select(
+        "vectors", F.lit(reached).alias("reached"), F.lit(bounded).alias("bounded")
+    )
+
+
 def directions(dims: int) -> np.ndarray:
     """Planes of the hash tables that SQL can state too."""
     spots = np.arange(1, HASHES * vector.BITS + 1)[:, None] * np.arange(1, dims + 1)[None, :]
