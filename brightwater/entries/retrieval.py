@@ -151,6 +151,21 @@ def query_chunk_cross(spark, folder):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@entry(
+    "vector_topk_pivots",
+    f"""SELECT query_id, id, round(similarity, 6) AS similarity, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS int) AS rank FROM
+(SELECT query_id, id, round({_COS}, 9) AS similarity FROM
+ (SELECT a.vec_id AS query_id, b.vec_id AS id, cast(a.embedding AS double[]) AS q, cast(b.embedding AS double[]) AS c FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0))
+QUALIFY rank <= {TOP}""",
+)
+def vector_topk_pivots(spark, folder):
+    """The neighbours of every vector whose id is divisible by 100, by groups around pivots."""
+    stored = stored_vectors(spark, folder)
+    queries = stored.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    found = vector.vector_topk(queries, stored, TOP, pivots=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 # Lists around the label means, and keys along given directions, can be stated in SQL.
 _UNIT = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
 PROBES = 2

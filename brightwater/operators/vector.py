@@ -5,8 +5,8 @@ Arrow batch of stored vectors with it and keeps only its best ``k`` per query, s
 and vector ever leaves a task unless it is among them, and the stored vectors are not shuffled.
 The approximate searches compare a vector only with the queries that probe its list or share one of its
 buckets; vectors that no query can meet are dropped by a filter on the stored columns.
-More queries than one block holds are dealt into blocks that meet the stored vectors in bounded
-groups instead.
+More queries than one block holds meet groups of stored vectors of bounded size instead: around pivots, where the
+triangle inequality leaves out groups that cannot hold one of a query's best, or else all of them.
 """
 
 from __future__ import annotations
@@ -26,9 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightwater.functions.vectors import hash_vectors
+from brightwater.plans.scratch import written
+from brightwater.plans.skew import fits
 
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 50_000
+#: Bytes of the vectors in one group of an exact search for many queries.
+GROUP_BYTES = 64 << 20
+#: Pivots of such a search, and the vectors that they are learned from.
+PIVOTS = 256
+PIVOT_ROWS = 20_000
 # Values that a filter on readers, lists or buckets may name; more are left to the tasks.
 FILTER_VALUES = 1000
 
@@ -285,6 +291,7 @@ def _search(
     extra: Callable[[_Block], None] | None = None,
     query_block: int = QUERY_BLOCK,
     repeats: bool = False,
+    pivots: bool = False,
 ) -> DataFrame:
     """Rows (query_id, id, similarity, rank) for frames with columns named as in ``_scan``.
 
@@ -295,7 +302,7 @@ def _search(
     result = _result_type(queries, chunks)
     queries, chunks = (df.filter("vector is not null") for df in (queries, chunks))
     first = queries.limit(query_block + 1).toArrow()
-    if first.num_rows <= query_block:
+    if first.num_rows <= query_block and not (pivots and first.num_rows):
         own = _block_of(first, extra)
         shared = spark.sparkContext.broadcast(own)
         schema = _arrow_type(result)
@@ -304,8 +311,11 @@ def _search(
             yield from _found(batches, shared.value, k, encode, schema, repeats)
 
         found = _reachable(chunks, own).mapInArrow(search, result)
-    else:
+    elif k is None or extra is not None:
         found = _search_in_groups(queries, _encoded(chunks, encode), k, extra, query_block, result, repeats)
+    else:
+        dims = len(first["vector"][0])
+        found = _search_by_pivots(queries, _encoded(chunks, encode), k, query_block, result, dims)
     if repeats:
         found = found.dropDuplicates(["query_id", "id"])
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
@@ -337,7 +347,8 @@ def _encoded(chunks: DataFrame, encode: Encoder | None) -> DataFrame:
 def _search_in_groups(queries, chunks, k, extra, query_block, result, repeats) -> DataFrame:
     """Every block of queries meets every block of vectors in a group of bounded size."""
     query_blocks = -(-queries.count() * 2 // query_block)
-    vector_blocks = max(1, -(-chunks.count() // VECTOR_BLOCK))
+    dims = queries.select(F.size("vector").alias("n")).first().n
+    vector_blocks = max(1, -(-chunks.count() // _group_rows(dims)))
 
     def dealt(df: DataFrame, key: str, mine: str, blocks: int, other: str, others: int):
         spots = F.sequence(F.lit(0), F.lit(others - 1))
@@ -360,6 +371,136 @@ def _search_in_groups(queries, chunks, k, extra, query_block, result, repeats) -
     )
 
 
+def means(points: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Cluster means of a bounded sample, by Lloyd's rounds from k different starting points; k rows at most."""
+    points = np.asarray(points, dtype=np.float64)
+    starts = np.unique(points, axis=0)
+    if len(starts) <= k:
+        return starts
+    found = starts[np.random.default_rng(seed).permutation(len(starts))[:k]]
+    for _ in range(rounds):
+        near = ((found**2).sum(axis=1)[None, :] - 2 * (points @ found.T)).argmin(axis=1)
+        counts = np.bincount(near, minlength=k)
+        sums = np.zeros_like(found)
+        np.add.at(sums, near, points)
+        found = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], found)
+    return found
+
+
+def _group_rows(dims: int) -> int:
+    return max(64, GROUP_BYTES // (8 * max(dims, 1)))
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles between unit vectors (or zeros, at a right angle to everything) and pivots; a metric on the sphere."""
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def _pivots_of(chunks: DataFrame, dims: int, groups: int) -> np.ndarray:
+    """Unit vectors around which stored vectors lie, learned from at most ``PIVOT_ROWS`` of them."""
+    total = chunks.count()
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, PIVOT_ROWS / max(total, 1)) * (1 << 30))
+    sample = chunks.select("id", "vector").where(drawn).limit(PIVOT_ROWS).toArrow()
+    unit = _matrix(sample["vector"].combine_chunks(), None, dims) if sample.num_rows else np.eye(1, dims)
+    found = means(unit, min(PIVOTS, max(groups, 16)), 42)
+    found = _unit(found)
+    return found[np.abs(found).sum(axis=1) > 0] if np.abs(found).sum() else np.eye(1, dims)
+
+
+def _around(df: DataFrame, pivots: np.ndarray, key: str) -> DataFrame:
+    """Add the nearest pivot ``_p`` and the angle to it; zero vectors, at a right angle to all, are with the first."""
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+    place = df.columns.index("vector")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            angles = _angles(_matrix(batch.column(place), None, shared.value.shape[1]), shared.value)
+            near = angles.argmin(axis=1)
+            more = [pa.array(near, pa.int32()), pa.array(angles[np.arange(len(near)), near])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_p", "_angle"])
+
+    more = [T.StructField("_p", T.IntegerType()), T.StructField("_angle", T.DoubleType())]
+    return written(df.mapInArrow(add, T.StructType([*df.schema.fields, *more])), key)
+
+
+def _reached(unit: np.ndarray, floor: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which pivots may have a vector with a similarity of ``floor`` or more, per unit vector.
+
+    By the triangle inequality a vector around a pivot is at least the pivot's angle less its radius away.
+    """
+    least = np.maximum(_angles(unit, pivots) - radius[None, :], 0.0)
+    # a zero vector is no point of the sphere: its similarity is 0 to all
+    bound = np.where(np.abs(unit).sum(axis=1, keepdims=True) == 0, 0.0, np.cos(least))
+    return (bound + 1e-7 >= floor[:, None]) & (radius >= 0)[None, :]
+
+
+def _search_by_pivots(queries, chunks, k, query_block, result, dims) -> DataFrame:
+    """Exact search for many queries: vectors are grouped around pivots, and a query meets the groups it can need.
+
+    A query first meets the vectors around its own pivot. The k-th best similarity there is a floor; other pivots are
+    met only if their nearest possible vector reaches it. Groups hold at most ``query_block`` queries and
+    ``GROUP_BYTES`` of vectors on average.
+    """
+    spark = chunks.sparkSession
+    rows = _group_rows(dims)
+    stored = written(chunks, "vectors")
+    pivots = _pivots_of(stored, dims, -(-stored.count() // rows))
+    stored, asked = _around(stored, pivots, "stored"), _around(queries, pivots, "asked")
+    # zero vectors have similarity 0 to everything, so their pivot must reach a right angle
+    flat = F.when(F.forall("vector", lambda x: x == 0), F.lit(np.pi)).otherwise(F.col("_angle"))
+    around = {r["_p"]: r for r in stored.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max(flat).alias("far")).collect()}
+    radius = np.array([around[p].far if p in around else -1.0 for p in range(len(pivots))])
+    parts = [max(1, -(-around[p].n // rows)) if p in around else 1 for p in range(len(pivots))]
+    owned = {r["_p"]: r["count"] for r in asked.groupBy("_p").count().collect()}
+    shares = [max(1, -(-owned.get(p, 0) // query_block)) for p in range(len(pivots))]
+
+    def part(key: str, counts: list[int]) -> Column:
+        return F.pmod(F.xxhash64(key), F.get(F.array(*map(F.lit, counts)), F.col("_p"))).cast("int")
+
+    asked = asked.withColumn("_share", part("query_id", shares)).withColumn("_own", F.col("_p"))
+    stored = stored.withColumn("_part", part("id", parts)).drop("_angle")
+    schema = _arrow_type(result)
+
+    def meet(some_queries: pa.Table, some_chunks: pa.Table) -> pa.Table:
+        if some_queries.num_rows == 0 or some_chunks.num_rows == 0:
+            return schema.empty_table()
+        batches = some_chunks.combine_chunks().to_batches()
+        return pa.Table.from_batches(_found(iter(batches), _block_of(some_queries, None), k, None, schema), schema)
+
+    def met(some: DataFrame) -> DataFrame:
+        """The queries of ``some`` with the vectors around the pivot ``_p`` that each row names."""
+        pairs = written(some.select("_p", "_own", "_share").distinct(), "pairs")
+        copied = stored.join(F.broadcast(pairs) if fits(pairs) else pairs, "_p")
+        spots = F.sequence(F.lit(0), F.get(F.array(*map(F.lit, parts)), F.col("_p")) - 1)
+        left = some.withColumn("_part", F.explode(spots))
+        on = ["_own", "_share", "_p", "_part"]
+        return left.groupBy(*on).cogroup(copied.groupBy(*on)).applyInArrow(meet, result)
+
+    columns = [c for c in asked.columns if c not in ("_p", "_angle")]
+    near = written(met(asked.drop("_angle")), "near")
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc())
+    kth = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k)
+    floors = asked.select(*columns).join(kth.select("query_id", F.col("similarity").alias("_floor")), "query_id", "left")
+    place, own = floors.columns.index("vector"), floors.columns.index("_own")
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _matrix(batch.column(place), None, dims)
+            floor = np.array(pc.fill_null(batch.column(batch.num_columns - 1), -2.0), dtype=np.float64)
+            wanted = _reached(unit, floor, pivots, radius)
+            wanted[np.arange(len(unit)), batch.column(own).to_numpy()] = False
+            found = pa.array([np.flatnonzero(w).tolist() for w in wanted], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_needed"])
+
+    fields = [*floors.schema.fields, T.StructField("_needed", T.ArrayType(T.IntegerType()))]
+    needed = floors.mapInArrow(need, T.StructType(fields)).withColumn("_p", F.explode("_needed"))
+    return near.unionByName(met(written(needed.drop("_floor", "_needed"), "needed")))
+
+
 def _inputs(queries, chunks, vector, access, more=()):
     q = queries.select(
         "query_id",
@@ -379,15 +520,19 @@ def vector_topk(
     access: bool = False,
     encode: Encoder | None = None,
     query_block: int = QUERY_BLOCK,
+    pivots: bool = False,
 ) -> DataFrame:
     """The ``k`` stored vectors most similar to each query, by cosine; all of them with ``k`` None.
 
+    More than ``query_block`` queries (any number with ``pivots``) meet groups of vectors around pivots, and only
+    those that can hold one of their best ``k``.
+
     ``queries`` has query_id and embedding, ``chunks`` id and embedding. With ``access`` a query's
     user_id must be among the chunk's permissions. With ``encode`` the chunks carry ``chunk_text``
     and are embedded inside the scan instead of before it.
     """
     q, c = _inputs(queries, chunks, "embedding" if encode is None else "chunk_text", access)
-    return _search(q, c, k, encode, query_block=query_block)
+    return _search(q, c, k, encode, query_block=query_block, pivots=pivots)
 
 
 def _with_unit_features(df: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from brightwater.operators.vector import (
     _rows_by,
     _stored_by,
     _with_unit_features,
+    means,
 )
 from brightwater.plans.scratch import written
 from brightwater.plans.skew import fits
@@ -44,7 +45,6 @@ CODES = 256
 #: Vectors that centroids are learned from, and of these the ones that codebooks are learned from.
 TRAIN_ROWS = 100_000
 CODE_ROWS = 10_000
-ROUNDS = 12
 
 
 @dataclass(frozen=True)
@@ -81,22 +81,6 @@ class Model:
         return out
 
 
-def means(points: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Cluster means of a bounded sample, by Lloyd's rounds from k different starting points; k rows at most."""
-    points = np.asarray(points, dtype=np.float64)
-    starts = np.unique(points, axis=0)
-    if len(starts) <= k:
-        return starts
-    found = starts[np.random.default_rng(seed).permutation(len(starts))[:k]]
-    for _ in range(rounds):
-        near = ((found**2).sum(axis=1)[None, :] - 2 * (points @ found.T)).argmin(axis=1)
-        counts = np.bincount(near, minlength=k)
-        sums = np.zeros_like(found)
-        np.add.at(sums, near, points)
-        found = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], found)
-    return found
-
-
 def _sampled(vectors: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` rows, never more, drawn by a hash of the id."""
     total = vectors.count()

@@ -227,6 +227,47 @@ def test_stored_hash_tables(spark, vectors):
     assert met == {r.query_id: r["count"] for r in every}
 
 
+def test_many_queries(spark):
+    """More queries than a block holds: equal to one block, and few of the groups are met."""
+    random_ = np.random.default_rng(3)
+    centres = random_.standard_normal((12, 8)) * 4
+    def cloud(n, seed):
+        random_ = np.random.default_rng(seed)
+        return [(centres[i % 12] + 0.3 * random_.standard_normal(8)).tolist() for i in range(n)]
+    rows = [(f"v{i}", v, ["a"] if i % 2 else ["a", "b"]) for i, v in enumerate(cloud(900, 1))]
+    rows += [("zero", [0.0] * 8, ["a"]), ("none", None, ["a"]), ("twin1", rows[0][1], ["b"]), ("twin2", rows[0][1], ["b"])]
+    c = spark.createDataFrame(rows, "id string, embedding array<double>, permissions array<string>").repartition(4)
+    asked = [(i, v, "ab"[i % 2]) for i, v in enumerate(cloud(10_000, 2))]
+    asked += [(20_000, [0.0] * 8, "a"), (20_001, [-x for x in rows[5][1]], "b"), (20_002, None, "a")]
+    q = spark.createDataFrame(asked, "query_id int, embedding array<double>, user_id string").repartition(4)
+    few = q.where("query_id % 40 = 0 or query_id >= 20000")
+    for access in (False, True):
+        want = sorted(map(tuple, vector.vector_topk(few, c, 5, access=access).collect()))
+        got = vector.vector_topk(q, c, 5, access=access, query_block=1000)
+        assert sorted(map(tuple, got.join(few.select("query_id"), "query_id").select("query_id", "id", "similarity", "rank").collect())) == want
+    pivots = vector._unit(centres)
+    unit = vector._unit(np.array(cloud(600, 4)))
+    angles = vector._angles(unit, pivots)
+    radius = np.array([angles[angles.argmin(axis=1) == p, p].max() for p in range(12)])
+    assert vector._reached(unit, np.full(600, 0.98), pivots, radius).sum() <= 3 * 600
+    assert vector._reached(unit, np.full(600, -2.0), pivots, radius).all()
+
+
+@pytest.mark.parametrize("dims", [2, 5])
+def test_pivot_bounds_lose_nothing(dims):
+    """No vector around a pivot that is not reached has the similarity."""
+    random_ = np.random.default_rng(dims)
+    stored, asked = vector._unit(random_.standard_normal((400, dims))), vector._unit(random_.standard_normal((60, dims)))
+    pivots = vector._unit(vector.means(stored, 9, 1))
+    angles = vector._angles(stored, pivots)
+    home = angles.argmin(axis=1)
+    radius = np.array([angles[home == p, p].max() if (home == p).any() else -1 for p in range(len(pivots))])
+    similar = asked @ stored.T
+    floor = np.sort(similar, axis=1)[:, -5]
+    reached = vector._reached(asked, floor, pivots, radius)
+    assert not (similar >= floor[:, None])[~reached[:, home]].any() and not reached.all()
+
+
 def test_null_and_ragged_vectors(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
     c = spark.createDataFrame([("a", [1.0, 1.0]), ("b", None), ("c", [0.0, 2.0])], "id string, embedding array<double>")

@@ -39,10 +39,10 @@ def stored(spark):
 def test_means():
     random = np.random.default_rng(2)
     cloud = np.concatenate([random.standard_normal((50, 3)) * 0.01 + c for c in ([0, 0, 9], [5, 0, 0], [0, 7, 0])])
-    found = vector_store.means(cloud, 6, 1)
+    found = vector.means(cloud, 6, 1)
     near = np.sqrt(((cloud[:, None] - found[None]) ** 2).sum(axis=2)).min(axis=1)
     assert len(found) == 6 and near.max() < 8 and np.median(near) < 0.1
-    assert vector_store.means(np.ones((5, 2)), 3, 1).tolist() == [[1, 1]]
+    assert vector.means(np.ones((5, 2)), 3, 1).tolist() == [[1, 1]]
 
 
 def test_codes_keep_the_order_nearly(stored):
