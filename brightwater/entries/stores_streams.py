@@ -12,7 +12,7 @@ from brightwater.plans import tables
 from brightwater.plans.scratch import scratch_path
 from brightwater.sources import readers, sinks
 from brightwater.streaming import streams
-from brightwater.streaming.runs import collected
+from brightwater.streaming.runs import collected, collected_in_event_time
 
 
 @entry(
@@ -210,8 +210,24 @@ def read_table_by_keys(spark, folder):
 
 
 # Streams: each must end with what its batch form gives.
+#: A row of this name and time, far behind all given ones, closes an event-time stream.
+END, END_MS = "end of input", 4_000_000_000_000
+
+
 @entry("rate_limit_stream", SQL["rate_limit_batch"])
 def rate_limit_stream(spark, folder):
+    """In event time: the one file of requests is in no order, and users whose window has passed are forgotten."""
+    requests = guard_jobs.limited_requests(spark, folder, tables.stream)
+    last = spark.createDataFrame([(-1, END, END, END_MS)], requests.schema)
+    decided = collected_in_event_time(
+        requests, lambda rows: streams.rate_limit_stream(rows, 3, guard_jobs.DAY_MS, late="60 days"), last, "rate-limit"
+    )
+    return decided.where(F.col("user_id") != END).select("id", "allowed", "remaining", "reset_in")
+
+
+@entry("rate_limit_stream_ordered", SQL["rate_limit_batch"])
+def rate_limit_stream_ordered(spark, folder):
+    """Decided at once, for requests that arrive in time order across micro-batches."""
     requests = guard_jobs.limited_requests(spark, folder, tables.stream)
     decided = streams.rate_limit_stream(requests, 3, guard_jobs.DAY_MS)
     return collected(decided, "rate-limit").select("id", "allowed", "remaining", "reset_in")
@@ -219,6 +235,18 @@ def rate_limit_stream(spark, folder):
 
 @entry("breaker_stream", SQL["breaker_batch"])
 def breaker_stream(spark, folder):
+    """In event time, as ``rate_limit_stream``."""
+    events = guard_jobs.call_outcomes(spark, folder, tables.stream)
+    last = spark.createDataFrame([(END, END_MS, -1, True)], events.schema)
+    changes = collected_in_event_time(
+        events, lambda rows: streams.breaker_stream(rows, reset_ms=guard_jobs.RESET_MS, late="60 days"), last, "breaker"
+    )
+    return changes.where(F.col("name") != END)
+
+
+@entry("breaker_stream_ordered", SQL["breaker_batch"])
+def breaker_stream_ordered(spark, folder):
+    """Decided at once, for outcomes that arrive in time order across micro-batches."""
     events = guard_jobs.call_outcomes(spark, folder, tables.stream)
     changes = streams.breaker_stream(events, reset_ms=guard_jobs.RESET_MS)
     return collected(changes, "breaker").drop("batch")

@@ -10,6 +10,7 @@ from brightwater.functions.numbers import percent, round_up_half
 from brightwater.functions.text import let
 from brightwater.operators.churn_features import FEATURES, scoring_features
 from brightwater.plans.scratch import written
+from brightwater.plans.skew import small
 
 
 _MODEL = {
@@ -133,7 +134,7 @@ def survival_lookup(records: DataFrame, survival: DataFrame | None = None) -> Da
     contract = F.coalesce("Contract", F.lit("Month-to-month"))
     internet = F.coalesce("InternetService", F.lit("Fiber optic"))
     matched = (contract == F.col("_contract")) & (internet == F.col("_internet"))
-    return records.join(F.broadcast(cells), matched, "left").select(
+    return records.join(small(cells), matched, "left").select(
         *records.columns, *[F.coalesce(f"_{q}", overall[q]).alias(q) for q in quartiles]
     )
 

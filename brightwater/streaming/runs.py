@@ -71,3 +71,23 @@ def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     checkpoint, run = store_checkpoint(path, name)
     run_available(stream, batch_writer(path, run), checkpoint, mode)
     return spark.read.parquet(path).drop("run")
+
+
+def collected_in_event_time(
+    stream: DataFrame, decide: Callable[[DataFrame], DataFrame], last: DataFrame, name: str
+) -> DataFrame:
+    """Run an event-time stream to its end, and once more with the row of ``last``, whose time closes all the others.
+
+    A watermark only passes rows when later ones come, so the end of a finished input has to be told. The closing
+    row comes by a source of its own after the whole input; what is decided for it is among the results.
+    """
+    spark = stream.sparkSession
+    path, ends = scratch_path(spark, name), scratch_path(spark, f"{name}-end")
+    last.limit(0).write.parquet(ends)
+    closing = spark.readStream.schema(last.schema).parquet(ends)
+    decided = decide(stream.unionByName(closing))
+    checkpoint, run = store_checkpoint(path, name)
+    run_available(decided, batch_writer(path, run), checkpoint)
+    last.write.mode("append").parquet(ends)
+    run_available(decided, batch_writer(path, run), checkpoint)
+    return spark.read.parquet(path).drop("run", "batch")
