@@ -9,7 +9,7 @@ from brightwater.entries import entry
 from brightwater.entries.views_sql import with_views
 from brightwater.functions.vectors import cosine_similarity as cosine
 from brightwater.functions.vectors import hash_embed as embed
-from brightwater.operators import evaluation, keyword_store, prompts, retrieval, vector, vector_store
+from brightwater.operators import evaluation, keyword_store, prompts, retrieval, text_match, vector, vector_store
 from brightwater.operators.chunks import chunk_documents
 from brightwater.plans import tables
 from brightwater.plans.scratch import scratch_path, written
@@ -569,6 +569,46 @@ def match_all_terms(spark, folder):
     )
 
 
+def keyword_questions(spark, folder):
+    """Short questions, as people type them: the first three words of every benchmark text."""
+    asked = tables.text_queries(spark, folder)
+    return asked.withColumn("text", F.array_join(F.slice(text_match.tokens(F.col("text")), 1, 3), " "))
+
+
+_RUNS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_LEXEMES = f"""asked AS (SELECT DISTINCT query_id, user_id, w FROM (SELECT query_id, user_id, unnest(list_slice({_RUNS.format("text")}, 1, 3)) AS w FROM text_queries) WHERE w NOT IN {_STOP}),
+needed AS (SELECT query_id, count(*) AS needed FROM asked GROUP BY query_id),
+cut AS (SELECT id, permissions, {_RUNS.format("chunk_text")} AS ws FROM chunks),
+spots AS (SELECT id, permissions, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS spot FROM cut),
+places AS (SELECT s.* FROM spots s WHERE w IN (SELECT w FROM asked)),
+hits AS (SELECT a.query_id, p.id, p.w, p.spot FROM asked a JOIN places p ON p.w = a.w AND list_contains(p.permissions, a.user_id)),
+matched AS (SELECT query_id, id, any_value(needed) AS needed FROM hits JOIN needed USING (query_id) GROUP BY query_id, id HAVING count(DISTINCT w) = any_value(needed)),
+single AS (SELECT query_id, id, 0.1::double * sum(1.0::double / (j * j)) / 1.64493406685 AS r FROM
+ (SELECT query_id, id, row_number() OVER (PARTITION BY query_id, id ORDER BY spot) AS j FROM hits JOIN matched USING (query_id, id) WHERE needed = 1) GROUP BY 1, 2),
+pairs AS (SELECT query_id, id, 1 - exp(sum(ln(1 - sqrt(0.01::double * CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)))) AS r FROM
+ (SELECT x.query_id, x.id, cast(abs(x.spot - y.spot) AS double) AS d FROM hits x JOIN matched m ON m.query_id = x.query_id AND m.id = x.id JOIN hits y ON y.query_id = x.query_id AND y.id = x.id AND x.w < y.w AND x.spot <> y.spot) GROUP BY 1, 2),
+ranked AS (SELECT query_id, id, round(r, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, id) AS rank FROM (SELECT * FROM single UNION ALL SELECT * FROM pairs) QUALIFY rank <= 10)"""
+
+
+@entry(
+    "rank_by_lexemes",
+    with_views(
+        "chunks text_queries",
+        f"WITH {_LEXEMES} SELECT query_id, id, round(score, 6) AS score, cast(rank AS int) AS rank FROM ranked",
+    ),
+)
+def rank_by_lexemes(spark, folder):
+    found = text_match.rank_by_lexemes(keyword_questions(spark, folder), chunks(spark, folder), stemmed=False)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@entry("rank_by_stems")
+def rank_by_stems(spark, folder):
+    """By English stems, which SQL cannot state; tests compare them with published ones and plain Python."""
+    found = text_match.rank_by_lexemes(keyword_questions(spark, folder), chunks(spark, folder))
+    return found.withColumn("score", F.round("score", 6))
+
+
 # Similarity of hash embeddings: products of integer sums are exact, so ranks agree.
 _ARM = (
     _EMBED.format(name="ce", dims=768, key="id", text="chunk_text", source="chunks")

@@ -265,12 +265,17 @@ def bm25_score(
 
 
 def match_all_terms(
-    queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None
+    queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None, stem: bool = False
 ) -> DataFrame:
     """Pairs (query_id, id) where a permitted chunk has every query term that is no stop word.
 
-    A query of stop words only matches nothing.
+    A query of stop words only matches nothing. With ``stem`` English words match by their stems, whatever stands
+    between them; ``text_match.rank_by_lexemes`` also ranks the matches.
     """
+    if stem:
+        from brightwater.operators.text_match import match_lexemes
+
+        return match_lexemes(queries, chunks).select("query_id", "id")
     terms = query_terms(queries).filter(~F.col("term").isin(STOP_WORDS))
     needed = Window.partitionBy("query_id")
     counted = terms.withColumn("needed", F.count(F.lit(1)).over(needed))
