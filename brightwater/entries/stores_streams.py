@@ -264,19 +264,19 @@ def memory_stream(spark, folder):
     )
 
 
-@entry(
-    "request_stats_stream",
-    with_views(
-        "priced_logs",
-        """WITH slots AS (SELECT *, unnest(generate_series(date_trunc('hour', created_at) - INTERVAL 23 HOUR, date_trunc('hour', created_at), INTERVAL 1 HOUR)) AS window_start FROM priced_logs),
+_WINDOWS = with_views(
+    "priced_logs",
+    """WITH slots AS (SELECT *, unnest(generate_series(date_trunc('hour', created_at) - INTERVAL 23 HOUR, date_trunc('hour', created_at), INTERVAL 1 HOUR)) AS window_start FROM priced_logs),
 stats AS (SELECT project, window_start, count(*) AS n, 0.95::double * (count(*) - 1) AS place, list_sort(list(latency_ms)) AS l, sum(latency_ms) AS latency, sum(tokens_in + tokens_out) AS tokens,
  sum(cast(cast(cost_usd AS varchar) AS decimal(10,6))) AS cost, count(*) FILTER (WHERE status = 'error') AS errors FROM slots GROUP BY project, window_start)
 SELECT project, epoch_us(window_start)//1000 AS window_start_ms, n AS total_requests, cast((2*latency + n) // (2*n) AS bigint) AS avg_latency_ms,
  cast(round_even(CASE WHEN floor(place) = ceil(place) THEN l[cast(place AS bigint) + 1]
   ELSE (ceil(place) - place) * l[cast(floor(place) AS bigint) + 1] + (place - floor(place)) * l[cast(ceil(place) AS bigint) + 1] END, 0) AS bigint) AS p95_latency_ms,
  cast(tokens AS bigint) AS total_tokens, cast(cost AS double) AS total_cost_usd, errors AS error_count, cast((20000*errors + n) // (2*n) AS bigint) / 100.0 AS error_rate_pct FROM stats""",
-    ),
 )
+
+
+@entry("request_stats_stream", _WINDOWS)
 def request_stats_stream(spark, folder):
     # One file holds the whole log in no order; no row of it is late.
     logs = request_cost(tables.request_logs(spark, folder, tables.stream))
@@ -285,6 +285,30 @@ def request_stats_stream(spark, folder):
     return windows.withColumn("window_start_ms", F.unix_millis("window_start")).drop("window_start")
 
 
+_P95 = _WINDOWS[_WINDOWS.index(" cast(round_even(") : _WINDOWS.index(" AS p95_latency_ms,")] + " AS p95_latency_ms"
+
+
+@entry("request_sketch_stream", _WINDOWS.replace(_P95, " true AS near_p95"))
+def request_sketch_stream(spark, folder):
+    """Windows from sketches of bounded size; whether the percentile is within their stated error of the exact rank."""
+    logs = request_cost(tables.request_logs(spark, folder, tables.stream))
+    updates = collected(streams.request_sketch_stream(logs, late="60 days"), "request-sketch", mode="update")
+    windows = streams.sketched_windows(updates)
+    hour = F.date_trunc("hour", "created_at")
+    starts = F.explode(F.sequence(hour - F.expr("INTERVAL 23 HOURS"), hour, F.expr("INTERVAL 1 HOUR")))
+    given = tables.request_logs(spark, folder).select("project", "latency_ms", starts.alias("window_start"))
+    counted = given.groupBy("project", "window_start", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.join(windows.select("project", "window_start", "p95_latency_ms"), ["project", "window_start"])
+    below, upto = F.col("latency_ms") < F.col("p95_latency_ms"), F.col("latency_ms") <= F.col("p95_latency_ms")
+    ranks = ranked.groupBy("project", "window_start").agg(
+        F.sum("n").alias("all"), F.sum(F.when(below, F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(upto, F.col("n")).otherwise(0)).alias("upto")
+    )
+    error = streams.SKETCH_ERROR
+    near = (F.col("below") <= (0.95 + error) * F.col("all")) & (F.col("upto") >= (0.95 - error) * F.col("all"))
+    told = windows.drop("p95_latency_ms").join(ranks.select("project", "window_start", near.alias("near_p95")), ["project", "window_start"])
+    return told.withColumn("window_start_ms", F.unix_millis("window_start")).drop("window_start")
+
+
 @entry(
     "job_stream",
     f"""WITH {guard_jobs._TEXTS}, sized AS (SELECT jobs.*, t, strlen(cast(CASE WHEN input_text IS NULL THEN json_object('pipeline_type', jobs.pipeline_type) ELSE json_object('pipeline_type', jobs.pipeline_type, 'input_text', input_text) END AS varchar))

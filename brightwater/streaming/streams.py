@@ -19,6 +19,7 @@ from brightwater.functions import fixed_values as fixed
 from brightwater.operators.breaker import changes, step
 from brightwater.operators.jobs import route_jobs, validate_jobs
 from brightwater.operators.limiter import AcceptedWindow
+from brightwater.functions.numbers import percent, whole_average
 from brightwater.operators.request_log import latency_counts, latency_summary
 from brightwater.operators.tables import one_per_key
 from brightwater.streaming.runs import batch_writer, keyed_state, run_available, store_checkpoint
@@ -365,6 +366,59 @@ def latest_windows(updates: DataFrame, hours: int = 24) -> DataFrame:
     return latency_summary(final.withColumn("window_start", starts), "window_start", "project")
 
 
+#: Size of the quantile sketches of ``request_sketch_stream``; a quantile is off by SKETCH_ERROR of the ranks, rarely more.
+SKETCH_K, SKETCH_ERROR = 800, 0.005
+
+
+def request_sketch_stream(logs: DataFrame, late: str = "1 hour", k: int = SKETCH_K) -> DataFrame:
+    """Priced logs summed per hour and project, with a mergeable sketch of the latencies.
+
+    State is one row of bounded size per hour and project, however many different latencies there are;
+    ``sketched_windows`` reads windows from it. ``late`` is that of ``request_stats_stream``.
+    """
+    timed = logs.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+    hour = F.window("created_at", "1 hour").alias("hour")
+    summed = timed.groupBy(hour, "project").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("latency_ms").alias("latency"),
+        F.kll_sketch_agg_bigint(F.col("latency_ms").cast("bigint"), k).alias("sketch"),
+        F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"),
+        F.sum(F.col("cost_usd").cast("decimal(10,6)")).alias("cost"),
+        F.count_if(F.col("status") == "error").alias("errors"),
+    )
+    return summed.withColumn("hour", F.col("hour.start"))
+
+
+def sketched_windows(updates: DataFrame, hours: int = 24) -> DataFrame:
+    """The statistics of ``request_stats`` per project and every window of ``hours`` that starts on an hour.
+
+    Everything is exact but ``p95_latency_ms``, which is a latency whose rank is within ``SKETCH_ERROR`` of
+    95 percent. ``updates`` are the collected rows of ``request_sketch_stream``, of which the last per hour holds.
+    """
+    final = one_per_key(updates, ["hour", "project"], lambda row: F.max_by(row, F.col("batch"))).drop("batch")
+    first = F.col("hour") - F.expr(f"INTERVAL {hours - 1} HOURS")
+    starts = F.explode(F.sequence(first, F.col("hour"), F.expr("INTERVAL 1 HOUR")))
+    totals = final.withColumn("window_start", starts).groupBy("window_start", "project").agg(
+        F.sum("n").alias("total_requests"),
+        F.sum("latency").alias("latency"),
+        F.kll_merge_agg_bigint("sketch").alias("sketch"),
+        F.sum("tokens").alias("total_tokens"),
+        F.sum("cost").alias("cost"),
+        F.sum("errors").alias("error_count"),
+    )
+    return totals.select(
+        "window_start",
+        "project",
+        "total_requests",
+        whole_average(F.col("latency"), F.col("total_requests")).alias("avg_latency_ms"),
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.95).cast("double")).alias("p95_latency_ms"),
+        "total_tokens",
+        F.col("cost").cast("double").alias("total_cost_usd"),
+        "error_count",
+        percent(F.col("error_count"), F.col("total_requests"), 2).alias("error_rate_pct"),
+    )
+
+
 def job_stream(
     jobs: DataFrame,
     today,

@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,29 @@ def test_late_rows(spark, late, kept):
     days = streams.latest_windows(updates).filter("hour(window_start) = 0 AND date_format(window_start, 'dd') IN ('01', '05', '07')")
     assert days.count() == kept
     assert {(r.total_requests, r.total_cost_usd, r.error_rate_pct) for r in days.collect()} == {(2, 1.0, 0.0), (1, 0.5, 0.0)}
+
+
+def test_sketches_keep_their_size_and_error(spark):
+    """Many different latencies, in several micro-batches: bounded state, and a percentile near the exact one."""
+    path = scratch_path(spark, "logs")
+    rows = spark.range(60_000).selectExpr(
+        "id", "concat('p', id % 2) project", "cast(pmod(hash(id), 1000003) as int) latency_ms", "1 tokens_in", "2 tokens_out",
+        "cast(0.5 as double) cost_usd", "if(id % 10 = 0, 'error', 'success') status",
+        "timestamp_millis(1700000000000 + (id % 7200) * 1000) created_at",
+    )
+    for part in range(3):
+        rows.where(f"id % 3 = {part}").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    stream = streams.read_queue(spark, path, rows.schema, 1)
+    updates = collected(streams.request_sketch_stream(stream, late="1 day"), "sketch", mode="update")
+    assert updates.agg(F.max(F.length("sketch"))).first()[0] < 60_000 and updates.select("batch").distinct().count() >= 3
+    got = streams.sketched_windows(updates, hours=2).collect()
+    hours = rows.selectExpr("*", "explode(sequence(date_trunc('hour', created_at) - interval 1 hour, date_trunc('hour', created_at), interval 1 hour)) w")
+    exact = {(r.w, r.project): r for r in hours.groupBy("w", "project").agg(F.sort_array(F.collect_list("latency_ms")).alias("l")).collect()}
+    assert len(got) == len(exact) > 4
+    for r in got:
+        values = np.array(exact[r.window_start, r.project].l)
+        below, upto = (values < r.p95_latency_ms).mean(), (values <= r.p95_latency_ms).mean()
+        assert below <= 0.95 + streams.SKETCH_ERROR and upto >= 0.95 - streams.SKETCH_ERROR
+        assert r.total_requests == len(values) and r.avg_latency_ms == (2 * int(values.sum()) + len(values)) // (2 * len(values))
+        assert (r.total_tokens, r.total_cost_usd) == (3 * len(values), 0.5 * len(values))
