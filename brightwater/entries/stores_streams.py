@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from brightwater.entries import SQL, churn, entry, guard_jobs, ops_tables, retrieval
@@ -11,7 +14,7 @@ from brightwater.operators.request_log import request_cost
 from brightwater.plans import tables
 from brightwater.plans.scratch import scratch_path
 from brightwater.sources import readers, sinks
-from brightwater.streaming import streams
+from brightwater.streaming import claims, streams
 from brightwater.streaming.runs import collected, collected_in_event_time
 
 
@@ -191,6 +194,23 @@ def enqueue_jobs(spark, folder):
     return taken.select("job_id", "status", F.unix_millis("created_at").alias("created_ms"))
 
 
+@entry("claim_jobs", SQL["enqueue_jobs"])
+def claim_jobs(spark, folder):
+    """Segments of jobs, taken by two consumers side by side into one store."""
+    jobs = ops_tables.job_rows(spark, folder)
+    queue, store = scratch_path(spark, "segments"), scratch_path(spark, "claimed")
+    for number in range(4):
+        claims.enqueue_segment(jobs.filter(F.pmod("job_id", F.lit(4)) == number), queue)
+
+    def consume(name):
+        return claims.take_segments(spark, queue, name, store, jobs.schema)
+
+    with ThreadPool(2) as pool:
+        pool.map(inheritable_thread_target(spark)(consume), ["first", "second"])
+    taken = spark.read.schema(jobs.schema).parquet(store)
+    return taken.select("job_id", "status", F.unix_millis("created_at").alias("created_ms"))
+
+
 @entry(
     "read_table_by_key",
     "SELECT event_id, user_id, event_type, value FROM events WHERE user_id = 42",
