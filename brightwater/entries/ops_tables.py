@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brightwater.entries import entry
+from brightwater.entries import SQL, entry
 from brightwater.entries.views_sql import with_views
-from brightwater.operators import agents, evaluation, prompts
+from brightwater.operators import agents, evaluation, keyed_store, prompts
 from brightwater.operators import tables as ops
 from brightwater.plans import tables
+from brightwater.plans.scratch import scratch_path
 
 
 def versions(spark, folder):
@@ -232,6 +233,19 @@ def upsert_latest(spark, folder):
     )
 
 
+def stored_orders(spark, folder):
+    return keyed_store.create_keyed(order_base(spark, folder), scratch_path(spark, "keyed"), ["job_id"])
+
+
+@entry("upsert_stored", SQL["upsert_latest"])
+def upsert_stored(spark, folder):
+    """The updates come in two turns; each rewrites the buckets of its keys."""
+    store, updates = stored_orders(spark, folder), order_updates(spark, folder)
+    late = F.col("updated_at") > F.lit(updates.agg(F.percentile_approx("updated_at", 0.5)).first()[0])
+    store.upsert(updates.where(~late), "updated_at").upsert(updates.where(late), "updated_at")
+    return keyed_store.open_keyed(spark, store.path).rows
+
+
 @entry(
     "insert_ignore",
     f"""WITH {_BASE_SQL}, oldest AS (SELECT job_id, status, note, updated_at FROM updates
@@ -272,6 +286,12 @@ def delete_by_key(spark, folder):
     )
 
 
+@entry("delete_stored", SQL["delete_by_key"])
+def delete_stored(spark, folder):
+    store = stored_orders(spark, folder).delete(order_updates(spark, folder))
+    return keyed_store.open_keyed(spark, store.path).rows
+
+
 @entry(
     "job_status_fold",
     """WITH log AS (SELECT l_orderkey AS job_id, l_partkey * 100 + l_linenumber * 10 + 1 AS seq, 'processing' AS status, NULL AS result, NULL AS error FROM lineitem
