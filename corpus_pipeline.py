@@ -19,12 +19,16 @@ from brightwater.llm.similar import similar_texts
 from brightwater.plans.scratch import written
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = "8m"
+
+
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without letters or with a narrow margin go.
 
     Languages are learned from the labelled texts of the stage's own input. Null texts go.
     """
-    ready(spark)
+    _prepared(spark)
     return accepted(docs, train(docs))
 
 
@@ -64,9 +68,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in sequences of 2048 tokens, piece by piece."""
+    _prepared(spark)
     return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def _prepared(spark: SparkSession) -> None:
+    """Python workers stay from stage to stage: small Arrow batches keep what they hold small."""
+    ready(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class _Whole:
     """Whole rows under a unique key along doc_id (frames.identified), their columns under numbered names.
 
@@ -74,6 +85,7 @@ class _Whole:
     """
 
     def __init__(self, docs: DataFrame):
+        _prepared(docs.sparkSession)
         self.columns = docs.columns
         self.name = {column: f"c{n}" for n, column in enumerate(docs.columns)}
         renamed = docs.toDF(*self.name.values())
