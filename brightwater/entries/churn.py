@@ -461,8 +461,8 @@ def walk_forward_summary(spark, folder):
     )
 
 
-# Training on all customers.
-QUICK = training.TreeSettings(trees=10, rounds=3)
+# Training on all customers: models that are fitted side by side.
+PARALLEL = 8
 
 
 def training_rows(spark, folder):
@@ -523,11 +523,20 @@ def fit_logreg(spark, folder):
     return slopes.unionByName(level).select("feature", F.abs(F.round("slope", 3)).alias("gradient"))
 
 
-@entry("fit_stack")
+@entry(
+    "fit_stack",
+    with_views("telco", "SELECT customer_id, cast(churn AS double) AS label, true AS in_range, true AS better FROM telco"),
+)
 def fit_stack(spark, folder):
+    """The whole stack at its own settings: a probability for every customer, and a better AUC than the served model's."""
     rows = assembled(spark, folder)
-    stack = training.fit_stack(rows, KEY, QUICK)
-    return stack.score(rows).select(KEY, "label", "p")
+    scored = written(training.fit_stack(rows, KEY, parallelism=PARALLEL).score(rows).select(KEY, "label", "p"), "stacked")
+    auc = metrics.binary_metrics(scored, 0.5, "label", "p").first().auc
+    served = scoring.score_churn(records(spark, folder))
+    known = metrics.binary_metrics(served, fixed.CHURN_THRESHOLD, "churn", "confidence").first().auc
+    return scored.select(
+        KEY, "label", F.col("p").between(0, 1).alias("in_range"), F.lit(auc > known).alias("better")
+    )
 
 
 @entry("tune_cv")
@@ -545,10 +554,49 @@ def tune_cv(spark, folder):
     return trials
 
 
-@entry("walk_forward")
+# The forest's search space: trees, depth, rows in a leaf, features tried at a split.
+FOREST_SPACE = {
+    "numTrees": (50, 300), "maxDepth": (5, 20), "minInstancesPerNode": (1, 10), "featureSubsetStrategy": ["sqrt", "log2"],
+}
+_TRIALS = ", ".join(
+    f"({n}, '{training.trial_text(t)}')" for n, t in enumerate(training.drawn_trials(FOREST_SPACE, 30))
+)
+
+
+@entry(
+    "tune_forest",
+    f"SELECT cast(trial AS int) AS trial, parameters, true AS tested, true AS in_range FROM (VALUES {_TRIALS}) t(trial, parameters)",
+)
+def tune_forest(spark, folder):
+    """All 30 trials of the forest over five folds, losing ones dropped early."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    forest = RandomForestClassifier(seed=training.SEED)
+    _, trials = training.halving_search(assembled(spark, folder), KEY, forest, FOREST_SPACE, parallelism=PARALLEL)
+    return trials.select(
+        "trial", "parameters", F.col("folds").between(1, 5).alias("tested"), F.col("auc").between(0, 1).alias("in_range")
+    )
+
+
+@entry(
+    "walk_forward",
+    with_views(
+        "telco",
+        f"""WITH {_FOLDS}, numbers AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS fold)
+SELECT cast(fold AS int) AS fold, count(*) FILTER (WHERE train_from <= fold) AS train_size, count(*) FILTER (WHERE test_fold = fold) AS test_size,
+ round(count(*) FILTER (WHERE test_fold = fold AND churn = 1) / count(*) FILTER (WHERE test_fold = fold), 6) AS test_churn_rate, true AS in_range
+FROM folds, numbers GROUP BY fold HAVING count(*) FILTER (WHERE test_fold = fold) > 0""",
+    ),
+)
 def walk_forward(spark, folder):
-    return training.walk_forward(
-        training_rows(spark, folder), KEY, "churn", settings=QUICK, cv=2
+    """Six stacks at their own settings, each trained on the past of its fold: sizes, churn, and an AUC in its range."""
+    found = training.walk_forward(training_rows(spark, folder), KEY, "churn", parallelism=PARALLEL)
+    return found.select(
+        "fold",
+        "train_size",
+        "test_size",
+        F.round("test_churn_rate", 6).alias("test_churn_rate"),
+        F.col("auc").between(0, 1).alias("in_range"),
     )
 
 

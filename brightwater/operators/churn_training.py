@@ -170,9 +170,9 @@ def fit_stack(
     parallelism: int = 4,
 ) -> Stack:
     """Stacked ensemble: a balanced logistic model on out-of-fold base probabilities."""
-    data = written(
-        assembled.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")), "stack"
-    )
+    # every round of every model runs a task per file: small data is one file
+    folded = assembled.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    data = written(folded.hint("rebalance"), "stack")
     bases = base_models(settings)
 
     def fit(job: tuple[int | None, str]):
@@ -245,6 +245,75 @@ def tune_cv(
     return search.bestModel, table
 
 
+def drawn_trials(space: dict[str, object], trials: int, seed: int = SEED) -> list[dict[str, object]]:
+    """Parameters of random trials: a list is chosen from, a pair (low, high) is a range of its kind.
+
+    A range of decimals is drawn evenly on a logarithmic scale.
+    """
+    rng = random.Random(seed)
+
+    def value(kind):
+        if isinstance(kind, list):
+            return rng.choice(kind)
+        low, high = kind
+        if isinstance(low, int):
+            return rng.randint(low, high)
+        return round(low * (high / low) ** rng.random(), 6)
+
+    return [{name: value(space[name]) for name in sorted(space)} for _ in range(trials)]
+
+
+def trial_text(parameters: dict[str, object]) -> str:
+    return ", ".join(f"{name}={value}" for name, value in sorted(parameters.items()))
+
+
+def halving_search(
+    assembled: DataFrame,
+    key: str,
+    estimator,
+    space: dict[str, object],
+    trials: int = 30,
+    folds: int = 5,
+    keep: int = 3,
+    parallelism: int = 4,
+    seed: int = SEED,
+) -> tuple[object, DataFrame]:
+    """Search random trials for the highest cross-validated AUC, dropping the losing ones early.
+
+    All trials are tested on the first fold, the best of every ``keep`` on the next two, the best of ``keep`` of those on
+    the following four, and so on until the folds are used up. Fits of a round run side by side. Returns the
+    winner fitted on all rows, and rows (trial, parameters, folds, auc): the folds a trial was tested on
+    and its mean AUC there. Equal trials are ordered by number.
+    """
+    data = written(stratified_folds(assembled, key, "label", folds).hint("rebalance"), "halving")
+    chosen = drawn_trials(space, trials, seed)
+    evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
+
+    def model(trial: int):
+        return estimator.copy({estimator.getParam(n): v for n, v in chosen[trial].items()})
+
+    def tested(job: tuple[int, int]) -> float:
+        trial, fold = job
+        fitted = model(trial).fit(data.where(F.col("fold") != fold))
+        return evaluator.evaluate(fitted.transform(data.where(F.col("fold") == fold)))
+
+    found: dict[int, list[float]] = {trial: [] for trial in range(trials)}
+
+    def mean(trial: int) -> float:
+        return sum(found[trial]) / len(found[trial])
+
+    left, done, width = list(found), 0, 1
+    while done < folds:
+        jobs = [(trial, fold) for trial in left for fold in range(done, min(done + width, folds))]
+        for (trial, _), auc in zip(jobs, side_by_side(data.sparkSession, tested, jobs, parallelism)):
+            found[trial].append(auc)
+        done, width = done + width, 2 * width
+        left = sorted(left, key=lambda trial: (-mean(trial), trial))[: max(1, -(-len(left) // keep))]
+    rows = [(t, trial_text(chosen[t]), len(found[t]), float(mean(t))) for t in range(trials)]
+    table = data.sparkSession.createDataFrame(rows, "trial int, parameters string, folds int, auc double")
+    return model(left[0]).fit(data), table
+
+
 def walk_forward(
     features: DataFrame,
     key: str,
@@ -254,6 +323,7 @@ def walk_forward(
     settings: TreeSettings = TreeSettings(),
     cv: int = 3,
     C: float = 0.1,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Train the stack on the past and test it on the next rows, fold by fold, in ``order``.
 
@@ -267,7 +337,7 @@ def walk_forward(
         if test.isEmpty():
             break
         fitted = assemble(standardize(train), [key], label)
-        stack = fit_stack(fitted, key, settings, cv, C)
+        stack = fit_stack(fitted, key, settings, cv, C, parallelism)
         held = assemble(standardize(test, fitted_on=train), [key], label)
         scored = written(stack.score(held), "walk-forward-scores")
         metrics = binary_metrics(scored, 0.5, "label", "p")

@@ -42,6 +42,29 @@ def test_search_returns_all_trials(rows):
     assert trials.count() == 2 and model.coefficients.size == 55
 
 
+def test_halving_drops_losers_early(rows):
+    space = {"regParam": (0.001, 10.0), "maxIter": (1, 5), "standardization": [True, False]}
+    drawn = training.drawn_trials(space, 9)
+    assert drawn == training.drawn_trials(space, 9) and all(0.001 <= t["regParam"] <= 10 for t in drawn)
+    model, table = training.halving_search(rows, "customer_id", LogisticRegression(), space, trials=9, folds=5, parallelism=6)
+    got = {r.trial: r for r in table.collect()}
+    assert {t: r.parameters for t, r in got.items()} == {t: training.trial_text(p) for t, p in enumerate(drawn)}
+    assert sorted(r.folds for r in got.values()) == [1] * 6 + [3] * 2 + [5]
+    first = training.stratified_folds(rows, "customer_id", "label", 5)
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    evaluator, aucs = BinaryClassificationEvaluator(), {}
+    for t, p in enumerate(drawn):
+        fitted = LogisticRegression(**p).fit(first.where("fold <> 0"))
+        aucs[t] = evaluator.evaluate(fitted.transform(first.where("fold = 0")))
+    for t, r in got.items():
+        if r.folds == 1:
+            assert r.auc == pytest.approx(aucs[t], abs=1e-6)
+    best = next(t for t, r in got.items() if r.folds == 5)
+    assert model.getRegParam() == drawn[best]["regParam"]
+    assert {t for t, r in got.items() if r.folds > 1} == set(sorted(aucs, key=lambda t: (-aucs[t], t))[:3])
+
+
 def test_calibration_is_monotone(spark):
     scored = spark.createDataFrame([(i % 2 if i < 5 else 1, i / 10) for i in range(10)], "y int, p double")
     out = [r.calibrated for r in training.calibrate_platt(scored, scored).orderBy("p").collect()]
