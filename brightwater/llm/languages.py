@@ -23,6 +23,8 @@ from brightwater.plans.skew import small
 #: Bounds of the fitting sample: texts per language, and characters taken from the middle of each.
 SAMPLE_TEXTS = 400
 SAMPLE_CHARS = 700
+#: Parts of a language whose first draws are found side by side; one task then sees at most DRAW_PARTS * SAMPLE_TEXTS.
+DRAW_PARTS = 64
 #: Bytes of the dictionary for all texts, and the number and bytes of those for short texts.
 DICTIONARY_BYTES = 80_000
 SMALL_DICTIONARIES = 8
@@ -62,9 +64,12 @@ def train(
     rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
     rows = rows.where("lang is not null and text is not null and trim(text) <> ''")
     rows = rows.withColumn("draw", F.xxhash64("key", "text"))
-    # the last draw of each language is found on hashes alone; the window keeps the first ones before its shuffle
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    first = rows.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= texts)
+    # the last draw of each language is found on hashes alone: first in every part of a language, then among those
+    dealt = rows.select("lang", "draw").distinct().withColumn("part", F.pmod(F.shiftright("draw", 8), F.lit(DRAW_PARTS)))
+    first = dealt
+    for group in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("draw"))
+        first = first.withColumn("place", place).where(F.col("place") <= texts).drop("place")
     last = written(first.groupBy("lang").agg(F.max("draw").alias("last")), "draws")
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2) + 1).cast("int")
     picked = (
