@@ -512,7 +512,7 @@ def rank_by_keyword_appended(spark, folder):
     parts = chunks(spark, folder)
     first = keyword_store.write_store(parts.where("doc_id % 2 = 0"), scratch_path(spark, "keywords"))
     first.append(parts.where("doc_id % 2 <> 0"))
-    found = keyword_store.open_store(spark, first.path).rank(tables.text_queries(spark, folder), direct=0)
+    found = keyword_store.open_store(spark, first.path).rank(tables.text_queries(spark, folder), bounds=True)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -2,25 +2,32 @@
 
 Chunks are written with their length and a zone, ``zone_rows`` neighbouring chunks. A posting block holds the
 occurrences of one term in the chunks of a zone that have the same readers, with the largest term frequency and the
-shortest chunk among them, which bound what any of its chunks can score. Blocks and document frequencies are stored
-by bucket, a hash of the term, so that a search reads the buckets of its terms; bounds and readers are
-columns beside the occurrences, so that a search can read them alone.
+shortest chunk among them, which bound what any of its chunks can score. A task makes the blocks of the chunks it
+reads, in runs sorted by bucket, a hash of the term, so that a search skips what lies between the buckets of its terms;
+nothing is shuffled. Counts, bounds and readers are columns beside the occurrences, so that a search can read
+them alone; document frequencies are sums of them.
 
 A search whose terms occur in many chunks adds up the bounds of each zone, scores the most promising zones, and takes
 the k-th best score found there as a threshold. Zones whose bound is below it cannot hold a better chunk
 and are left out. Results are those of a full scan.
 
-Layout: ``chunks``, ``blocks``, ``frequencies`` and ``sizes`` have one folder a segment; ``segments`` lists the finished
-segments and is written last, so that a reader never sees half of one.
+Layout: ``chunks``, ``blocks`` and ``sizes`` have one folder a segment; ``segments`` lists the finished segments
+and is written last, so that a reader never sees half of one.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightwater.functions.text import STOP_WORDS, let
+from brightwater.functions.text import STOP_WORDS
 from brightwater.operators import retrieval
 from brightwater.operators.vector import DIGITS
 from brightwater.plans.scratch import written
@@ -33,37 +40,91 @@ SEEDS = 3
 SLACK = 1e-6
 #: Occurrences that are scored at once, without a threshold: finding one would cost more.
 DIRECT = 20_000_000
-#: Zones whose blocks of one bucket are grouped in one task.
-ZONES_A_TASK = 4096
+#: One zone in so many is looked at to see whether bounds leave enough out, and the share of zones they may keep.
+LOOKED_AT, WORTH = 64, 0.3
 
-_SEGMENT_BITS = 48
-_COLUMNS = {
-    "blocks": "term string, zone long, permissions array<string>, n long, max_tf int, min_dl int,"
-    " entries array<struct<id: {key}, dl: int, tf: int>>, bucket int, segment int",
-    "frequencies": "term string, user_id string, df long, bucket int, segment int",
-    "sizes": "user_id string, n_docs long, total long, segment int",
-}
-
-
-def _counted(tokens: Column) -> Column:
-    """Each distinct token of an array with its number of occurrences."""
-
-    def runs(ordered: Column) -> Column:
-        spots = F.sequence(F.lit(0), F.size(ordered) - 1)
-        first = F.filter(spots, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        return let(
-            first,
-            lambda starts: F.transform(
-                starts,
-                lambda a, j: F.struct(
-                    F.get(ordered, a).alias("term"),
-                    (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - a).alias("tf"),
-                ),
-            ),
-        )
+#: Chunks in one sorted run of blocks.
+RUN_ROWS = 32_768
 
-    none = F.array().cast("array<struct<term: string, tf: int>>")
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs)).otherwise(none)
+_SEGMENT_BITS = 48
+_BLOCK = (
+    "bucket int, term string, zone long, permissions array<string>, n long, max_tf int, min_dl int,"
+    " entries array<struct<slot: int, dl: int, tf: int>>"
+)
+_COLUMNS = {"blocks": f"{_BLOCK}, segment int", "sizes": "user_id string, n_docs long, total long, segment int"}
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= RUN_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(table: pa.Table, name: str) -> pa.Array:
+    chunks = table[name].chunks
+    return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
+
+
+def _blocks_of(run: pa.Table, buckets: int) -> pa.RecordBatch | None:
+    """The blocks of a run of chunks (zone, slot, permissions, dl, tokens), sorted by bucket and term."""
+    tokens, rows = _one(run, "tokens"), run.num_rows
+    found = tokens.flatten().dictionary_encode()
+    terms = found.dictionary
+    if not len(terms):
+        return None
+    dealt = np.array([zlib.crc32(t) % buckets for t in terms.cast(pa.binary()).to_pylist()], dtype=np.int32)
+    ordered = pc.sort_indices(pa.table({"b": dealt, "t": terms}), [("b", "ascending"), ("t", "ascending")]).to_numpy()
+    place = np.empty(len(terms), dtype=np.int64)
+    place[ordered] = np.arange(len(terms))
+    owner = np.repeat(np.arange(rows), np.asarray(pc.list_value_length(tokens)))
+    # chunks of one zone with the same readers
+    permissions = _one(run, "permissions")
+    same = pc.binary_join(permissions, "\x00").dictionary_encode().indices.to_numpy().astype(np.int64)
+    zone = _one(run, "zone").to_numpy()
+    kinds, group = np.unique(np.stack((zone, same)), axis=1, return_inverse=True)
+    group = group.reshape(-1)
+    example = np.zeros(kinds.shape[1], dtype=np.int64)
+    example[group[::-1]] = np.arange(rows)[::-1]
+    key = (place[found.indices.to_numpy()] * len(example) + group[owner]) * rows + owner
+    key, tf = np.unique(key, return_counts=True)
+    owner, key = key % rows, key // rows
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    which, term = key[starts] % len(example), ordered[key[starts] // len(example)]
+    dl, tf = _one(run, "dl").to_numpy()[owner], tf.astype(np.int32)
+    entries = pa.StructArray.from_arrays(
+        [pa.array(v, pa.int32()) for v in (_one(run, "slot").to_numpy()[owner], dl, tf)], names=["slot", "dl", "tf"]
+    )
+    ends = np.append(starts, len(key))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(dealt[term], pa.int32()),
+            terms.take(pa.array(term)),
+            pa.array(zone[example[which]], pa.int64()),
+            permissions.take(pa.array(example[which])),
+            pa.array(np.diff(ends), pa.int64()),
+            pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
+            pa.array(np.minimum.reduceat(dl, starts), pa.int32()),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries),
+        ],
+        names=["bucket", "term", "zone", "permissions", "n", "max_tf", "min_dl", "entries"],
+    )
+
+
+def _made(buckets: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            blocks = _blocks_of(run, buckets)
+            for a in range(0, 0 if blocks is None else blocks.num_rows, 1 << 16):
+                yield blocks.slice(a, 1 << 16)
+
+    return make
 
 
 def _readers() -> Column:
@@ -80,7 +141,6 @@ class KeywordStore:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, zone_rows: int, segments: list[int]):
         self.spark, self.path, self.buckets, self.zone_rows, self.segments = spark, path, buckets, zone_rows, segments
-        self._key: str | None = None
 
     def _folder(self, name: str, segment: int) -> str:
         return f"{self.path}/{name}/segment={segment}"
@@ -96,13 +156,10 @@ class KeywordStore:
 
     def _schema(self, name: str) -> T.StructType:
         """Columns of a derived table; an empty segment has no file that would tell."""
-        if self._key is None:
-            chunks = self.spark.read.parquet(self._folder("chunks", self.segments[-1]))
-            self._key = chunks.schema["id"].dataType.simpleString()
-        return T.StructType.fromDDL(_COLUMNS[name].format(key=self._key))
+        return T.StructType.fromDDL(_COLUMNS[name])
 
     def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int").alias("bucket")
+        return F.pmod(F.crc32(term.cast("binary")), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _of_terms(self, name: str, terms: DataFrame) -> DataFrame:
         """Stored rows of the buckets that the terms are in."""
@@ -111,7 +168,7 @@ class KeywordStore:
 
     @property
     def chunks(self) -> DataFrame:
-        """The stored chunks, with ``dl`` (length in tokens) and ``zone``."""
+        """The stored chunks, with ``dl`` (length in tokens), ``zone`` and ``slot``, their place in it."""
         return self._read("chunks")
 
     def append(self, chunks: DataFrame) -> KeywordStore:
@@ -123,46 +180,21 @@ class KeywordStore:
         segment = 1 + max(self.segments, default=-1)
         tokens = F.coalesce(retrieval._tokens(F.col("chunk_text")), F.array().cast("array<string>"))
         base = F.lit(segment << _SEGMENT_BITS).cast("long")
-        zone = base + F.floor(F.monotonically_increasing_id() / self.zone_rows)
+        number = F.monotonically_increasing_id()
+        zone = base + F.floor(number / self.zone_rows)
+        slot = (number % self.zone_rows).cast("int")
         readers = F.array_sort(F.array_distinct(F.coalesce("permissions", F.array().cast("array<string>"))))
-        ready = chunks.withColumns({"permissions": readers, "dl": F.size(tokens), "zone": zone})
-        ready.write.mode("overwrite").parquet(self._folder("chunks", segment))
+        ready = chunks.withColumns({"permissions": readers, "dl": F.size(tokens), "zone": zone, "slot": slot})
+        ready.write.mode("overwrite").option("compression", "zstd").parquet(self._folder("chunks", segment))
         stored = self.spark.read.schema(ready.schema).parquet(self._folder("chunks", segment))
 
-        found = stored.select("zone", "id", "permissions", "dl", F.inline(_counted(tokens)))
-        entry = F.struct("id", "dl", "tf")
         (
-            found.select(
-                self._bucket(F.col("term")),
-                F.floor(F.col("zone") / ZONES_A_TASK).alias("part"),
-                "term", "zone", "permissions", "tf", "dl", entry.alias("entry"),
-            )
-            .repartition("bucket", "part")
-            .groupBy("bucket", "part", "term", "zone", "permissions")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.max("tf").alias("max_tf"),
-                F.min("dl").alias("min_dl"),
-                F.collect_list("entry").alias("entries"),
-            )
-            .drop("part")
-            .sortWithinPartitions("bucket", "term", "zone")
+            stored.select("zone", "slot", "permissions", "dl", tokens.alias("tokens"))
+            .mapInArrow(_made(self.buckets), _BLOCK)
             .write.mode("overwrite")
-            .partitionBy("bucket")
+            .option("compression", "zstd")
             .parquet(self._folder("blocks", segment))
         )
-        listed = KeywordStore(self.spark, self.path, self.buckets, self.zone_rows, [segment])
-        (
-            listed._read("blocks")
-            .select("bucket", "term", "n", F.explode(_readers()).alias("user_id"))
-            .groupBy("bucket", "term", "user_id")
-            .agg(F.sum("n").alias("df"))
-            .hint("rebalance", "bucket")
-            .sortWithinPartitions("bucket", "term")
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(self._folder("frequencies", segment))
-        )
         (
             stored.select("dl", F.explode(_readers()).alias("user_id"))
             .groupBy("user_id")
@@ -185,8 +217,11 @@ class KeywordStore:
         """Chunks per reader and term for the given terms; a null reader stands for all chunks."""
         asked = terms.select("term").distinct()
         near = F.broadcast(asked) if fits(asked) else asked
+        counted = self._of_terms("blocks", asked).select("term", "permissions", "n").join(near, "term")
         return (
-            self._of_terms("frequencies", asked).join(near, "term").groupBy("user_id", "term").agg(F.sum("df").alias("df"))
+            counted.select("term", "n", F.explode(_readers()).alias("user_id"))
+            .groupBy("user_id", "term")
+            .agg(F.sum("n").alias("df"))
         )
 
     def _weights(self, queries: DataFrame, stats: str) -> DataFrame:
@@ -206,15 +241,20 @@ class KeywordStore:
         )
         return written(found, "weights")
 
-    def _met(self, weights: DataFrame, columns: list[str], zones: DataFrame | None = None) -> DataFrame:
+    def _met(
+        self, weights: DataFrame, columns: list[str], zones: DataFrame | None = None, one_in: int = 1
+    ) -> DataFrame:
         """Blocks of the queries' terms beside each query that may read them, zone by zone in one task.
 
-        ``zones`` (zone, asked) says which queries a zone matters to; by default all.
+        ``zones`` (zone, asked) says which queries a zone matters to; by default all. ``one_in`` looks at that part
+        of the zones only.
         """
         few = fits(weights)
         near = F.broadcast(weights) if few else weights
         terms = weights.select("bucket", "term").distinct()
         blocks = self._of_terms("blocks", weights).select("bucket", "term", "zone", "permissions", *columns)
+        if one_in > 1:
+            blocks = blocks.where(F.pmod(F.xxhash64("zone"), F.lit(one_in)) == 0)
         blocks = blocks.join(F.broadcast(terms) if few else terms, ["bucket", "term"], "left_semi")
         if zones is not None:
             blocks = blocks.join(zones, "zone")
@@ -227,11 +267,13 @@ class KeywordStore:
             readable = readable & F.array_contains("asked", F.col("query_id"))
         return met.where(readable)
 
-    def zone_bounds(self, weights: DataFrame, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
+    def zone_bounds(
+        self, weights: DataFrame, k1: float = retrieval.K1, b: float = retrieval.B, one_in: int = 1
+    ) -> DataFrame:
         """Rows (query_id, zone, bound): what a chunk of the zone that the user may read can score at most."""
         most = F.col("weight") * _saturated(F.col("max_tf"), F.col("min_dl"), k1, b)
         return (
-            self._met(weights, ["max_tf", "min_dl"])
+            self._met(weights, ["max_tf", "min_dl"], one_in=one_in)
             .groupBy("zone", "query_id", "term")
             .agg(F.max(most).alias("most"))
             .groupBy("zone", "query_id")
@@ -247,12 +289,25 @@ class KeywordStore:
         )
         score = F.round(F.sum(F.col("weight") * _saturated(F.col("tf"), F.col("dl"), k1, b)), DIGITS)
         # a chunk's occurrences are in one zone, so this needs no further shuffle
-        scored = opened.groupBy("zone", "query_id", "id")
+        scored = opened.groupBy("zone", "query_id", "slot")
         if needed is None:
-            return scored.agg(score.alias("score")).drop("zone")
+            return scored.agg(score.alias("score"))
         have = F.count(F.when(~F.col("term").isin(STOP_WORDS), 1))
         full = scored.agg(score.alias("score"), have.alias("have")).join(needed, "query_id")
-        return full.where(F.col("have") == F.col("needed")).select("query_id", "id", "score")
+        return full.where(F.col("have") == F.col("needed")).select("zone", "query_id", "slot", "score")
+
+    def _named(self, scored: DataFrame, few: bool) -> DataFrame:
+        """Scores by the chunks' ids instead of their places."""
+        places = self.chunks.select("zone", "slot", "id")
+        found = places.join(F.broadcast(scored) if few else scored, ["zone", "slot"])
+        return found.select("query_id", "id", "score")
+
+    def _best_named(self, scored: DataFrame, candidates: int) -> DataFrame:
+        """The best chunks by score, then id; ids are looked up for those in question, ties included."""
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        first = scored.withColumn("place", F.rank().over(order)).where(F.col("place") <= candidates).drop("place")
+        found = written(first, "best")
+        return retrieval._best(self._named(found, fits(found)), "score", candidates)
 
     def rank(
         self,
@@ -263,11 +318,12 @@ class KeywordStore:
         k1: float = retrieval.K1,
         b: float = retrieval.B,
         stats: str = "permitted",
-        direct: int = DIRECT,
+        bounds: bool | None = None,
     ) -> DataFrame:
         """The best ``candidates`` chunks per query by BM25, as ``retrieval.rank_by_keyword`` ranks them.
 
-        If the queries' terms occur more than ``direct`` times, zones below the threshold are left out; the result is the same.
+        ``bounds`` says whether zones below the threshold are left out; the result is the same. By default they are if the
+        queries' terms occur more than ``DIRECT`` times and a look at some zones shows that most can be left out.
         ``queries`` has query_id, user_id and text. With ``candidates`` None every chunk that shares a term is returned,
         with ``unmatched`` also the others that the user may read, at score 0; both give a row for every such pair.
         """
@@ -278,9 +334,13 @@ class KeywordStore:
         weights = self._weights(queries, stats)
         needed = _needed(queries) if match_all else None
         zones = None
-        if candidates is not None and not unmatched and (weights.agg(F.sum("df")).first()[0] or 0) > direct:
-            zones = self._promising(weights, candidates, k1, b, needed)
+        if candidates is not None and not unmatched and bounds is not False:
+            if bounds or self._worth(weights, candidates, k1, b, needed):
+                zones = self._promising(weights, candidates, k1, b, needed)
         scored = self._scored(weights, zones, k1, b, needed)
+        if candidates is not None and not unmatched:
+            return self._best_named(scored, candidates)
+        scored = self._named(scored, False)
         if unmatched:
             askers = queries.select("query_id", "user_id")
             few = F.broadcast(askers) if fits(askers) else askers
@@ -291,18 +351,31 @@ class KeywordStore:
             )
         return retrieval._best(scored, "score", candidates)
 
-    def _promising(self, weights, candidates, k1, b, needed) -> DataFrame:
-        """Zones that may hold one of the best chunks: those that reach the k-th best score of the seeds."""
-        zones = written(self.zone_bounds(weights, k1, b), "zones")
+    def _worth(self, weights, candidates, k1, b, needed) -> bool:
+        """Whether finding a threshold costs less than it saves; the threshold of a few zones is lower, so rather not."""
+        if (weights.agg(F.sum("df")).first()[0] or 0) <= DIRECT:
+            return False
+        some = written(self.zone_bounds(weights, k1, b, LOOKED_AT), "looked-at")
+        kept = self._above(some, weights, candidates, k1, b, needed).count()
+        return kept <= WORTH * some.count()
+
+    def _above(self, zones, weights, candidates, k1, b, needed) -> DataFrame:
+        """The zones whose bound reaches the k-th best score of the most promising ones."""
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "zone")
         seeds = zones.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEEDS)
-        best = retrieval._best(self._scored(weights, _by_zone(seeds), k1, b, needed), "score", candidates)
-        floor = best.where(F.col("rank") == candidates).select("query_id", F.col("score").alias("floor"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        scored = self._scored(weights, _by_zone(seeds), k1, b, needed).withColumn("nth", F.row_number().over(best))
+        floor = scored.where(F.col("nth") == candidates).select("query_id", F.col("score").alias("floor"))
         near = F.broadcast(floor) if fits(weights) else floor
         kept = zones.join(near, "query_id", "left").where(
             F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor"))
         )
-        return written(_by_zone(kept), "promising")
+        return kept.drop("floor")
+
+    def _promising(self, weights, candidates, k1, b, needed) -> DataFrame:
+        """Zones that may hold one of the best chunks, with the queries that they matter to."""
+        zones = written(self.zone_bounds(weights, k1, b), "zones")
+        return written(_by_zone(self._above(zones, weights, candidates, k1, b, needed)), "promising")
 
     def hybrid(
         self, queries: DataFrame, top_k: int = 5, candidates: int | None = None, match_all: bool = False, dims: int = 768,

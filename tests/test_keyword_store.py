@@ -50,8 +50,8 @@ def test_equals_scan(spark, store, options):
     chunks = chunks.fillna({"chunk_text": ""})
     want = told(retrieval.rank_by_keyword(q, chunks, **options))
     assert len(want) > 20
-    for direct in (0, keyword_store.DIRECT):
-        assert told(store.rank(q, direct=direct, **options)) == want
+    for bounds in (True, None):
+        assert told(store.rank(q, bounds=bounds, **options)) == want
 
 
 def test_counts(spark, store):
@@ -65,7 +65,7 @@ def test_counts(spark, store):
     assert every[None] == corpus(spark).count() and every["c"] == corpus(spark).where("array_contains(permissions, 'c')").count()
 
 
-def test_bounds_leave_zones_out(spark):
+def test_bounds_leave_zones_out(spark, monkeypatch):
     """A rare term leads to few zones, although the other term is everywhere."""
     rows = [(f"c{k:04d}", "common " * 9 + (f"rare{k % 500} " * 3 if k % 8 == 0 else "other"), ["a"], "d") for k in range(4000)]
     chunks = spark.createDataFrame(rows, "id string, chunk_text string, permissions array<string>, doc_name string")
@@ -75,13 +75,22 @@ def test_bounds_leave_zones_out(spark):
     every = made.zone_bounds(weights).groupBy("query_id").count().collect()
     kept = made._promising(weights, 3, 1.5, 0.75, None).select(F.explode("asked").alias("q")).groupBy("q").count().collect()
     assert dict(every)[1] >= 240 and dict(kept)[1] <= 12
-    assert told(made.rank(q, 3, direct=0)) == told(retrieval.rank_by_keyword(q, chunks, 3))
+    assert not made._worth(weights, 1, 1.5, 0.75, None)  # the terms are too few for a look
+    monkeypatch.setattr(keyword_store, "DIRECT", 10)
+    monkeypatch.setattr(keyword_store, "LOOKED_AT", 2)
+    assert made._worth(weights, 1, 1.5, 0.75, None)
+    assert told(made.rank(q, 1)) == told(made.rank(q, 1, bounds=False))
+    assert told(made.rank(q, 3, bounds=True)) == told(retrieval.rank_by_keyword(q, chunks, 3))
 
 
 def test_searches_read_no_text(spark, store):
-    plan = store.rank(questions(spark))._jdf.queryExecution().toString()
-    assert "chunk_text" not in plan.split("Physical Plan")[1]
-    assert "PartitionFilters" in plan and "bucket#" in plan
+    q = questions(spark)
+    weights = store._weights(q, "permitted")
+    for found in (store._scored(weights, None, 1.5, 0.75, None), store.zone_bounds(weights), store.rank(q)):
+        plan = found._jdf.queryExecution().toString().split("Physical Plan")[1]
+        assert "chunk_text" not in plan and plan.count("Scan") >= 1
+    scored = store._scored(weights, None, 1.5, 0.75, None)._jdf.queryExecution().toString()
+    assert "In(bucket" in scored  # row groups of other buckets are skipped
 
 
 def test_hybrid(spark, store):
