@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from brightwater.operators import vector, vector_store
 from brightwater.plans.scratch import scratch_path
