@@ -12,7 +12,8 @@ from brightwater.entries.views_sql import with_views
 from brightwater.operators import evaluation
 from brightwater.operators.request_log import request_cost
 from brightwater.plans import tables
-from brightwater.plans.scratch import scratch_path
+from brightwater.plans.scratch import scratch_path, written
+from brightwater.plans.skew import fits
 from brightwater.sources import readers, sinks
 from brightwater.streaming import claims, streams
 from brightwater.streaming.runs import collected, collected_in_event_time
@@ -313,11 +314,14 @@ def request_sketch_stream(spark, folder):
     """Windows from sketches of bounded size; whether the percentile is within their stated error of the exact rank."""
     logs = request_cost(tables.request_logs(spark, folder, tables.stream))
     updates = collected(streams.request_sketch_stream(logs, late="60 days"), "request-sketch", mode="update")
-    windows = streams.sketched_windows(updates)
-    hour = F.date_trunc("hour", "created_at")
-    starts = F.explode(F.sequence(hour - F.expr("INTERVAL 23 HOURS"), hour, F.expr("INTERVAL 1 HOUR")))
-    given = tables.request_logs(spark, folder).select("project", "latency_ms", starts.alias("window_start"))
-    counted = given.groupBy("project", "window_start", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    windows = written(streams.sketched_windows(updates), "sketched-windows")
+    hour = F.date_trunc("hour", "created_at").alias("hour")
+    given = tables.request_logs(spark, folder).groupBy("project", hour, "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    first = F.col("hour") - F.expr("INTERVAL 23 HOURS")
+    starts = F.explode(F.sequence(first, F.col("hour"), F.expr("INTERVAL 1 HOUR")))
+    counted = given.select("project", "latency_ms", "n", starts.alias("window_start"))
+    # The files look small enough to broadcast before they are opened into windows: only the windows may be.
+    windows = windows.hint("broadcast" if fits(windows) else "merge")
     ranked = counted.join(windows.select("project", "window_start", "p95_latency_ms"), ["project", "window_start"])
     below, upto = F.col("latency_ms") < F.col("p95_latency_ms"), F.col("latency_ms") <= F.col("p95_latency_ms")
     ranks = ranked.groupBy("project", "window_start").agg(

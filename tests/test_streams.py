@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightwater.entries import guard_jobs
+from brightwater.entries import guard_jobs, stores_streams
 from brightwater.operators import breaker, limiter
 from brightwater.operators.tables import last_n_interactions
 from brightwater.plans import tables
@@ -230,3 +230,22 @@ def test_sketches_keep_their_size_and_error(spark):
         assert below <= 0.95 + streams.SKETCH_ERROR and upto >= 0.95 - streams.SKETCH_ERROR
         assert r.total_requests == len(values) and r.avg_latency_ms == (2 * int(values.sum()) + len(values)) // (2 * len(values))
         assert (r.total_tokens, r.total_cost_usd) == (3 * len(values), 0.5 * len(values))
+
+
+def below(plan, node):
+    """The nodes under every ``node`` of a printed plan."""
+    lines = plan.splitlines()
+    depths = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for at, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith(node):
+            for depth, inner in zip(depths[at + 1 :], lines[at + 1 :]):
+                if depth <= depths[at]:
+                    break
+                yield inner.lstrip(" :+-*()0123456789")
+
+
+def test_counts_of_windows_are_not_broadcast(spark):
+    """The log opened into windows is many times its files: no driver may hold it."""
+    plan = stores_streams.request_sketch_stream(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan
+    assert not [node for node in below(plan, "BroadcastExchange") if node.startswith("Generate")]
