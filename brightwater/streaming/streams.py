@@ -8,6 +8,7 @@ source's limit per trigger.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,10 @@ class _Limiter(StatefulProcessor):
         pass
 
 
+#: Decisions of a key are handed on in frames of so many rows.
+_FRAME_ROWS = 10_000
+
+
 class _Slices(StatefulProcessor):
     """Holds rows in time slices until the watermark has passed a slice, then decides it in time order.
 
@@ -103,6 +108,8 @@ class _Slices(StatefulProcessor):
     #: Columns that order rows, the time in milliseconds first, and what else a decision needs.
     columns: tuple[str, ...] = ()
     kinds: tuple[T.DataType, ...] = ()
+    #: Columns of the decisions.
+    decided: tuple[str, ...] = ()
 
     def __init__(self, slice_ms: int):
         self.slice_ms = slice_ms
@@ -111,33 +118,62 @@ class _Slices(StatefulProcessor):
         self.handle = handle
         row = T.StructType([T.StructField(n, k) for n, k in zip(self.columns, self.kinds)])
         rows = T.StructType([T.StructField("rows", T.ArrayType(row))])
-        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("slot", T.LongType())]), rows)
+        place = T.StructType([T.StructField(n, T.LongType()) for n in ("slot", "piece")])
+        self.waiting = handle.getMapState("waiting", place, rows)
+        self.pieces = handle.getValueState("pieces", T.StructType([T.StructField("n", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Rows are put beside those that wait, as pieces of their slices; there is a timer for the first slice."""
+        pieces, first = (self.pieces.get() or (0,))[0], None
         for batch in rows:
-            for slot, part in batch.groupby(batch["ts_ms"] // self.slice_ms):
-                at = (int(slot),)
-                held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
-                new = [tuple(r) for r in part[list(self.columns)].itertuples(index=False, name=None)]
-                self.waiting.updateValue(at, ([*map(tuple, held), *new],))
-                self.handle.registerTimer((int(slot) + 1) * self.slice_ms)
+            slots: dict[int, list[tuple]] = {}
+            for row in zip(*[batch[c].tolist() for c in self.columns]):
+                slots.setdefault(row[0] // self.slice_ms, []).append(row)
+            for slot, part in slots.items():
+                self.waiting.updateValue((slot, pieces), (part,))
+                pieces += 1
+            first = min([*slots, first] if first is not None else slots)
+        self.pieces.update((pieces,))
+        self.handle.registerTimer((first + 1) * self.slice_ms)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        slots = sorted(s[0] for s in self.waiting.keys())
-        for slot in [s for s in slots if (s + 1) * self.slice_ms <= passed]:
-            rows = sorted(tuple(r) for r in self.waiting.getValue((slot,))[0])
-            self.waiting.removeKey((slot,))
-            yield self.decide(key, rows)
-        if not any((s + 1) * self.slice_ms > passed for s in slots):
-            self.idle(passed)
-
-    def decide(self, key, rows: list[tuple]) -> pd.DataFrame:
+        places = sorted((p[0], p[1]) for p in self.waiting.keys())
+        ready = [p for p in places if (p[0] + 1) * self.slice_ms <= passed]
+        later = places[len(ready) :]
+        state, out = self.resumed(), []
+        for _, slice_places in groupby(ready, key=lambda p: p[0]):
+            rows = []
+            for place in slice_places:
+                rows.extend(tuple(r) for r in self.waiting.getValue(place)[0])
+                if later:
+                    self.waiting.removeKey(place)
+            for row in sorted(rows):
+                state = self.decide(key, state, row, out)
+                if len(out) >= _FRAME_ROWS:
+                    yield pd.DataFrame(out, columns=self.decided)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=self.decided)
+        if later:
+            self.handle.registerTimer((later[0][0] + 1) * self.slice_ms)
+        elif ready:
+            self.waiting.clear()
+            self.pieces.clear()
+        self.suspended(state, passed, bool(later))
+
+    def resumed(self):
+        """What earlier decisions for the key left."""
         raise NotImplementedError
 
-    def idle(self, now: int) -> None:
-        """Called when nothing waits any more."""
+    def decide(self, key, state, row: tuple, out: list[tuple]):
+        """Append what follows from a row and return the state after it."""
+        raise NotImplementedError
+
+    def suspended(self, state, now: int, waits: bool) -> None:
+        """Store the state; ``waits`` tells whether rows of the key are left."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
@@ -145,6 +181,7 @@ class _Slices(StatefulProcessor):
 
 class _SlicedLimiter(_Slices):
     columns, kinds = ("ts_ms", "id"), (T.LongType(), T.LongType())
+    decided = ("id", "project", "user_id", "ts_ms", "allowed", "remaining", "reset_in")
 
     def __init__(self, limit: int, window_ms: int, slice_ms: int):
         super().__init__(slice_ms)
@@ -155,21 +192,23 @@ class _SlicedLimiter(_Slices):
         entry = T.StructType([T.StructField("ms", T.LongType()), T.StructField("accepted", T.LongType())])
         self.accepted = handle.getListState("accepted", entry)
 
-    def _window(self) -> AcceptedWindow:
+    def resumed(self) -> AcceptedWindow:
         held = [(e[0], e[1]) for e in self.accepted.get()] if self.accepted.exists() else []
         return AcceptedWindow(self.limit, self.window_ms, held)
 
-    def decide(self, key, rows: list[tuple]) -> pd.DataFrame:
-        window = self._window()
-        out = [(*key, *_limited(window, row_id, now)) for now, row_id in rows]
-        self.accepted.put(list(window.entries))
-        return pd.DataFrame(out, columns=["project", "user_id", *_LIMITED])[_LIMITER_COLUMNS]
+    def decide(self, key, window: AcceptedWindow, row: tuple, out: list[tuple]) -> AcceptedWindow:
+        now, row_id = row
+        row_id, now, *limited = _limited(window, row_id, now)
+        out.append((row_id, *key, now, *limited))
+        return window
 
-    def idle(self, now: int) -> None:
+    def suspended(self, window: AcceptedWindow, now: int, waits: bool) -> None:
         """Forget a user whose window is empty; until then look again when it will be."""
-        entries = self._window().entries
-        if entries and entries[-1][0] + self.window_ms > now:
-            self.handle.registerTimer(entries[-1][0] + self.window_ms)
+        entries = window.entries
+        if waits or entries and entries[-1][0] + self.window_ms > now:
+            self.accepted.put(list(entries))
+            if not waits:
+                self.handle.registerTimer(entries[-1][0] + self.window_ms)
         else:
             self.accepted.clear()
 
@@ -244,6 +283,7 @@ class _Breaker(StatefulProcessor):
 
 class _SlicedBreaker(_Slices):
     columns, kinds = ("ts_ms", "seq", "success"), (T.LongType(), T.LongType(), T.BooleanType())
+    decided = ("name", "ts_ms", "seq", "before", "after")
 
     def __init__(self, threshold: int, reset_ms: int, consecutive: bool, slice_ms: int):
         super().__init__(slice_ms)
@@ -254,15 +294,17 @@ class _SlicedBreaker(_Slices):
         fields = [T.StructField(n, T.LongType()) for n in ("failures", "opened")]
         self.current = handle.getValueState("state", T.StructType(fields))
 
-    def decide(self, key, rows: list[tuple]) -> pd.DataFrame:
-        state = tuple(self.current.get()) if self.current.exists() else (0, -1)
-        out = []
-        for now, seq, success in rows:
-            after = step(state, now, success, *self.rules)
-            out.extend(changes(key[0], now, seq, state, after))
-            state = after
+    def resumed(self) -> tuple:
+        return tuple(self.current.get() or (0, -1))
+
+    def decide(self, key, state: tuple, row: tuple, out: list[tuple]) -> tuple:
+        now, seq, success = row
+        after = step(state, now, success, *self.rules)
+        out.extend(changes(key[0], now, seq, state, after))
+        return after
+
+    def suspended(self, state: tuple, now: int, waits: bool) -> None:
         self.current.update(state)
-        return pd.DataFrame(out, columns=["name", "ts_ms", "seq", "before", "after"])
 
 
 def breaker_stream(

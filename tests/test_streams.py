@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,57 @@ def test_counts_of_windows_are_not_broadcast(spark):
     plan = stores_streams.request_sketch_stream(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan
     assert not [node for node in below(plan, "BroadcastExchange") if node.startswith("Generate")]
+
+
+class Remembering:
+    """State of one key in memory, which counts how often it is asked."""
+
+    def __init__(self):
+        self.calls, self.stores, self.timers = 0, {}, set()
+
+    def __getattr__(self, name):
+        return lambda variable, *_: Held(self, self.stores.setdefault(variable, {}))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Held:
+    def __init__(self, handle, store):
+        self.handle, self.store = handle, store
+
+    def __getattr__(self, name):
+        self.handle.calls += 1
+        return {
+            "exists": lambda: bool(self.store), "clear": self.store.clear, "keys": lambda: iter(list(self.store)),
+            "get": lambda: self.store.get(None), "put": lambda rows: self.store.update({None: rows}),
+            "update": lambda value: self.store.update({None: value}), "getValue": self.store.get,
+            "updateValue": lambda at, value: self.store.update({at: value}), "containsKey": self.store.__contains__,
+            "removeKey": self.store.pop,
+        }[name]
+
+
+class Times:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+
+def test_waiting_slices_cost_few_calls_and_one_frame(spark):
+    """30 slices of a user that pass together: one timer, one frame of decisions, few calls to the state."""
+    handle, limiting = Remembering(), streams._SlicedLimiter(1, 100, 100)
+    limiting.init(handle)
+    rows = pd.DataFrame({"ts_ms": [at * 100 + part for part in (70, 10) for at in range(30)], "id": range(60)})
+    for batch in (rows[:45], rows[45:]):
+        assert not list(limiting.handleInputRows(("p", "u"), iter([batch]), None))
+    assert handle.timers and max(handle.timers) < 3000
+    frames, fired = [], 0
+    while waiting := [at for at in handle.timers if at <= 3000]:
+        handle.timers.remove(min(waiting))
+        frames += limiting.handleExpiredTimer(("p", "u"), Times(3000), Times(min(waiting)))
+        fired += 1
+    got = pd.concat(frames)
+    window = limiter.AcceptedWindow(1, 100)
+    assert got.allowed.tolist() == [window.offer(ms, 1)[1] == 1 for ms in sorted(rows.ts_ms)]
+    assert len(frames) == 1 and fired <= 2 and handle.calls < 150
+    assert not handle.stores["waiting"]
