@@ -495,32 +495,58 @@ def job_stream(
     return _latest(jobs.sparkSession.read.parquet(path), "job_id", order)
 
 
+#: Groups of jobs that share their state, as one call for each of many small keys costs more than its rows.
+JOB_GROUPS = 256
+
+
 class _Remembered(StatefulProcessor):
+    """The jobs of a group, each with the time from which it is remembered, in slices of that time."""
+
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        since = T.StructType([T.StructField("ms", T.LongType())])
-        self.since = handle.getValueState("since", since)
+        longs = T.ArrayType(T.LongType())
+        kept = T.StructType([T.StructField("jobs", longs), T.StructField("since", longs)])
+        self.kept = handle.getMapState("kept", T.StructType([T.StructField("slot", T.LongType())]), kept)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since = self.since.get()[0] if self.since.exists() else None
-        known, out = since, []
-        for now in sorted(ms for batch in rows for ms in batch["created_ms"].tolist()):
-            if since is None or now - since > self.keep_ms:
-                since = now
-                out.append((key[0], now))
-        if since != known:
-            self.since.update((since,))
-            self.handle.registerTimer(since + self.keep_ms + 1)
-        yield pd.DataFrame(out, columns=["job_id", "created_ms"])
+        held = {slot[0]: (list(kept[0]), list(kept[1])) for slot, kept in self.kept.iterator()}
+        since: dict[int | None, int] = {}
+        for jobs, times in held.values():
+            for job, ms in zip(jobs, times):
+                since[job] = max(ms, since.get(job, ms))
+        batch = _in_order(rows, "created_ms")
+        new, touched = [], set()
+        for job, now in zip(batch["job_id"].tolist(), batch["created_ms"].tolist()):
+            job = job if job == job else None
+            if job not in since or now - since[job] > self.keep_ms:
+                since[job] = now
+                new.append((job, now))
+                slot = now // self.keep_ms
+                touched.add(slot)
+                jobs, times = held.setdefault(slot, ([], []))
+                jobs.append(job)
+                times.append(now)
+        for slot in touched:
+            self.kept.updateValue((slot,), held[slot])
+        if new:
+            self.handle.registerTimer((min(touched) + 2) * self.keep_ms)
+            yield pd.DataFrame(new, columns=["job_id", "created_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.since.exists():
-            if self.since.get()[0] + self.keep_ms < expiredTimerInfo.getExpiryTimeInMs():
-                self.since.clear()
-        yield pd.DataFrame({"job_id": [], "created_ms": []})
+        """Forget the slices of which no job is remembered any more; there is a timer for the first that is left."""
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        slots = [s[0] for s in self.kept.keys()]
+        left = [s for s in slots if (s + 2) * self.keep_ms > passed]
+        if left:
+            for slot in set(slots).difference(left):
+                self.kept.removeKey((slot,))
+            self.handle.registerTimer((min(left) + 2) * self.keep_ms)
+        else:
+            self.kept.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -530,7 +556,7 @@ def job_expiry_stream(finished: DataFrame, hours: int = fixed.JOB_RETENTION_HOUR
     """Finished jobs (job_id, created_at), each remembered for ``hours`` of event time.
 
     A job that shows up again while it is remembered is not emitted again; after that it is new,
-    and its state is removed when the watermark passes.
+    and its state is removed when the watermark passes. Jobs share their state in ``JOB_GROUPS`` groups.
     """
     keyed_state(finished.sparkSession)
     timed = finished.select(
@@ -538,7 +564,8 @@ def job_expiry_stream(finished: DataFrame, hours: int = fixed.JOB_RETENTION_HOUR
         F.col("created_at").cast("timestamp").alias("created_at"),
         F.unix_millis(F.col("created_at").cast("timestamp")).alias("created_ms"),
     ).withWatermark("created_at", f"{hours} hours")
-    return timed.groupBy("job_id").transformWithStateInPandas(
+    group = F.when(F.col("job_id").isNotNull(), F.pmod(F.xxhash64("job_id"), F.lit(JOB_GROUPS)))
+    return timed.withColumn("job_group", group).groupBy("job_group").transformWithStateInPandas(
         statefulProcessor=_Remembered(hours * 3_600_000),
         outputStructType="job_id long, created_ms long",
         outputMode="Append",

@@ -277,7 +277,7 @@ class Held:
             "get": lambda: self.store.get(None), "put": lambda rows: self.store.update({None: rows}),
             "update": lambda value: self.store.update({None: value}), "getValue": self.store.get,
             "updateValue": lambda at, value: self.store.update({at: value}), "containsKey": self.store.__contains__,
-            "removeKey": self.store.pop,
+            "removeKey": self.store.pop, "iterator": lambda: iter(list(self.store.items())),
         }[name]
 
 
@@ -304,3 +304,19 @@ def test_waiting_slices_cost_few_calls_and_one_frame(spark):
     assert got.allowed.tolist() == [window.offer(ms, 1)[1] == 1 for ms in sorted(rows.ts_ms)]
     assert len(frames) == 1 and fired <= 2 and handle.calls < 150
     assert not handle.stores["waiting"]
+
+
+def test_remembered_jobs_share_calls(spark):
+    """1,000 jobs of a group in one batch cost as many state calls as they have slices, and are forgotten together."""
+    handle, remembering = Remembering(), streams._Remembered(100)
+    remembering.init(handle)
+    rows = pd.DataFrame({"job_id": [*range(1000)] * 3, "created_ms": [*[110] * 1000, *[150] * 1000, *[211] * 1000]})
+    got = pd.concat(remembering.handleInputRows((0,), iter([rows]), None))
+    assert got.created_ms.value_counts().to_dict() == {110: 1000, 211: 1000} and handle.calls < 10
+    more = pd.DataFrame({"job_id": [1, 2, None], "created_ms": [311, 312, 312]})
+    got = pd.concat(remembering.handleInputRows((0,), iter([more]), None))
+    assert [None if job != job else job for job in got.job_id] == [2, None]
+    for at in sorted(handle.timers):
+        list(remembering.handleExpiredTimer((0,), Times(at), Times(at)))
+    list(remembering.handleExpiredTimer((0,), Times(500), Times(500)))
+    assert not handle.stores["kept"]
