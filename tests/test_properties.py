@@ -427,9 +427,14 @@ def test_many_terms_are_scored_as_few(spark, monkeypatch):
     rows = [(str(i), text, ["a", "b"][: 1 + i % 2]) for i, text in enumerate(["x y", "y y z", "z", "x x x", "q"] * 3)]
     chunks = spark.createDataFrame(rows, "id string, chunk_text string, permissions array<string>")
     queries = spark.createDataFrame([(1, "a", "x y"), (2, "b", "z y y")], "query_id long, user_id string, text string")
-    few = set(map(tuple, retrieval.bm25_score(queries, chunks).select("query_id", "id", "score").collect()))
+
+    def scores():
+        found = [retrieval.bm25_score(queries, chunks, unmatched=every) for every in (False, True)]
+        return [set(map(tuple, df.select("query_id", "id", "score").collect())) for df in found]
+
+    few = scores()
     monkeypatch.setattr(retrieval, "fits", lambda *_: False)
-    assert set(map(tuple, retrieval.bm25_score(queries, chunks).select("query_id", "id", "score").collect())) == few
+    assert scores() == few and few[0] < few[1]
 
 
 def test_unmatched_chunks_come_with_the_scores(spark):
