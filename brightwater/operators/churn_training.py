@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import takewhile
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
@@ -156,9 +159,9 @@ class Stack:
 
 
 def side_by_side(spark, run, jobs: Sequence, parallelism: int) -> list:
-    """Results of independent Spark jobs, several at a time."""
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(spark)(run), jobs)
+    """Results of independent Spark jobs, several at a time; whoever is done takes the next."""
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), jobs, chunksize=1)
 
 
 def fit_stack(
@@ -170,32 +173,55 @@ def fit_stack(
     parallelism: int = 4,
 ) -> Stack:
     """Stacked ensemble: a balanced logistic model on out-of-fold base probabilities."""
-    # every round of every model runs a task per file: small data is one file
-    folded = assembled.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
-    data = written(folded.hint("rebalance"), "stack")
+    return fit_stacks([assembled], key, settings, folds, C, parallelism)[0]
+
+
+def fit_stacks(
+    frames: Sequence[DataFrame],
+    key: str,
+    settings: TreeSettings = TreeSettings(),
+    folds: int = 5,
+    C: float = 0.0058,
+    parallelism: int = 4,
+) -> list[Stack]:
+    """The stack of each frame, the base models of all of them side by side."""
+    spark = frames[0].sparkSession
     bases = base_models(settings)
 
-    def fit(job: tuple[int | None, str]):
-        fold, name = job
+    def folded(assembled: DataFrame) -> DataFrame:
+        # every round of every model runs a task per file: small data is one file
+        fold = F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+        return written(assembled.withColumn("fold", fold).hint("rebalance"), "stack")
+
+    tables = side_by_side(spark, folded, frames, parallelism)
+
+    def fit(job: tuple[int, int | None, str]):
+        at, fold, name = job
+        data = tables[at]
         return bases[name].fit(data if fold is None else data.filter(F.col("fold") != fold))
 
-    # Every base model, without each fold and on all rows.
-    jobs = [(fold, name) for fold in [*range(folds), None] for name in bases]
-    models = dict(zip(jobs, side_by_side(data.sparkSession, fit, jobs, parallelism)))
-    out_of_fold = None
-    for fold in range(folds):
-        held = data.filter(F.col("fold") == fold)
-        for name in bases:
-            held = positive_probability(held, models[fold, name], name)
-        part = held.select(key, "label", "weight", *bases)
-        out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
-    stacked = written(
-        out_of_fold.withColumn("features", array_to_vector(F.array(*bases))), "out-of-fold"
-    )
-    return Stack(
-        bases={name: models[None, name] for name in bases},
-        meta=_logistic(stacked.count(), C).fit(stacked),
-    )
+    # Every base model, without each fold and on all rows; the boosted ones take longest and start first.
+    parts = [*range(folds), None]
+    jobs = [(at, fold, name) for name in bases for at in range(len(tables)) for fold in parts]
+    models = dict(zip(jobs, side_by_side(spark, fit, jobs, parallelism)))
+
+    def stack(at: int) -> Stack:
+        out_of_fold = None
+        for fold in range(folds):
+            held = tables[at].filter(F.col("fold") == fold)
+            for name in bases:
+                held = positive_probability(held, models[at, fold, name], name)
+            part = held.select(key, "label", "weight", *bases)
+            out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
+        stacked = written(
+            out_of_fold.withColumn("features", array_to_vector(F.array(*bases))), "out-of-fold"
+        )
+        return Stack(
+            bases={name: models[at, None, name] for name in bases},
+            meta=_logistic(stacked.count(), C).fit(stacked),
+        )
+
+    return side_by_side(spark, stack, range(len(tables)), parallelism)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
@@ -281,16 +307,21 @@ def halving_search(
     """Search random trials for the highest cross-validated AUC, dropping the losing ones early.
 
     All trials are tested on the first fold, the best of every ``keep`` on the next two, the best of ``keep`` of those on
-    the following four, and so on until the folds are used up. Fits of a round run side by side. Returns the
-    winner fitted on all rows, and rows (trial, parameters, folds, auc): the folds a trial was tested on
+    the following four, and so on until the folds are used up. Fits of a round run side by side, the largest
+    forests first, and keep the rows' places in their trees beside the rows. Returns the winner fitted on all rows, and rows (trial, parameters, folds, auc): the folds a trial was tested on
     and its mean AUC there. Equal trials are ordered by number.
     """
     data = written(stratified_folds(assembled, key, "label", folds).hint("rebalance"), "halving")
     chosen = drawn_trials(space, trials, seed)
+    # else all trees grown so far are sent with every level; the models are the same
+    placed = {"cacheNodeIds": True} if estimator.hasParam("cacheNodeIds") else {}
     evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
 
     def model(trial: int):
-        return estimator.copy({estimator.getParam(n): v for n, v in chosen[trial].items()})
+        return estimator.copy({estimator.getParam(n): v for n, v in (chosen[trial] | placed).items()})
+
+    def size(job: tuple[int, int]) -> int:
+        return math.prod(chosen[job[0]].get(n, 1) for n in ("numTrees", "maxIter", "maxDepth"))
 
     def tested(job: tuple[int, int]) -> float:
         trial, fold = job
@@ -305,6 +336,7 @@ def halving_search(
     left, done, width = list(found), 0, 1
     while done < folds:
         jobs = [(trial, fold) for trial in left for fold in range(done, min(done + width, folds))]
+        jobs.sort(key=lambda job: (-size(job), job))
         for (trial, _), auc in zip(jobs, side_by_side(data.sparkSession, tested, jobs, parallelism)):
             found[trial].append(auc)
         done, width = done + width, 2 * width
@@ -329,31 +361,38 @@ def walk_forward(
 
     Rows (fold, train_size, test_size, test_churn_rate, auc); a fold with one class has AUC 0.5.
     """
+    spark = features.sparkSession
     data = written(walk_forward_folds(features, order, key, n_folds), "walk-forward")
-    results = None
-    for fold in range(1, n_folds + 1):
-        train = data.filter(F.col("train_from") <= fold)
+    tested = {r.test_fold for r in data.select("test_fold").distinct().collect()}
+    numbers = list(takewhile(tested.__contains__, range(1, n_folds + 1)))
+    if not numbers:
+        raise ValueError("too few rows for a fold")
+
+    def train(fold: int) -> DataFrame:
+        return data.filter(F.col("train_from") <= fold)
+
+    def past(fold: int) -> DataFrame:
+        return assemble(standardize(train(fold)), [key], label)
+
+    frames = side_by_side(spark, past, numbers, parallelism)
+    stacks = dict(zip(numbers, fit_stacks(frames, key, settings, cv, C, parallelism)))
+
+    def result(fold: int) -> DataFrame:
         test = data.filter(F.col("test_fold") == fold)
-        if test.isEmpty():
-            break
-        fitted = assemble(standardize(train), [key], label)
-        stack = fit_stack(fitted, key, settings, cv, C, parallelism)
-        held = assemble(standardize(test, fitted_on=train), [key], label)
-        scored = written(stack.score(held), "walk-forward-scores")
+        held = assemble(standardize(test, fitted_on=train(fold)), [key], label)
+        scored = written(stacks[fold].score(held), "walk-forward-scores")
         metrics = binary_metrics(scored, 0.5, "label", "p")
-        sizes = train.agg(F.count(F.lit(1))).scalar()
+        sizes = train(fold).agg(F.count(F.lit(1))).scalar()
         counted = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-        row = metrics.select(
+        return metrics.select(
             F.lit(fold).alias("fold"),
             sizes.alias("train_size"),
             counted.alias("test_size"),
             ((F.col("tp") + F.col("fn")) / counted).alias("test_churn_rate"),
             F.coalesce("auc", F.lit(0.5)).alias("auc"),
         )
-        results = row if results is None else results.unionByName(row)
-    if results is None:
-        raise ValueError("too few rows for a fold")
-    return results
+
+    return reduce(DataFrame.unionByName, side_by_side(spark, result, numbers, parallelism))
 
 
 def calibrate_platt(held_out: DataFrame, scored: DataFrame, label: str = "y", score: str = "p"):

@@ -35,6 +35,38 @@ def test_stack_scores_every_row(rows):
     assert scored.filter("p < 0 OR p > 1 OR p IS NULL").isEmpty()
 
 
+def test_folds_of_a_walk_are_fitted_side_by_side(spark, monkeypatch):
+    calls, at_once = [], training.side_by_side
+
+    def seen(spark, run, jobs, parallelism):
+        calls.append(len(jobs))
+        return at_once(spark, run, jobs, parallelism)
+
+    monkeypatch.setattr(training, "side_by_side", seen)
+    features = churn.training_rows(spark, FOLDER)
+    got = training.walk_forward(features, "customer_id", "churn", n_folds=3, settings=SMALL, cv=2, parallelism=8).collect()
+    assert len(got) > 1 and max(calls) == len(got) * 3 * 3  # folds, models a base, bases
+    assert [r.fold for r in got] == list(range(1, len(got) + 1)) and all(0 <= r.auc <= 1 for r in got)
+    folds = metrics.walk_forward_folds(features, "log_tenure", "customer_id", 3)
+    for r in got:
+        assert r.train_size == folds.where(F.col("train_from") <= r.fold).count()
+        assert r.test_size == folds.where(F.col("test_fold") == r.fold).count()
+
+
+def test_search_keeps_places_in_trees_and_the_same_forest(rows, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    space = {"numTrees": (2, 4), "maxDepth": (3, 6)}
+    model, table = training.halving_search(rows, "customer_id", RandomForestClassifier(seed=1), space, trials=3, folds=2, parallelism=3)
+    assert model.getOrDefault("cacheNodeIds")
+    plain = RandomForestClassifier(seed=1, numTrees=model.getNumTrees, maxDepth=model.getMaxDepth())
+    found = training.halving_search(rows, "customer_id", plain, {}, trials=1, folds=2)[0]
+    assert model.toDebugString.split("\n", 1)[1] == found.toDebugString.split("\n", 1)[1]
+    off = plain.copy({plain.cacheNodeIds: False})
+    data = training.written(training.stratified_folds(rows, "customer_id", "label", 2).hint("rebalance"), "halving")
+    assert off.fit(data).totalNumNodes == model.totalNumNodes
+
+
 def test_search_returns_all_trials(rows):
     model, trials = training.tune_cv(
         rows, "customer_id", LogisticRegression(maxIter=5), {"regParam": [0.1, 1.0]}, trials=5, folds=2
