@@ -35,6 +35,8 @@ GROUP_BYTES = 64 << 20
 #: Pivots of such a search, and the vectors that they are learned from.
 PIVOTS = 256
 PIVOT_ROWS = 20_000
+#: Stored rows whose vectors a task holds at once.
+COMPARED_ROWS = 2048
 # Values that a filter on readers, lists or buckets may name; more are left to the tasks.
 FILTER_VALUES = 1000
 
@@ -184,6 +186,13 @@ def _meetings(batch: pa.RecordBatch, block: _Block) -> Iterator[tuple[np.ndarray
                 yield mine, both
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, so few at a time that their vectors stay small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, COMPARED_ROWS):
+            yield batch.slice(start, COMPARED_ROWS)
+
+
 def _compared(batch: pa.RecordBatch, block: _Block, encode):
     """Ids of the batch, and (queries, rows, similarities) of what meets."""
     ids = np.array(batch.column("id").to_pylist(), dtype=object)
@@ -196,8 +205,8 @@ def _compared(batch: pa.RecordBatch, block: _Block, encode):
 
 def _scan(batches: Iterator[pa.RecordBatch], block: _Block, k: int, encode, repeats: bool) -> _Best:
     best = _Best(len(block.ids), k, repeats)
-    for batch in batches:
-        if batch.num_rows == 0 or not block.ids:
+    for batch in _pieces(batches):
+        if not block.ids:
             continue
         ids, compared = _compared(batch, block, encode)
         for queries, rows, sims in compared:
@@ -217,8 +226,8 @@ def _found(
     if k is not None:
         yield rows(_rows(_scan(batches, block, k, encode, repeats), block))
         return
-    for batch in batches:
-        if batch.num_rows == 0 or not block.ids:
+    for batch in _pieces(batches):
+        if not block.ids:
             continue
         ids, compared = _compared(batch, block, encode)
         for queries, stored, sims in compared:

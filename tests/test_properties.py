@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,3 +449,25 @@ def test_unmatched_chunks_come_with_the_scores(spark):
     matched = {(r.query_id, r.id): r.score for r in retrieval.bm25_score(queries, chunks).collect()}
     want = {(q, id, matched.get((q, id), 0.0)) for q, user, _ in queries.collect() for id, _, p in rows if user in p}
     assert {(r.query_id, r.id, r.score) for r in ranked.collect()} == want
+
+
+def test_vectors_are_compared_in_pieces(spark, monkeypatch):
+    seen, encode = [], vector.hash_encoder(16)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(n) for n in range(50)])] * 2, names=["id", "vector"])
+    block = vector._Block(ids=[1, 2], matrix=encode(["17", "40"]))
+    monkeypatch.setattr(vector, "COMPARED_ROWS", 7)
+    best = vector._scan([batch], block, 1, lambda texts: seen.append(len(texts)) or encode(texts), False)
+    assert max(seen) == 7 and sum(seen) == 50
+    assert [ids for _, ids in best.found] == [["17"], ["40"]]
+
+
+def test_whole_numbers_point_like_the_embedding(spark):
+    from brightwater.functions.vectors import cosine_similarity, hash_embed, hash_sums
+
+    df = spark.createDataFrame([("some text \U0001F600",), ("x" * 900,), ("",), (None,)], "text string")
+    rows = df.select(
+        F.size(hash_sums(F.col("text"), 64)).alias("n"), hash_sums(F.col("text"), 64).alias("whole"), hash_embed(F.col("text"), 64).alias("unit"), "text"
+    ).withColumn("cos", cosine_similarity(F.col("whole"), F.col("unit"))).collect()
+    assert all(r.n == 64 for r in rows)
+    assert [round(r.cos, 12) for r in rows] == [1.0, 1.0, 0.0, 0.0]
+    assert sum(rows[1].whole) == 900 * ord("x")
