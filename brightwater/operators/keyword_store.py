@@ -43,8 +43,8 @@ DIRECT = 20_000_000
 #: One zone in so many is looked at to see whether bounds leave enough out, and the share of zones they may keep.
 LOOKED_AT, WORTH = 64, 0.3
 
-#: Chunks in one sorted run of blocks.
-RUN_ROWS = 32_768
+#: Chunks in one sorted run of blocks, and the tokens after which a run ends with the chunk that it is in.
+RUN_ROWS, RUN_TOKENS = 32_768, 1_000_000
 
 _SEGMENT_BITS = 48
 _BLOCK = (
@@ -55,14 +55,21 @@ _COLUMNS = {"blocks": f"{_BLOCK}, segment int", "sizes": "user_id string, n_docs
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held, rows = [], 0
+    """Runs of whole chunks, bounded by rows and by tokens, whatever sizes the batches have."""
+    held, rows, tokens = [], 0, 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= RUN_ROWS:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, rows = [], 0
+        many = pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy().astype(np.int64)
+        ends, start = np.cumsum(many), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            # the chunk that passes the bound is the run's last
+            full = int(np.searchsorted(ends, before + RUN_TOKENS - tokens)) + 1
+            stop = min(batch.num_rows, full, start + RUN_ROWS - rows)
+            held.append(batch.slice(start, stop - start))
+            rows, tokens, start = rows + stop - start, tokens + int(ends[stop - 1] - before), stop
+            if rows >= RUN_ROWS or tokens >= RUN_TOKENS:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows, tokens = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

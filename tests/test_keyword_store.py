@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,18 @@ def test_segments(spark):
     assert keyword_store.open_store(spark, path).append(chunks.limit(0)).chunks.count() == 30
     empty = keyword_store.write_store(chunks.limit(0), scratch_path(spark, "store"))
     assert empty.rank(questions(spark)).collect() == [] and empty.chunks.count() == 0
+
+
+def test_runs_are_bounded_by_tokens(monkeypatch):
+    monkeypatch.setattr(keyword_store, "RUN_ROWS", 60)
+    monkeypatch.setattr(keyword_store, "RUN_TOKENS", 1000)
+
+    def batches():
+        for rows in (5, 0, 700, 300, 1):
+            tokens = pa.array([["a"] * (n % 40) for n in range(rows)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int64()), tokens], names=["slot", "tokens"])
+
+    runs = list(keyword_store._runs(batches()))
+    assert [v for run in runs for v in run["slot"].to_pylist()] == [*range(5), *range(700), *range(300), 0]
+    assert max(run.num_rows for run in runs) <= 60
+    assert max(sum(map(len, run["tokens"].to_pylist())) for run in runs) < 1000 + 40
