@@ -18,13 +18,21 @@ _NO_CHUNKS = "cast(array() as array<string>)"
 
 
 def chunk_fixed(text: Column, size: int = 512, overlap: int = 64) -> Column:
-    """Windows of ``size`` characters every ``size - overlap``; the first to reach the end is last."""
+    """Windows of ``size`` characters every ``size - overlap``; the first to reach the end is last.
+
+    The text is cut into steps once and windows are joined from them; a substring walks from the start of its text.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than the chunk size")
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(float(step))).cast("int"))
     starts = F.sequence(F.lit(0), last)
-    pieces = F.transform(starts, lambda i: F.substring(text, i * step + 1, F.lit(size)))
+
+    def windows(steps: Column) -> Column:
+        met = F.lit(-(-size // step))
+        return F.transform(starts, lambda i: F.left(F.array_join(F.slice(steps, i + 1, met), ""), F.lit(size)))
+
+    pieces = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), windows)
     return F.when(F.length(text) > 0, pieces).otherwise(F.expr(_NO_CHUNKS))
 
 

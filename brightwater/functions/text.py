@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,41 @@ def words(text: Column) -> Column:
     return F.array_remove(space_split(text), "")
 
 
+#: White space in UTF-8: single bytes, first bytes of longer characters, and those characters as numbers.
+_SPACE, _LEAD = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+for _code in map(str.encode, " " + _OTHER_SPACES):
+    (_SPACE if len(_code) == 1 else _LEAD)[_code[0]] = True
+_WIDE = {n: [int.from_bytes(c) for c in map(str.encode, _OTHER_SPACES) if len(c) == n] for n in (2, 3)}
+
+
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """``words`` of an Arrow array inside a task; a null text has none."""
+    texts = texts.cast(pa.string()).fill_null("")
+    _, ends, held = texts.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(held or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    blank = _SPACE[data]
+    at = np.flatnonzero(_LEAD[data])
+    for size, codes in _WIDE.items():
+        at = at[at <= len(data) - size]
+        code = sum(data[at + i].astype(np.int64) << 8 * (size - 1 - i) for i in range(size))
+        wide = at[np.isin(code, codes)]
+        for i in range(size):
+            blank[wide + i] = True
+    word = ~blank
+    first, last = word.copy(), word.copy()
+    first[1:] &= blank[:-1]
+    last[:-1] &= blank[1:]
+    inner = ends[(ends > 0) & (ends < len(data))]  # words end with their text
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    starts = np.flatnonzero(first)
+    sizes = np.append(0, np.flatnonzero(last) + 1 - starts)
+    buffers = [pa.py_buffer(np.cumsum(sizes).astype(np.int32)), pa.py_buffer(data[word])]
+    found = pa.StringArray.from_buffers(len(starts), *buffers)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, ends).astype(np.int32)), found)
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(" " + _OTHER_SPACES))
 

@@ -1,6 +1,7 @@
 """Distributed forms against plain loops on random and skewed data."""
 
 import random
+import time
 from collections import deque
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightwater.functions import chunking
+from brightwater.functions.text import word_lists, words
 from brightwater.operators import breaker, limiter, retrieval, vector
 from brightwater.operators.chunks import chunk_documents
 from brightwater.operators.churn_metrics import binary_metrics, optimise_threshold, walk_forward_folds
@@ -497,3 +499,36 @@ def test_whole_numbers_point_like_the_embedding(spark):
     assert all(r.n == 64 for r in rows)
     assert [round(r.cos, 12) for r in rows] == [1.0, 1.0, 0.0, 0.0]
     assert sum(rows[1].whole) == 900 * ord("x")
+
+
+def test_fixed_chunks_of_a_long_text_cost_one_pass(spark):
+    text = "".join(random.Random(4).choices("ab é\n😀", k=200)) * 20_000
+    started = time.monotonic()
+    rows = spark.createDataFrame([(text,)], "t string").select(F.explode(chunking.chunk_fixed(F.col("t")))).collect()
+    assert time.monotonic() - started < 30
+    starts = range(0, len(text) - 64, 448)
+    assert [r[0] for r in rows] == [text[at : at + 512] for at in starts]
+    short = spark.createDataFrame([(w,) for w in ("", "a", "é\n😀b", "abcdefg")], "t string")
+    for size, overlap in ((1, 0), (3, 2), (4, 1), (5, 0)):
+        for r in short.select("t", chunking.chunk_fixed(F.col("t"), size, overlap).alias("c")).collect():
+            last = max(0, -(-(len(r.t) - size) // (size - overlap)))
+            assert r.c == [r.t[i * (size - overlap) :][:size] for i in range(last + 1) if r.t]
+
+
+def test_words_are_cut_in_the_task_as_by_the_column(spark):
+    rng = random.Random(5)
+    parts = [*" \t\n\x0b\x85\x1c", *map(chr, [0xA0, 0xC2, 0x1680, 0x2003, 0x200B, 0x2014, 0x202F, 0x3000, 0xFEFF]), "a", "é", "😀"]
+    texts = [None, "", " ", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    want = [r.w or [] for r in rows.select(words(F.col("t")).alias("w")).collect()]
+    assert word_lists(pa.array(texts)).to_pylist() == want
+    assert word_lists(pa.array(texts).slice(7, 500)).to_pylist() == want[7:507]
+    assert word_lists(pa.array([], pa.string())).to_pylist() == []
+    chunks = rows.select(F.col("n").alias("id"), F.array(F.lit("u")).alias("permissions"), F.col("t").alias("chunk_text"))
+    found = retrieval.postings(chunks, spark.createDataFrame([("é",), ("a",)], "term string"))
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.dl, {f.term: f.tf for f in r.found}) for r in found.collect()}
+    assert got == {
+        at: (None if texts[at] is None else len(ws), {w: ws.count(w) for w in ("é", "a") if w in ws})
+        for at, ws in enumerate([r.w or [] for r in rows.select(words(F.lower("t")).alias("w")).collect()])
+    }
