@@ -26,8 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from brightwater.functions.text import STOP_WORDS
+from brightwater.functions.text import STOP_WORDS, word_lists
 from brightwater.operators import retrieval
 from brightwater.operators.vector import DIGITS
 from brightwater.plans.scratch import written
@@ -124,9 +125,21 @@ def _blocks_of(run: pa.Table, buckets: int) -> pa.RecordBatch | None:
     )
 
 
+@F.arrow_udf(T.IntegerType())
+def _n_tokens(texts: pa.Array) -> pa.Array:
+    return word_lists(texts).value_lengths()
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the tokens of their texts, which are the last column."""
+    for batch in batches:
+        columns = [*batch.columns[:-1], word_lists(batch.columns[-1])]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "tokens"])
+
+
 def _made(buckets: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches):
+        for run in _runs(_cut(batches)):
             blocks = _blocks_of(run, buckets)
             for a in range(0, 0 if blocks is None else blocks.num_rows, 1 << 16):
                 yield blocks.slice(a, 1 << 16)
@@ -134,6 +147,44 @@ def _made(buckets: int):
     return make
 
 
+def _scores_of_zone(weights: list, k1: float, b: float, candidates: int | None, result: T.StructType):
+    """Scores of the chunks of a zone, from its blocks (zone, term, permissions, entries and optionally asked)."""
+    score = retrieval._chunk_scores(weights, [], to_arrow_type(result["query_id"].dataType), k1, b, candidates)
+    schema = to_arrow_schema(result)
+
+    def scores(blocks: pa.Table) -> pa.Table:
+        entries = _one(blocks, "entries")
+        held = entries.flatten()
+        block = np.repeat(np.arange(blocks.num_rows), entries.value_lengths().to_numpy())
+        slot = held.field("slot").to_numpy()
+        order = np.argsort(slot, kind="stable")
+        block, slot = block[order], slot[order]
+        starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        found = pa.StructArray.from_arrays(
+            [_one(blocks, "term").take(pa.array(block)), held.field("tf").take(pa.array(order))], names=["term", "tf"]
+        )
+        chunks = pa.RecordBatch.from_arrays(
+            [
+                pa.array(slot[starts]),
+                _one(blocks, "permissions").take(pa.array(block[starts])),
+                held.field("dl").take(pa.array(order[starts])),
+                pa.ListArray.from_arrays(pa.array(np.append(starts, len(slot)).astype(np.int32)), found),
+            ],
+            names=["id", "permissions", "dl", "found"],
+        )
+        zone = blocks["zone"][0]
+        parts = [
+            pa.RecordBatch.from_arrays([p[0], pa.repeat(zone, p.num_rows), p[1], p[2]], schema=schema)
+            for p in score(iter([chunks]))
+        ]
+        scored = pa.Table.from_batches(parts, schema)
+        if "asked" not in blocks.column_names:
+            return scored
+        return scored.filter(pc.is_in(scored["query_id"], value_set=blocks["asked"][0].values))
+
+    return scores
+
+
 def _readers() -> Column:
     """Everybody who may read a chunk, and null for all of them together."""
     return F.array_append("permissions", F.lit(None).cast("string"))
@@ -185,18 +236,18 @@ class KeywordStore:
         segment. A null text has no tokens; null permissions are nobody's.
         """
         segment = 1 + max(self.segments, default=-1)
-        tokens = F.coalesce(retrieval._tokens(F.col("chunk_text")), F.array().cast("array<string>"))
+        lowered = F.lower("chunk_text")
         base = F.lit(segment << _SEGMENT_BITS).cast("long")
         number = F.monotonically_increasing_id()
         zone = base + F.floor(number / self.zone_rows)
         slot = (number % self.zone_rows).cast("int")
         readers = F.array_sort(F.array_distinct(F.coalesce("permissions", F.array().cast("array<string>"))))
-        ready = chunks.withColumns({"permissions": readers, "dl": F.size(tokens), "zone": zone, "slot": slot})
+        ready = chunks.withColumns({"permissions": readers, "dl": _n_tokens(lowered), "zone": zone, "slot": slot})
         ready.write.mode("overwrite").option("compression", "zstd").parquet(self._folder("chunks", segment))
         stored = self.spark.read.schema(ready.schema).parquet(self._folder("chunks", segment))
 
         (
-            stored.select("zone", "slot", "permissions", "dl", tokens.alias("tokens"))
+            stored.select("zone", "slot", "permissions", "dl", lowered)
             .mapInArrow(_made(self.buckets), _BLOCK)
             .write.mode("overwrite")
             .option("compression", "zstd")
@@ -248,23 +299,28 @@ class KeywordStore:
         )
         return written(found, "weights")
 
-    def _met(
-        self, weights: DataFrame, columns: list[str], zones: DataFrame | None = None, one_in: int = 1
+    def _blocks(
+        self, weights: DataFrame, few: bool, columns: list[str], zones: DataFrame | None = None, one_in: int = 1
     ) -> DataFrame:
-        """Blocks of the queries' terms beside each query that may read them, zone by zone in one task.
+        """Blocks of the queries' terms.
 
         ``zones`` (zone, asked) says which queries a zone matters to; by default all. ``one_in`` looks at that part
         of the zones only.
         """
-        few = fits(weights)
-        near = F.broadcast(weights) if few else weights
         terms = weights.select("bucket", "term").distinct()
         blocks = self._of_terms("blocks", weights).select("bucket", "term", "zone", "permissions", *columns)
         if one_in > 1:
             blocks = blocks.where(F.pmod(F.xxhash64("zone"), F.lit(one_in)) == 0)
         blocks = blocks.join(F.broadcast(terms) if few else terms, ["bucket", "term"], "left_semi")
-        if zones is not None:
-            blocks = blocks.join(zones, "zone")
+        return blocks if zones is None else blocks.join(zones, "zone")
+
+    def _met(
+        self, weights: DataFrame, columns: list[str], zones: DataFrame | None = None, one_in: int = 1
+    ) -> DataFrame:
+        """``_blocks`` beside each query that may read them, zone by zone in one task."""
+        few = fits(weights)
+        near = F.broadcast(weights) if few else weights
+        blocks = self._blocks(weights, few, columns, zones, one_in)
         if few:  # blocks are sent to their zone once, not once for every query
             met = blocks.repartition("zone").join(near, ["bucket", "term"])
         else:
@@ -288,9 +344,26 @@ class KeywordStore:
         )
 
     def _scored(
-        self, weights: DataFrame, zones: DataFrame | None, k1: float, b: float, needed: DataFrame | None
+        self,
+        weights: DataFrame,
+        zones: DataFrame | None,
+        k1: float,
+        b: float,
+        needed: DataFrame | None,
+        candidates: int | None = None,
     ) -> DataFrame:
-        """Scores of the chunks of the given zones, or of all."""
+        """Scores of the chunks of the given zones, or of all.
+
+        With ``candidates`` those may be left out that are not among so many best of their zone for a query.
+        """
+        if needed is None and fits(weights):  # the task that has a zone's blocks scores its chunks
+            types = [weights.schema["query_id"].dataType, T.LongType(), T.IntegerType(), T.DoubleType()]
+            names = ["query_id", "zone", "slot", "score"]
+            result = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
+            scores = _scores_of_zone(weights.drop("bucket", "df").collect(), k1, b, candidates, result)
+            blocks = self._blocks(weights, True, ["entries"], zones).drop("bucket")
+            found = blocks.groupBy("zone").applyInArrow(scores, result)
+            return found.withColumn("score", F.round("score", DIGITS))
         opened = self._met(weights, ["entries"], zones).select(
             "query_id", "zone", "term", "weight", "avg_dl", F.inline("entries")
         )
@@ -344,7 +417,7 @@ class KeywordStore:
         if candidates is not None and not unmatched and bounds is not False:
             if bounds or self._worth(weights, candidates, k1, b, needed):
                 zones = self._promising(weights, candidates, k1, b, needed)
-        scored = self._scored(weights, zones, k1, b, needed)
+        scored = self._scored(weights, zones, k1, b, needed, None if unmatched else candidates)
         if candidates is not None and not unmatched:
             return self._best_named(scored, candidates)
         scored = self._named(scored, False)
@@ -371,7 +444,7 @@ class KeywordStore:
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "zone")
         seeds = zones.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEEDS)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-        scored = self._scored(weights, _by_zone(seeds), k1, b, needed).withColumn("nth", F.row_number().over(best))
+        scored = self._scored(weights, _by_zone(seeds), k1, b, needed, candidates).withColumn("nth", F.row_number().over(best))
         floor = scored.where(F.col("nth") == candidates).select("query_id", F.col("score").alias("floor"))
         near = F.broadcast(floor) if fits(weights) else floor
         kept = zones.join(near, "query_id", "left").where(

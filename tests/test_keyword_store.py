@@ -94,6 +94,18 @@ def test_searches_read_no_text(spark, store):
     assert "In(bucket" in scored  # row groups of other buckets are skipped
 
 
+def test_zones_are_scored_and_cut_in_their_task(spark, store, monkeypatch):
+    weights = store._weights(questions(spark), "permitted")
+    told = lambda df: {(r.query_id, r.zone, r.slot): round(r.score, 8) for r in df.collect()}
+    few, cut = (store._scored(weights, None, 1.5, 0.75, None, n) for n in (None, 2))
+    assert "FlatMapGroupsInArrow" in few._jdf.queryExecution().toString()
+    few, cut = told(few), told(cut)
+    monkeypatch.setattr(keyword_store, "fits", lambda *a, **k: False)
+    assert few == told(store._scored(weights, None, 1.5, 0.75, None)) and few
+    best = lambda rows, q: sorted((s for k, s in rows.items() if k[0] == q), reverse=True)[:2]
+    assert all(best(cut, q) == best(few, q) for q in {k[0] for k in few}) and cut.items() < few.items()
+
+
 def test_hybrid(spark, store):
     q = questions(spark).where("user_id is not null and query_id < 90")
     chunks = corpus(spark).where("permissions is not null and chunk_text is not null")
