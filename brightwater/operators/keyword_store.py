@@ -148,7 +148,7 @@ def _made(buckets: int):
 
 
 def _scores_of_zone(weights: list, k1: float, b: float, candidates: int | None, result: T.StructType):
-    """Scores of the chunks of a zone, from its blocks (zone, term, permissions, entries and optionally asked)."""
+    """Scores of the chunks of a zone, from its blocks (zone, term, permissions, entries)."""
     score = retrieval._chunk_scores(weights, [], to_arrow_type(result["query_id"].dataType), k1, b, candidates)
     schema = to_arrow_schema(result)
 
@@ -177,10 +177,7 @@ def _scores_of_zone(weights: list, k1: float, b: float, candidates: int | None,
             pa.RecordBatch.from_arrays([p[0], pa.repeat(zone, p.num_rows), p[1], p[2]], schema=schema)
             for p in score(iter([chunks]))
         ]
-        scored = pa.Table.from_batches(parts, schema)
-        if "asked" not in blocks.column_names:
-            return scored
-        return scored.filter(pc.is_in(scored["query_id"], value_set=blocks["asked"][0].values))
+        return pa.Table.from_batches(parts, schema)
 
     return scores
 
@@ -361,7 +358,9 @@ class KeywordStore:
             names = ["query_id", "zone", "slot", "score"]
             result = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
             scores = _scores_of_zone(weights.drop("bucket", "df").collect(), k1, b, candidates, result)
-            blocks = self._blocks(weights, True, ["entries"], zones).drop("bucket")
+            blocks = self._blocks(weights, True, ["entries"]).drop("bucket")
+            if zones is not None:  # a zone's scores for other queries than ask for it are as right, and cheaper than to say who asks
+                blocks = blocks.join(zones.select("zone"), "zone", "left_semi")
             found = blocks.groupBy("zone").applyInArrow(scores, result)
             return found.withColumn("score", F.round("score", DIGITS))
         opened = self._met(weights, ["entries"], zones).select(

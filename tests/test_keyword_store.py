@@ -99,6 +99,11 @@ def test_zones_are_scored_and_cut_in_their_task(spark, store, monkeypatch):
     told = lambda df: {(r.query_id, r.zone, r.slot): round(r.score, 8) for r in df.collect()}
     few, cut = (store._scored(weights, None, 1.5, 0.75, None, n) for n in (None, 2))
     assert "FlatMapGroupsInArrow" in few._jdf.queryExecution().toString()
+    zones = store.zone_bounds(weights).groupBy("zone").agg(F.collect_set("query_id").alias("asked"))
+    asked = store._scored(weights, zones, 1.5, 0.75, None)
+    entries = [line for line in asked._jdf.queryExecution().optimizedPlan().toString().split("\n") if "FlatMapGroups" in line]
+    assert entries and "asked" not in entries[0]  # blocks do not carry the queries that ask for their zone
+    assert told(asked) == told(few)
     few, cut = told(few), told(cut)
     monkeypatch.setattr(keyword_store, "fits", lambda *a, **k: False)
     assert few == told(store._scored(weights, None, 1.5, 0.75, None)) and few
