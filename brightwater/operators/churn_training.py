@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from brightwater.operators.churn_features import FEATURES
+from brightwater.operators import trees
 from brightwater.operators.churn_metrics import HASH_DIGITS, binary_metrics, walk_forward_folds
 from brightwater.plans.scratch import written
 from brightwater.plans.skew import numbered
@@ -164,6 +165,64 @@ def side_by_side(spark, run, jobs: Sequence, parallelism: int) -> list:
         return pool.map(inheritable_thread_target(spark)(run), jobs, chunksize=1)
 
 
+def _sets_only(estimator, *names: str) -> bool:
+    """True if no other parameter was changed from its default."""
+    return {p.name for p in estimator._paramMap} <= {"seed", "cacheNodeIds", *names}
+
+
+def _growing(estimator, table: int, fold: int | None) -> trees.Growing | None:
+    """A forest as ``trees`` grows it, or None if it has other settings."""
+    if not isinstance(estimator, RandomForestClassifier) or not _sets_only(
+        estimator, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy"
+    ):
+        return None
+    strategy, depth = estimator.getFeatureSubsetStrategy(), estimator.getMaxDepth()
+    if strategy not in trees.STRATEGIES:
+        return None
+    least = estimator.getMinInstancesPerNode()
+    return trees.Growing(table, fold, estimator.getNumTrees(), depth, least, strategy, estimator.getSeed())
+
+
+def _boosting(estimator, table: int, fold: int | None) -> trees.Boosting | None:
+    """Boosted trees as ``trees`` grows them, or None if they have other settings."""
+    if not isinstance(estimator, GBTClassifier) or not _sets_only(
+        estimator, "maxIter", "maxDepth", "stepSize", "subsamplingRate", "minInstancesPerNode"
+    ):
+        return None
+    if not 1 <= estimator.getMaxDepth() <= trees.BOOST_LEVELS:
+        return None
+    least = estimator.getMinInstancesPerNode()
+    return trees.Boosting(
+        table, fold, estimator.getStepSize(), estimator.getSubsamplingRate(), estimator.getSeed(), least
+    )
+
+
+def _grown(tables: Sequence[DataFrame], bases: dict, jobs: Sequence, parallelism: int) -> dict:
+    """The models of those jobs (table, fold left out, base) that ``trees`` can grow together."""
+    spark = tables[0].sparkSession
+
+    def cut(table: DataFrame):
+        found = trees.thresholds(table)
+        return trees.binned(table, found, "fold"), found
+
+    binned = side_by_side(spark, cut, tables, parallelism)
+    models: dict = {}
+    boosted: dict = {}
+    for at, fold, name in jobs:
+        if (job := _boosting(bases[name], at, fold)) is not None:
+            kind = (bases[name].getMaxIter(), bases[name].getMaxDepth())
+            boosted.setdefault(kind, {})[at, fold, name] = job
+    for (rounds, depth), group in boosted.items():
+        models |= zip(group, trees.grow_boosted(spark, binned, list(group.values()), rounds, depth))
+    forests = {job: _growing(bases[job[2]], *job[:2]) for job in jobs}
+    forests = {job: growing for job, growing in forests.items() if growing is not None}
+    if forests and trees.fits_workers(binned):
+        held = trees.Held(spark, binned)
+        models |= zip(forests, held.forests(list(forests.values())))
+        held.close()
+    return models
+
+
 def fit_stack(
     assembled: DataFrame,
     key: str,
@@ -293,6 +352,10 @@ def trial_text(parameters: dict[str, object]) -> str:
     return ", ".join(f"{name}={value}" for name, value in sorted(parameters.items()))
 
 
+#: Nodes of a forest's level up to which it is left to Spark ML.
+LEVEL_NODES = 4096
+
+
 def halving_search(
     assembled: DataFrame,
     key: str,
@@ -308,7 +371,8 @@ def halving_search(
 
     All trials are tested on the first fold, the best of every ``keep`` on the next two, the best of ``keep`` of those on
     the following four, and so on until the folds are used up. Fits of a round run side by side, the largest
-    forests first, and keep the rows' places in their trees beside the rows. Returns the winner fitted on all rows, and rows (trial, parameters, folds, auc): the folds a trial was tested on
+    forests first, and keep the rows' places in their trees beside the rows. Forests with more than ``LEVEL_NODES`` nodes in
+    a level, for which Spark ML passes over the rows many times, are grown tree by tree (``trees``). Returns the winner fitted on all rows, and rows (trial, parameters, folds, auc): the folds a trial was tested on
     and its mean AUC there. Equal trials are ordered by number.
     """
     data = written(stratified_folds(assembled, key, "label", folds).hint("rebalance"), "halving")
@@ -328,6 +392,13 @@ def halving_search(
         fitted = model(trial).fit(data.where(F.col("fold") != fold))
         return evaluator.evaluate(fitted.transform(data.where(F.col("fold") == fold)))
 
+    held = _held_search(data, [model(trial) for trial in range(trials)])
+
+    def all_tested(jobs: list[tuple[int, int]]) -> list[float]:
+        if held is None:
+            return side_by_side(data.sparkSession, tested, jobs, parallelism)
+        return held.aucs([_growing(model(trial), 0, fold) for trial, fold in jobs])
+
     found: dict[int, list[float]] = {trial: [] for trial in range(trials)}
 
     def mean(trial: int) -> float:
@@ -337,13 +408,30 @@ def halving_search(
     while done < folds:
         jobs = [(trial, fold) for trial in left for fold in range(done, min(done + width, folds))]
         jobs.sort(key=lambda job: (-size(job), job))
-        for (trial, _), auc in zip(jobs, side_by_side(data.sparkSession, tested, jobs, parallelism)):
+        for (trial, _), auc in zip(jobs, all_tested(jobs)):
             found[trial].append(auc)
         done, width = done + width, 2 * width
         left = sorted(left, key=lambda trial: (-mean(trial), trial))[: max(1, -(-len(left) // keep))]
     rows = [(t, trial_text(chosen[t]), len(found[t]), float(mean(t))) for t in range(trials)]
     table = data.sparkSession.createDataFrame(rows, "trial int, parameters string, folds int, auc double")
-    return model(left[0]).fit(data), table
+    if held is None:
+        return model(left[0]).fit(data), table
+    winner = held.forests([_growing(model(left[0]), 0, None)])[0]
+    held.close()
+    return winner, table
+
+
+def _held_search(data: DataFrame, models: Sequence) -> trees.Held | None:
+    """The rows of a search for workers to hold, if its forests are large and the rows fit."""
+    forests = [_growing(model, 0, None) for model in models]
+    if None in forests:
+        return None
+    rows = data.count()
+    if max(f.trees * min(2**f.depth, rows) for f in forests) <= LEVEL_NODES:
+        return None
+    cuts = trees.thresholds(data)
+    binned = trees.binned(data, cuts, "fold"), cuts
+    return trees.Held(data.sparkSession, [binned]) if trees.fits_workers([binned]) else None
 
 
 def walk_forward(
