@@ -170,7 +170,7 @@ def _sets_only(estimator, *names: str) -> bool:
     return {p.name for p in estimator._paramMap} <= {"seed", "cacheNodeIds", *names}
 
 
-def _growing(estimator, table: int, fold: int | None) -> trees.Growing | None:
+def _growing(estimator, fold: int | None) -> trees.Growing | None:
     """A forest as ``trees`` grows it, or None if it has other settings."""
     if not isinstance(estimator, RandomForestClassifier) or not _sets_only(
         estimator, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy"
@@ -180,7 +180,7 @@ def _growing(estimator, table: int, fold: int | None) -> trees.Growing | None:
     if strategy not in trees.STRATEGIES:
         return None
     least = estimator.getMinInstancesPerNode()
-    return trees.Growing(table, fold, estimator.getNumTrees(), depth, least, strategy, estimator.getSeed())
+    return trees.Growing(fold, estimator.getNumTrees(), depth, least, strategy, estimator.getSeed())
 
 
 def _boosting(estimator, table: int, fold: int | None) -> trees.Boosting | None:
@@ -214,12 +214,12 @@ def _grown(tables: Sequence[DataFrame], bases: dict, jobs: Sequence, parallelism
             boosted.setdefault(kind, {})[at, fold, name] = job
     for (rounds, depth), group in boosted.items():
         models |= zip(group, trees.grow_boosted(spark, binned, list(group.values()), rounds, depth))
-    forests = {job: _growing(bases[job[2]], *job[:2]) for job in jobs}
-    forests = {job: growing for job, growing in forests.items() if growing is not None}
-    if forests and trees.fits_workers(binned):
-        held = trees.Held(spark, binned)
-        models |= zip(forests, held.forests(list(forests.values())))
-        held.close()
+    for at, (blocks, cuts) in enumerate(binned):
+        forests = {job: _growing(bases[job[2]], job[1]) for job in jobs if job[0] == at}
+        forests = {job: growing for job, growing in forests.items() if growing is not None}
+        held = trees.Held(spark, blocks, cuts)
+        if forests and held.fits():
+            models |= zip(forests, held.forests(list(forests.values())))
     return models
 
 
@@ -243,7 +243,10 @@ def fit_stacks(
     C: float = 0.0058,
     parallelism: int = 4,
 ) -> list[Stack]:
-    """The stack of each frame, the base models of all of them side by side."""
+    """The stack of each frame, the base models of all of them side by side.
+
+    Boosted trees grow in step and forests tree by tree (``trees``); what has other settings is fitted by Spark ML.
+    """
     spark = frames[0].sparkSession
     bases = base_models(settings)
 
@@ -254,14 +257,18 @@ def fit_stacks(
 
     tables = side_by_side(spark, folded, frames, parallelism)
 
+    # Every base model, without each fold and on all rows.
+    parts = [*range(folds), None]
+    jobs = [(at, fold, name) for name in bases for at in range(len(tables)) for fold in parts]
+    grown = _grown(tables, bases, jobs, parallelism)
+
     def fit(job: tuple[int, int | None, str]):
+        if job in grown:
+            return grown[job]
         at, fold, name = job
         data = tables[at]
         return bases[name].fit(data if fold is None else data.filter(F.col("fold") != fold))
 
-    # Every base model, without each fold and on all rows; the boosted ones take longest and start first.
-    parts = [*range(folds), None]
-    jobs = [(at, fold, name) for name in bases for at in range(len(tables)) for fold in parts]
     models = dict(zip(jobs, side_by_side(spark, fit, jobs, parallelism)))
 
     def stack(at: int) -> Stack:
@@ -397,7 +404,7 @@ def halving_search(
     def all_tested(jobs: list[tuple[int, int]]) -> list[float]:
         if held is None:
             return side_by_side(data.sparkSession, tested, jobs, parallelism)
-        return held.aucs([_growing(model(trial), 0, fold) for trial, fold in jobs])
+        return held.aucs([_growing(model(trial), fold) for trial, fold in jobs])
 
     found: dict[int, list[float]] = {trial: [] for trial in range(trials)}
 
@@ -416,22 +423,20 @@ def halving_search(
     table = data.sparkSession.createDataFrame(rows, "trial int, parameters string, folds int, auc double")
     if held is None:
         return model(left[0]).fit(data), table
-    winner = held.forests([_growing(model(left[0]), 0, None)])[0]
-    held.close()
-    return winner, table
+    return held.forests([_growing(model(left[0]), None)])[0], table
 
 
 def _held_search(data: DataFrame, models: Sequence) -> trees.Held | None:
     """The rows of a search for workers to hold, if its forests are large and the rows fit."""
-    forests = [_growing(model, 0, None) for model in models]
+    forests = [_growing(model, None) for model in models]
     if None in forests:
         return None
     rows = data.count()
     if max(f.trees * min(2**f.depth, rows) for f in forests) <= LEVEL_NODES:
         return None
     cuts = trees.thresholds(data)
-    binned = trees.binned(data, cuts, "fold"), cuts
-    return trees.Held(data.sparkSession, [binned]) if trees.fits_workers([binned]) else None
+    held = trees.Held(data.sparkSession, trees.binned(data, cuts, "fold"), cuts)
+    return held if held.fits() else None
 
 
 def walk_forward(

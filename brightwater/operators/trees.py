@@ -5,7 +5,7 @@ feature are found once per table, as there at most 32 bins, and a row is one byt
 
 Boosted trees grow in step: one job sums the residuals of all models for one level of their trees, block of rows by
 block, and only the sums meet in the driver. The trees of forests do not depend on each other: a task grows some of
-them on all bins, which every worker holds; tables of more than ``HELD_BYTES`` of bins are left to Spark ML.
+them on all bins, which every worker reads and holds; tables of more than ``HELD_BYTES`` of bins are left to Spark ML.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwater.plans.scratch import scratch_root, written
+from brightwater.plans.scratch import file_store, scratch_root, written
 
 #: Bins of a feature, as Spark ML has them.
 MAX_BINS = 32
@@ -30,6 +31,8 @@ MAX_BINS = 32
 SKETCH_VALUES = 1024
 #: Rows of a block.
 BLOCK_ROWS = 8192
+#: Rows of a block whose comparisons with all thresholds are held at once; they stay in the cache.
+STEP_ROWS = 512
 #: Bytes of bins that a worker holds to grow the trees of forests.
 HELD_BYTES = 384 << 20
 #: Row places of all features tried, unless more cells are counted, and cells that a forest task has in memory at once.
@@ -282,9 +285,14 @@ def grow_boosted(
                         np.multiply(residual, here, out=columns[i, child, 0])
                         np.multiply(rows, here, out=columns[i, child, 1])
                 of, cut = splits[table]
-                below = np.ones((len(of) + 1, len(y)), dtype=np.float32)
-                below[:-1] = bins[of] <= cut[:, None]
-                sums = columns.reshape(-1, len(y)) @ below.T
+                flat = columns.reshape(-1, len(y))
+                sums = np.zeros((len(flat), len(of) + 1), dtype=np.float32)
+                below = np.ones((len(of) + 1, min(len(y), STEP_ROWS)), dtype=np.float32)
+                for a in range(0, len(y), STEP_ROWS):
+                    some = flat[:, a : a + STEP_ROWS]
+                    held = below[:, : some.shape[1]]
+                    held[:-1] = bins[:, a : a + STEP_ROWS][of] <= cut[:, None]
+                    sums += some @ held.T
                 if table not in total:
                     total[table] = np.zeros((len(own[table]), children, 2, len(of) + 1))
                 places = np.searchsorted(own[table], mine)
@@ -374,9 +382,8 @@ def _boosted(grown: list, m: int, cuts: Sequence[np.ndarray], step: float) -> Bo
 
 @dataclass(frozen=True)
 class Growing:
-    """One forest: its table, the fold it leaves out, and the parameters of Spark ML's forests."""
+    """One forest: the fold it leaves out, and the parameters of Spark ML's forests."""
 
-    table: int
     fold: int | None
     trees: int
     depth: int
@@ -407,8 +414,8 @@ def _grown_tree(bins, labels, weight, sizes, rng, depth, tried, least):
     """
     d = bins.shape[1]
     flat, rows = bins.reshape(-1), np.flatnonzero(weight)
-    w, y = weight[rows].astype(np.float64), labels[rows].astype(np.int64)
-    base, node = rows * d, np.zeros(len(rows), dtype=np.int64)
+    w, y = weight[rows], labels[rows]
+    base, node = rows * d, np.zeros(len(rows), dtype=np.int32)
     counts = np.bincount(y, weights=w, minlength=2).reshape(1, 2)
     parts, first = [], 0
     for level in range(depth + 1):
@@ -419,7 +426,7 @@ def _grown_tree(bins, labels, weight, sizes, rng, depth, tried, least):
         open_ = np.flatnonzero((counts.min(axis=1) > 0) & (n >= 2 * least)) if level < depth else np.zeros(0, int)
         if not len(open_):
             break
-        place = np.full(k, -1)
+        place = np.full(k, -1, np.int32)
         place[open_] = np.arange(len(open_))
         kept = place[node] >= 0
         base, w, y, node = base[kept], w[kept], y[kept], place[node[kept]]
@@ -431,7 +438,7 @@ def _grown_tree(bins, labels, weight, sizes, rng, depth, tried, least):
         feature[open_[split]], cut[open_[split]] = won[0][split], won[1][split]
         first += k
         child[open_[split]] = first + 2 * np.arange(len(split))
-        place = np.full(len(open_), -1)
+        place = np.full(len(open_), -1, np.int32)
         place[split] = np.arange(len(split))
         kept = place[node] >= 0
         base, w, y, node = base[kept], w[kept], y[kept], node[kept]
@@ -546,23 +553,41 @@ class Forest:
         return _probability(df, score)
 
 
-class Held:
-    """Tables of bins, each held whole by the workers that grow trees on it."""
+#: What this worker holds: the files it was read from, and bins, labels and folds of all their rows.
+_read: list = [None, None]
+
+
+def _all_rows(files: tuple[str, ...], rows: int, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, labels and folds of all rows of a table of blocks, read once by a worker; it holds one table at a time."""
+    if _read[0] != files:
+        _read[:] = None, None
+        held = np.empty((rows, features), np.uint8), np.empty(rows, np.uint8), np.empty(rows, np.int32)
+        at = 0
+        for name in files:
+            store, path = file_store(name)
+            for batch in pq.ParquetFile(store.open_input_file(path)).iter_batches(16):
+                for b in batch.to_pylist():
+                    z = at + b["rows"]
+                    held[0][at:z] = np.frombuffer(b["bins"], np.uint8).reshape(-1, features)
+                    held[1][at:z] = np.frombuffer(b["labels"], np.uint8)
+                    held[2][at:z] = b["fold"]
+                    at = z
+        if at != rows:
+            raise ValueError(f"{at} rows were read, {rows} written")
+        _read[:] = files, held
+    return _read[1]
 
-    def __init__(self, spark: SparkSession, tables: Sequence[tuple[DataFrame, Sequence[np.ndarray]]]):
-        self.spark, self.cuts = spark, [cuts for _, cuts in tables]
-        self.tables = [self._sent(blocks) for blocks, _ in tables]
 
-    def _sent(self, blocks: DataFrame):
-        # in one order, so that draws are the same whichever block comes first
-        found = blocks.orderBy("fold", F.xxhash64("bins", "labels")).toArrow()
-        rows = found["rows"].to_numpy()
+class Held:
+    """A table of bins that workers read whole from the shared folder, to grow trees on it."""
 
-        def joined(name: str) -> np.ndarray:
-            return np.frombuffer(b"".join(found[name].to_pylist()), dtype=np.uint8)
+    def __init__(self, spark: SparkSession, blocks: DataFrame, cuts: Sequence[np.ndarray]):
+        self.spark, self.cuts = spark, cuts
+        self.rows = blocks.agg(F.sum("rows")).first()[0] or 0
+        self.files = tuple(sorted(blocks.inputFiles()))
 
-        held = (joined("bins").reshape(int(rows.sum()), -1), joined("labels"), np.repeat(found["fold"].to_numpy(), rows))
-        return self.spark.sparkContext.broadcast(held)
+    def fits(self) -> bool:
+        return self.rows * (len(self.cuts) + 5) <= HELD_BYTES
 
     def _tasks(self, jobs: Sequence[Growing]):
         tasks = [
@@ -574,27 +599,27 @@ class Held:
         return self.spark.sparkContext.parallelize(tasks, max(1, len(tasks)))
 
     def _grower(self, jobs: Sequence[Growing]):
-        tables, sizes = self.tables, [np.array([len(c) + 1 for c in cuts]) for cuts in self.cuts]
+        place, sizes = (self.files, self.rows, len(self.cuts)), np.array([len(c) + 1 for c in self.cuts])
 
         def grow(at: int, number: int):
             job = jobs[at]
-            bins, labels, fold = tables[job.table].value
+            bins, labels, fold = _all_rows(*place)
             rng = np.random.default_rng([job.seed, number])
             # drawn with replacement, as one Poisson number per row
             weight = rng.poisson(1.0, len(labels)).astype(np.uint8) if job.trees > 1 else np.ones(len(labels), np.uint8)
             if job.fold is not None:
                 weight[fold == job.fold] = 0
             tried = job.tried(bins.shape[1])
-            return _grown_tree(bins, labels, weight, sizes[job.table], rng, job.depth, tried, job.least)
+            return _grown_tree(bins, labels, weight, sizes, rng, job.depth, tried, job.least)
 
         return grow
 
     def aucs(self, jobs: Sequence[Growing]) -> list[float]:
         """Of each forest the AUC on the fold that it leaves out."""
-        tables, grow = self.tables, self._grower(jobs)
+        place, grow = (self.files, self.rows, len(self.cuts)), self._grower(jobs)
 
         def left_out(at: int):
-            bins, labels, fold = tables[jobs[at].table].value
+            bins, labels, fold = _all_rows(*place)
             return bins, labels, np.flatnonzero(fold == jobs[at].fold)
 
         def scored(task):
@@ -626,14 +651,4 @@ class Held:
 
         schema = "job int, tree int, feature binary, cut binary, child binary, share binary"
         trees = written(self.spark.createDataFrame(self._tasks(jobs).flatMap(rows), schema), "trees")
-        return [Forest(trees.filter(F.col("job") == at), self.cuts[job.table]) for at, job in enumerate(jobs)]
-
-    def close(self) -> None:
-        for held in self.tables:
-            held.unpersist()
-
-
-def fits_workers(tables: Sequence[tuple[DataFrame, Sequence[np.ndarray]]]) -> bool:
-    """True if every worker may hold the bins of all tables."""
-    rows = [(blocks.agg(F.sum("rows")).first()[0] or 0, len(cuts) + 2) for blocks, cuts in tables]
-    return sum(n * width for n, width in rows) <= HELD_BYTES
+        return [Forest(trees.filter(F.col("job") == at), self.cuts) for at in range(len(jobs))]

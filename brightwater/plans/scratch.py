@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -40,3 +42,10 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a task opens a file of the shared folder with, and the path within it."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + unquote(uri[5:]).lstrip("/")
+    return pafs.FileSystem.from_uri(uri)

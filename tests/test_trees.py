@@ -119,3 +119,60 @@ def test_area_under_the_curve_counts_ties_half():
     pairs = [(a > b) + (a == b) / 2 for a in scores[labels == 1] for b in scores[labels == 0]]
     assert trees.auc(labels, scores) == pytest.approx(np.mean(pairs))
     assert trees.auc(np.ones(3), np.arange(3)) == 0.5
+
+
+def boosted_by_hand(bins, labels, sizes, rounds, step):
+    """Margins of boosted stumps by plain loops."""
+    y = 2.0 * labels - 1
+    margin = np.zeros(len(y))
+    for round_ in range(rounds):
+        slope = 4 * y / (1 + np.exp(2 * y * margin)) if round_ else y
+        best = None
+        for f in range(bins.shape[1]):
+            for c in range(sizes[f] - 1):
+                left = bins[:, f] <= c
+                if left.all() or not left.any():
+                    continue
+                score = slope[left].sum() ** 2 / left.sum() + slope[~left].sum() ** 2 / (~left).sum()
+                if best is None or score > best[0] * (1 + 1e-9):
+                    best = score, left
+        left = best[1]
+        margin += (step if round_ else 1.0) * np.where(left, slope[left].mean(), slope[~left].mean())
+    return margin
+
+
+def test_boosted_trees_of_several_tables_grow_in_step(spark):
+    frames = [made(spark, 500, 1), made(spark, 300, 2)]
+    folded = [df.withColumn("fold", (F.col("id") % 3).cast("int")) for df in frames]
+    cuts = [trees.thresholds(df) for df in folded]
+    tables = [(trees.binned(df, c, "fold"), c) for df, c in zip(folded, cuts)]
+    models = [trees.Boosting(t, fold, 0.3, 1.0, 1, 1) for t in (0, 1) for fold in (0, None)]
+    grown = trees.grow_boosted(spark, tables, models, 5, 1)
+    for model, boosted in zip(models, grown):
+        labels, x = arrays(frames[model.table])
+        bins = np.stack([(x[:, [f]] > c).sum(axis=1) for f, c in enumerate(cuts[model.table])], axis=1)
+        ids = np.arange(len(labels))
+        kept = np.ones(len(ids), bool) if model.fold is None else ids % 3 != model.fold
+        want = boosted_by_hand(bins[kept], labels[kept], [len(c) + 1 for c in cuts[model.table]], 5, 0.3)
+        assert boosted.margin(x[kept]) == pytest.approx(want, abs=1e-4)
+
+
+def test_a_stack_fits_no_model_round_by_round(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    def no_fit(*_):
+        raise AssertionError("fitted level by level")
+
+    df = made(spark)
+    settings = training.TreeSettings(trees=20, rounds=21, forest_depth=4)
+    known = [m.fit(df).transform(df) for m in training.base_models(settings).values()]
+    known = [BinaryClassificationEvaluator().evaluate(s) for s in known]
+    for kind in (GBTClassifier, RandomForestClassifier):
+        monkeypatch.setattr(kind, "_fit", no_fit)
+    stack = training.fit_stack(df, "id", settings, folds=3)
+    labels = arrays(df)[0]
+    for name, auc in zip(stack.bases, known):
+        p = [r.p for r in training.positive_probability(df, stack.bases[name], "p").orderBy("id").collect()]
+        assert trees.auc(labels, np.array(p)) == pytest.approx(auc, abs=0.03)
+    scored = stack.score(df)
+    assert scored.count() == df.count() and scored.filter("p < 0 OR p > 1 OR p IS NULL").isEmpty()
