@@ -235,6 +235,52 @@ def _found(
                 yield rows(([block.ids[query]] * len(stored), ids[stored].tolist(), sims[at].tolist()))
 
 
+class Wanted:
+    """Pairs (query, id) that are sought in a ranking by score, then id; with scores their places in it.
+
+    Scores are whole numbers of 10 ** -DIGITS. What a task has met is counted between the pairs of a query.
+    """
+
+    def __init__(self, pairs: list[tuple], scores: list[float] | None = None):
+        self.ids = np.empty(len({i for _, i in pairs}), dtype=object)
+        self.ids[:] = sorted({i for _, i in pairs})
+        place = {i: at for at, i in enumerate(self.ids)}
+        self.of: dict = {}
+        for at, (query, i) in enumerate(pairs):
+            key = place[i] if scores is None else self._keys(np.array(scores[at]), place[i])
+            self.of.setdefault(query, []).append((int(key), i))
+        for query, found in self.of.items():
+            found.sort(key=lambda pair: pair[0])
+            self.of[query] = np.array([key for key, _ in found], dtype=np.int64), [i for _, i in found]
+        self.met = {query: np.zeros(len(keys) + 1, dtype=np.int64) for query, (keys, _) in self.of.items()}
+
+    def _keys(self, scores: np.ndarray, places) -> np.ndarray:
+        return np.rint(scores * 10.0**DIGITS).astype(np.int64) * (len(self.ids) + 1) - places
+
+    def placed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each id how many sought ones are before it, and whether it is one itself."""
+        at = np.searchsorted(self.ids, ids)
+        return at, np.append(self.ids, None)[at] == ids
+
+    def among(self, query, places: np.ndarray, sought: np.ndarray) -> np.ndarray:
+        """Which rows are sought for a query."""
+        return sought & np.isin(places, self.of[query][0]) if query in self.of else np.zeros(len(places), dtype=bool)
+
+    def count(self, query, scores: np.ndarray, places: np.ndarray, sought: np.ndarray) -> None:
+        if query in self.of:  # an id does not count for itself
+            at = np.searchsorted(self.of[query][0], self._keys(scores, places + sought), "right")
+            self.met[query] += np.bincount(at, minlength=len(self.met[query]))
+
+    def counted(self) -> tuple[list, list, list]:
+        """Queries, ids, and how many rows were better."""
+        queries, ids, better = [], [], []
+        for query, (_, names) in self.of.items():
+            queries.extend([query] * len(names))
+            ids.extend(names)
+            better.extend((self.met[query][::-1].cumsum()[::-1][1:]).tolist())
+        return queries, ids, better
+
+
 def _rows(best: _Best, block: _Block) -> tuple[list, list, list]:
     queries, ids, sims = [], [], []
     for query, (found_sims, found_ids) in enumerate(best.found):
@@ -544,6 +590,74 @@ def vector_topk(
     return _search(q, c, k, encode, query_block=query_block, pivots=pivots)
 
 
+def vector_places(
+    queries: DataFrame, chunks: DataFrame, pairs: DataFrame, access: bool = False, encode: Encoder | None = None
+) -> DataFrame | None:
+    """Rows (query_id, id, rank): the places that the few ``pairs`` (query_id, id) have in ``vector_topk`` with ``k`` None.
+
+    Only the pairs' own similarities leave a task, and how many others are better. None if the queries are more than a block.
+    """
+    spark, result = chunks.sparkSession, _result_type(queries, chunks)
+    q, c = _inputs(queries, chunks, "embedding" if encode is None else "chunk_text", access)
+    q, c = (df.filter("vector is not null") for df in (q, c))
+    first = q.limit(QUERY_BLOCK + 1).toArrow()
+    if first.num_rows > QUERY_BLOCK:
+        return None
+    own = _block_of(first, None)
+    shared, schema = spark.sparkContext.broadcast(own), _arrow_type(result)
+    kinds = [f.type for f in schema]
+
+    def met(batches: Iterator[pa.RecordBatch], wanted: Wanted):
+        for batch in _pieces(batches):
+            if shared.value.ids:
+                ids, compared = _compared(batch, shared.value, encode)
+                places, sought = wanted.placed(ids)
+                for asked, rows, sims in compared:
+                    for at, query in enumerate(asked.tolist()):
+                        yield shared.value.ids[query], ids, rows, sims[at], places[rows], sought[rows]
+
+    def picked(wanted):
+        def pick(batches):
+            for query, ids, rows, sims, places, sought in met(batches, wanted.value):
+                mine = wanted.value.among(query, places, sought)
+                if mine.any():
+                    columns = [query] * int(mine.sum()), ids[rows[mine]].tolist(), sims[mine]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], schema=schema)
+
+        return pick
+
+    def counting(wanted):
+        def count(batches):
+            held = wanted.value
+            for found in held.met.values():  # a worker may keep it from another task
+                found[:] = 0
+            for query, _, _, sims, places, sought in met(batches, held):
+                held.count(query, sims, places, sought)
+            yield places_batch(held, kinds)
+
+        return count
+
+    return places_of(_reachable(c, own), pairs, picked, counting, result)
+
+
+def places_batch(wanted: Wanted, kinds: list) -> pa.RecordBatch:
+    columns = zip(wanted.counted(), [*kinds[:2], pa.int64()])
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], names=["query_id", "id", "better"])
+
+
+def places_of(rows: DataFrame, pairs: DataFrame, picked, counting, result: T.StructType) -> DataFrame:
+    """Ranks of the pairs: their scores from the rows that have their ids, then a count over all rows."""
+    spark = rows.sparkSession
+    sought = pairs.select("query_id", "id").distinct().collect()
+    wanted = spark.sparkContext.broadcast(Wanted([tuple(r) for r in sought]))
+    few = rows.join(F.broadcast(pairs.select("id").distinct()), "id", "left_semi").select(*rows.columns)
+    found = few.mapInArrow(picked(wanted), result).collect()
+    scored = spark.sparkContext.broadcast(Wanted([tuple(r)[:2] for r in found], [r[2] for r in found]))
+    schema = T.StructType([*result.fields[:2], T.StructField("better", T.LongType())])
+    better = rows.mapInArrow(counting(scored), schema).groupBy("query_id", "id").agg(F.sum("better").alias("better"))
+    return better.select("query_id", "id", (F.col("better") + 1).cast("int").alias("rank"))
+
+
 def _with_unit_features(df: DataFrame) -> DataFrame:
     raw = df.withColumn("_raw", array_to_vector(F.col("embedding").cast("array<double>")))
     return Normalizer(inputCol="_raw", outputCol="_features").transform(raw).drop("_raw")
